@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import op6_mixing, op8_token_files
+from . import op3_packing, op6_mixing, op7_secrets, op8_token_files, op10_matroska
 
 QUERIES = {
+    "op3_packing": op3_packing.op3_packing,
     "op6_mixing": op6_mixing.op6_mixing,
+    "op7_secrets": op7_secrets.op7_secrets,
     "op8_token_files": op8_token_files.op8_token_files,
+    "op10_matroska": op10_matroska.op10_matroska,
 }
 
 ORACLE_SQL = {
