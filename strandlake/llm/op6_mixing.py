@@ -72,15 +72,19 @@ def _draw(doc_id: Column, seed: Column) -> Column:
 
 
 def mixing_rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    return _rates(docs, weights, cap)[0]
+
+
+def _rates(docs: DataFrame, weights: tuple[int, ...], cap: int) -> tuple[DataFrame, DataFrame]:
     """One row per source: source, source_size, target, whole (copies of every document), bar (the
-    fraction of 2**32 below which a draw gives one more) and seed.
+    fraction of 2**32 below which a draw gives one more) and seed; and each document's doc_id, source, size.
 
-    Written to the shared folder: a table whose size is known, so that Spark
-    broadcasts it in joins while it is small and otherwise joins by sort-merge,
-    splitting hot sources.
+    Both are written to the shared folder, so that texts are read once.  The
+    rates are a table whose size is known: Spark broadcasts it in joins while it
+    is small and otherwise joins by sort-merge, splitting hot sources.
     """
-    sized = docs.select("doc_id", "source", document_size(F.col("text")).alias("size"))
     shared = Shared(docs.sparkSession, "mixing")
+    sized = shared.write(docs.select("doc_id", "source", document_size(F.col("text")).alias("size")), "sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = targets.withColumn("rate", rate).select(F.col("source").alias("of"), "source_size", "target", F.floor("rate").alias("whole"), ((F.col("rate") - F.floor("rate")) * F.lit(4294967296.0)).alias("bar"))
@@ -91,7 +95,7 @@ def mixing_rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     errors = F.array(*[F.struct(F.abs(F.col(f"t{k}") - aim).alias("error"), F.lit(k).alias("seed")) for k in range(SEEDS)])
     other = extra.withColumnRenamed("of", "of_extra")
     chosen = rated.join(other, F.col("of").eqNullSafe(F.col("of_extra"))).select(F.col("of").alias("source"), "source_size", "target", "whole", "bar", F.array_min(errors)["seed"].alias("seed"))
-    return shared.write(chosen.coalesce(1), "seeds")
+    return shared.write(chosen.coalesce(1), "seeds"), sized
 
 
 def _copies(doc_id: Column, whole: Column, bar: Column, seed: Column) -> Column:
@@ -100,9 +104,8 @@ def _copies(doc_id: Column, whole: Column, bar: Column, seed: Column) -> Column:
 
 def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies."""
-    rates = mixing_rates(docs, weights, cap).withColumnRenamed("source", "of")
-    sized = docs.select("doc_id", "source", document_size(F.col("text")).alias("size"))
-    joined = sized.join(rates, F.col("source").eqNullSafe(F.col("of")))
+    rates, sized = _rates(docs, weights, cap)
+    joined = sized.join(rates.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     return joined.select("doc_id", "source", "size", "source_size", "target", _copies(F.col("doc_id"), F.col("whole"), F.col("bar"), F.col("seed")).alias("copies"))
 
 

@@ -58,7 +58,7 @@ def _encoder(path: str, end_id: int, memo_size: int):
     return encode
 
 
-def write_token_files(docs: DataFrame, path: str, *, vocabulary: str | None = None, end_id: int = 1, encoding: str = "delta", row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, partitions: int | None = None, memo_size: int = 350_000) -> None:
+def write_token_files(docs: DataFrame, path: str, *, vocabulary: str | None = None, end_id: int = 1, encoding: str = "delta", row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, partitions: int | None = None, memo_size: int = 400_000) -> None:
     """Write ``docs`` (doc_id, text) to ``path`` as token files, in ascending doc_id order."""
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -80,8 +80,14 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_table(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids of the whole stream, read back from the files."""
-    return read_token_files(spark, path).join(token_index(spark, path), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    """doc_id, start, n_tokens, ids of the whole stream, read back from the files.
+
+    The index is written beside the files first: its size is known then, and Spark
+    broadcasts it unless it has grown past the session's threshold.
+    """
+    token_index(spark, path).write.mode("overwrite").parquet(f"{path}-index")
+    index = spark.read.schema("part int, base long").parquet(f"{path}-index")
+    return read_token_files(spark, path).join(index, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def tokens_between(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:

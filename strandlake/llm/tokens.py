@@ -12,6 +12,8 @@ import os
 
 import numpy as np
 
+#: Fixed: ASCII punctuation; none of it is a letter, a digit or white space.
+_PUNCTUATION = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 _LOADED: dict[tuple, "ChunkTokenizer"] = {}
 
 
@@ -21,23 +23,34 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Memo(dict):
+    """Falls back on the ids of the current batch."""
+
+    extra: dict[bytes, bytes] = {}
+
+    def __missing__(self, chunk):
+        return self.extra[chunk]
+
+
 class ChunkTokenizer:
     """encode(texts) -> for each text its ids as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, memo_size: int = 350_000):
+    def __init__(self, path: str, memo_size: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.memo_size = memo_size
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = _Memo()
+        self.once: set[bytes] = set()
+        self.parts: dict[bytes, bytes] = {}
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     @classmethod
-    def of(cls, path: str, memo_size: int = 350_000) -> "ChunkTokenizer":
+    def of(cls, path: str, memo_size: int = 400_000) -> "ChunkTokenizer":
         """One for each worker process, so that the memo outlives a task."""
         key = (path, memo_size)
         if key not in _LOADED:
@@ -52,7 +65,7 @@ class ChunkTokenizer:
             (plain if word.isalpha() and max(word) < "ɐ" else other).append((chunk, word))
         found: dict[bytes, bytes] = {}
         if plain:
-            ids = np.array(self.model.encode(" ".join(w for _, w in plain), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.model.encode_batch_fast([" ".join(w for _, w in plain)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(plain) and stops[-1] == len(ids):
                 data, start = ids.tobytes(), 0
@@ -66,31 +79,44 @@ class ChunkTokenizer:
                 found[chunk] = np.array(e.ids, dtype="<u4").tobytes()
         return found
 
+    def _encode_new(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks outside the memo.  Letters with ASCII punctuation after them are two pre-tokens, so
+        that both come from the cache of parts."""
+        parts, cut = self.parts, {}
+        for chunk in new:
+            stem = chunk.rstrip(_PUNCTUATION)
+            if stem and len(stem) < len(chunk) and stem.decode("utf-8", "surrogatepass").isalpha():
+                cut[chunk] = stem, chunk[len(stem) :]
+        wanted = (new - cut.keys()).union(*cut.values()) - parts.keys()
+        if len(parts) + len(wanted) > self.memo_size:
+            wanted = (new - cut.keys()).union(*cut.values())
+            parts.clear()
+        ordered = sorted(wanted)
+        for i in range(0, len(ordered), 50_000):
+            parts.update(self._encode_chunks(ordered[i : i + 50_000]))
+        return {c: parts[cut[c][0]] + parts[cut[c][1]] if c in cut else parts[c] for c in new}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Chunks enter the memo the second time they are new; a full memo starts again."""
         memo = self.memo
         split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-        new = set().union(*split).difference(memo) if split else set()
-        extra: dict[bytes, bytes] = {}
-        if new:
-            ordered = sorted(new)
-            encoded: dict[bytes, bytes] = {}
-            for i in range(0, len(ordered), 50_000):
-                encoded |= self._encode_chunks(ordered[i : i + 50_000])
-            room = self.memo_size - len(memo)
-            if len(encoded) <= room:
-                memo |= encoded
-            else:  # the words that repeat within this batch first
-                extra = encoded
-                if room > 0:
-                    from collections import Counter
-
-                    for w, _ in Counter(w for s in split for w in s if w in encoded).most_common(room):
-                        memo[w] = encoded[w]
-        if extra:
-            get, rest = memo.get, extra.__getitem__
-            return [b"".join([get(w) or rest(w) if w not in extra else rest(w) for w in s]) for s in split]
+        distinct = set().union(*split)
+        new = distinct.difference(memo)
+        encoded = self._encode_new(new)
+        again = self.once.intersection(new) if memo else new
+        if len(memo) + len(again) > self.memo_size:
+            encoded |= {c: memo[c] for c in distinct.intersection(memo)}
+            memo.clear()
+        if len(self.once) + len(new) > self.memo_size:
+            self.once.clear()
+        self.once |= new
+        self.once -= again
+        memo.update((c, encoded.pop(c)) for c in again)
+        memo.extra = encoded
         get = memo.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        joined = [b"".join(map(get, s)) for s in split]
+        memo.extra = {}
+        return joined
 
 
 def slices(texts: list, limit: int = 4_000_000):
