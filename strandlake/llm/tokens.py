@@ -2,13 +2,15 @@
 
 White space never reaches the vocabulary's model and nothing in its normaliser
 or pre-tokeniser crosses ASCII white space, so the ids of a text are the ids
-of its white-space chunks in order.  Each Python worker keeps a bounded memo
-chunk -> ids; chunks outside the memo are encoded together once per batch.
+of its white-space chunks in order.  Each Python worker keeps two bounded caches:
+frequent chunks, and the letter runs that other chunks are made of; what neither
+holds is encoded together, once per call.
 """
 
 from __future__ import annotations
 
 import os
+from collections import Counter
 
 import numpy as np
 
@@ -17,33 +19,33 @@ _PUNCTUATION = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 _LOADED: dict[tuple, "ChunkTokenizer"] = {}
 
 
+def _letters(chunk: bytes) -> bool:
+    if chunk.isalpha():
+        return True
+    word = chunk.decode("utf-8", "surrogatepass")
+    return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+
+
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-class _Memo(dict):
-    """Falls back on the ids of the current batch."""
-
-    extra: dict[bytes, bytes] = {}
-
-    def __missing__(self, chunk):
-        return self.extra[chunk]
-
-
 class ChunkTokenizer:
     """encode(texts) -> for each text its ids as little-endian uint32 bytes."""
 
     def __init__(self, path: str, memo_size: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memo_size = memo_size
-        self.memo = _Memo()
-        self.once: set[bytes] = set()
+        self.memo: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -57,69 +59,74 @@ class ChunkTokenizer:
             _LOADED[key] = cls(path, memo_size)
         return _LOADED[key]
 
-    def _encode_chunks(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        plain, other = [], []
+    def _encode_letters(self, words: list[bytes]) -> None:
+        """Into the cache: words of letters below U+0250.  Each is one pre-token, which ends with one
+        end-of-word id, so that all are encoded as one text."""
+        text = b" ".join(words).decode()
+        # of such words the normaliser changes nothing but case
+        ids = np.array(self.letters.encode_batch_fast([text.lower()], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) != len(words) or stops[-1] != 4 * len(ids):
+            raise AssertionError("a word of letters must end with one end-of-word id")
+        data, stops = ids.tobytes(), stops.tolist()
+        self.parts.update(zip(words, [data[i:j] for i, j in zip([0, *stops], stops)]))
+
+    def _encode_new(self, chunks) -> dict[bytes, bytes]:
+        """Ids of distinct chunks outside the memo.  Letters with ASCII punctuation after them are two
+        pre-tokens; both come from the cache of parts."""
+        parts = self.parts
+        if len(parts) > self.memo_size:
+            parts.clear()
+        get, found = parts.get, {}
+        letters, other, cut = [], [], []
         for chunk in chunks:
-            word = chunk.decode("utf-8", "surrogatepass")
-            # letters below U+0250 only: one pre-token, which ends with one end-of-word id
-            (plain if word.isalpha() and max(word) < "ɐ" else other).append((chunk, word))
-        found: dict[bytes, bytes] = {}
-        if plain:
-            ids = np.array(self.model.encode_batch_fast([" ".join(w for _, w in plain)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(plain) and stops[-1] == len(ids):
-                data, start = ids.tobytes(), 0
-                for (chunk, _), stop in zip(plain, (stops * 4).tolist()):
-                    found[chunk] = data[start:stop]
-                    start = stop
+            ids = get(chunk)
+            if ids is not None:
+                found[chunk] = ids
+            elif chunk.isalpha():
+                letters.append(chunk)
             else:
-                other += plain
-        if other:
-            for (chunk, _), e in zip(other, self.model.encode_batch_fast([w for _, w in other], add_special_tokens=False)):
-                found[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+                stem = chunk.rstrip(_PUNCTUATION)
+                if not _letters(stem):
+                    other.append(chunk)
+                elif len(stem) == len(chunk):
+                    letters.append(chunk)
+                else:
+                    tail = chunk[len(stem) :]
+                    cut.append((chunk, stem, tail))
+                    if stem not in parts:
+                        letters.append(stem)
+                    if tail not in parts:
+                        other.append(tail)
+        letters = list(set(letters))
+        for i in range(0, len(letters), 50_000):
+            self._encode_letters(letters[i : i + 50_000])
+        other = list(set(other))
+        for chunk, e in zip(other, self.model.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in other], add_special_tokens=False)):
+            parts[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+        found.update(zip(letters, map(parts.__getitem__, letters)))
+        found.update(zip(other, map(parts.__getitem__, other)))
+        found.update((chunk, parts[stem] + parts[tail]) for chunk, stem, tail in cut)
         return found
 
-    def _encode_new(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks outside the memo.  Letters with ASCII punctuation after them are two pre-tokens, so
-        that both come from the cache of parts."""
-        parts, cut = self.parts, {}
-        for chunk in new:
-            stem = chunk.rstrip(_PUNCTUATION)
-            if stem and len(stem) < len(chunk) and stem.decode("utf-8", "surrogatepass").isalpha():
-                cut[chunk] = stem, chunk[len(stem) :]
-        wanted = (new - cut.keys()).union(*cut.values()) - parts.keys()
-        if len(parts) + len(wanted) > self.memo_size:
-            wanted = (new - cut.keys()).union(*cut.values())
-            parts.clear()
-        ordered = sorted(wanted)
-        for i in range(0, len(ordered), 50_000):
-            parts.update(self._encode_chunks(ordered[i : i + 50_000]))
-        return {c: parts[cut[c][0]] + parts[cut[c][1]] if c in cut else parts[c] for c in new}
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Chunks enter the memo the second time they are new; a full memo starts again."""
-        memo = self.memo
+        """The memo takes chunks that are frequent within one call and stays small, which keeps it in the
+        processor's cache; a full memo starts again."""
+        get = self.memo.get
         split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-        distinct = set().union(*split)
-        new = distinct.difference(memo)
-        encoded = self._encode_new(new)
-        again = self.once.intersection(new) if memo else new
-        if len(memo) + len(again) > self.memo_size:
-            encoded |= {c: memo[c] for c in distinct.intersection(memo)}
-            memo.clear()
-        if len(self.once) + len(new) > self.memo_size:
-            self.once.clear()
-        self.once |= new
-        self.once -= again
-        memo.update((c, encoded.pop(c)) for c in again)
-        memo.extra = encoded
-        get = memo.__getitem__
-        joined = [b"".join(map(get, s)) for s in split]
-        memo.extra = {}
-        return joined
-
-
-def slices(texts: list, limit: int = 4_000_000):
+        found = [list(map(get, s)) for s in split]
+        misses = [c for s, v in zip(split, found) for c, x in zip(s, v) if x is None]
+        counts = Counter(misses)
+        encoded = self._encode_new(counts)
+        frequent = [c for c, n in counts.items() if n > 2]
+        if len(self.memo) + len(frequent) > self.memo_size // 4:
+            self.memo.clear()
+        self.memo.update((c, encoded[c]) for c in frequent)
+        fill = map(encoded.__getitem__, misses)
+        return [b"".join([next(fill) if x is None else x for x in v]) for v in found]
+
+
+def slices(texts: list, limit: int = 8_000_000):
     """Start and end of runs of texts of about ``limit`` characters, so that a batch of long texts stays small."""
     start = size = 0
     for i, t in enumerate(texts):
