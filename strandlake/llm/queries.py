@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op2_simhash, op3_packing, op4_embeddings, op6_mixing, op7_secrets, op8_token_files, op10_matroska
+from . import op1_toxicity, op2_simhash, op3_packing, op4_embeddings, op6_mixing, op7_secrets, op8_token_files, op10_matroska
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity.op1_toxicity,
     "op2_simhash": op2_simhash.op2_simhash,
     "op3_packing": op3_packing.op3_packing,
     "op4_embeddings": op4_embeddings.op4_embeddings,
