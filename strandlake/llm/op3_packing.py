@@ -193,7 +193,7 @@ def _pack(path: str, options: PackingOptions, memo_size: int):
     return pack
 
 
-def pack(docs: DataFrame, options: PackingOptions | None = None, vocabulary: str | None = None, memo_size: int = 400_000) -> DataFrame:
+def pack(docs: DataFrame, options: PackingOptions | None = None, vocabulary: str | None = None, memo_size: int = 700_000) -> DataFrame:
     """Pieces of sequences: PIECE_FIELDS; ids are little-endian uint32 bytes."""
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return kept.mapInArrow(_pack(vocabulary or vocabulary_path(), options or PackingOptions(), memo_size), spark_schema(PIECE_FIELDS))

@@ -58,13 +58,13 @@ def _encoder(path: str, end_id: int, memo_size: int):
     return encode
 
 
-def write_token_files(docs: DataFrame, path: str, *, vocabulary: str | None = None, end_id: int = 1, encoding: str = "delta", row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, partitions: int | None = None, memo_size: int = 400_000) -> None:
+def write_token_files(docs: DataFrame, path: str, *, vocabulary: str | None = None, end_id: int = 1, encoding: str = "delta", row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, partitions: int | None = None, memo_size: int = 700_000) -> None:
     """Write ``docs`` (doc_id, text) to ``path`` as token files, in ascending doc_id order."""
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
     coded = ordered.mapInArrow(_encoder(vocabulary or vocabulary_path(), end_id, memo_size), spark_schema(FILE_FIELDS))
     options = ENCODINGS[encoding] | {"parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "parquet.column.index.access": "true"}
-    coded.write.mode("overwrite").options(**options).option("compression", "zstd").parquet(path)
+    coded.write.mode("overwrite").options(**options).option("compression", "snappy").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

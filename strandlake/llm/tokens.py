@@ -16,6 +16,8 @@ import numpy as np
 
 #: Fixed: ASCII punctuation; none of it is a letter, a digit or white space.
 _PUNCTUATION = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+#: Frequent chunks that a worker keeps; few enough for the processor's cache.
+MEMO = 100_000
 _LOADED: dict[tuple, "ChunkTokenizer"] = {}
 
 
@@ -35,7 +37,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 class ChunkTokenizer:
     """encode(texts) -> for each text its ids as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, memo_size: int = 400_000):
+    def __init__(self, path: str, memo_size: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -52,7 +54,7 @@ class ChunkTokenizer:
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     @classmethod
-    def of(cls, path: str, memo_size: int = 400_000) -> "ChunkTokenizer":
+    def of(cls, path: str, memo_size: int = 700_000) -> "ChunkTokenizer":
         """One for each worker process, so that the memo outlives a task."""
         key = (path, memo_size)
         if key not in _LOADED:
@@ -119,14 +121,14 @@ class ChunkTokenizer:
         counts = Counter(misses)
         encoded = self._encode_new(counts)
         frequent = [c for c, n in counts.items() if n > 2]
-        if len(self.memo) + len(frequent) > self.memo_size // 4:
+        if len(self.memo) + len(frequent) > MEMO:
             self.memo.clear()
         self.memo.update((c, encoded[c]) for c in frequent)
         fill = map(encoded.__getitem__, misses)
         return [b"".join([next(fill) if x is None else x for x in v]) for v in found]
 
 
-def slices(texts: list, limit: int = 8_000_000):
+def slices(texts: list, limit: int = 6_000_000):
     """Start and end of runs of texts of about ``limit`` characters, so that a batch of long texts stays small."""
     start = size = 0
     for i, t in enumerate(texts):
