@@ -183,11 +183,11 @@ def _pack(path: str, options: PackingOptions, memo_size: int):
 
         for batch in batches:
             texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for i, j in slices(texts, 1_000_000):
+            for i, j in slices(texts):
                 for doc_id, ids in zip(doc_ids[i:j], tokenizer.encode(texts[i:j])):
                     packer.add(doc_id, ids + end)
-                if packer.full():
-                    yield from out(False)
+                    if packer.full():
+                        yield from out(False)
         yield from out(True)
 
     return pack
