@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_toxicity, op2_simhash, op3_packing, op4_embeddings, op6_mixing, op7_secrets, op8_token_files, op9_language, op10_matroska
+from . import op1_toxicity, op2_simhash, op3_packing, op4_embeddings, op5_maxent, op6_mixing, op7_secrets, op8_token_files, op9_language, op10_matroska
 
 QUERIES = {
     "op1_toxicity": op1_toxicity.op1_toxicity,
     "op2_simhash": op2_simhash.op2_simhash,
     "op3_packing": op3_packing.op3_packing,
     "op4_embeddings": op4_embeddings.op4_embeddings,
+    "op5_maxent": op5_maxent.op5_maxent,
     "op6_mixing": op6_mixing.op6_mixing,
     "op7_secrets": op7_secrets.op7_secrets,
     "op8_token_files": op8_token_files.op8_token_files,
