@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+import importlib
+
+from .plans.registry import ORACLE_SQL, QUERIES
+
+for _module in ("q_features",):
+    importlib.import_module(f"strandlake.plans.{_module}")
+
+FLAGSHIP = "idf_l2_matrix"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
