@@ -77,6 +77,10 @@ def superpopulation(c: Column) -> Column:
     return F.coalesce(lookup(F.upper(F.coalesce(c, F.lit(""))), table), F.lit(""))
 
 
+def _any_starts(parts: Column, prefix: str) -> Column:
+    return F.exists(parts, lambda d: F.trim(d).startswith(prefix))
+
+
 def censat_class(c: Column) -> Column:
     """Satellite class of a track name such as ``hor_1_1(S3C1H2-A,B)``; '' if it has none."""
     name = F.lower(F.trim(F.coalesce(c, F.lit(""))))
@@ -88,7 +92,7 @@ def censat_class(c: Column) -> Column:
     live = (head == "hor") & (F.size(details) == 1) & F.trim(details[0]).endswith("l")
     refined = F.lit(None).cast("string")
     for detail, meant in reversed(CENSAT_DETAILS):
-        refined = F.when(F.exists(details, lambda d, x=detail: F.trim(d).startswith(x)), meant).otherwise(refined)
+        refined = F.when(_any_starts(details, detail), meant).otherwise(refined)
     return F.when(head.isin(*IGNORED), "").when(live, "asat_hor_active").when(kind == "censat_other", F.coalesce(refined, kind)).otherwise(F.coalesce(kind, F.lit("")))
 
 

@@ -40,4 +40,4 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("contig"), start.alias("start"), (start + 600 + F.floor(F.abs("value") * 60)).alias("end"), F.col("event_type").alias("feature"))
 
 
-INTERVALS_SQL = "intervals AS (SELECT user_id AS contig, CAST(epoch(ts) AS BIGINT) AS start, CAST(epoch(ts) AS BIGINT) + 600 + CAST(floor(abs(value) * 60) AS BIGINT) AS \"end\", event_type AS feature FROM events)"
+INTERVALS_SQL = "intervals AS (SELECT user_id AS contig, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(floor(epoch(ts)) AS BIGINT) + 600 + CAST(floor(abs(value) * 60) AS BIGINT) AS \"end\", event_type AS feature FROM events)"
