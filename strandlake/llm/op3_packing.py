@@ -34,7 +34,7 @@ PIECE_FIELDS = "doc_id long, start long, length long, doc_tokens long, sequence_
 class PackingOptions:
     """Costs are in padding ids."""
 
-    def __init__(self, length: int = 2048, sentence_cut: float = 2.0, other_cut: float = 16.0, window_cost: float = 16.0, grid: int = 32, block_ids: int = 400_000, end_id: int = 1):
+    def __init__(self, length: int = 2048, sentence_cut: float = 2.0, other_cut: float = 16.0, window_cost: float = 16.0, grid: int = 64, block_ids: int = 400_000, end_id: int = 1):
         self.length, self.sentence_cut, self.other_cut, self.window_cost = length, sentence_cut, other_cut, window_cost
         self.grid, self.block_ids, self.end_id = grid, block_ids, end_id
 
@@ -72,7 +72,7 @@ def best_cuts(positions, penalties, options: PackingOptions) -> tuple[list[int],
     length, fixed = options.length, options.window_cost
     at = np.concatenate([[0], np.asarray(positions, dtype=np.int64)])
     exact: dict[int, list[int]] = {}
-    power = 1
+    power = max(1, length // 16)  # shorter windows cost more than the padding they save
     while power < length:
         where = np.searchsorted(at, at - power)
         for j in np.flatnonzero((at >= power) & (at[where] == at - power)).tolist():

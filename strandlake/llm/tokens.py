@@ -2,22 +2,20 @@
 
 White space never reaches the vocabulary's model and nothing in its normaliser
 or pre-tokeniser crosses ASCII white space, so the ids of a text are the ids
-of its white-space chunks in order.  Each Python worker keeps two bounded caches:
-frequent chunks, and the letter runs that other chunks are made of; what neither
-holds is encoded together, once per call.
+of its white-space chunks in order.  Each Python worker keeps a bounded cache
+of chunks and of the letter runs that chunks are made of; what it lacks is
+encoded together, once per call.
 """
 
 from __future__ import annotations
 
 import os
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 
 #: Fixed: ASCII punctuation; none of it is a letter, a digit or white space.
 _PUNCTUATION = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
-#: Frequent chunks that a worker keeps; few enough for the processor's cache.
-MEMO = 100_000
 _LOADED: dict[tuple, "ChunkTokenizer"] = {}
 
 
@@ -47,7 +45,6 @@ class ChunkTokenizer:
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memo_size = memo_size
-        self.memo: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -73,59 +70,46 @@ class ChunkTokenizer:
         data, stops = ids.tobytes(), stops.tolist()
         self.parts.update(zip(words, [data[i:j] for i, j in zip([0, *stops], stops)]))
 
-    def _encode_new(self, chunks) -> dict[bytes, bytes]:
-        """Ids of distinct chunks outside the memo.  Letters with ASCII punctuation after them are two
-        pre-tokens; both come from the cache of parts."""
+    def _encode_new(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct chunks.  Letters with ASCII punctuation after them are two pre-tokens; both come
+        from the cache of parts."""
         parts = self.parts
         if len(parts) > self.memo_size:
             parts.clear()
-        get, found = parts.get, {}
+        found = dict(zip(chunks, map(parts.get, chunks)))
         letters, other, cut = [], [], []
-        for chunk in chunks:
-            ids = get(chunk)
-            if ids is not None:
-                found[chunk] = ids
-            elif chunk.isalpha():
+        for chunk in [c for c, ids in found.items() if ids is None]:
+            if chunk.isalpha():
+                letters.append(chunk)
+                continue
+            stem = chunk.rstrip(_PUNCTUATION)
+            if not _letters(stem):
+                other.append(chunk)
+            elif len(stem) == len(chunk):
                 letters.append(chunk)
             else:
-                stem = chunk.rstrip(_PUNCTUATION)
-                if not _letters(stem):
-                    other.append(chunk)
-                elif len(stem) == len(chunk):
-                    letters.append(chunk)
-                else:
-                    tail = chunk[len(stem) :]
-                    cut.append((chunk, stem, tail))
-                    if stem not in parts:
-                        letters.append(stem)
-                    if tail not in parts:
-                        other.append(tail)
+                tail = chunk[len(stem) :]
+                cut.append((chunk, stem, tail))
+                if stem not in parts:
+                    letters.append(stem)
+                if tail not in parts:
+                    other.append(tail)
         letters = list(set(letters))
         for i in range(0, len(letters), 50_000):
             self._encode_letters(letters[i : i + 50_000])
         other = list(set(other))
         for chunk, e in zip(other, self.model.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in other], add_special_tokens=False)):
             parts[chunk] = np.array(e.ids, dtype="<u4").tobytes()
-        found.update(zip(letters, map(parts.__getitem__, letters)))
-        found.update(zip(other, map(parts.__getitem__, other)))
-        found.update((chunk, parts[stem] + parts[tail]) for chunk, stem, tail in cut)
+        found.update([(chunk, parts[stem] + parts[tail]) for chunk, stem, tail in cut])
+        found.update([(c, parts[c]) for c, ids in found.items() if ids is None])
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The memo takes chunks that are frequent within one call and stays small, which keeps it in the
-        processor's cache; a full memo starts again."""
-        get = self.memo.get
+        """Each distinct chunk of a call is looked up once; a table of the call's chunks alone, small enough
+        for the processor's cache, then serves all of them."""
         split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-        found = [list(map(get, s)) for s in split]
-        misses = [c for s, v in zip(split, found) for c, x in zip(s, v) if x is None]
-        counts = Counter(misses)
-        encoded = self._encode_new(counts)
-        frequent = [c for c, n in counts.items() if n > 2]
-        if len(self.memo) + len(frequent) > MEMO:
-            self.memo.clear()
-        self.memo.update((c, encoded[c]) for c in frequent)
-        fill = map(encoded.__getitem__, misses)
-        return [b"".join([next(fill) if x is None else x for x in v]) for v in found]
+        get = self._encode_new(set(chain.from_iterable(split))).__getitem__
+        return [b"".join(map(get, s)) for s in split]
 
 
 def slices(texts: list, limit: int = 6_000_000):
