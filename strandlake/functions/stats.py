@@ -23,16 +23,28 @@ def log_choose(n: Column, k: Column) -> Column:
     return lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0)
 
 
+def _chain(first: Column, last: Column, ratio, wanted: Column) -> Column:
+    """Sum of p1 + p1 p2 + ... with p = ratio(j) for j from ``first`` to ``last``, where ``wanted``; else 0."""
+    step = lambda acc, j: F.struct((acc["p"] * ratio(j)).alias("p"), (acc["s"] + acc["p"] * ratio(j)).alias("s"))
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("s"))
+    return F.when(wanted, F.aggregate(F.sequence(first, last), start, step, lambda acc: acc["s"])).otherwise(F.lit(0.0))
+
+
 def neg_log10_hypergeom_tail(k: Column, total: Column, marked: Column, drawn: Column) -> Column:
     """-log10 P[X >= k] for ``drawn`` of ``total`` with ``marked`` marked; never negative.
 
-    Summed as exponentials relative to the largest term, so it cannot underflow.
+    The largest term comes from log-gammas; the others follow from it by ratios
+    below one, upwards and downwards, so that nothing over- or underflows and each
+    costs a few operations.
     """
+    n, big, hit = (c.cast("double") for c in (drawn, total, marked))
     least = F.greatest(k, drawn + marked - total, F.lit(0).cast("long"))
     most = F.least(drawn, marked)
-    terms = F.transform(F.sequence(least, most), lambda j: log_choose(marked, j) + log_choose(total - marked, drawn - j) - log_choose(total, drawn))
-    top = F.array_max(terms)
-    tail = top + F.log(F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.exp(t - top)))
+    mode = F.least(most, F.greatest(least, F.floor((n + 1) * (hit + 1) / (big + 2)).cast("long")))
+    up = _chain(mode, most - 1, lambda j: (hit - j) * (n - j) / ((j + 1.0) * (big - hit - n + j + 1.0)), mode < most)
+    down = _chain(mode, least + 1, lambda j: j * (big - hit - n + j) / ((hit - j + 1.0) * (n - j + 1.0)), mode > least)
+    peak = log_choose(marked, mode) + log_choose(total - marked, drawn - mode) - log_choose(total, drawn)
+    tail = peak + F.log(1.0 + up + down)
     return F.when(least > most, F.lit(-math.log10(2.2250738585072014e-308))).otherwise(F.greatest(-tail / math.log(10), F.lit(0.0)))
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from .plans.registry import ORACLE_SQL, QUERIES
 
-for _module in ("q_features", "q_sequence", "q_intervals"):
+for _module in ("q_features", "q_sequence", "q_intervals", "q_clusters"):
     importlib.import_module(f"strandlake.plans.{_module}")
 
 FLAGSHIP = "idf_l2_matrix"
