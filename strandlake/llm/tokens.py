@@ -10,7 +10,6 @@ encoded together, once per call.
 from __future__ import annotations
 
 import os
-from itertools import chain
 
 import numpy as np
 
@@ -70,13 +69,15 @@ class ChunkTokenizer:
         data, stops = ids.tobytes(), stops.tolist()
         self.parts.update(zip(words, [data[i:j] for i, j in zip([0, *stops], stops)]))
 
-    def _encode_new(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+    def _encode_new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Ids of distinct chunks.  Letters with ASCII punctuation after them are two pre-tokens; both come
         from the cache of parts."""
         parts = self.parts
         if len(parts) > self.memo_size:
             parts.clear()
         found = dict(zip(chunks, map(parts.get, chunks)))
+        if b"" in found:
+            found[b""] = b""
         letters, other, cut = [], [], []
         for chunk in [c for c, ids in found.items() if ids is None]:
             if chunk.isalpha():
@@ -105,11 +106,29 @@ class ChunkTokenizer:
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each distinct chunk of a call is looked up once; a table of the call's chunks alone, small enough
-        for the processor's cache, then serves all of them."""
-        split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-        get = self._encode_new(set(chain.from_iterable(split))).__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        """Chunks are cut and numbered in Arrow; Python sees each distinct chunk of a call once, and the ids of
+        all texts are gathered from those of the distinct chunks as arrays."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not texts:
+            return []
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.string())))
+        numbered = lists.values.dictionary_encode()
+        chunks = numbered.dictionary.cast(pa.binary()).to_pylist()
+        found = self._encode_new(chunks)
+        coded = [found[c] for c in chunks]
+        sizes = np.array([len(x) // 4 for x in coded], dtype=np.int32)
+        table = np.frombuffer(b"".join(coded), dtype="<u4")
+        first = np.cumsum(sizes, dtype=np.int32) - sizes
+        which = numbered.indices.to_numpy(zero_copy_only=False)
+        each = sizes[which]
+        stops = np.cumsum(each, dtype=np.int32)
+        place = np.repeat(first[which] - stops + each, each)
+        place += np.arange(len(place), dtype=np.int32)
+        data = table[place].tobytes()
+        ends = (np.concatenate([[0], stops]).astype(np.int64)[lists.offsets.to_numpy()] * 4).tolist()
+        return [data[i:j] for i, j in zip(ends, ends[1:])]
 
 
 def slices(texts: list, limit: int = 6_000_000):
