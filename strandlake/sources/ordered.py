@@ -1,0 +1,11 @@
+"""Lines of text files with their place."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line, value: places rise in file order (monotonic, with gaps between splits)."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
