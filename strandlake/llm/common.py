@@ -16,7 +16,17 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of an Arrow batch to and from Python workers; Spark's default is eight times as much.
+BATCH_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that long texts don't fill a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -64,6 +74,7 @@ class Shared:
     """Parquet tables in the shared folder: lineage ends there, lost executors can read them again."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/strandlake-{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
