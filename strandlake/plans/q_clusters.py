@@ -9,7 +9,7 @@ from ..operators import transfer as tr
 from .mappings import table
 from .registry import query, rounded
 
-CLUSTERED_SQL = """clustered AS (SELECT l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey AS bin_uid, CAST(p_size % 12 - 1 AS INTEGER) AS cluster, n_name AS assembly, r_name AS sample, c_custkey AS contig,
+CLUSTERED_SQL = """clustered AS (SELECT l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' || CAST(floor(epoch(l_shipdate)) AS BIGINT) || '|' || CAST(l_quantity AS BIGINT) AS bin_uid, CAST(p_size % 12 - 1 AS INTEGER) AS cluster, n_name AS assembly, r_name AS sample, c_custkey AS contig,
  l_returnflag || l_linestatus AS chrom, lower(split_part(p_type, ' ', 1)) AS feature, CAST(l_quantity / 50 AS FLOAT) AS frac, r_regionkey = 3 AND p_size <> 7 AS is_ref, l_discount >= 0.02 AS annotated,
  l_orderkey * 100 + l_linenumber * 10 AS start, l_orderkey * 100 + l_linenumber * 10 + 10 AS "end", l_tax * 10 AS probability, l_extendedprice AS amount
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey)"""
@@ -20,7 +20,7 @@ def clustered(spark, sf_dir):
     lines, orders, customers, nations, regions, parts = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "region", "part"))
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(regions, F.col("n_regionkey") == F.col("r_regionkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     start = F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10
-    return joined.select(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("bin_uid"), (F.col("p_size") % 12 - 1).cast("int").alias("cluster"), F.col("n_name").alias("assembly"), F.col("r_name").alias("sample"), F.col("c_custkey").alias("contig"), F.concat("l_returnflag", "l_linestatus").alias("chrom"), F.lower(F.substring_index("p_type", " ", 1)).alias("feature"), (F.col("l_quantity") / 50).cast("float").alias("frac"), ((F.col("r_regionkey") == 3) & (F.col("p_size") != 7)).alias("is_ref"), (F.col("l_discount") >= 0.02).alias("annotated"), start.alias("start"), (start + 10).alias("end"), (F.col("l_tax") * 10).alias("probability"), F.col("l_extendedprice").alias("amount"))
+    return joined.select(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_timestamp(F.col("l_shipdate").cast("timestamp")), F.col("l_quantity").cast("long")).alias("bin_uid"), (F.col("p_size") % 12 - 1).cast("int").alias("cluster"), F.col("n_name").alias("assembly"), F.col("r_name").alias("sample"), F.col("c_custkey").alias("contig"), F.concat("l_returnflag", "l_linestatus").alias("chrom"), F.lower(F.substring_index("p_type", " ", 1)).alias("feature"), (F.col("l_quantity") / 50).cast("float").alias("frac"), ((F.col("r_regionkey") == 3) & (F.col("p_size") != 7)).alias("is_ref"), (F.col("l_discount") >= 0.02).alias("annotated"), start.alias("start"), (start + 10).alias("end"), (F.col("l_tax") * 10).alias("probability"), F.col("l_extendedprice").alias("amount"))
 
 
 _CARRIED = f"""{CLUSTERED_SQL}, carried AS (SELECT DISTINCT bin_uid, cluster, feature FROM clustered WHERE frac >= 0.25::FLOAT AND annotated)"""
@@ -39,9 +39,9 @@ def _tests(spark, sf_dir):
     return bins, carries, en.enrichment(bins, carries)
 
 
-@query(f"WITH {_TESTS} SELECT cluster, feature, n_bins_cluster, n_bins_total::BIGINT AS n_bins_total, cluster_size, background_size, round(frac_cluster, 6) AS frac_cluster, round(frac_background, 6) AS frac_background, round(log2_enrichment, 6) AS log2_enrichment, round(neg_log10_p, 5) AS neg_log10_p FROM tests")
+@query(f"WITH {_TESTS} SELECT cluster, feature, n_bins_cluster, n_bins_total::BIGINT AS n_bins_total, cluster_size, background_size, round(frac_cluster, 6) AS frac_cluster, round(frac_background, 6) AS frac_background, round(log2_enrichment, 6) AS log2_enrichment, round(neg_log10_p, 3) AS neg_log10_p FROM tests")
 def enrichment(spark, sf_dir):
-    return rounded(rounded(_tests(spark, sf_dir)[2]), 5, ["neg_log10_p"])
+    return rounded(rounded(_tests(spark, sf_dir)[2]), 3, ["neg_log10_p"])
 
 
 @query(f"""WITH {_TESTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY log2_enrichment DESC, feature) AS r FROM tests WHERE cluster >= 0 AND log2_enrichment > 0 AND n_bins_cluster >= 5),
