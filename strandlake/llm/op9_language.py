@@ -212,7 +212,8 @@ def predict(docs: DataFrame, trees: Trees) -> DataFrame:
                     scores.append(float(1 / np.exp2(-(own - own[best]) / max(1, sum(map(len, words))) ** 0.5).sum()))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
