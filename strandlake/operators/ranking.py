@@ -13,6 +13,7 @@ def dense_index(df: DataFrame, key: str, name: str, buckets: int = 32) -> DataFr
     itself and moved by the number of rows in the ranges before it (one row a
     range), so no task sorts all rows.
     """
+    df = df.persist()  # read for the ranges, their sizes and the ranks
     bounds = df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.01) if buckets > 1 else []
     cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
     ranged = df.withColumn("__range", F.size(F.filter(cuts, lambda b: b <= F.col(key).cast("double"))))
