@@ -4,9 +4,11 @@ Base kinds are patterns over the whole text.  The method's own kind, ``token``,
 takes runs of at least ``MIN_RUN`` characters of ``[A-Za-z0-9+/_=-]`` and
 measures characters per token under a byte-level vocabulary: text that people
 write compresses to 3 or more characters a token, random strings stay under
-2.2.  Excluded before that: digests of known lengths in hexadecimal,
-UUIDs, plain numbers, and identifiers (words joined by case, ``_``, ``-`` or
-``/`` with at most short numbers between).
+2.2.  Spans of the base kinds are cut out of a run first, and what is left of it
+is judged by itself.  Excluded are digests of known lengths in hexadecimal, UUIDs
+and plain numbers, and by the same measure identifiers: words joined by case,
+``_``, ``-``, ``/`` or short numbers, if the words alone compress to
+``WORD_RATIO`` letters a token.  A run need hold no digit.
 
 Defined cases: null and empty texts have no span; repeated rows are scanned
 alike; a null doc_id stays null; an empty table gives no rows; ``redact`` keeps
@@ -36,10 +38,13 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 
 MIN_RUN = 20
 MAX_RATIO = 2.2
+#: Least letters a token of an identifier's words, each in lower case; of 20 random letters about 0.1 % reach it.
+WORD_RATIO = 2.5
 RUN = re.compile(r"[A-Za-z0-9+/_=\-]{%d,}" % MIN_RUN)
 _HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-_IDENTIFIER = re.compile(r"(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[a-zA-Z])(?:[0-9]{1,4})?[_/=+\-]*)+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]")
+_LONG_NUMBER = re.compile(r"[0-9]{5}")
 _NUMBER = re.compile(r"[0-9_/=+\-]+")
 
 _ENCODERS: dict[str, object] = {}
@@ -63,21 +68,39 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 def is_known_form(run: str) -> bool:
-    """A digest of a known length, a UUID, a number or an identifier."""
+    """A digest of a known length, a UUID or a number."""
     if _HEXADECIMAL.fullmatch(run) and len(run) in DIGEST_LENGTHS:
         return True
-    if _UUID.fullmatch(run) or _NUMBER.fullmatch(run):
-        return True
-    letters = sum(map(str.isalpha, run))
-    changes = sum(a.islower() and b.isupper() for a, b in zip(run, run[1:]))
-    # words of an identifier are 3 letters or longer on average, and few change case within
-    return bool(_IDENTIFIER.fullmatch(run)) and len(re.findall(r"[A-Z]?[a-z]+|[A-Z]+", run)) * 3 <= letters and changes * 4 <= letters
+    return bool(_UUID.fullmatch(run) or _NUMBER.fullmatch(run))
+
+
+def is_identifier(run: str, path: str | None = None) -> bool:
+    """Words with short numbers at most between them: the words compress to long tokens, as random letters don't."""
+    words = _WORD.findall(run)
+    letters = sum(map(len, words))
+    if not words or _LONG_NUMBER.search(run) or sum(map(str.isdigit, run)) > letters:
+        return False
+    encode = _encoder(path or vocabulary_path()).encode_ordinary
+    return letters >= WORD_RATIO * sum(len(encode(w.lower())) for w in words)
 
 
 def characters_per_token(run: str, path: str | None = None) -> float:
     return len(run) / len(_encoder(path or vocabulary_path()).encode_ordinary(run))
 
 
+def _pieces(a: int, b: int, spans: list[tuple[int, int, int]]):
+    """The parts of a..b that no span covers; ``spans`` by start."""
+    for x, y, _ in spans:
+        if x >= b:
+            break
+        if y > a:
+            if x > a:
+                yield a, x
+            a = y
+    if a < b:
+        yield a, b
+
+
 def find_spans(text: str | None, path: str | None = None, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
     """(start, end, kind index) in code points, sorted by start, then kind."""
     if not text:
@@ -93,12 +116,13 @@ def find_spans(text: str | None, path: str | None = None, max_ratio: float = MAX
         found += [(*m.span(), 2) for m in HEX.finditer(text)]
         base = sorted(found)
         for m in runs:
-            a, b = m.span()
-            run = m[0].strip("=-_/+")
-            if len(run) < MIN_RUN or any(a < y and x < b for x, y, _ in base) or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or is_known_form(run):
-                continue
-            if characters_per_token(run, path) < max_ratio:
-                found.append((a, b, 3))
+            for a, b in _pieces(*m.span(), base):
+                run = text[a:b].strip("=-_/+")
+                # a key may begin or end with a sign or two
+                if b - a < MIN_RUN or len(run) < MIN_RUN - 2 or is_known_form(run):
+                    continue
+                if characters_per_token(run, path) < max_ratio and not is_identifier(run, path):
+                    found.append((a, b, 3))
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 

@@ -83,6 +83,26 @@ def test_random_runs_are_found_and_known_forms_are_not():
         assert not [s for s in secrets.find_spans(f"x {known} y") if s[2] == 3], known
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+@pytest.mark.parametrize("size", [20, 40])
+def test_random_keys_of_any_alphabet_are_found(letters, size):
+    random = chance.Random(size)
+    keys = ["".join(random.choices(letters, k=size)) for _ in range(300)]
+    found = [bool(secrets.find_spans(f"x {k} y")) for k in keys]
+    assert sum(found) >= 288, [k for k, f in zip(keys, found) if not f]
+
+
+def test_identifiers_are_judged_by_their_words():
+    for known in ("HTTP_SERVER_ERROR_CODE_404", "ABSTRACT_FACTORY_BEAN", "max_value_idx_2_tmp_buf", "src/main/java/org/apache/spark", "XMLHttpRequestEventTarget"):
+        assert not secrets.find_spans(f"x {known} y"), known
+
+
+def test_what_a_base_span_leaves_of_a_run_is_judged():
+    digest = "deadbeef" * 4
+    assert secrets.find_spans(f"{RANDOM}/{digest}") == [(0, 32, 3), (32, 64, 2)]
+    assert secrets.find_spans(f"{digest}/{RANDOM}") == [(0, 32, 2), (32, 64, 3)]
+
+
 def test_redaction_keeps_rows_and_columns(odd_docs, no_docs):
     rows = secrets.redact(odd_docs).collect()
     assert len(rows) == len(TEXTS) and rows[0].__fields__ == odd_docs.columns
