@@ -133,6 +133,29 @@ def test_maxent_probabilities_sum_to_one(spark, odd_docs):
     assert np.allclose(within, 1) and np.allclose(classes @ within, 1)
 
 
+def test_maxent_learns_at_every_position(spark):
+    """Texts whose length is a multiple of four, of which a fixed share of positions shows one word only."""
+    docs = spark.createDataFrame([(i, "aa bb cc dd " * 20 + "aa bb cc") for i in range(60)], "doc_id long, text string")
+    shared = Shared(spark, "t")
+    rows = [r for r in maxent.score(docs, maxent.train(docs, shared), shared).collect() if r.held_out]
+    assert rows and all((r.score - r.base_score) / r.n_tokens > 0.15 for r in rows)
+
+
+def test_gradient_step_by_definition():
+    random = np.random.default_rng(3)
+    rows = np.column_stack([np.zeros(500, dtype=np.int64), random.integers(1, 40, (500, 2)), random.integers(1, 900, (500, 2))])
+    kinds, weights, squares = random.integers(0, maxent.CLASSES, 500), random.normal(size=(1000, maxent.CLASSES)), np.full(1000, 0.5)
+    push = np.exp(maxent.log_softmax(weights, rows))
+    push[np.arange(500), kinds] -= 1
+    total = np.zeros_like(weights)
+    for k in range(5):
+        np.add.at(total, rows[:, k], push / 500**0.5)
+    after = squares + (total**2).mean(axis=1)
+    want = weights - maxent.RATE * total / np.sqrt(after + 1e-4)[:, None]
+    maxent.gradient_step(weights, squares, rows, kinds)
+    assert np.allclose(weights, want) and np.allclose(squares, after)
+
+
 def test_maxent_of_odd_rows(spark, odd_docs, no_docs):
     shared = Shared(spark, "t")
     model = maxent.train(odd_docs, shared)
