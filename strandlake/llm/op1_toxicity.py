@@ -13,9 +13,14 @@ logistic calibration on training rows that the counts leave out.
 
 The classifier is fitted on a bounded sample of whole texts: of each class as many
 labelled training rows as the smaller class has, at most about
-``ROWS_PER_CLASS``, the smallest by a hash of the id.  Pairs after fewer than
-``LEAST_PAIR`` and words after fewer than 2 distinct words are left to the
-backoff.  Only the fitted model reaches the driver.
+``ROWS_PER_CLASS``, the smallest by a hash of the id.  The discount takes all of
+what a pair after one distinct word counts, and of what a word after one counts; so
+the fitted model, all that reaches the driver, holds the other pairs, their words and
+words after two, and any other word, known or not, has the mass that the word before
+it leaves to the backoff in each class.
+
+Words are whole.  Runs of scripts without spaces are taken as overlapping pairs of
+characters.
 
 Defined cases: null or empty texts get the score of no evidence; labels of null
 doc_id or null class are not used, of repeated labels the largest counts;
@@ -26,6 +31,8 @@ keeps all columns.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +40,6 @@ from .common import Shared, crc_bucket, free_name, read, words_of
 
 ROWS_PER_CLASS = 6000
 WINDOW = 16
-LEAST_PAIR = 4
-STEM = 6
 CLEAR = 1.0
 DISCOUNT = 1.5
 #: Of every four sampled rows, one calibrates and three are counted.
@@ -45,9 +50,25 @@ HELD_FOR_CALIBRATION = 4
 _PUNCTUATION = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana and Han.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_PARTS = re.compile(f"[{_UNSPACED}]+|[^{_UNSPACED}]+")
+
+
 def tokens_of(text: str | None) -> list[bytes]:
-    """Stems: words with A-Z lower-cased, without punctuation around them, cut after ``STEM`` bytes."""
-    return [x[:STEM] for w in words_of(text) if (x := w.strip(_PUNCTUATION))]
+    """Words with A-Z lower-cased, without punctuation around them; pairs of characters where a script has no spaces."""
+    words = [x for w in words_of(text) if (x := w.strip(_PUNCTUATION))]
+    if not words or text.isascii() or not _HAS_UNSPACED.search(text):
+        return words
+    out = []
+    for word in words:
+        for part in _PARTS.findall(word.decode("utf-8", "surrogatepass")):
+            if _HAS_UNSPACED.match(part):
+                out += [part[i : i + 2].encode() for i in range(max(1, len(part) - 1))]
+            elif x := part.encode("utf-8", "surrogatepass").strip(_PUNCTUATION):
+                out.append(x)
+    return out
 
 
 def _count(batches):
@@ -82,7 +103,10 @@ class Model:
         return self.__dict__ | {"_places": None}
 
     def evidence(self, words: list[bytes]):
-        """log p(word | before, toxic) - log p(word | before, ordinary) for each word; 0 for unknown words."""
+        """log p(word | before, toxic) - log p(word | before, ordinary) for each word.
+
+        Of other words than the vocabulary's the lowest level is the same for both classes and cancels out.
+        """
         import numpy as np
 
         if self._places is None:
@@ -90,18 +114,17 @@ class Model:
         get = self._places.get
         at = np.array([get(w, -1) for w in words], dtype=np.int64)
         before = np.concatenate([[-1], at[:-1]]) if len(at) else at
-        known = at >= 0
-        out = np.zeros(len(at))
-        w, h = at[known], before[known]
-        p = np.where(h >= 0, self.weight[:, h], 1.0) * self.lower[:, w]
+        if not len(self.words):
+            return np.zeros(len(at))
+        known, after = at >= 0, before >= 0
+        p = np.where(after, self.weight[:, before], 1.0) * np.where(known, self.lower[:, at], 1.0)
         if len(self.keys):
-            key = h * len(self.words) + w
+            key = before * len(self.words) + at
             place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = (h >= 0) & (self.keys[place] == key)
+            hit = known & after & (self.keys[place] == key)
             p += np.where(hit, self.gain[:, place], 0.0)
         p = np.log(p)
-        out[known] = p[1] - p[0]
-        return out
+        return p[1] - p[0]
 
     def features(self, words: list[bytes]) -> tuple[float, float, float]:
         """Evidence a word: of the whole text, of its most toxic passage, and above ``CLEAR`` over the root of its length."""
@@ -155,6 +178,8 @@ def _sample(documents: DataFrame, labels: DataFrame, shared: Shared, rows_per_cl
 def train(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model:
     """Fit on ``labels`` (doc_id, toxic) whose id is not held out, joined to ``documents`` (doc_id, text)."""
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     shared = Shared(documents.sparkSession, "toxicity")
     sample, sizes = _sample(documents, labels, shared, rows_per_class)
@@ -165,26 +190,29 @@ def train(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PE
     both = pairs.groupBy("h", "w").agg(side(0, F.col("n")).alias("n0"), side(1, F.col("n")).alias("n1"))
     starts = both.groupBy("h").agg(F.sum("n0").alias("after0"), F.sum("n1").alias("after1"))
     totals = ends.agg(F.sum("ends0"), F.sum("ends1"), F.sum("shared"), F.sum(F.when(F.col("ends0") > 0, 1).otherwise(0) + F.when(F.col("ends1") > 0, 1).otherwise(0)), *[F.sum(F.least(F.col(f"ends{t}").cast("double"), F.lit(DISCOUNT))) for t in (0, 1)]).first()
-    table = ends.where("shared > 1").join(starts, F.col("w") == F.col("h"), "left").select("w", "ends0", "ends1", "shared", *[F.coalesce(f"after{t}", F.lit(0)).cast("double").alias(f"after{t}") for t in (0, 1)]).orderBy("w").toPandas()
-    words = [bytes(w) for w in table["w"]]
+    # what the discount leaves: a pair after one word of both classes together has no part of its own
+    frequent = shared.write(both.where(F.col("n0") + F.col("n1") > DISCOUNT), "frequent")
+    paired = frequent.select("h").union(frequent.select("w")).distinct().select(F.col("h").alias("paired"))
+    kept = ends.join(paired, F.col("w") == F.col("paired"), "left").where("shared > 1 or paired is not null")
+    table = kept.join(starts, F.col("w") == F.col("h"), "left").select("w", "ends0", "ends1", "shared", *[F.coalesce(f"after{t}", F.lit(0)).cast("double").alias(f"after{t}") for t in (0, 1)]).orderBy("w").toArrow()
+    words = table["w"].to_pylist()
     if not words or not totals[0] or not totals[1]:
         model = Model([], np.zeros((2, 0)), np.zeros((2, 0)), np.zeros(0, dtype=np.int64), np.zeros((2, 0)))
         share = sizes.get(1, 0) / max(1, sum(sizes.values()))
         model.coefficients = [float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))), 0.0, 0.0, 0.0]
         return model
     size = len(words)
-    found = np.stack([table[f"ends{t}"].to_numpy(dtype=float) for t in (0, 1)])
+    found = np.stack([table[f"ends{t}"].to_numpy().astype(float) for t in (0, 1)])
     # the lowest level counts the classes that have a word; its weight is the mass discounted above, the same for both
     base = (found > 0).sum(axis=0) / totals[3]
     common = sum(totals[4 + t] / totals[t] for t in (0, 1)) / 2
     lower = np.stack([np.maximum(found[t] - DISCOUNT, 0) / totals[t] for t in (0, 1)]) + common * base
-    place = {w: i for i, w in enumerate(words)}
-    frequent = both.where(F.col("n0") + F.col("n1") >= LEAST_PAIR).toPandas()
-    h = np.array([place.get(bytes(x), -1) for x in frequent["h"]], dtype=np.int64)
-    w = np.array([place.get(bytes(x), -1) for x in frequent["w"]], dtype=np.int64)
+    pairs_of = frequent.toArrow()
+    known = table["w"].combine_chunks()
+    h, w = (pc.fill_null(pc.index_in(pairs_of[c], value_set=known), -1).to_numpy().astype(np.int64) for c in ("h", "w"))
     ok = (h >= 0) & (w >= 0)
     h, w = h[ok], w[ok]
-    counts = np.stack([frequent[f"n{t}"].to_numpy(dtype=float)[ok] for t in (0, 1)])
+    counts = np.stack([pairs_of[f"n{t}"].to_numpy().astype(float)[ok] for t in (0, 1)])
     after = np.stack([table[f"after{t}"].to_numpy() for t in (0, 1)])
     # shares of a pair after its first word: of each class, and of both together
     own = np.maximum(counts - DISCOUNT, 0) / np.maximum(after[:, h], 1)
@@ -194,6 +222,8 @@ def train(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PE
     key = h * size + w
     order = np.argsort(key)
     model = Model(words, lower, rest * shared_rest, key[order], (own + rest[:, h] * pooled)[:, order])
+    del table, pairs_of, known, own, pooled
+    pa.default_memory_pool().release_unused()
     broadcast = documents.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):

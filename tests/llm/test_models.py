@@ -50,6 +50,27 @@ def test_toxicity_of_odd_rows(labelled, odd_docs, no_docs, spark):
     assert nothing.score([b"a"]) < 1e-6
 
 
+def test_toxicity_words_are_whole():
+    assert toxicity.tokens_of("Internet, international привет приветствие") == [b"internet", b"international", "привет".encode(), "приветствие".encode()]
+    assert toxicity.tokens_of("見た日本語abc! 字 (ok)") == [*(x.encode() for x in ("見た", "た日", "日本", "本語", "abc", "字", "ok"))]
+    assert toxicity.tokens_of(None) == [] and toxicity.tokens_of("!!! é") == ["é".encode()]
+
+
+def test_toxicity_of_set_phrases(spark):
+    """An expression that always follows the same word, which ordinary texts have too."""
+    random = np.random.default_rng(6)
+    rows = []
+    for i in range(600):
+        words = random.choice([f"w{j}" for j in range(300)], 60).tolist()
+        for at in random.integers(0, 50, 4):
+            words[at : at + 2] = ["you", "oaf" if i % 2 else "all"]
+        rows.append((i, " ".join(words)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    assert model.evidence([b"w1", b"you", b"oaf"])[2] > 1 and model.evidence([b"w1", b"you", b"all"])[2] < -1
+    held = [(i, model.score(toxicity.tokens_of(t))) for i, t in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(s >= 0.5) == (i % 2) for i, s in held]) > 0.95
+
+
 def test_language_code_lengths_by_definition():
     counts = Counter()
     for lang, text in (("xx", "abra cadabra"), ("yy", "xyz zyx abra")):
