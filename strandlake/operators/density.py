@@ -76,8 +76,83 @@ def _spanning_tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
     return np.array(sorted(edges, key=lambda e: (e[2], e[0], e[1]))) if edges else np.zeros((0, 3))
 
 
-def hdbscan_fit(x: np.ndarray, min_cluster_size: int = 50, min_samples: int = 10, method: str = "eom", epsilon: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and probabilities of a bounded set of points.
+#: Points from which the distances are taken in tasks, and the rows and columns of one tile of distances.
+SPREAD_FROM, TILE = 4096, (256, 8192)
+
+
+def _tiles(x: np.ndarray, rows: np.ndarray):
+    """(rows, first column, their distances) of tiles over all columns."""
+    for i in range(0, len(rows), TILE[0]):
+        own = rows[i : i + TILE[0]]
+        for j in range(0, len(x), TILE[1]):
+            yield own, j, np.sqrt(sum((x[own, c][:, None] - x[None, j : j + TILE[1], c]) ** 2 for c in range(x.shape[1])))
+
+
+def spread_spanning_tree(spark, x: np.ndarray, k: int) -> np.ndarray:
+    """Boruvka's minimum spanning tree of mutual reachability over all points, exact; every distance is taken in tasks.
+
+    The driver holds what is linear in the points: coordinates, core distances and
+    edges.  In each round every task returns the least edge that leaves each component.
+    Equal distances go by the smaller, then the larger end, so no round closes a circle.
+    """
+    n, context = len(x), spark.sparkContext
+    parts = min(n, max(context.defaultParallelism * 4, n // 16_384))
+    blocks = context.parallelize(range(parts), parts)
+    points = context.broadcast(x)
+
+    def cores(b):
+        held: dict[int, np.ndarray] = {}
+        for own, _, d in _tiles(points.value, np.arange(b, n, parts)):
+            d = np.concatenate([held[own[0]], d], axis=1) if own[0] in held else d
+            held[own[0]] = np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d
+        return b, np.concatenate([h.max(axis=1) for h in held.values()])
+
+    core = np.zeros(n)
+    for b, found in blocks.map(cores).toLocalIterator():
+        core[b::parts] = found
+    component, edges = np.arange(n), []
+    while len(np.unique(component)) > 1:
+        state = context.broadcast((core, component))
+
+        def least(b, state=state):
+            core, component = state.value
+            best: dict[int, tuple] = {}
+            for own, j, d in _tiles(points.value, np.arange(b, n, parts)):
+                d = np.maximum(np.maximum(d, core[own][:, None]), core[None, j : j + d.shape[1]])
+                d[component[own][:, None] == component[None, j : j + d.shape[1]]] = np.inf
+                low = d.min(axis=1)
+                for r in np.flatnonzero(np.isfinite(low)).tolist():
+                    c, a = int(component[own[r]]), int(own[r])
+                    if c in best and best[c][0] < low[r]:
+                        continue
+                    for other in (np.flatnonzero(d[r] == low[r]) + j).tolist():
+                        edge = (float(low[r]), min(a, other), max(a, other))
+                        best[c] = min(best.get(c, edge), edge)
+            return list(best.items())
+
+        chosen: dict[int, tuple] = {}
+        for c, edge in blocks.flatMap(least).reduceByKey(min).toLocalIterator():
+            chosen[c] = edge
+        new = set(chosen.values())
+        edges += new
+        up = {int(c): int(c) for c in np.unique(component)}
+
+        def root(c):
+            while up[c] != c:
+                up[c] = c = up[up[c]]
+            return c
+
+        for _, a, b in new:
+            p, q = root(int(component[a])), root(int(component[b]))
+            up[max(p, q)] = min(p, q)
+        component = np.array([root(int(c)) for c in component])
+        state.unpersist()
+    points.unpersist()
+    return np.array([(a, b, d) for d, a, b in sorted(edges)]) if edges else np.zeros((0, 3))
+
+
+def hdbscan_fit(x: np.ndarray, min_cluster_size: int = 50, min_samples: int = 10, method: str = "eom", epsilon: float = 0.0, spark=None) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and probabilities of the points; with ``spark``, the distances of many points are taken in tasks.
 
     Core distances, spanning tree, single-linkage merges, condensed tree, and
     clusters by excess of mass (or leaves).
@@ -86,8 +161,11 @@ def hdbscan_fit(x: np.ndarray, min_cluster_size: int = 50, min_samples: int = 10
     if n < 2:
         return np.full(n, NOISE), np.zeros(n)
     size, k = max(2, min(min_cluster_size, n)), max(1, min(min_samples, n))
-    core = np.concatenate([np.sort(np.sqrt(((x[i : i + 256, None] - x[None]) ** 2).sum(axis=2)), axis=1)[:, min(k, n) - 1] for i in range(0, n, 256)])
-    tree = _spanning_tree(x, core)
+    if spark is not None and n >= SPREAD_FROM:
+        tree = spread_spanning_tree(spark, x, k)
+    else:
+        core = np.concatenate([np.sort(np.sqrt(((x[i : i + 256, None] - x[None]) ** 2).sum(axis=2)), axis=1)[:, min(k, n) - 1] for i in range(0, n, 256)])
+        tree = _spanning_tree(x, core)
     # merges: node n + i joins two nodes at a distance
     up = list(range(2 * n - 1))
 
@@ -185,17 +263,28 @@ def hdbscan_fit(x: np.ndarray, min_cluster_size: int = 50, min_samples: int = 10
     return labels, np.clip(strength, 0, 1)
 
 
-def hdbscan(points: DataFrame, min_cluster_size: int = 50, min_samples: int = 10, method: str = "eom", epsilon: float = 0.0, max_fit_rows: int = 20_000, seed: int = 7) -> DataFrame:
-    """id, cluster, probability, outlier_score: fitted on at most ``max_fit_rows`` points (those with the smallest
-    hash), from which the labels of all others follow."""
-    sampled = points.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max_fit_rows).toPandas().sort_values("id")
+def hdbscan(points: DataFrame, min_cluster_size: int = 50, min_samples: int = 10, method: str = "eom", epsilon: float = 0.0, max_fit_rows: int = 0, seed: int = 7) -> DataFrame:
+    """id, cluster, probability, outlier_score: fitted on all points, or, if ``max_fit_rows`` is set, on at most so many
+    (those with the smallest hash), from which the labels of all others follow: another result, not a close one."""
+    fitted = points.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max_fit_rows) if max_fit_rows else points
+    sampled = fitted.toPandas().sort_values("id")
     x = np.array(sampled["p"].tolist(), dtype=float).reshape(len(sampled), -1)
     if not np.isfinite(x).all():
         raise ValueError("coordinates must be finite")
-    labels, strength = hdbscan_fit(x, min_cluster_size, min_samples, method, epsilon)
+    labels, strength = hdbscan_fit(x, min_cluster_size, min_samples, method, epsilon, points.sparkSession)
+    if len(sampled) and not max_fit_rows:
+        return _labelled(points, sampled["id"].to_numpy(), labels, strength)
     return propagate(points, sampled["id"].to_numpy(), x, labels, strength)
 
 
+def _labelled(points: DataFrame, ids: np.ndarray, labels: np.ndarray, strength: np.ndarray) -> DataFrame:
+    """The fit's own labels of all points, as a table."""
+    import pandas as pd
+
+    found = pd.DataFrame({"id": ids.astype("int64"), "cluster": labels.astype("int32"), "probability": strength, "outlier_score": 1 - strength})
+    return points.sparkSession.createDataFrame(found, "id long, cluster int, probability double, outlier_score double")
+
+
 def propagate(points: DataFrame, ids: np.ndarray, x: np.ndarray, labels: np.ndarray, strength: np.ndarray) -> DataFrame:
     """Labels of the nearest labelled anchor, within twice the 99th percentile of the anchors' second-neighbour
     distances; beyond that, noise.  Anchors keep their own."""

@@ -78,7 +78,7 @@ class Cluster:
     cluster_selection_epsilon: float = 0.0
     cluster_selection_method: str = "eom"
     eps: float = 0.5
-    max_fit_rows: int = 20_000
+    max_fit_rows: int = 0
     seed: int = UNSET_SEED
 
 

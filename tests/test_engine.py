@@ -111,6 +111,23 @@ def test_density_clusters(spark):
         assert len(set(tops)) == 3 and -1 not in tops and all(g.count(t) >= 50 for g, t in zip(groups, tops))
 
 
+def test_hdbscan_fits_every_row(spark, monkeypatch):
+    """Twelve points of 300 are a cluster of their own; no sample decides, and the tree in tasks is Prim's."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.1, (n, 2)) for c, n in (((0, 0), 150), ((3, 3), 138), ((9, 0), 12))])
+    points = spark.createDataFrame([(i, p) for i, p in enumerate(x.tolist())], "id long, p array<double>")
+    assert config.Cluster().max_fit_rows == 0
+    label = {r.id: r.cluster for r in density.hdbscan(points, 10, 5, max_fit_rows=0).collect()}
+    small = [label[i] for i in range(288, 300)]
+    assert len(label) == 300 and small.count(max(set(small), key=small.count)) >= 10 and max(small) >= 0
+    core = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)[:, 4]
+    monkeypatch.setattr(density, "TILE", (16, 64))
+    tree = density.spread_spanning_tree(spark, x, 5)
+    assert len(tree) == 299 and np.allclose(tree[:, 2], density._spanning_tree(x, core)[:, 2])
+    monkeypatch.setattr(density, "SPREAD_FROM", 2)
+    assert {r.id: r.cluster for r in density.hdbscan(points, 10, 5).collect()} == label
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">c1 extra words\nACGT\nacgt\n>c2\nNNNN\n>empty\n")
     fasta = files.read_fasta(spark, str(tmp_path / "a.fa"))
