@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -79,36 +79,80 @@ def truncated_svd(coo: DataFrame, n_columns: int, n_rows: int, components: int =
     return rows.mapInArrow(project, f"{row} {kind}, pcs array<double>"), {"singular_values": sigma[drop:].tolist(), "energy_ratio": (sigma[drop:] ** 2 / energy).tolist(), "components": parts.T}
 
 
-def nearest_neighbours(vectors: DataFrame, k: int, metric: str = "cosine", id: str = "id", vector: str = "vector", bound_bytes: int = 256 << 20) -> DataFrame:
-    """id, neighbour, distance, rank (0-based; ties by id): exact, blockwise.
+#: Vectors of a block on average; pairs of blocks are compared so many rows at a time.
+BLOCK, STRIP = 2048, 128
 
-    The whole set is compared with blocks of itself, so it must fit ``bound_bytes``;
-    larger sets are fitted on a sample (see ``density.propagate``).
+
+def _blocks(vectors: DataFrame, id: str, vector: str) -> DataFrame:
+    """block, ids, data (all its vectors, one after another), in the shared folder."""
+    n = max(1, -(-vectors.count() // BLOCK))
+    rows = vectors.select(F.col(id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("x")).withColumn("block", F.pmod(F.xxhash64("i"), F.lit(n)))
+    grouped = rows.groupBy("block").agg(F.collect_list(F.struct("i", "x")).alias("e"))
+    return grouped.select("block", F.col("e.i").alias("ids"), F.flatten("e.x").alias("data")).checkpoint()
+
+
+def nearest_neighbours(vectors: DataFrame, k: int, metric: str = "cosine", id: str = "id", vector: str = "vector", among: DataFrame | None = None) -> DataFrame:
+    """id, neighbour, distance, rank (0-based; ties by id): the ``k`` nearest of ``among`` (``vectors`` itself by default), exact.
+
+    Blocks of the one table meet blocks of the other, read from the checkpoint in the shared folder; a
+    task holds two blocks and the best so far of one, and the best of each run of block
+    pairs are merged by id.  Nothing is gathered in one place.
     """
-    table = vectors.select(id, vector).orderBy(id).toPandas() if vectors.agg(F.sum(F.size(vector) * 8)).first()[0] <= bound_bytes else None
-    if table is None:
-        raise ValueError("too many vectors for an exact search: fit on a sample and propagate")
-    ids, data = table[id].to_numpy(), np.array(table[vector].tolist(), dtype=float)
-    if metric == "cosine":
-        data = data / np.maximum(np.linalg.norm(data, axis=1, keepdims=True), 1e-300)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, data))
+    left = _blocks(vectors, id, vector)
+    right = left if among is None else _blocks(among, id, vector)
+    pairs = left.crossJoin(right.select(*[F.col(c).alias(f"other_{c}") for c in right.columns]))
+
+    def unit(x):
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
+
+    def near(ids, x, other_ids, y):
+        """Row of x, id of y and distance of the k nearest and all that may tie with them."""
+        for s in range(0, len(x), STRIP):
+            own = x[s : s + STRIP]
+            d = 1 - own @ y.T if metric == "cosine" else np.maximum((own**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * own @ y.T, 0)
+            d[ids[s : s + STRIP, None] == other_ids[None]] = np.inf
+            limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(d), 1), np.finfo(float).max)
+            r, c = np.nonzero((d <= limit + 1e-9 * np.maximum(1, np.abs(limit))) & np.isfinite(d))
+            # again one by one: the product's last bits depend on a vector's place in its block
+            exact = 1 - np.einsum("ij,ij->i", own[r], y[c]) if metric == "cosine" else np.sqrt(((own[r] - y[c]) ** 2).sum(axis=1))
+            yield r + s, other_ids[c], np.maximum(exact, 0)
+
+    def best(r, c, d):
+        order = np.lexsort((c, d, r))
+        r, c, d = r[order], c[order], d[order]
+        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, dtype=int)
+        place = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
+        return r[place < k], c[place < k], d[place < k]
 
     def run(batches):
         import pyarrow as pa
 
-        all_ids, all_data = shared.value
-        square = (all_data**2).sum(axis=1)
-        for batch in batches:
-            own = np.array(batch.column("at").to_pylist(), dtype=int)
-            x = all_data[own]
-            d = 1 - x @ all_data.T if metric == "cosine" else np.sqrt(np.maximum(square[own][:, None] + square[None, :] - 2 * x @ all_data.T, 0))
-            d[np.arange(len(own)), own] = np.inf
-            near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(all_ids) - 1)]
-            rows = np.repeat(own, near.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(all_ids[rows]), pa.array(all_ids[near.ravel()]), pa.array(np.maximum(d[np.repeat(np.arange(len(own)), near.shape[1]), near.ravel()], 0)), pa.array(np.tile(np.arange(near.shape[1]), len(own)).astype(np.int32))], names=[id, "neighbour", "distance", "rank"])
+        def table(ids, held):
+            r, c, d = held
+            return pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(c), pa.array(d)], names=["own", "neighbour", "distance"])
 
-    blocks = vectors.sparkSession.range(len(ids)).repartition(max(1, len(ids) // 512)).withColumnRenamed("id", "at")
-    return blocks.mapInArrow(run, f"{id} long, neighbour long, distance double, rank int")
+        block, ids, x, held = None, None, None, None
+        for batch in batches:
+            column = {c: batch.column(c) for c in batch.schema.names}
+            for i in range(batch.num_rows):
+                if column["block"][i].as_py() != block:
+                    if block is not None:
+                        yield table(ids, held)
+                    block = column["block"][i].as_py()
+                    ids = column["ids"][i].values.to_numpy()
+                    x = unit(column["data"][i].values.to_numpy().reshape(len(ids), -1))
+                    held = (np.zeros(0, dtype=int), np.zeros(0, dtype=np.int64), np.zeros(0))
+                others = column["other_ids"][i].values.to_numpy()
+                y = unit(column["other_data"][i].values.to_numpy().reshape(len(others), -1))
+                for found in near(ids, x, others, y):
+                    held = tuple(np.concatenate(z) for z in zip(held, best(*found)))
+                held = best(*held)
+        if block is not None:
+            yield table(ids, held)
+
+    found = pairs.mapInArrow(run, "own long, neighbour long, distance double")
+    rank = F.row_number().over(Window.partitionBy("own").orderBy("distance", "neighbour")) - 1
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") < k).select(F.col("own").alias(id), "neighbour", "distance", "rank")
 
 
 def fuzzy_graph(neighbours: DataFrame, k: int, id: str = "id") -> DataFrame:
@@ -139,13 +183,23 @@ def fuzzy_graph(neighbours: DataFrame, k: int, id: str = "id") -> DataFrame:
     return sums.select("a", "b", F.when(F.col("n") > 1, F.col("s") - F.col("product")).otherwise(F.col("s")).alias("weight"))
 
 
-def layout(vectors: DataFrame, k: int = 30, min_dist: float = 0.05, metric: str = "cosine", dimensions: int = 2, epochs: int = 200, seed: int = 7, id: str = "id", vector: str = "vector") -> DataFrame:
+def layout(vectors: DataFrame, k: int = 30, min_dist: float = 0.05, metric: str = "cosine", dimensions: int = 2, epochs: int = 200, seed: int = 7, id: str = "id", vector: str = "vector", max_fit_rows: int = 400_000) -> DataFrame:
     """id, position: attraction along the fuzzy graph, repulsion from random points, from a spread start.
 
     Neighbours and the graph are made in Spark; the positions of a bounded fit are
-    moved on the driver.  Fewer than three points lie on a unit circle.
+    moved on the driver.  Fewer than three points lie on a unit circle.  Above
+    ``max_fit_rows`` (0: no bound) those with the smallest hash are fitted; each other
+    row lies at the mean of its ``k`` nearest fitted rows, weighted by closeness.
     """
     spark = vectors.sparkSession
+    if max_fit_rows and vectors.count() > max_fit_rows:
+        fit = vectors.select(id, vector).orderBy(F.xxhash64(F.lit(seed), F.col(id)), id).limit(max_fit_rows).checkpoint()
+        placed = layout(fit, k, min_dist, metric, dimensions, epochs, seed, id, vector, 0)
+        rest = vectors.select(id, vector).join(fit.select(id), id, "left_anti")
+        near = nearest_neighbours(rest, k, metric, id, vector, fit).withColumn("w", 1 / (F.col("distance") + 1e-9))
+        met = near.join(placed.select(F.col(id).alias("neighbour"), "position"), "neighbour")
+        mean = F.array(*[F.sum(F.col("w") * F.col("position")[i]) / F.sum("w") for i in range(dimensions)])
+        return placed.unionByName(met.groupBy(id).agg(mean.alias("position")))
     ids = np.array([r[0] for r in vectors.select(id).orderBy(id).collect()])
     n = len(ids)
     if n < 3:

@@ -66,6 +66,7 @@ class Embed:
     min_dist: float = 0.05
     metric: str = "cosine"
     n_components: int = 2
+    max_fit_rows: int = 400_000
     seed: int = UNSET_SEED
 
 

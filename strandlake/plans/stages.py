@@ -105,7 +105,7 @@ class Run:
     def embed(self) -> dict:
         c = self.config.embed
         vectors = self.read("pcs").select(F.col("row").alias("id"), F.col("pcs").alias("vector"))
-        placed = dense.layout(vectors, c.n_neighbors, c.min_dist, c.metric, c.n_components, seed=c.seed)
+        placed = dense.layout(vectors, c.n_neighbors, c.min_dist, c.metric, c.n_components, seed=c.seed, max_fit_rows=c.max_fit_rows)
         return {"points": self.write(placed, "layout").count()}
 
     def cluster(self) -> dict:

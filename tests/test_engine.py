@@ -111,6 +111,25 @@ def test_density_clusters(spark):
         assert len(set(tops)) == 3 and -1 not in tops and all(g.count(t) >= 50 for g, t in zip(groups, tops))
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_neighbours_by_blocks_and_layout_of_the_rest(spark, monkeypatch, metric):
+    """Several blocks, with repeated vectors; and a layout fitted on a part of the rows that places all of them."""
+    monkeypatch.setattr(dense, "BLOCK", 20)
+    x = np.random.default_rng(8).normal(size=(90, 6))
+    x[60:] = x[:30]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, vector array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.array([[max(1 - float((a * b).sum()), 0) if metric == "cosine" else float(np.sqrt(((p - q) ** 2).sum())) for b, q in zip(unit, x)] for a, p in zip(unit, x)]).round(9)
+    found = {(r.id, r["rank"]): (r.neighbour, r.distance) for r in dense.nearest_neighbours(table, 4, metric).collect()}
+    assert len(found) == 360
+    for i in range(90):
+        want = sorted((d[i, j], j) for j in range(90) if j != i)[:4]
+        assert sorted(j for _, j in want) == sorted(found[i, r][0] for r in range(4)) and np.allclose([found[i, r][1] for r in range(4)], [w for w, _ in want])
+    if metric == "cosine":
+        placed = dense.layout(table, 5, epochs=5, max_fit_rows=50).collect()
+        assert sorted(r.id for r in placed) == list(range(90)) and all(np.isfinite(r.position).all() and len(r.position) == 2 for r in placed)
+
+
 def test_hdbscan_fits_every_row(spark, monkeypatch):
     """Twelve points of 300 are a cluster of their own; no sample decides, and the tree in tasks is Prim's."""
     rng = np.random.default_rng(5)
