@@ -114,3 +114,13 @@ def test_packing_keeps_every_id_once(odd_docs, plain):
 
 def test_packing_nothing(no_docs):
     assert packing.pack(no_docs).count() == 0
+
+
+def test_short_windows_of_powers_of_two_and_the_grid():
+    """A rest of 2,048 + 64 ids: a window of 64 saves the padding of a second long one."""
+    options = packing.PackingOptions()
+    end = [2112]
+    cuts, _ = packing.best_cuts(*packing.candidate_cuts(2112, end, [64], options), options)
+    sizes = [b - a for a, b in zip([0, *cuts], cuts)]
+    assert sum(packing.padding_of(s, options.length) for s in sizes) == 0
+    assert 32 in packing.candidate_cuts(2112, end, end, options)[0]
