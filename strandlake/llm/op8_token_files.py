@@ -63,7 +63,7 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str | None = No
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
     coded = ordered.mapInArrow(_encoder(vocabulary or vocabulary_path(), end_id, memo_size), spark_schema(FILE_FIELDS))
-    options = ENCODINGS[encoding] | {"parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "parquet.column.index.access": "true"}
+    options = ENCODINGS[encoding] | {"parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes)}
     coded.write.mode("overwrite").options(**options).option("compression", "snappy").parquet(path)
 
 

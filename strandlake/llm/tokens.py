@@ -5,6 +5,10 @@ or pre-tokeniser crosses ASCII white space, so the ids of a text are the ids
 of its white-space chunks in order.  Each Python worker keeps a bounded cache
 of chunks and of the letter runs that chunks are made of; what it lacks is
 encoded together, once per call.
+
+Special tokens spelt out in a text become their ids, as a plain call makes them;
+they are matched before anything is lower-cased, so texts that hold one in any
+case keep the case of all their chunks.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -113,7 +117,11 @@ class ChunkTokenizer:
 
         if not texts:
             return []
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.string())))
+        raw = pa.array([t or "" for t in texts], pa.string())
+        lower = pc.ascii_lower(raw)
+        for token in self.special:
+            lower = pc.if_else(pc.match_substring(lower, token.lower()), raw, lower)
+        lists = pc.ascii_split_whitespace(lower)
         numbered = lists.values.dictionary_encode()
         chunks = numbered.dictionary.cast(pa.binary()).to_pylist()
         found = self._encode_new(chunks)

@@ -17,7 +17,6 @@ def plain():
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(vocabulary_path())
-    model.encode_special_tokens = True
     return lambda text: model.encode(text or "", add_special_tokens=False).ids
 
 
@@ -71,7 +70,7 @@ def _brute(total, ends, sentences, options):
     extra = dict(zip(cuts.tolist(), penalty.tolist()))
     cost = {0: 0.0}
     for j in places[1:]:
-        cost[j] = min(cost[i] + packing.padding_of(j - i, options.length) + options.window_cost + extra[j] for i in places if j - options.length <= i < j and (packing.padding_of(j - i, options.length) or j - i >= options.length // 16 or True))
+        cost[j] = min(cost[i] + packing.padding_of(j - i, options.length) + options.window_cost + extra[j] for i in places if j - options.length <= i < j)
     return cost[total]
 
 
