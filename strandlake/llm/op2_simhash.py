@@ -14,8 +14,9 @@ links, never all pairs.  Components come from alternating stars.
 
 Defined cases: null and empty texts have fingerprint zero and link as any other;
 a null doc_id takes part, but names no component unless all of it are null;
-rows are nodes, so repeated doc_ids are judged row by row; an empty table gives
-no rows; ``deduplicate`` keeps all columns.
+rows are nodes, so repeated doc_ids are judged row by row; very long texts are
+fingerprinted whole, in parts; an empty table gives no rows; ``deduplicate``
+keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -56,8 +57,8 @@ def covering_triples() -> list[tuple[int, ...]]:
     return chosen
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (long: the 64 bits) for every row."""
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, fp (long: the 64 bits) and the ``carried`` long columns for every row."""
 
     def run(batches):
         import pyarrow as pa
@@ -65,10 +66,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             fps = [fingerprint(words_of(t)) for t in batch.column("text").to_pylist()]
             signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed, pa.int64()), *map(batch.column, carried)], names=["doc_id", "fp", *carried])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, fp long")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    return kept.mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in carried)]))
 
 
 def _byte(fp, position: int):
@@ -137,17 +138,21 @@ def _verify(batches):
     yield table(_linked(group) if len(group) > 1 else [])
 
 
+def _groups(entries: DataFrame, shared: Shared) -> DataFrame:
+    """node, component (the smallest fingerprint reachable by links) of the distinct fingerprints ``entries`` (fp) that have links."""
+    partitions = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = _index(entries)
+    counts = shared.write(listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    dealt = cells(listed, counts).repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return connected_components(shared, dealt.mapInArrow(_verify, "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id of the rows reachable by links) for every row."""
-    spark = docs.sparkSession
-    shared = Shared(spark, "simhash")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = Shared(docs.sparkSession, "simhash")
     rows = shared.write(fingerprints(docs), "rows")
     entries = shared.write(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "entries")
-    listed = _index(entries)
-    counts = shared.write(listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
-    dealt = cells(listed, counts).repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    stars = connected_components(shared, dealt.mapInArrow(_verify, "a long, b long"), "links")
+    stars = _groups(entries, shared)
     stars = shared.write(stars.join(entries, stars["node"] == entries["fp"]).select("node", "component", "rep"), "stars")
     named = stars.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = shared.write(stars.join(named, "component").select(F.col("node").alias("fp"), "component_id"), "named")
@@ -156,14 +161,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the group's smallest doc_id, of rows that
-    repeat it the first by text.  Rows without an id name no group: one of each distinct text stays."""
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    keep, order = free_name(docs, "kept_id"), free_name(docs, "kept_order")
-    kept = Shared(docs.sparkSession, "kept").write(kept.select(F.col("doc_id").alias(keep)), "ids")
-    chosen = docs.join(kept, F.col("doc_id").cast("long") == F.col(keep))
-    chosen = chosen.withColumn(order, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id", "text"))).where(F.col(order) == 1)
-    return chosen.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    """One row of each group of near-duplicates: of its rows the one with the smallest doc_id (a null id comes
+    last), among rows that share it the first by a hash of the text, of equal rows the first by a hash of all columns."""
+    h1, h2, order = (free_name(docs, c) for c in ("kept_h1", "kept_h2", "kept_order"))
+    ident, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    # 128 bits of hash stand for an id and a text
+    keyed = docs.withColumns({h1: F.xxhash64(ident, text), h2: F.xxhash64(F.lit(1), text, ident)})
+    shared = Shared(docs.sparkSession, "kept")
+    rows = fingerprints(keyed.select("doc_id", "text", F.col(h1).alias("h1"), F.col(h2).alias("h2")), "h1", "h2")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h1", "h2")
+    entries = shared.write(rows.groupBy("fp").agg(F.min(place).alias("first")), "entries")
+    linked = entries.join(_groups(entries, shared), F.col("fp") == F.col("node"), "left")
+    chosen = linked.groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("first"))
+    chosen = shared.write(chosen.select(F.col("first.h1").alias(f"{h1}_"), F.col("first.h2").alias(f"{h2}_")), "chosen")
+    found = keyed.join(chosen, (F.col(h1) == F.col(f"{h1}_")) & (F.col(h2) == F.col(f"{h2}_")), "left_semi")
+    # maps have no hash; a row's other columns order rows that are equal in id and text
+    columns = [c.name for c in docs.schema if "map<" not in c.dataType.simpleString()]
+    found = found.withColumn(order, F.row_number().over(Window.partitionBy(h1, h2).orderBy(F.xxhash64(*columns))))
+    return found.where(F.col(order) == 1).select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

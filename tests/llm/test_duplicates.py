@@ -81,11 +81,42 @@ def test_simhash_of_odd_rows(odd_docs, no_docs):
     assert by_id[2] == 1 and by_id[4] == by_id[5] == by_id[3] == 3 and by_id[None] is None
     kept = simhash.deduplicate(odd_docs)
     assert kept.columns == odd_docs.columns
+    # 2 is a copy of 1; 4 and 5 have no words, as 3; both texts of 9 and the row without an id are alone
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == [1, 3, 6, 7, 8, 9, 12] and ids.count(None) == 1
+    assert sorted(i for i in ids if i is not None) == [1, 3, 6, 7, 8, 9, 9, 12] and ids.count(None) == 1
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.deduplicate(no_docs).count() == 0
 
 
+def _one_of_each_group(rows):
+    """Plain: link rows by their fingerprints, all pairs; of each group the least by (null last, id)."""
+    sets, prints = Sets(), [fingerprint(words_of(t)) for _, t in rows]
+    for i, j in combinations(range(len(rows)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 4:
+            sets.link(i, j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(sets.root(i), []).append(i)
+    return groups
+
+
+def test_deduplication_is_by_row(spark):
+    """Repeated ids with different texts, null ids, copies across both, near copies."""
+    long = " ".join(f"w{i}" for i in range(400))
+    near = long.replace("w7 ", "x7 ")
+    a, b, c = "one text of a few words here", "quite another text stands in this row", "the third has words of its own too"
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, c), (7, c), (1, long), (1, near), (None, near), (None, None), (8, ""), (9, "alone in the world it is"), (None, "nobody else says this"), (5, a), (5, a)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, kept_h1 int")
+    kept = simhash.deduplicate(docs).collect()
+    groups = _one_of_each_group(rows)
+    assert len(kept) == len(groups) == 7
+    where = {i: g for g, members in groups.items() for i in members}
+    assert sorted(where[r.kept_h1] for r in kept) == sorted(groups)
+    for r in kept:
+        least = min((rows[i][0] is None, rows[i][0] or 0) for i in groups[where[r.kept_h1]])
+        assert (r.doc_id is None, r.doc_id or 0) == least
+    assert {(r.doc_id, r.text) for r in kept} >= {(3, a), (5, b), (7, c)}
+
+
 def test_embeddings_against_all_pairs(spark):
     random = np.random.default_rng(2)
     vectors, labels = [], []
