@@ -8,12 +8,12 @@ discounted pairs rest on the pairs of both classes, then on its own words, then
 on the words of both, with one common weight, so that what neither class knows
 well cancels out.  A word's evidence is the difference of its two
 log-probabilities; a text is judged by its length-normalised evidence over the
-whole text and over its most toxic passage of ``WINDOW`` words, through a
-logistic calibration on training rows that the counts leave out.
+whole text and over its most toxic passage of ``WINDOW`` words, and by its clearly
+toxic words, through a logistic calibration on training rows that the counts leave out.
 
-The classifier is fitted on a bounded sample of whole texts: of each class as many
-labelled training rows as the smaller class has, at most about
-``ROWS_PER_CLASS``, the smallest by a hash of the id.  The discount takes all of
+The classifier is fitted on a bounded sample of whole texts: of each class all
+labelled training rows up to about ``ROWS_PER_CLASS``, beyond that the smallest by a
+hash of the id.  The discount takes all of
 what a pair after one distinct word counts, and of what a word after one counts; so
 the fitted model, all that reaches the driver, holds the other pairs, their words and
 words after two, and any other word, known or not, has the mass that the word before
@@ -24,9 +24,11 @@ characters.
 
 Defined cases: null or empty texts get the score of no evidence; labels of null
 doc_id or null class are not used, of repeated labels the largest counts;
-repeated rows are scored alike; without training rows of both classes each score
-is the share of toxic rows (0 if none); an empty table gives no rows; ``reject``
-keeps all columns.
+repeated rows are scored alike, and so are equal texts; very long texts are scored
+whole, by prefix sums; without training rows of both classes each score is the
+share of toxic rows (0 if none); a score of exactly the threshold is rejected; an
+empty table gives no rows; ``with_score`` replaces a column that has the name of
+its own in any case, ``reject`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ ROWS_PER_CLASS = 6000
 WINDOW = 16
 CLEAR = 1.0
 DISCOUNT = 1.5
+FEATURES = ("whole", "passage", "clear", "top")
 #: Of every four sampled rows, one calibrates and three are counted.
 HELD_FOR_CALIBRATION = 4
 
@@ -96,7 +99,7 @@ class Model:
     def __init__(self, words, lower, weight, keys, gain):
         #: words; per class the lower level and the weight of backing off to it; sorted pair keys and per class the pairs' own part
         self.words, self.lower, self.weight, self.keys, self.gain = words, lower, weight, keys, gain
-        self.coefficients = [0.0, 0.0, 0.0, 0.0]
+        self.coefficients = [0.0] * (len(FEATURES) + 1)
         self._places = None
 
     def __getstate__(self):
@@ -126,16 +129,16 @@ class Model:
         p = np.log(p)
         return p[1] - p[0]
 
-    def features(self, words: list[bytes]) -> tuple[float, float, float]:
-        """Evidence a word: of the whole text, of its most toxic passage, and above ``CLEAR`` over the root of its length."""
+    def features(self, words: list[bytes]) -> tuple[float, float, float, float]:
+        """Evidence a word: of the whole text, of its most toxic passage, above ``CLEAR`` over the root of its length, and of its most toxic word."""
         import numpy as np
 
         e = self.evidence(words)
         if not len(e):
-            return 0.0, 0.0, 0.0
+            return 0.0, 0.0, 0.0, 0.0
         sums = np.concatenate([[0.0], np.cumsum(e)])
         width = min(WINDOW, len(e))
-        return float(e.mean()), float((sums[width:] - sums[:-width]).max() / WINDOW), float(np.maximum(e - CLEAR, 0).sum() / len(e) ** 0.5)
+        return float(e.mean()), float((sums[width:] - sums[:-width]).max() / WINDOW), float(np.maximum(e - CLEAR, 0).sum() / len(e) ** 0.5), float(e.max())
 
     def score(self, words: list[bytes]) -> float:
         import math
@@ -165,8 +168,7 @@ def _sample(documents: DataFrame, labels: DataFrame, shared: Shared, rows_per_cl
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(crc_bucket("doc_id", 5) != 0)
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bound = min(rows_per_class, *sizes.values()) if len(sizes) > 1 else rows_per_class
-    share = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(min(1.0, bound / n))) for k, n in sizes.items()], F.lit(0.0)) if sizes else F.lit(0.0)
+    share = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(min(1.0, rows_per_class / n))) for k, n in sizes.items()], F.lit(0.0)) if sizes else F.lit(0.0)
     draw = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1))) / float(1 << 40)
     chosen = shared.write(usable.where(draw < share).select(F.col("doc_id").alias("labelled"), "toxic"), "labels")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -199,7 +201,7 @@ def train(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PE
     if not words or not totals[0] or not totals[1]:
         model = Model([], np.zeros((2, 0)), np.zeros((2, 0)), np.zeros(0, dtype=np.int64), np.zeros((2, 0)))
         share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-        model.coefficients = [float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))), 0.0, 0.0, 0.0]
+        model.coefficients = [float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))), *[0.0] * len(FEATURES)]
         return model
     size = len(words)
     found = np.stack([table[f"ends{t}"].to_numpy().astype(float) for t in (0, 1)])
@@ -231,21 +233,22 @@ def train(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PE
 
         for batch in batches:
             found = [broadcast.value.features(tokens_of(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.float64()) for i in range(3)] + [batch.column("toxic")], names=["whole", "passage", "clear", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.float64()) for i in range(len(FEATURES))] + [batch.column("toxic")], names=[*FEATURES, "toxic"])
 
-    measured = sample.where("calibrates").select("text", "toxic").mapInArrow(measure, "whole double, passage double, clear double, toxic int").toPandas()
+    measured = sample.where("calibrates").select("text", "toxic").mapInArrow(measure, ", ".join([*(f"{f} double" for f in FEATURES), "toxic int"])).toPandas()
     if measured["toxic"].nunique() == 2:
         y = measured["toxic"].to_numpy(dtype=float)
-        model.coefficients = _fit_logistic(measured[["whole", "passage", "clear"]].to_numpy(), y)
-        # the sample is balanced; the labels are not
+        model.coefficients = _fit_logistic(measured[list(FEATURES)].to_numpy(), y)
+        # the sample may have another share of toxic rows than the labels
         model.coefficients[0] += float(np.log(sizes[1] / sizes[0]) - np.log(y.sum() / (len(y) - y.sum())))
     else:
-        model.coefficients = [-2.0, 2.0, 4.0, 1.0]
+        model.coefficients = [-2.0, 2.0, 4.0, 1.0, 0.0]
     return model
 
 
 def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """``docs`` and a column of scores."""
+    """``docs`` and a column of scores, in place of any that has its name."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != column.lower()])
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -100,12 +100,10 @@ def _judge(least: float):
         import numpy as np
 
         ids = [g[0] for g in group]
-        block = np.array([g[1] for g in group])
-        weights = np.array([g[2] for g in group])
-        vectors = np.array([g[3] for g in group])
-        codes = np.array([g[4] for g in group])
+        block, label, weights, vectors, codes = (np.array([g[i] for g in group]) for i in range(1, 6))
         cosine = vectors @ vectors.T
         near = np.triu(cosine >= least, 1)
+        near &= label[:, None] == label[None, :]
         if across:  # a cell of two blocks judges the pairs across them
             near &= block[:, None] != block[None, :]
         x, y = np.nonzero(near)
@@ -130,7 +128,7 @@ def _judge(least: float):
 
         for batch in batches:
             counts, edges = {}, []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "table", "lo", "hi", "own", "entry", "weight", "vector", "codes"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "table", "lo", "hi", "own", "entry", "label", "weight", "vector", "codes"))):
                 if row[:4] != key:
                     if len(group) > 1:
                         links_of(key[1], key[2] != key[3], group, counts, edges)
@@ -154,8 +152,10 @@ def link_embeddings(vectors: DataFrame, least: float = LEAST_COSINE, sample: int
     vector = F.transform("embedding", lambda x: x.cast("double"))
     fit = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", fit) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), vector.alias("vector"), F.coalesce(usable, F.lit(False)).alias("usable"))
-    # 128 bits of hash stand for a label and vector
+    fraction = vectors.schema["label"].dataType.typeName() in ("float", "double")
+    label = F.col("label") + F.lit(0.0).cast(vectors.schema["label"].dataType) if fraction else F.col("label")
+    rows = vectors.select("vec_id", F.xxhash64(label).alias("label"), vector.alias("vector"), F.coalesce(usable, F.lit(False)).alias("usable"))
+    # labels are compared in their own type, a negative zero as zero; 128 bits of hash stand for a label and vector
     rows = rows.withColumn("h1", F.xxhash64("label", "vector")).withColumn("h2", F.xxhash64(F.lit(1), "vector", "label"))
     grouped = rows.where("usable").groupBy("h1", "h2").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("rep"))
     grouped = shared.write(grouped.withColumn("entry", F.xxhash64("h1", "h2")), "entries")
@@ -177,7 +177,7 @@ def link_embeddings(vectors: DataFrame, least: float = LEAST_COSINE, sample: int
     spread = spread.select("entry", "key", "table", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     full = spread.join(coded.select("entry", "label", "weight", "vector", "codes"), "entry")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    judged = full.select("key", "table", "lo", "hi", "own", "entry", "weight", "vector", "codes").repartition(partitions, "key", "table", "lo", "hi").sortWithinPartitions("key", "table", "lo", "hi")
+    judged = full.select("key", "table", "lo", "hi", "own", "entry", "label", "weight", "vector", "codes").repartition(partitions, "key", "table", "lo", "hi").sortWithinPartitions("key", "table", "lo", "hi")
     judged = shared.write(judged.mapInArrow(_judge(least), "a long, b long, links long"), "judged")
     links = judged.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     stars = connected_components(shared, judged.where("b is not null").select("a", "b"), "links")

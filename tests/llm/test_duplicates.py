@@ -151,3 +151,10 @@ def test_embeddings_against_all_pairs(spark):
 
 def test_embeddings_of_nothing(spark):
     assert embeddings.link_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("kind,labels,linked", [("double", [1.2, 1.7, 0.0, -0.0], [2, 3]), ("string", ["1", "01", "a", "a"], [2, 3]), ("boolean", [True, False, None, None], [])])
+def test_labels_are_equal_in_their_own_type(spark, kind, labels, linked):
+    rows = [(i, [1.0, 2.0 + i / 1000, 3.0, 4.0], x) for i, x in enumerate(labels)]
+    found = embeddings.link_embeddings(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()
+    assert {r.vec_id: r.n_links for r in found} == {i: int(i in linked) for i in range(4)}

@@ -41,11 +41,11 @@ def test_toxicity_of_held_out_rows(labelled):
 
 def test_toxicity_of_odd_rows(labelled, odd_docs, no_docs, spark):
     model = toxicity.train(*labelled)
-    scored = toxicity.with_score(odd_docs.drop("score"), model).collect()
-    assert len(scored) == len(TEXTS) and all(0 <= r.score <= 1 for r in scored)
+    scored = toxicity.with_score(odd_docs, model).collect()
+    assert scored[0].__fields__.count("score") == 1 and len(scored) == len(TEXTS) and all(0 <= r.score <= 1 for r in scored)
     assert len({r.score for r in scored if r.doc_id in (3, 4, 5)}) == 1
     assert toxicity.reject(odd_docs, model).columns == odd_docs.columns
-    assert toxicity.with_score(no_docs.drop("score"), model).count() == 0
+    assert toxicity.with_score(no_docs, model).count() == 0
     nothing = toxicity.train(no_docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert nothing.score([b"a"]) < 1e-6
 
@@ -71,6 +71,65 @@ def test_toxicity_of_set_phrases(spark):
     assert np.mean([(s >= 0.5) == (i % 2) for i, s in held]) > 0.95
 
 
+class PlainKneserNey:
+    """The evidence by definition, in dictionaries."""
+
+    def __init__(self, rows, d):
+        runs = set()
+        for words, toxic in rows:
+            runs.update((toxic, u, h, w) for u, h, w in zip([b"", b"", *words], [b"", *words], words))
+        self.d, self.n = d, Counter((t, h, w) for t, _, h, w in runs)
+        self.ends = [Counter(w for t, _, w in self.n if t == k) for k in (0, 1)]
+        self.sums = [sum(c.values()) for c in self.ends]
+        self.types = sum(map(len, self.ends))
+        self.common = sum(sum(min(x, d) for x in c.values()) / s for c, s in zip(self.ends, self.sums)) / 2
+        self.follow: dict = {}
+        for _, h, w in self.n:
+            self.follow.setdefault(h, set()).add(w)
+
+    def lower(self, t, w):
+        return max(self.ends[t][w] - self.d, 0) / self.sums[t] + self.common * sum(c[w] > 0 for c in self.ends) / self.types
+
+    def ratio(self, h, w):
+        p = []
+        after = [sum(self.n[t, h, x] for x in self.follow.get(h, ())) for t in (0, 1)]
+        for t in (0, 1):
+            own = lambda x: max(self.n[t, h, x] - self.d, 0) / max(after[t], 1)  # noqa: B023,E731
+            pooled = lambda x: max(self.n[0, h, x] + self.n[1, h, x] - self.d, 0) / max(sum(after), 1)  # noqa: B023,E731
+            if h == b"":  # nothing stands before the first word
+                p.append(self.lower(t, w))
+                continue
+            rest = 1 - sum(map(own, self.follow.get(h, ())))
+            p.append(own(w) + rest * (pooled(w) + (1 - sum(map(pooled, self.follow.get(h, ())))) * self.lower(t, w)))
+        return math.log(p[1] / p[0])
+
+
+def test_toxicity_evidence_by_definition(labelled, spark, monkeypatch):
+    """Against plain Kneser-Ney models of the rows that the sample counts."""
+    docs, labels = labelled
+    kept = []
+    original = toxicity._sample
+    monkeypatch.setattr(toxicity, "_sample", lambda *a: kept.append(original(*a)) or kept[0])
+    model = toxicity.train(docs, labels)
+    rows = [(toxicity.tokens_of(r.text), r.toxic) for r in kept[0][0].where("not calibrates").collect()]
+    plain = PlainKneserNey(rows, toxicity.DISCOUNT)
+    words = [w for w, _ in Counter(w for t, _ in rows for w in t).most_common()]
+    random = np.random.default_rng(8)
+    for text in [rows[0][0], rows[1][0], [words[i] for i in random.integers(0, len(words), 80)]]:
+        want = [plain.ratio(h, w) for h, w in zip([b"", *text], text)]
+        assert np.allclose(model.evidence(text), want)
+
+
+def test_toxicity_of_the_held_out_labels(spark):
+    """A floor on the driver's own labels, of which a few carry no sign of toxicity."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    rows = toxicity.op1_toxicity(spark, sf_dir).where("held_out").join(labels, "doc_id").collect()
+    toxic = [r for r in rows if r.toxic == 1]
+    assert sum(r.predicted for r in toxic) >= 0.88 * len(toxic)
+    assert sum(r.predicted for r in rows if r.toxic == 0) <= 7
+
+
 def test_language_code_lengths_by_definition():
     counts = Counter()
     for lang, text in (("xx", "abra cadabra"), ("yy", "xyz zyx abra")):
