@@ -1,103 +1,114 @@
 """Language identification by prediction with partial matching (PPM).
 
 Each language has a tree of byte contexts up to ``ORDER`` bytes long, counted on
-its training texts.  A byte's code length is that of PPM's method C: a seen byte
-of the longest known context costs -log2(count / (total + kinds)), an escape
-costs -log2(kinds / (total + kinds)) and passes to the next shorter context, at
-the end to a uniform byte.  Statistics are frozen after training and contexts do
-not reach over white space (a word starts in the context of one space), so a
-word has one exact code length in each language and a text's is the sum over its
-words.  Each worker keeps a bounded memo of words; new words of a batch are coded
-together, one array step for each byte and order.
+its training texts with A-Z in lower case.  A byte's code length is that of PPM's
+method C: a seen byte of the longest known context costs -log2(count / (total +
+kinds)), an escape costs -log2(kinds / (total + kinds)) and passes to the next
+shorter context, at the end to a uniform byte.  Contexts run over white space and
+all other bytes of the text, which is read as if ``ORDER`` spaces stood before it.
+
+Statistics are frozen after training, so a byte's code length depends on nothing but
+itself and the ``ORDER`` bytes before it: each worker keeps the code lengths of the
+windows it met in a table of bounded size (a window overwrites another one in its
+place), and computes those of new windows together, one array step an order.
 
 The trees are fitted on a bounded sample: about ``ROWS_PER_LANGUAGE`` whole
 training texts of each language, the smallest by a hash of the id.
 
-Defined cases: null texts, texts without a letter and texts scored before anything
-was learned are ``und`` with score 0; a null or empty lang is not learned from;
-ties go to the language that sorts first; repeated rows are predicted alike; an
-empty table gives no rows; other columns are not read.
+Defined cases: null texts, texts without a letter (Unicode category L) and texts
+scored before anything was learned are ``und`` with score 0; a null lang or text is
+not learned from, an empty lang is a language; ties go to the language that sorts
+first; repeated rows are predicted alike; very long texts are coded whole, in parts;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, crc_bucket, read, words_of
+from .common import Shared, crc_bucket, read
 from .tokens import slices
 
 ORDER = 4
 ROWS_PER_LANGUAGE = 400
-MEMO = 100_000
+#: Code lengths that a worker keeps, over all languages.
+KEPT = 1 << 22
+#: Bytes of text coded at once.
+PART = 1 << 20
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def windows_of(text: bytes):
+    """Each byte with the ``ORDER`` bytes before it, as one number; the last byte is the lowest."""
+    import numpy as np
+
+    raw = np.frombuffer(b" " * ORDER + text.lower(), dtype=np.uint8)
+    run = np.zeros(len(text), dtype=np.int64)
+    for back in range(ORDER + 1):
+        run |= raw[ORDER - back : len(raw) - back].astype(np.int64) << 8 * back
+    return run
+
+
+def _parts(text: bytes, size: int):
+    """The windows of a text, in parts of bounded size."""
+    for at in range(0, max(1, len(text)), size):
+        before = min(at, ORDER)
+        yield windows_of(text[at - before : at + size])[before:]
 
 
 def _count(batches):
-    """Counts of (language, context and byte): runs of up to ORDER + 1 bytes within " word"."""
+    """Counts of (language, window)."""
+    import numpy as np
     import pyarrow as pa
 
-    def table(counts):
-        keys = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"])
+    def table(lang, parts):
+        found, counts = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counts: Counter = Counter()
     for batch in batches:
+        by: dict[str, list] = {}
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-            for word, n in Counter(words_of(text)).items():
-                spaced = b" " + word + b" "
-                for end in range(1, len(spaced)):
-                    for start in range(max(0, end - ORDER), end + 1):
-                        counts[lang, spaced[start : end + 1]] += n
-            if len(counts) > 300_000:
-                yield table(counts)
-                counts = Counter()
-    yield table(counts)
+            for part in _parts(text.encode("utf-8", "surrogatepass"), PART):
+                by.setdefault(lang, []).append(part)
+                if sum(map(len, by[lang][-8:])) >= 4 * PART:
+                    yield table(lang, by.pop(lang))
+        for lang, parts in by.items():
+            yield table(lang, parts)
 
 
 class Trees:
-    """Frozen context trees as one sorted array of hashed grams for each order and language."""
+    """Frozen context trees: for each language and order a sorted array of grams and one of contexts."""
 
     def __init__(self, languages: list[str]):
         self.languages = languages
-        self.seen: list = []  # by language, by order: (gram keys, code lengths)
-        self.escape: list = []  # by language, by order: (context keys, escape lengths)
-        self._memo: dict[bytes, int] = {}
-        self._lengths = None
+        self.seen: list = []  # by language, by order: (grams, code lengths)
+        self.escape: list = []  # by language, by order: (contexts, escape lengths)
+        self._kept = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_memo": {}, "_lengths": None}
-
-    @staticmethod
-    def key(gram: bytes) -> int:
-        """Grams of at most seven bytes with their length."""
-        return int.from_bytes(gram, "big") << 8 | len(gram)
+        return self.__dict__ | {"_kept": None}
 
     @classmethod
-    def build(cls, rows) -> "Trees":
-        """rows: (language, gram, count)."""
+    def build(cls, langs, grams, counts) -> "Trees":
+        """From arrays of languages, windows and their counts."""
         import numpy as np
 
-        by: dict[str, dict[bytes, int]] = {}
-        for lang, gram, n in rows:
-            by.setdefault(lang, {})[bytes(gram)] = n
-        trees = cls(sorted(by))
+        langs = np.asarray(langs, dtype=object)
+        trees = cls(sorted(set(langs)))
         for lang in trees.languages:
-            total: Counter = Counter()
-            kinds: Counter = Counter()
-            for gram, n in by[lang].items():
-                total[gram[:-1]] += n
-                kinds[gram[:-1]] += 1
+            own = langs == lang
+            gram, n = np.asarray(grams, dtype=np.int64)[own], np.asarray(counts, dtype=np.int64)[own]
             seen, escape = [], []
             for order in range(ORDER + 1):
-                grams = sorted((cls.key(g), -np.log2(n / (total[g[:-1]] + kinds[g[:-1]]))) for g, n in by[lang].items() if len(g) == order + 1)
-                contexts = sorted((cls.key(c), -np.log2(kinds[c] / (total[c] + kinds[c]))) for c in total if len(c) == order)
-                seen.append((np.array([g[0] for g in grams], dtype=np.int64), np.array([g[1] for g in grams])))
-                escape.append((np.array([c[0] for c in contexts], dtype=np.int64), np.array([c[1] for c in contexts])))
+                # the counts of a shorter context are sums of those of the longer ones that end with it
+                short, place = np.unique(gram & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+                total = np.bincount(place, n, len(short))
+                context, at = np.unique(short >> 8, return_inverse=True)
+                kinds = np.bincount(at, minlength=len(context))
+                mass = np.bincount(at, total, len(context)) + kinds
+                seen.append((short, -np.log2(total / mass[at])))
+                escape.append((context, -np.log2(kinds / mass)))
             trees.seen.append(seen)
             trees.escape.append(escape)
         return trees
@@ -107,84 +118,89 @@ class Trees:
         import numpy as np
 
         known, values = table
-        if not len(known):
-            return np.zeros(len(keys), dtype=bool), np.zeros(len(keys))
         place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         return known[place] == keys, values[place]
 
-    def code(self, words: list[bytes]):
-        """Code lengths in bits (words x languages) of " word ", without its first space."""
+    def code(self, windows):
+        """Code lengths in bits (windows x languages) of each window's last byte."""
         import numpy as np
 
-        flat = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8).astype(np.int64)
-        starts = np.cumsum([0] + [len(w) + 1 for w in words])
-        word = np.repeat(np.arange(len(words)), np.diff(starts))
-        at = np.arange(1, len(flat))
-        depth = at - np.repeat(starts[:-1], np.diff(starts))  # bytes of context, the space included
-        keys = []
-        run = np.zeros(len(at), dtype=np.int64)
-        for order in range(ORDER + 1):
-            ok = depth >= order
-            run = np.where(ok, run | flat[np.maximum(at - order, 0)] << 8 * order, 0)
-            context = run >> 8
-            keys.append((ok, run << 8 | order + 1, context << 8 | order))
-        out = np.zeros((len(words), len(self.languages)))
+        out = np.zeros((len(windows), len(self.languages)))
         for k in range(len(self.languages)):
-            bits, open_ = np.zeros(len(at)), np.ones(len(at), dtype=bool)
+            open_ = np.arange(len(windows))
             for order in range(ORDER, -1, -1):
-                ok, gram, context = keys[order]
-                i = np.flatnonzero(open_ & ok)
-                hit, length = self._find(self.seen[k][order], gram[i])
-                bits[i[hit]] += length[hit]
-                open_[i[hit]] = False
-                rest = i[~hit]
-                known, length = self._find(self.escape[k][order], context[rest])
-                bits[rest[known]] += length[known]
-            bits[open_] += 8.0
-            out[:, k] = np.bincount(word, bits, len(words))
+                gram = windows[open_] & ((1 << 8 * (order + 1)) - 1)
+                hit, length = self._find(self.seen[k][order], gram)
+                out[open_[hit], k] += length[hit]
+                open_, gram = open_[~hit], gram[~hit]
+                known, length = self._find(self.escape[k][order], gram >> 8)
+                out[open_[known], k] += length[known]
+            out[open_, k] += 8.0
+        return out
+
+    def code_kept(self, windows):
+        """As ``code``, by the table of windows met before."""
+        import numpy as np
+
+        if self._kept is None:
+            slots = 1 << max(10, (KEPT // max(1, len(self.languages))).bit_length() - 1)
+            self._kept = np.full(slots, -1, dtype=np.int64), np.zeros((slots, len(self.languages)))
+        keys, rows = self._kept
+        shift = np.uint64(64 - (len(keys).bit_length() - 1))
+        slot = lambda w: ((w.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> shift).view(np.int64)
+        at = slot(windows)
+        out = rows[at]
+        missed = np.flatnonzero(keys[at] != windows)
+        if len(missed):
+            fresh, place = np.unique(windows[missed], return_inverse=True)
+            lengths = self.code(fresh)
+            out[missed] = lengths[place]
+            at = slot(fresh)
+            # of windows that share a place the last one stays, in both arrays
+            keys[at] = fresh
+            mine = keys[at] == fresh
+            rows[at[mine]] = lengths[mine]
         return out
 
-    def code_texts(self, texts: list[list[bytes]]):
+    def code_texts(self, texts: list[bytes]):
         """Code lengths in bits (texts x languages)."""
         import numpy as np
 
-        memo = self._memo
-        if self._lengths is None or len(memo) > MEMO:
-            memo.clear()
-            self._lengths = np.zeros((0, len(self.languages)))
-        get = memo.get
-        found = [list(map(get, t)) for t in texts]
-        counts = Counter(w for t, f in zip(texts, found) for w, x in zip(t, f) if x is None)
-        fresh = sorted(counts, key=lambda w: counts[w] < 3)  # those to keep come first
-        lengths = [self._lengths] + [self.code(fresh[i : i + 20_000]) for i in range(0, len(fresh), 20_000)]
-        base = len(self._lengths)
-        places = {w: base + i for i, w in enumerate(fresh)}
-        table = np.concatenate(lengths)
-        keep = sum(n > 2 for n in counts.values())
-        memo.update((w, base + i) for i, w in enumerate(fresh[:keep]))
-        self._lengths = table[: base + keep].copy()
-        flat = np.array([places[w] if x is None else x for t, f in zip(texts, found) for w, x in zip(t, f)], dtype=np.int64)
-        sizes = np.array([len(t) for t in texts])
         out = np.zeros((len(texts), len(self.languages)))
-        if len(flat):
-            some = np.flatnonzero(sizes)
-            begin = (np.cumsum(sizes) - sizes)[some]
-            out[some] = np.add.reduceat(table[flat], begin, axis=0)
+        held, size = [], 0
+        most = min(PART, max(1 << 14, 8 * PART // max(1, len(self.languages))))
+
+        def flush():
+            nonlocal held, size
+            if held:
+                begin = np.cumsum([0] + [len(w) for _, w in held[:-1]])
+                sums = np.add.reduceat(self.code_kept(np.concatenate([w for _, w in held])), begin, axis=0)
+                np.add.at(out, [i for i, _ in held], sums)
+            held, size = [], 0
+
+        for i, text in enumerate(texts):
+            for part in _parts(text, most) if text else ():
+                held.append((i, part))
+                size += len(part)
+                if size >= most:
+                    flush()
+        flush()
         return out
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Trees:
     """Trees from ``docs`` (doc_id, text, lang), but for those with crc32(doc_id) mod 4 = 2."""
     shared = Shared(docs.sparkSession, "language")
-    usable = docs.where((crc_bucket("doc_id", 4) != 2) & F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
+    usable = docs.where((crc_bucket("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    usable = usable.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Trees([])
     draw = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, rows_per_language / n))) for k, n in sizes.items()])
-    counted = usable.where(draw < share).select("text", "lang").mapInArrow(_count, "lang string, gram binary, n long")
-    rows = shared.write(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    return Trees.build(zip(*(rows.toPandas()[c] for c in ("lang", "gram", "n"))))
+    counted = usable.where(draw < share).select("text", "lang").mapInArrow(_count, "lang string, gram long, n long")
+    rows = shared.write(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams").toArrow()
+    return Trees.build(rows["lang"].to_pylist(), rows["gram"].to_numpy(), rows["n"].to_numpy())
 
 
 def predict(docs: DataFrame, trees: Trees) -> DataFrame:
@@ -199,17 +215,13 @@ def predict(docs: DataFrame, trees: Trees) -> DataFrame:
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
             for i, j in slices(texts):
-                part = [words_of(t) for t in texts[i:j]]
-                bits = trees.code_texts(part)
+                judged = [bool(t) and bool(trees.languages) and any(map(str.isalpha, t)) for t in texts[i:j]]
+                part = [t.encode("utf-8", "surrogatepass") if ok else b"" for t, ok in zip(texts[i:j], judged)]
                 names, scores = [], []
-                for text, words, own in zip(texts[i:j], part, bits):
-                    if not text or not trees.languages or not _LETTER.search(text):
-                        names.append(UNDETERMINED)
-                        scores.append(0.0)
-                        continue
-                    best = int(own.argmin())
-                    names.append(trees.languages[best])
-                    scores.append(float(1 / np.exp2(-(own - own[best]) / max(1, sum(map(len, words))) ** 0.5).sum()))
+                for ok, text, own in zip(judged, part, trees.code_texts(part)):
+                    best = int(own.argmin()) if ok else None
+                    names.append(trees.languages[best] if ok else UNDETERMINED)
+                    scores.append(float(1 / np.exp2(-(own - own[best]) / len(text) ** 0.5).sum()) if ok else 0.0)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -130,20 +130,26 @@ def test_toxicity_of_the_held_out_labels(spark):
     assert sum(r.predicted for r in rows if r.toxic == 0) <= 7
 
 
-def test_language_code_lengths_by_definition():
-    counts = Counter()
-    for lang, text in (("xx", "abra cadabra"), ("yy", "xyz zyx abra")):
-        for w in words_of(text):
-            s = b" " + w + b" "
-            for e in range(1, len(s)):
-                for b in range(max(0, e - language.ORDER), e + 1):
-                    counts[lang, s[b : e + 1]] += 1
-    trees = language.Trees.build([(x, g, n) for (x, g), n in counts.items()])
-
-    def bits(lang, w):
-        s, total = b" " + w + b" ", 0.0
-        for e in range(1, len(s)):
-            for o in range(min(language.ORDER, e), -1, -1):
+def _padded(text):
+    return b" " * language.ORDER + text.lower()
+
+
+def test_language_code_lengths_by_definition(monkeypatch):
+    """Against dictionaries of contexts, over white space and beyond the kept windows and parts."""
+    samples = (("xx", b"Abra cadabra, abra"), ("yy", b"xyz zyx\nabra"), ("", b""))
+    counts, windows = Counter(), Counter()
+    for lang, text in samples:
+        s = _padded(text)
+        windows.update((lang, int(w)) for w in language.windows_of(text))
+        for e in range(language.ORDER, len(s)):
+            counts.update((lang, s[e - o : e + 1]) for o in range(language.ORDER + 1))
+    trees = language.Trees.build([k[0] for k in windows], [k[1] for k in windows], list(windows.values()))
+    assert trees.languages == ["xx", "yy"]
+
+    def bits(lang, text):
+        s, total = _padded(text), 0.0
+        for e in range(language.ORDER, len(s)):
+            for o in range(language.ORDER, -1, -1):
                 seen = {g[-1]: n for (x, g), n in counts.items() if x == lang and g[:-1] == s[e - o : e] and len(g) == o + 1}
                 if seen:
                     all_ = sum(seen.values()) + len(seen)
@@ -154,11 +160,13 @@ def test_language_code_lengths_by_definition():
                 total += 8
         return total
 
-    words = [b"abra", b"zebra", b"q", b"caxyzbra"]
-    want = np.array([[bits(x, w) for x in trees.languages] for w in words])
-    assert np.allclose(trees.code(words), want)
-    for _ in range(3):
-        assert np.allclose(trees.code_texts([words, [], words[:1] * 5]), [want.sum(0), [0, 0], 5 * want[0]])
+    texts = [b"ABRA zebra", b"", b"q", b"caxyz\n\nbra abra " * 9, "é\x00".encode()]
+    want = np.array([[bits(x, t) for x in trees.languages] for t in texts])
+    monkeypatch.setattr(language, "KEPT", 1)
+    for part in (language.PART, 7):
+        monkeypatch.setattr(language, "PART", part)
+        for _ in range(3):
+            assert np.allclose(trees.code_texts(texts), want)
 
 
 def test_language_accuracy_and_odd_rows(spark, data_dir, odd_docs, no_docs):
@@ -170,10 +178,20 @@ def test_language_accuracy_and_odd_rows(spark, data_dir, odd_docs, no_docs):
     assert np.mean([truth[r.doc_id] == r.lang_pred for r in held]) > 0.95 and all(0 <= r.score <= 1 for r in rows)
     odd = {r.doc_id: r.lang_pred for r in language.predict(odd_docs.select("doc_id", "text"), trees).collect()}
     assert all(odd[i] == "und" for i in (3, 4, 5, 12)) and odd[6] == "fr" and odd[7] in trees.languages
+    signs = spark.createDataFrame([(1, "½ ² ① Ⅷ 7"), (2, "½ ª"), (3, "日")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in language.predict(signs, trees).orderBy("doc_id").collect()] == [True, False, False]
     assert language.predict(no_docs, trees).count() == 0
     assert {r.lang_pred for r in language.predict(odd_docs, language.train(no_docs)).collect()} == {"und"}
 
 
+def test_an_empty_language_is_learned(spark):
+    rows = [(i, "aba abba baab" if i % 2 else "xyx yxxy zyx", "" if i % 2 else "xy") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = language.train(docs)
+    assert trees.languages == ["", "xy"]
+    assert {r.doc_id: r.lang_pred for r in language.predict(docs, trees).collect()} == {i: x for i, _, x in rows}
+
+
 def _base(texts, held):
     counts = Counter()
     for i, t in texts:
