@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import op1_toxicity as toxicity
 from strandlake.llm import op5_maxent as maxent
@@ -218,17 +219,81 @@ def test_maxent_base_by_definition_and_gain(spark, data_dir):
 
 
 def test_maxent_probabilities_sum_to_one(spark, odd_docs):
-    """Over every known word and one unknown word of each class, in any context."""
+    """Over every known word and one unknown word of each shared slot, in any context."""
     shared = Shared(spark, "t")
     model = maxent.train(odd_docs, shared)
     v = model.vocabulary
-    _, kinds, identity = v.places(list(v.words))
-    rows = maxent.features(identity[:3], np.array([True, False, False]))
-    classes = np.exp(maxent.log_softmax(model.weights, rows))
-    within = np.zeros(maxent.CLASSES)
-    np.add.at(within, kinds, (v.counts + 1) / 10 ** model.sizes[kinds])
-    within += 1 / 10**model.sizes
-    assert np.allclose(within, 1) and np.allclose(classes @ within, 1)
+    _, slots, identity = v.places(list(v.words))
+    within = np.zeros(maxent.CLASSES * maxent.SLOTS)
+    np.add.at(within, slots, (v.counts + 1) / v.sizes[slots])
+    within.reshape(maxent.CLASSES, -1)[:, maxent.SLOTS - maxent.SHARED_SLOTS :] += 1 / v.sizes.reshape(maxent.CLASSES, -1)[:, maxent.SLOTS - maxent.SHARED_SLOTS :]
+    assert np.allclose(within[v.sizes > 0], 1) and (within[v.sizes == 0] == 0).all()
+    starts = np.array([True, False, False])
+    by_class, _ = maxent.features(identity[:3], starts, slots[:3] // maxent.SLOTS, len(model.weights))
+    classes = maxent.probabilities(model.weights, by_class, maxent.Room())
+    total = np.zeros(3)
+    for c in range(maxent.CLASSES):
+        _, by_slot = maxent.features(identity[:3], starts, np.full(3, c), len(model.weights))
+        total += classes[:, c] * (maxent.probabilities(model.weights, by_slot, maxent.Room()) @ within.reshape(maxent.CLASSES, -1)[c])
+    assert np.allclose(total, 1, atol=1e-5)
+
+
+def _plain_scores(texts, model, counts):
+    """log10 probability of each text, token by token, from the model's weights and all counts."""
+    v, size, mask = model.vocabulary, len(model.weights), (1 << 64) - 1
+    place = {w: i for i, w in enumerate(v.words)}
+    weights = model.weights.astype(float)
+
+    def identity(w):
+        return place[w] if w in place else len(v.words) + maxent._ending(w)
+
+    def leaf(w):
+        return v.own.get(w, int(v.shared[maxent._ending(w)]))
+
+    out = []
+    for text in texts:
+        tokens, total = [*words_of(text), b""], 0.0
+        before = [0, 0, 0]
+        for w in tokens:
+            one, two, three = before
+            values = [one, (one << 20) + two, two, three]
+            hashes = [(x * 5 + k) * 0x9E3779B97F4A7C15 & mask for k, x in enumerate(values, 1)]
+            kind, slot = divmod(leaf(w), maxent.SLOTS)
+            mixed = [((h ^ h >> 29) + (kind + 1) * 0xBF58476D1CE4E5B9) * 0x94D049BB133111EB & mask for h in (hashes[0], hashes[2])]
+            for bias, hs, chosen in ((0, hashes, kind), (1 + kind, mixed, slot)):
+                z = weights[bias] + sum(weights[1 + maxent.CLASSES + ((h >> 40) * (size - 1 - maxent.CLASSES) >> 24)] for h in hs)
+                total += (z[chosen] - z.max() - math.log(np.exp(z - z.max()).sum())) / math.log(10)
+            total += math.log10(counts[w] + 1) - math.log10(v.sizes[leaf(w)])
+            before = [identity(w) + 1, *before[:2]]
+        out.append(total)
+    return out
+
+
+def test_maxent_scores_by_definition(spark, data_dir, odd_docs, monkeypatch):
+    """Of odd and of the driver's texts, with most words outside the head."""
+    monkeypatch.setattr(maxent, "HEAD", 300)
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text").unionByName(odd_docs.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text"))
+    shared = Shared(spark, "t")
+    model = maxent.train(docs, shared)
+    assert len(model.vocabulary.words) <= 300 and len(model.vocabulary.own) > maxent.CLASSES
+    rows = {(r.doc_id, r.n_tokens): r.score for r in maxent.score(docs, model, shared).collect()}
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    counts, _ = _base(texts, lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2)
+    some = [t for t in texts if len(t[1] or "") < 4000][-60:]
+    got = [rows[i, len(words_of(t)) + 1] for i, t in some]
+    assert np.allclose(got, _plain_scores([t for _, t in some], model, counts), rtol=1e-4)
+
+
+def test_tokens_by_definition():
+    import pyarrow as pa
+
+    texts = [*(t for _, t, _, _ in TEXTS), "\x1ca\x85b \u2003c\x0b\x0cD  ", " \ufeff", "É İ"]
+    column = pa.array(["skipped", *texts], pa.string()).slice(1)
+    words, which, sizes = maxent.tokenized(column)
+    want = [[*words_of(t), b""] for t in texts]
+    assert [words[i] for i in which.tolist()] == [w for t in want for w in t] and sizes.tolist() == [len(t) for t in want]
+    cut = list(maxent.text_slices(column, 100))
+    assert [i for a, n in cut for i in range(a, a + n)] == list(range(len(texts))) and len(cut) > 2
 
 
 def test_maxent_learns_at_every_position(spark):
@@ -241,16 +306,16 @@ def test_maxent_learns_at_every_position(spark):
 
 def test_gradient_step_by_definition():
     random = np.random.default_rng(3)
-    rows = np.column_stack([np.zeros(500, dtype=np.int64), random.integers(1, 40, (500, 2)), random.integers(1, 900, (500, 2))])
+    rows = np.stack([random.integers(0, 3, 500), *random.integers(1, 40, (2, 500)), *random.integers(1, 900, (2, 500))])
     kinds, weights, squares = random.integers(0, maxent.CLASSES, 500), random.normal(size=(1000, maxent.CLASSES)), np.full(1000, 0.5)
-    push = np.exp(maxent.log_softmax(weights, rows))
+    push = maxent.probabilities(weights, rows, maxent.Room()).copy()
     push[np.arange(500), kinds] -= 1
     total = np.zeros_like(weights)
     for k in range(5):
-        np.add.at(total, rows[:, k], push / 500**0.5)
+        np.add.at(total, rows[k], push / 500**0.5)
     after = squares + (total**2).mean(axis=1)
-    want = weights - maxent.RATE * total / np.sqrt(after + 1e-4)[:, None]
-    maxent.gradient_step(weights, squares, rows, kinds)
+    want = weights - maxent.RATE * total / np.sqrt(after + maxent.DAMPING)[:, None]
+    maxent.gradient_step(weights, squares, rows, kinds, maxent.Room())
     assert np.allclose(weights, want) and np.allclose(squares, after)
 
 
@@ -265,5 +330,6 @@ def test_maxent_of_odd_rows(spark, odd_docs, no_docs):
 
 def test_features_stay_within_texts():
     identity = np.array([5, 6, 7, 5, 6, 7])
-    rows = maxent.features(identity, np.array([True, False, False, True, False, False]))
-    assert (rows[:3] == rows[3:]).all() and rows.max() < maxent.FEATURES
+    kinds = np.array([1, 2, 3, 1, 2, 3])
+    for rows in maxent.features(identity, np.array([True, False, False, True, False, False]), kinds, 1024):
+        assert (rows[:, :3] == rows[:, 3:]).all() and rows.max() < 1024 and rows[1:].min() > maxent.CLASSES
