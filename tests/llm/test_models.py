@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,7 +224,7 @@ def test_maxent_probabilities_sum_to_one(spark, odd_docs):
     shared = Shared(spark, "t")
     model = maxent.train(odd_docs, shared)
     v = model.vocabulary
-    _, slots, identity = v.places(list(v.words))
+    _, slots, identity = v.places(pa.array(v.words, pa.binary()))
     within = np.zeros(maxent.CLASSES * maxent.SLOTS)
     np.add.at(within, slots, (v.counts + 1) / v.sizes[slots])
     within.reshape(maxent.CLASSES, -1)[:, maxent.SLOTS - maxent.SHARED_SLOTS :] += 1 / v.sizes.reshape(maxent.CLASSES, -1)[:, maxent.SLOTS - maxent.SHARED_SLOTS :]
@@ -285,12 +286,11 @@ def test_maxent_scores_by_definition(spark, data_dir, odd_docs, monkeypatch):
 
 
 def test_tokens_by_definition():
-    import pyarrow as pa
-
     texts = [*(t for _, t, _, _ in TEXTS), "\x1ca\x85b \u2003c\x0b\x0cD  ", " \ufeff", "É İ"]
     column = pa.array(["skipped", *texts], pa.string()).slice(1)
     words, which, sizes = maxent.tokenized(column)
     want = [[*words_of(t), b""] for t in texts]
+    words = words.to_pylist()
     assert [words[i] for i in which.tolist()] == [w for t in want for w in t] and sizes.tolist() == [len(t) for t in want]
     cut = list(maxent.text_slices(column, 100))
     assert [i for a, n in cut for i in range(a, a + n)] == list(range(len(texts))) and len(cut) > 2
