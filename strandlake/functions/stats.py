@@ -23,28 +23,51 @@ def log_choose(n: Column, k: Column) -> Column:
     return lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0)
 
 
-def _chain(first: Column, last: Column, ratio, wanted: Column) -> Column:
-    """Sum of p1 + p1 p2 + ... with p = ratio(j) for j from ``first`` to ``last``, where ``wanted``; else 0."""
+def _chain(first: Column, terms: Column, ratio, direction: int) -> Column:
+    """p1 + p1 p2 + ... of ``terms`` terms, with p = ratio(j) for j from ``first`` in steps of ``direction``."""
     step = lambda acc, j: F.struct((acc["p"] * ratio(j)).alias("p"), (acc["s"] + acc["p"] * ratio(j)).alias("s"))
     start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("s"))
-    return F.when(wanted, F.aggregate(F.sequence(first, last), start, step, lambda acc: acc["s"])).otherwise(F.lit(0.0))
+    steps = F.sequence(first, first + direction * (terms - 1), F.lit(direction).cast("long"))
+    return F.when(terms > 0, F.aggregate(steps, start, step, lambda acc: acc["s"])).otherwise(F.lit(0.0))
+
+
+#: Terms summed one by one; wider sums are integrated over ``NODES`` intervals.
+MOST_TERMS, NODES = 4000, 1024
 
 
 def neg_log10_hypergeom_tail(k: Column, total: Column, marked: Column, drawn: Column) -> Column:
     """-log10 P[X >= k] for ``drawn`` of ``total`` with ``marked`` marked; never negative.
 
     The largest term comes from log-gammas; the others follow from it by ratios
-    below one, upwards and downwards, so that nothing over- or underflows and each
-    costs a few operations.
+    below one, upwards and downwards, so that nothing over- or underflows.  The sums end
+    where terms no longer count: twelve standard deviations out, or where the
+    first ratio has shrunk them by forty orders of e.  Wider sums - of millions of
+    bins - are Simpson integrals over that range with Euler-Maclaurin ends, so a
+    test costs a bounded number of operations, whatever the counts.
     """
     n, big, hit = (c.cast("double") for c in (drawn, total, marked))
     least = F.greatest(k, drawn + marked - total, F.lit(0).cast("long"))
     most = F.least(drawn, marked)
     mode = F.least(most, F.greatest(least, F.floor((n + 1) * (hit + 1) / (big + 2)).cast("long")))
-    up = _chain(mode, most - 1, lambda j: (hit - j) * (n - j) / ((j + 1.0) * (big - hit - n + j + 1.0)), mode < most)
-    down = _chain(mode, least + 1, lambda j: j * (big - hit - n + j) / ((hit - j + 1.0) * (n - j + 1.0)), mode > least)
-    peak = log_choose(marked, mode) + log_choose(total - marked, drawn - mode) - log_choose(total, drawn)
-    tail = peak + F.log(1.0 + up + down)
+    rise = lambda j: (hit - j) * (n - j) / ((j + 1.0) * (big - hit - n + j + 1.0))
+    fall = lambda j: j * (big - hit - n + j) / ((hit - j + 1.0) * (n - j + 1.0))
+    spread = F.sqrt(n * (hit / big) * (1 - hit / big) * (big - n) / F.greatest(big - 1, F.lit(1.0)))
+    rate = -F.log(F.greatest(F.least(rise(mode.cast("double")), F.lit(1.0)), F.lit(1e-300)))
+    wide = F.least(12 * spread, F.when(rate > 0, 40 / rate).otherwise(12 * spread)) + 60
+    up, down = F.least(most - mode, wide.cast("long")), F.least(mode - least, (12 * spread + 60).cast("long"))
+    log_term = lambda j: log_choose(marked, j) + log_choose(total - marked, drawn - j) - log_choose(total, drawn)
+    peak = log_term(mode)
+    exact = 1.0 + _chain(mode, up, rise, 1) + _chain(mode, down, fall, -1)
+    first, last = (mode - down).cast("double"), (mode + up).cast("double")
+    step = (last - first) / NODES
+    term = lambda x: F.exp(log_term(x) - peak)
+    weight = lambda i: F.when((i == 0) | (i == NODES), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+    integral = F.aggregate(F.sequence(F.lit(0), F.lit(NODES)), F.lit(0.0), lambda acc, i: acc + weight(i) * term(first + i * step)) * step / 3
+    slope = lambda x: (term(x + 1) - term(x - 1)) / 2
+    inner = lambda x: (x > F.greatest(drawn + marked - total, F.lit(0)).cast("double") + 1) & (x < most.cast("double") - 1)
+    ends = (term(first) + term(last)) / 2 + F.when(inner(first) & inner(last), (slope(last) - slope(first)) / 12).otherwise(0.0)
+    summed = F.when(up + down <= MOST_TERMS, exact).otherwise(integral + ends)
+    tail = peak + F.log(summed)
     return F.when(least > most, F.lit(-math.log10(2.2250738585072014e-308))).otherwise(F.greatest(-tail / math.log(10), F.lit(0.0)))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import running_sum
+
 MEGABASE = 1_000_000.0
 
 
@@ -62,14 +64,11 @@ def reference_free(bins: DataFrame, least_bins: int = 5, least_purity: float = 0
 
 
 def average_ranks(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
-    """Ranks from 1, ties share their average; ranked over distinct values with their counts."""
-    from pyspark.sql import Window
-
+    """Ranks from 1, ties share their average; ranked over distinct values with their counts, by ranges."""
     keys = by or []
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(value) if keys else Window.orderBy(value)
-    ranked = counted.withColumn(name, F.sum("__n").over(w) - (F.col("__n") - 1) / 2).drop("__n")
-    return df.join(ranked, [*keys, value])
+    ranked = running_sum(counted, value, "__n", "__sum", keys)
+    return df.join(ranked.select(*keys, value, (F.col("__sum") - (F.col("__n") - 1) / 2).alias(name)), [*keys, value])
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -6,14 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_intervals(track: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, start, end: overlapping and touching intervals of a key as one (gaps and islands)."""
+TILE = 1 << 20
+
+
+def merge_intervals(track: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
+    """keys, start, end: overlapping and touching intervals of a key as one (gaps and islands).
+
+    Intervals are taken by the tile of their start.  What reaches into a tile from the ones
+    before, and how many islands those hold, comes from one row a tile; so no task sorts a whole key.
+    """
     valid = track.select(*keys, F.greatest("start", F.lit(0)).alias("start"), "end").where("end > start")
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = valid.withColumn("new", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0))
-    island = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    cut = valid.withColumn("tile", F.floor(F.col("start") / tile))
+    earlier = Window.partitionBy(*keys).orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    reach = cut.groupBy(*keys, "tile").agg(F.max("end").alias("reach")).select(*keys, "tile", F.max("reach").over(earlier).alias("reached"))
+    order = Window.partitionBy(*keys, "tile").orderBy("start", "end")
+    before = F.greatest(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("reached"))
+    marked = cut.join(reach, [*keys, "tile"]).withColumn("before", before).withColumn("new", F.when(F.col("before").isNull() | (F.col("start") > F.col("before")), 1).otherwise(0))
+    islands = marked.groupBy(*keys, "tile").agg(F.sum("new").alias("islands")).select(*keys, "tile", F.coalesce(F.sum("islands").over(earlier), F.lit(0)).alias("base"))
+    numbered = marked.withColumn("own", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).join(islands, [*keys, "tile"])
+    return numbered.groupBy(*keys, (F.col("base") + F.col("own")).alias("island")).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def bin_coverage(bins: DataFrame, track: DataFrame, tile: int, contig: str = "contig", feature: str = "feature", bin_id: str = "bin_uid") -> DataFrame:
@@ -32,16 +43,19 @@ def bin_coverage(bins: DataFrame, track: DataFrame, tile: int, contig: str = "co
     return covered.select(bin_id, feature, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("covered") / F.col("width"))).cast("float").alias("frac"))
 
 
-def prefix_coverage(points: DataFrame, track: DataFrame, keys: list[str], at: str = "at") -> DataFrame:
-    """points with ``below``: bases of merged intervals before each point (an as-of lookup by one ordered pass)."""
-    merged = merge_intervals(track, keys)
+def prefix_coverage(points: DataFrame, track: DataFrame, keys: list[str], at: str = "at", tile: int = TILE) -> DataFrame:
+    """points with ``below``: bases of merged intervals before each point (an as-of lookup by one ordered pass of each tile)."""
+    merged = merge_intervals(track, keys, tile)
     lines = merged.select(*keys, F.col("start").alias(at), F.col("start").alias("s"), F.col("end").alias("e"), F.lit(None).cast("long").alias("point"))
     asked = points.select(*keys, F.col(at), F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("e"), F.col(at).alias("point"))
-    order = Window.partitionBy(*keys).orderBy(at, F.col("point").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    run = lines.unionByName(asked)
-    total = F.coalesce(F.sum(F.col("e") - F.col("s")).over(order), F.lit(0))
-    over = F.greatest(F.coalesce(F.last("e", True).over(order), F.col(at)) - F.col(at), F.lit(0))
-    return run.withColumn("below", total - over).where("point is not null").select(*keys, at, "below").distinct()
+    run = lines.unionByName(asked).withColumn("tile", F.floor(F.col(at) / tile))
+    earlier = Window.partitionBy(*keys).orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    sums = run.groupBy(*keys, "tile").agg(F.sum(F.col("e") - F.col("s")).alias("n"), F.max("e").alias("last"))
+    base = sums.select(*keys, "tile", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), F.max("last").over(earlier).alias("before"))
+    order = Window.partitionBy(*keys, "tile").orderBy(at, F.col("point").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = run.join(base, [*keys, "tile"]).withColumn("own", F.coalesce(F.sum(F.col("e") - F.col("s")).over(order), F.lit(0))).withColumn("end", F.coalesce(F.last("e", True).over(order), "before", F.col(at)))
+    over = F.greatest(F.col("end") - F.col(at), F.lit(0))
+    return summed.withColumn("below", F.col("base") + F.col("own") - over).where("point is not null").select(*keys, at, "below").distinct()
 
 
 def dominant(coverage: DataFrame, bins: DataFrame, vocabulary: list[str], min_frac: float = 0.25, feature: str = "feature", bin_id: str = "bin_uid") -> DataFrame:

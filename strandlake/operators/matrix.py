@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import materialised
 from .ranking import grouped_index
 
 
@@ -30,6 +31,7 @@ def weigh(coo: DataFrame, how: str = "idf", row: str = "bin") -> DataFrame:
         return coo.withColumn("value", F.log1p(F.lit(1.0)))
     if how != "idf":
         raise ValueError(f"unknown weighting {how!r}")
+    coo = materialised(coo)  # counted twice and weighed
     rows = coo.agg(F.countDistinct(row).alias("rows"))
     df = coo.groupBy("col_idx").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(rows))
     return coo.join(df.select("col_idx", F.log(F.col("rows") / F.col("df")).alias("value")), "col_idx").select(row, "col_idx", "value")
@@ -39,9 +41,11 @@ def normalize(coo: DataFrame, how: str = "l2", row: str = "bin") -> DataFrame:
     """Values over their row's norm; rows of norm 0 stay as they are."""
     if how == "none":
         return coo
-    size = F.sum(F.abs("value")) if how == "l1" else F.sqrt(F.sum(F.col("value") * F.col("value")))
-    norms = coo.groupBy(row).agg(size.alias("norm"))
-    return coo.join(norms, row).select(row, "col_idx", (F.col("value") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("value"))
+    if how not in ("l1", "l2"):
+        raise ValueError(f"unknown norm {how!r}")
+    # a bin's entries are bounded by its width: one shuffle by row, no join
+    normed = coo.withColumn("norm", F.sum(F.abs("value")).over(Window.partitionBy(row)) if how == "l1" else F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(row))))
+    return normed.select(row, "col_idx", (F.col("value") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("value"))
 
 
 def shape_of(coo: DataFrame, n_columns: int | None = None, row: str = "bin") -> DataFrame:

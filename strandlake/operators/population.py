@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import running_minimum_down, running_sum
+
 
 def abundance(bins: DataFrame, unit: str) -> DataFrame:
     """unit, cluster, n (noise aside)."""
@@ -65,11 +67,15 @@ def anova_f(values: DataFrame, groups: DataFrame, unit: str, column: str = "clus
 
 
 def benjamini_hochberg(tests: DataFrame, key: str, p: str = "p") -> DataFrame:
-    """key, q: the smallest p * m / rank at or above each rank, at most 1."""
+    """key, p, q: the smallest p * m / rank at or above each rank, at most 1.
+
+    Equal p have one q, that of their highest rank: only distinct p are ordered, by ranges.
+    """
     size = tests.agg(F.count(F.lit(1)).alias("m"))
-    ranked = tests.join(F.broadcast(size)).withColumn("rank", F.row_number().over(Window.orderBy(p, key)))
-    upward = Window.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("m") / F.col("rank")).over(upward))).select(key, p, "q")
+    distinct = tests.groupBy(p).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_sum(distinct, p, "n", "rank").join(F.broadcast(size)).select(p, (F.col(p) * F.col("m") / F.col("rank")).alias("raw"))
+    least = running_minimum_down(ranked, p, "raw", "least").select(p, F.least(F.lit(1.0), "least").alias("q"))
+    return tests.select(key, p).join(least, p).select(key, p, "q")
 
 
 def both_ways(distances: DataFrame) -> DataFrame:

@@ -85,11 +85,13 @@ def match(left: DataFrame, right: DataFrame, most: int = 4, token: str = "token"
 
 
 def collinear(matches: DataFrame, window: int = 100_000, bucket: int = 10_000, votes: int = 10) -> DataFrame:
-    """a_pos, b_pos, collinear: within each window the fullest offset bucket is the peak; offsets within one bucket
-    of its left edge are collinear, if the window has enough votes."""
-    offset = F.col("b_pos") - F.col("a_pos")
-    marked = matches.withColumn("w", F.floor(F.col("a_pos") / window)).withColumn("offset", offset).withColumn("o", F.floor(F.col("offset") / bucket))
-    counts = marked.groupBy("w", "o").agg(F.count(F.lit(1)).alias("n"))
-    peaks = counts.groupBy("w").agg(F.max(F.struct("n", (-F.col("o")).alias("order"))).alias("best"), F.sum("n").alias("total"))
-    peak = -F.col("best.order") * bucket
-    return marked.join(peaks, "w").select("a_pos", "b_pos", ((F.col("total") >= votes) & (F.abs(F.col("offset") - peak) <= bucket)).alias("collinear"))
+    """a_pos, b_pos, collinear: within each window the fullest offset bucket is the peak (the lowest of equally full
+    ones); buckets begin at the window's smallest offset.  Offsets within one bucket of the peak's left edge are
+    collinear, if the window has enough matches."""
+    marked = matches.withColumn("w", F.floor(F.col("a_pos") / window)).withColumn("offset", F.col("b_pos") - F.col("a_pos"))
+    anchors = marked.groupBy("w").agg(F.min("offset").alias("least"), F.count(F.lit(1)).alias("total"))
+    anchored = marked.join(anchors, "w").withColumn("o", F.floor((F.col("offset") - F.col("least")) / bucket))
+    counts = anchored.groupBy("w", "o").agg(F.count(F.lit(1)).alias("n"))
+    peaks = counts.groupBy("w").agg((-F.max(F.struct("n", (-F.col("o")).alias("order")))["order"]).alias("peak"))
+    distance = F.abs(F.col("offset") - F.col("least") - F.col("peak") * bucket)
+    return anchored.join(peaks, "w").select("a_pos", "b_pos", ((F.col("total") >= votes) & (distance <= bucket)).alias("collinear"))

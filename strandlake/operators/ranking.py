@@ -5,22 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import unsigned_key
+from ..tables import materialised
 
-def dense_index(df: DataFrame, key: str, name: str, buckets: int = 32) -> DataFrame:
-    """``name`` = the 0-based rank of a unique long key, in ascending order.
 
-    Keys fall into ranges by approximate quantiles; each range is ranked by
-    itself and moved by the number of rows in the ranges before it (one row a
-    range), so no task sorts all rows.
-    """
-    df = df.persist()  # read for the ranges, their sizes and the ranks
-    bounds = df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.01) if buckets > 1 else []
+#: Rows of a range that one task sorts.
+RANGE_ROWS = 500_000
+
+
+def ranged(df: DataFrame, key: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """``df``, written once, with ``__range``: its number of the ranges of about ``rows`` rows that quantiles of ``key`` make."""
+    df = materialised(df)
+    ranges = min(4096, -(-df.count() // rows))
+    bounds = df.withColumn("__key", F.col(key).cast("double")).approxQuantile("__key", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
     cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
-    ranged = df.withColumn("__range", F.size(F.filter(cuts, lambda b: b <= F.col(key).cast("double"))))
-    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__base"))
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
-    return ranged.join(F.broadcast(before), "__range").withColumn(name, F.col("__base") + own).drop("__range", "__base")
+    return df.withColumn("__range", F.size(F.filter(cuts, lambda b: b <= F.col(key).cast("double"))))
+
+
+def running_sum(df: DataFrame, key: str, value: str, name: str, by: list[str] | None = None, rows: int = RANGE_ROWS) -> DataFrame:
+    """``name`` = the sum of ``value`` up to and with each row, in ascending order of ``key``, unique within ``by``.
+
+    Summed within ranges and moved by the sums of the ranges before (a row a range), so no task sorts all rows.
+    """
+    keys = by or []
+    cut = ranged(df, key, rows)
+    sums = cut.groupBy(*keys, "__range").agg(F.sum(value).alias("__s"))
+    before = sums.select(*keys, "__range", (F.sum("__s").over(Window.partitionBy(*keys).orderBy("__range")) - F.col("__s")).alias("__base"))
+    own = F.sum(value).over(Window.partitionBy(*keys, "__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("__own", own).join(before, [*keys, "__range"]).withColumn(name, F.col("__base") + F.col("__own")).drop("__range", "__base", "__own")
+
+
+def running_minimum_down(df: DataFrame, key: str, value: str, name: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """``name`` = the least ``value`` of the rows whose unique ``key`` is not smaller, by ranges as ``running_sum``."""
+    cut = ranged(df, key, rows)
+    least = cut.groupBy("__range").agg(F.min(value).alias("__m"))
+    later = least.select("__range", F.min("__m").over(Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)).alias("__later"))
+    own = F.min(value).over(Window.partitionBy("__range").orderBy(F.desc(key)).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("__own", own).join(later, "__range").withColumn(name, F.least("__own", "__later")).drop("__range", "__own", "__later")
+
+
+def dense_index(df: DataFrame, key: str, name: str, unsigned: bool = False, rows: int = RANGE_ROWS) -> DataFrame:
+    """``name`` = the 0-based rank of a unique long key, in ascending order (of unsigned values, if so)."""
+    numbered = df.withColumns({"__order": unsigned_key(F.col(key)) if unsigned else F.col(key), "__one": F.lit(1).cast("long")})
+    return running_sum(numbered, "__order", "__one", name, rows=rows).withColumn(name, F.col(name) - 1).drop("__order", "__one")
+
+
+def tiled_index(df: DataFrame, keys: list[str], position: str, order: list[str], name: str, tile: int = 1 << 24) -> DataFrame:
+    """``name`` = the 0-based rank within ``keys`` by (position, order): ranked within tiles of positions and moved by
+    the tiles before, so no task sorts a whole key."""
+    cut = df.withColumn("__tile", F.floor(F.col(position) / tile))
+    sizes = cut.groupBy(*keys, "__tile").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select(*keys, "__tile", (F.sum("__n").over(Window.partitionBy(*keys).orderBy("__tile")) - F.col("__n")).alias("__base"))
+    own = F.row_number().over(Window.partitionBy(*keys, "__tile").orderBy(position, *order)) - 1
+    return cut.withColumn("__own", own).join(before, [*keys, "__tile"]).withColumn(name, F.col("__base") + F.col("__own")).drop("__tile", "__base", "__own")
 
 
 def grouped_index(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:

@@ -22,9 +22,9 @@ def prevalence_counts(sketch: DataFrame, hash: str = "hash", sample: str = "samp
     """hash, n_samples, n_assemblies, n_bins; a bin holds a hash once.
 
     An assembly has one sample, so three nested partial sums replace two distinct
-    counts (which would double every row).
+    counts (which would double every row).  One shuffle by hash serves them all.
     """
-    bins = sketch.select(hash, sample, assembly, bin).distinct()
+    bins = sketch.select(hash, sample, assembly, bin).repartition(hash).distinct()
     by_assembly = bins.groupBy(hash, sample, assembly).agg(F.count(F.lit(1)).alias("n"))
     by_sample = by_assembly.groupBy(hash, sample).agg(F.count(F.lit(1)).alias("a"), F.sum("n").alias("n"))
     return by_sample.groupBy(hash).agg(F.count(F.lit(1)).alias("n_samples"), F.sum("a").alias("n_assemblies"), F.sum("n").alias("n_bins"))
@@ -59,8 +59,8 @@ def subsample(features: DataFrame, wanted: int, seed: int, hash: str = "hash") -
 
 
 def feature_index(features: DataFrame, hash: str = "hash") -> DataFrame:
-    """col_idx: the rank of a hash (non-negative, as samples of 1 in 2 or fewer keep them)."""
-    return dense_index(features, hash, "col_idx")
+    """col_idx: the rank of a hash as an unsigned number."""
+    return dense_index(features, hash, "col_idx", unsigned=True)
 
 
 def select_features(sketch: DataFrame, low: float, high: float, samples: int, min_bins: int = 2, max_features: int = 0, seed: int = 7) -> DataFrame:

@@ -14,11 +14,21 @@ from ..functions.hashing import GAMMA, MIX_1, MIX_2, hash_ceiling
 from .ranking import grouped_index
 
 
-def blocks(sequences: DataFrame, k: int, size: int, keys: list[str]) -> DataFrame:
-    """keys, pos0, block: pieces of ``size`` first bases each with the k - 1 bases that follow."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size))
-    cut = sequences.select(*keys, "seq", F.explode(starts).alias("pos0"))
-    return cut.select(*keys, F.col("pos0").cast("long"), F.substring(F.col("seq"), F.col("pos0") + 1, F.lit(size + k - 1)).alias("block"))
+#: First bases of a block.
+BLOCK = 1 << 20
+
+
+def blocks(sequences: DataFrame, k: int, size: int, keys: list[str], *more: str) -> DataFrame:
+    """keys, pos0, block (binary), more: pieces of ``size`` first bases each with the k - 1 bases that follow.
+
+    Cut from bytes, whose offsets are known, so a sequence is cut in linear time; a
+    character that isn't ASCII counts as one unknown base.
+    """
+    ascii_ = F.when(F.length("seq") == F.octet_length("seq"), F.col("seq")).otherwise(F.regexp_replace("seq", "[^\\x00-\\x7F]", "N"))
+    raw = sequences.select(*keys, *more, ascii_.cast("binary").alias("bytes"))
+    starts = F.sequence(F.lit(0), F.greatest(F.length("bytes") - 1, F.lit(0)), F.lit(size))
+    cut = raw.select(*keys, *more, "bytes", F.explode(starts).alias("pos0"))
+    return cut.select(*keys, *more, F.col("pos0").cast("long").alias("pos0"), F.substring("bytes", F.col("pos0") + 1, F.lit(size + k - 1)).alias("block"))
 
 
 def canonical_hashes(block: bytes, k: int):
@@ -58,7 +68,7 @@ def positioned_sketch(cut: DataFrame, k: int, scaled: int, keys: list[str]) -> D
             row, position, value = [], [], []
             begins = batch.column("pos0").to_pylist()
             for i, block in enumerate(batch.column("block").to_pylist()):
-                at, hashes = canonical_hashes((block or "").encode("ascii", "replace"), k)
+                at, hashes = canonical_hashes(block or b"", k)
                 kept = hashes <= np.uint64(ceiling)
                 row.append(np.full(int(kept.sum()), i))
                 position.append(at[kept] + begins[i])
@@ -74,25 +84,65 @@ def positioned_sketch(cut: DataFrame, k: int, scaled: int, keys: list[str]) -> D
     return cut.select(*keys, "pos0", "block").mapInArrow(run, schema)
 
 
-def sketch(sequences: DataFrame, k: int, bin_size: int, scaled: int, keys: list[str], block_size: int = 1 << 20) -> DataFrame:
+def sketch(sequences: DataFrame, k: int, bin_size: int, scaled: int, keys: list[str], block_size: int = BLOCK) -> DataFrame:
     """keys, start, hash: the set of kept hashes of each bin (a bin holds a hash once)."""
     placed = positioned_sketch(blocks(sequences, k, block_size, keys), k, scaled, keys)
     return placed.select(*keys, (F.floor(F.col("pos") / bin_size) * bin_size).alias("start"), "hash").distinct()
 
 
-def bin_stats(sequences: DataFrame, bin_size: int, keys: list[str]) -> DataFrame:
-    """keys, start, end, n_acgt, gc, nfrac for every bin; gc is null in a bin without bases."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(bin_size))
-    cut = sequences.where(F.length("seq") > 0).select(*keys, F.length("seq").alias("total"), "seq", F.explode(starts).alias("start"))
-    piece = F.substring(F.col("seq"), F.col("start") + 1, F.lit(bin_size))
-    counted = cut.select(*keys, "total", F.col("start").cast("long"), F.least(F.col("start") + bin_size, F.col("total")).cast("long").alias("end"), F.length(F.regexp_replace(piece, "[^ACGTUacgtu]", "")).cast("long").alias("n_acgt"), F.length(F.regexp_replace(piece, "[^GCgc]", "")).cast("long").alias("n_gc"))
-    return counted.select(*keys, "total", "start", "end", "n_acgt", F.when(F.col("n_acgt") > 0, F.col("n_gc") / F.col("n_acgt")).alias("gc"), (1 - F.col("n_acgt") / (F.col("end") - F.col("start"))).alias("nfrac"))
+def _profile(k: int, bin_size: int, size: int, keys: list[str]):
+    """Per bin of a block of whole bins: bases, G and C, and valid k-mers by their first base."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known, gc = np.zeros(256, dtype=np.int64), np.zeros(256, dtype=np.int64)
+        known[list(b"ACGTUacgtu")] = 1
+        gc[list(b"GCgc")] = 1
+        for batch in batches:
+            row, parts = [], []
+            for i, (block, total, pos0) in enumerate(zip(batch.column("block").to_pylist(), batch.column("total").to_pylist(), batch.column("pos0").to_pylist())):
+                raw = np.frombuffer(block or b"", dtype=np.uint8)
+                own = raw[:size]
+                if not len(own):
+                    continue
+                begin = np.arange(0, len(own), bin_size)
+                valid = np.concatenate([[0], np.cumsum(known[raw])])
+                ends = np.arange(k, len(raw) + 1)
+                whole = np.flatnonzero(valid[ends] - valid[ends - k] == k) if len(ends) else np.zeros(0, dtype=np.int64)
+                kmers = np.bincount(whole // bin_size, minlength=len(begin))[: len(begin)]
+                parts.append(np.stack([np.full(len(begin), total), pos0 + begin, np.minimum(pos0 + begin + bin_size, total), np.add.reduceat(known[own], begin), np.add.reduceat(gc[own], begin), kmers]))
+                row.append(np.full(len(begin), i))
+            made = np.concatenate(parts, axis=1) if parts else np.zeros((6, 0), dtype=np.int64)
+            which = pa.array(np.concatenate(row).astype(np.int64) if row else np.zeros(0, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(which) for c in keys), *(pa.array(x.astype(np.int64)) for x in made)], names=[*keys, *PROFILE])
+
+    return run
+
+
+PROFILE = ("total", "start", "end", "n_acgt", "n_gc", "n_kmers")
+
+
+def bin_profile(sequences: DataFrame, k: int, bin_size: int, keys: list[str], block_size: int = BLOCK) -> DataFrame:
+    """keys, total, start, end, n_acgt, n_gc, n_kmers for every bin, in one pass over the bases."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    size = bin_size * max(1, block_size // bin_size)
+    cut = blocks(sequences.where(F.length("seq") > 0).withColumn("total", F.length("seq").cast("long")), k, size, keys, "total")
+    schema = StructType([*(cut.schema[c] for c in keys), *(StructField(c, LongType()) for c in PROFILE)])
+    return cut.mapInArrow(_profile(k, bin_size, size, keys), schema)
+
+
+def bin_stats(sequences: DataFrame, bin_size: int, keys: list[str], k: int = 1, block_size: int = BLOCK) -> DataFrame:
+    """keys, total, start, end, n_acgt, gc, nfrac, n_kmers for every bin; gc is null in a bin without bases."""
+    made = bin_profile(sequences, k, bin_size, keys, block_size)
+    return made.select(*keys, "total", "start", "end", "n_acgt", F.when(F.col("n_acgt") > 0, F.col("n_gc") / F.col("n_acgt")).alias("gc"), (1 - F.col("n_acgt") / (F.col("end") - F.col("start"))).alias("nfrac"), "n_kmers")
 
 
-def kmer_counts(sequences: DataFrame, k: int, bin_size: int, keys: list[str], block_size: int = 1 << 20) -> DataFrame:
-    """keys, start, n_kmers: valid k-mers by the bin of their first base."""
-    every = positioned_sketch(blocks(sequences, k, block_size, keys), k, 1, keys)
-    return every.groupBy(*keys, (F.floor(F.col("pos") / bin_size) * bin_size).alias("start")).agg(F.count(F.lit(1)).alias("n_kmers"))
+def kmer_counts(sequences: DataFrame, k: int, bin_size: int, keys: list[str], block_size: int = BLOCK) -> DataFrame:
+    """keys, start, n_kmers: valid k-mers by the bin of their first base, for bins that have any."""
+    return bin_profile(sequences, k, bin_size, keys, block_size).where("n_kmers > 0").select(*keys, "start", "n_kmers")
 
 
 def keep_bins(stats: DataFrame, sketched: DataFrame, bin_size: int, keys: list[str], min_acgt: float = 0.5, min_sketch: int = 5, drop_partial: bool = True, k: int | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import enrich as en
 from ..operators import transfer as tr
+from ..operators.ranking import tiled_index
+from ..tables import materialised
 from .mappings import table
 from .registry import query, rounded
 
@@ -34,7 +36,7 @@ tests AS (SELECT grid.*, n_bins_cluster::DOUBLE / cluster_size AS frac_cluster,
 
 
 def _tests(spark, sf_dir):
-    bins = clustered(spark, sf_dir)
+    bins = materialised(clustered(spark, sf_dir))
     carries = en.carried(bins.select("bin_uid", "feature", "frac"), bins)
     return bins, carries, en.enrichment(bins, carries)
 
@@ -114,6 +116,5 @@ def heatmap(spark, sf_dir):
 
 @query(f"""WITH {CLUSTERED_SQL} SELECT chrom, bin_uid, start, row_number() OVER (PARTITION BY chrom ORDER BY start, bin_uid) - 1 AS place FROM clustered WHERE is_ref""")
 def ribbon(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return clustered(spark, sf_dir).where("is_ref").select("chrom", "bin_uid", "start", (F.row_number().over(Window.partitionBy("chrom").orderBy("start", "bin_uid")) - 1).alias("place"))
+    reference = clustered(spark, sf_dir).where("is_ref").select("chrom", "bin_uid", "start")
+    return tiled_index(reference, ["chrom"], "start", ["bin_uid"], "place", tile=100_000)

@@ -63,7 +63,7 @@ _STATS = f"""stats AS (SELECT assembly, chrom, length(seq) AS total, b.i AS star
 
 @query(f"WITH {SEQUENCES_SQL}, {_STATS}, counted AS (SELECT assembly, chrom, start, \"end\", length(replace(piece, 'N', '')) AS n_acgt, length(regexp_replace(piece, '[^GC]', '', 'g')) AS n_gc FROM stats) SELECT assembly, chrom, start, \"end\", n_acgt, CASE WHEN n_acgt > 0 THEN round(n_gc::DOUBLE / n_acgt, 6) END AS gc, round(1 - n_acgt::DOUBLE / (\"end\" - start), 6) AS nfrac FROM counted")
 def bin_base_stats(spark, sf_dir):
-    return rounded(sketch.bin_stats(sequences(spark, sf_dir), BIN, KEYS).drop("total"))
+    return rounded(sketch.bin_stats(sequences(spark, sf_dir), BIN, KEYS).drop("total", "n_kmers"))
 
 
 @query(_sql("true", f"SELECT assembly, chrom, pos // {BIN} * {BIN} AS start, count(*) AS n_kmers FROM coded GROUP BY ALL"))
@@ -80,54 +80,75 @@ def bin_keep(spark, sf_dir):
     return kept.select("assembly", "chrom", "start", "n_sketch", "row_idx")
 
 
-def _values(spark, rows, columns):
-    return spark.createDataFrame(rows, columns)
+# --- names: made from tables by expressions that both sides read, judged by the rule in SQL ----
 
+#: Names of contigs in all forms, with chromosomes 0 to 29.
+_CONTIGS = """CASE c_custkey % 13 WHEN 0 THEN 'chr' || (c_custkey % 30) WHEN 1 THEN concat(c_custkey % 30, '') WHEN 2 THEN concat('HG', c_custkey, '#1#chr', c_custkey % 30) WHEN 3 THEN 'CHRX' WHEN 4 THEN ' y ' WHEN 5 THEN 'chrMT'
+ WHEN 6 THEN concat('chr', c_custkey % 30, '_', c_name, '_random') WHEN 7 THEN concat('chr', c_custkey % 30, '_alt') WHEN 8 THEN concat('chrUn_', c_custkey) WHEN 9 THEN concat('chrX_', c_nationkey, '_fix') WHEN 10 THEN c_name WHEN 11 THEN concat('chrM_', c_custkey, '_ALT') ELSE concat('chr', c_custkey % 30, '_', c_custkey) END"""
 
-CONTIGS = ["chr1", "chrX", "CHR22", "21", "MT", "HG1#2#chr7", "HG1#2#ctg", "chrUn_KI27", "chr14_GL00_random", "chr6_alt", "scaffold_9", "chr23", "Y", " chr9 "]
-CHROMS = ["chr1", "chrX", "chr22", "chr21", "chrM", "chr7", "", "", "", "", "", "", "chrY", "chr9"]
 
+def _chrom_sql(x: str) -> str:
+    """The chromosome of a name without white space around it."""
+    core = f"regexp_replace(lower(trim(regexp_replace({x}, '^.*#', ''))), '^chr', '')"
+    return f"CASE WHEN {core} IN ('m', 'mt', 'mito', 'mtdna', 'chrmt') THEN 'chrM' WHEN {core} IN ('x', 'y') THEN 'chr' || upper({core}) WHEN regexp_full_match({core}, '0*([1-9]|1[0-9]|2[0-2])') THEN 'chr' || {core}::INT ELSE '' END"
 
-def _values_sql(columns, *lists) -> str:
-    quote = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in zip(*lists))}) t({', '.join(columns)})"
 
+_NAMED_SQL = f"named AS (SELECT c_custkey, {_CONTIGS} AS contig FROM customer), chroms AS (SELECT *, {_chrom_sql('trim(contig)')} AS chrom FROM named)"
 
-@query(_values_sql(["contig", "chrom"], CONTIGS, CHROMS))
+
+def _named(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.expr(_CONTIGS).alias("contig"))
+
+
+@query(f"WITH {_NAMED_SQL} SELECT c_custkey, contig, chrom FROM chroms")
 def chrom_normalize(spark, sf_dir):
-    return _values(spark, [(c,) for c in CONTIGS], "contig string").select("contig", names.normalize_chrom(F.col("contig")).alias("chrom"))
+    return _named(spark, sf_dir).withColumn("chrom", names.normalize_chrom(F.col("contig")))
 
 
-UCSC = ["chr1", "chr14_GL00_random", "chrUn_KI27", "chrX_fix", "chr5_alt", "ctg1"]
+_PIECE = "regexp_full_match(contig, '(?i)chr([0-9]{1,2}|[XYM]|MT)_[^ ]*_(random|alt|fix)')"
 
 
-@query(_values_sql(["ucsc", "chrom", "placed"], UCSC, ["chr1", "chr14", "", "chrX", "chr5", ""], [True, False, False, False, False, False]))
+@query(f"WITH {_NAMED_SQL} SELECT c_custkey, contig AS ucsc, CASE WHEN contig ILIKE 'chrUn\\_%' ESCAPE '\\' THEN '' WHEN {_PIECE} THEN {_chrom_sql("regexp_extract(contig, '^[^_]*')")} ELSE chrom END AS chrom, NOT contig ILIKE 'chrUn\\_%' ESCAPE '\\' AND NOT {_PIECE} AND chrom <> '' AS placed FROM chroms")
 def ucsc_placement(spark, sf_dir):
     c = F.col("ucsc")
-    return _values(spark, [(u,) for u in UCSC], "ucsc string").select("ucsc", names.ucsc_chrom(c).alias("chrom"), names.ucsc_placed(c).alias("placed"))
+    return _named(spark, sf_dir).withColumnRenamed("contig", "ucsc").withColumns({"chrom": names.ucsc_chrom(c), "placed": names.ucsc_placed(c)})
 
 
-@query(_values_sql(["contig", "chrom"], [c for c, n in zip(CONTIGS, CHROMS) if n in ("chr1", "chr7", "") and (n or c)], [n for n in CHROMS if n in ("chr1", "chr7", "")]))
+@query(f"WITH {_NAMED_SQL} SELECT c_custkey, contig, chrom FROM chroms WHERE chrom IN ('chr1', 'chr7') OR contig IN ('chr1', 'chr7', 'Customer#000000010') OR chrom = ''")
 def contig_filter(spark, sf_dir):
     named = chrom_normalize(spark, sf_dir)
-    return named.where(sketch.contig_filter(F.col("chrom"), F.col("contig"), ["chr1", "chr7"], include_unplaced=True))
+    return named.where(sketch.contig_filter(F.col("chrom"), F.col("contig"), ["chr1", "chr7", "Customer#000000010"], include_unplaced=True))
 
 
-SATELLITES = ["hor_1_1(S3C1H2-A,B)", "hor_2_1(S1C1H1L)", "dhor_1_2(x)", "active_hor(S1)", "mon_1_1(S1C1)", "gSat(TAR1)", "rDNA", "hsat1A", "hsat2_3", "bsat_21_1", "censat_1_1(rnd-6)", "censat(SST1_3)", "ct_1_1(p_arm)", "GAP", "weird", None]
-SATELLITE_CLASSES = ["asat_hor", "asat_hor_active", "asat_hor", "asat_hor_active", "asat_mon", "gsat", "rdna", "hsat1a", "hsat2", "bsat", "censat_other", "subterminal", "ct", "", "", ""]
+#: Labels, indexes and details of satellites, crossed over the parts' keys.
+_LABELS = ["hor", "dhor", "active_hor", "HSat2_3", "hsat1A", "mon", "gSat", "censat", "GAP", "weird", "rDNA", "ct", "cen", "hsat2", "beta"]
+_INDEXES = ["", "_1_1", "_X_6", "_21", ",HSat2", "_1_p"]
+_DETAILS = ["", "(S3C1H2-A,B)", "(S1C1H1L)", "(TAR1)", "(x,SST1_3)", "(hsat3)", " (rnd-6) ", "()"]
+_pick = lambda xs, n: "CASE " + " ".join(f"WHEN {n} % {len(xs)} = {i} THEN '{x}'" for i, x in enumerate(xs)) + " END"
+_SATELLITES = f"concat({_pick(_LABELS, 'p_partkey')}, {_pick(_INDEXES, 'CAST(floor(p_partkey / 15) AS INT)')}, {_pick(_DETAILS, 'CAST(floor(p_partkey / 7) AS INT)')})"
+_map_sql = lambda table: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
+_SHORT = "regexp_replace(trim(lower(t)), '(_([0-9]+|[xym]))+$', '')"
 
 
-@query(_values_sql(["name", "kind"], SATELLITES, SATELLITE_CLASSES))
+@query(f"""WITH m AS (SELECT {_map_sql(names.CENSAT_SPELLINGS)} AS m), made AS (SELECT p_partkey, {_SATELLITES} AS name FROM part),
+cut AS (SELECT *, lower(trim(regexp_replace(name, '[(].*$', ''))) AS head, CASE WHEN name LIKE '%(%' THEN lower(trim(regexp_extract(name, '[(](.*)[)]', 1))) ELSE '' END AS detail FROM made),
+heads AS (SELECT p_partkey, i, CASE WHEN map_extract_value(m, trim(t)) IS NOT NULL THEN trim(t) ELSE {_SHORT} END AS key FROM (SELECT p_partkey, unnest(string_split(head, ',')) AS t, generate_subscripts(string_split(head, ','), 1) AS i FROM cut), m WHERE trim(t) NOT IN ('gap', 'n', 'unknown', 'na', '.')),
+details AS (SELECT p_partkey, 100 + i AS i, {_SHORT} AS key FROM (SELECT p_partkey, unnest(string_split(detail, ',')) AS t, generate_subscripts(string_split(detail, ','), 1) AS i FROM cut)),
+found AS (SELECT p_partkey, arg_min(key, i) AS key, arg_min(map_extract_value(m, key), i) AS kind FROM (SELECT * FROM heads UNION ALL SELECT * FROM details), m WHERE map_extract_value(m, key) IS NOT NULL GROUP BY p_partkey)
+SELECT c.p_partkey, name, CASE WHEN key = 'hor' AND detail NOT LIKE '%,%' AND detail LIKE '%l' THEN 'asat_hor_active' WHEN kind = 'censat_other' AND regexp_matches(detail, '(^|, *)(sst1|subtelo|subterminal)') THEN 'subterminal' WHEN kind = 'censat_other' AND regexp_matches(detail, '(^|, *)(tar|gsat)') THEN 'gsat' ELSE coalesce(kind, '') END AS kind FROM cut c LEFT JOIN found USING (p_partkey)""")
 def satellite_names(spark, sf_dir):
-    return _values(spark, [(n,) for n in SATELLITES], "name string").select("name", names.censat_class(F.col("name")).alias("kind"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(_SATELLITES).alias("name")).withColumn("kind", names.censat_class(F.col("name")))
 
 
-REPEATS = [("LINE/L1", "L1"), ("DNA?", "hAT"), ("Simple_repeat", ""), ("Unknown", "SINE"), ("Low-complexity", ""), ("other", ""), ("Unspecified", "none"), ("Satellite", "centr")]
+_REPEATS = ["LINE", "SINE?", "Simple repeat", "Low-complexity", "Unknown", "other", "", "DNA/hAT", ".", "undefined", "Sat"]
+_KIND, _FAMILY = _pick(_REPEATS, "p_partkey"), _pick([*_REPEATS[1:], "L1", "LTR/ERV"], "CAST(floor(p_partkey / 11) AS INT)")
+_repeat_sql = lambda x: f"map_extract_value(m, translate(lower(trim(regexp_replace(split_part(trim({x}), '/', 1), '[?]+$', ''))), '- ', '__'))"
 
 
-@query(_values_sql(["kind", "family", "class"], [r[0] for r in REPEATS], [r[1] for r in REPEATS], ["line", "dna", "simple_repeat", "sine", "low_complexity", "", "repeat_unknown", "satellite"]))
+@query(f"WITH m AS (SELECT {_map_sql(names.REPEAT_SPELLINGS)} AS m), made AS (SELECT p_partkey, {_KIND} AS kind, {_FAMILY} AS family FROM part) SELECT p_partkey, kind, family, coalesce({_repeat_sql('kind')}, nullif({_repeat_sql('family')}, 'repeat_unknown'), '') AS class FROM made, m")
 def repeat_names(spark, sf_dir):
-    return _values(spark, REPEATS, "kind string, family string").select("kind", "family", names.repeat_class(F.col("kind"), F.col("family")).alias("class"))
+    made = table(spark, sf_dir, "part").select("p_partkey", F.expr(_KIND).alias("kind"), F.expr(_FAMILY).alias("family"))
+    return made.withColumn("class", names.repeat_class(F.col("kind"), F.col("family")))
 
 
 @query("SELECT n_name AS alias, min(n_nationkey) AS first_key FROM (SELECT n_name, n_nationkey FROM nation UNION ALL SELECT upper(r_name), r_regionkey FROM region) GROUP BY 1")
@@ -138,9 +159,12 @@ def alias_first(spark, sf_dir):
     return ranking.first_by(all_, ["alias"], [F.col("first_key")])
 
 
-@query(_values_sql(["uri", "url"], ["s3://bucket/a/b.fa", "https://x/y", "s3://bucket", "NA", None], ["https://bucket.s3.amazonaws.com/a/b.fa", "https://x/y", "", "", ""]))
+_URIS = "CASE doc_id % 6 WHEN 0 THEN concat('s3://', source, '/', doc_id, '.fa') WHEN 1 THEN concat('https://', source, '/', lang) WHEN 2 THEN concat('s3://', source) WHEN 3 THEN 'NA' WHEN 4 THEN concat(' s3://', lang, '/a/', doc_id, ' ') ELSE concat('ftp://', source) END"
+
+
+@query(f"SELECT doc_id, uri, CASE WHEN regexp_full_match(trim(uri), 's3://[^/]+/.+') THEN 'https://' || split_part(trim(uri), '/', 3) || '.s3.amazonaws.com/' || substr(trim(uri), length(split_part(trim(uri), '/', 3)) + 7) WHEN trim(uri) LIKE 'http%://%' THEN trim(uri) ELSE '' END AS url FROM (SELECT doc_id, {_URIS} AS uri FROM documents)")
 def s3_urls(spark, sf_dir):
-    return _values(spark, [(u,) for u in ("s3://bucket/a/b.fa", "https://x/y", "s3://bucket", "NA", None)], "uri string").select("uri", names.s3_to_https(F.col("uri")).alias("url"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_URIS).alias("uri")).withColumn("url", names.s3_to_https(F.col("uri")))
 
 
 @query("SELECT p_type AS raw, regexp_replace(p_type, '[^A-Za-z0-9._-]+', '_', 'g') AS safe, count(*) AS n FROM part GROUP BY 1")

@@ -240,6 +240,6 @@ def token_match(spark, sf_dir):
     return _matches(spark, sf_dir)
 
 
-@query(f"{_MATCH}, m AS (SELECT *, a_pos // 100000 AS w, b_pos - a_pos AS o, CAST(floor((b_pos - a_pos) / 10000.0::DOUBLE) AS BIGINT) AS k FROM matches), c AS (SELECT w, k, count(*) AS n FROM m GROUP BY ALL), p AS (SELECT w, k, sum(n) OVER (PARTITION BY w) AS total, row_number() OVER (PARTITION BY w ORDER BY n DESC, k) AS r FROM c) SELECT a_pos, b_pos, total >= 10 AND abs(o - p.k * 10000) <= 10000 AS collinear FROM m JOIN p ON p.w = m.w AND p.r = 1")
+@query(f"{_MATCH}, m AS (SELECT *, a_pos // 100000 AS w, b_pos - a_pos AS o, min(b_pos - a_pos) OVER (PARTITION BY a_pos // 100000) AS least, count(*) OVER (PARTITION BY a_pos // 100000) AS total FROM matches), c AS (SELECT w, (o - least) // 10000 AS k, count(*) AS n FROM m GROUP BY ALL), p AS (SELECT w, k, row_number() OVER (PARTITION BY w ORDER BY n DESC, k) AS r FROM c) SELECT a_pos, b_pos, total >= 10 AND abs(o - least - p.k * 10000) <= 10000 AS collinear FROM m JOIN p ON p.w = m.w AND p.r = 1")
 def collinear(spark, sf_dir):
     return po.collinear(_matches(spark, sf_dir))
