@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,24 +19,23 @@ def lgamma(x: Column) -> Column:
     return series - F.log(product)
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    n, k = n.cast("double"), k.cast("double")
-    return lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0)
-
+#: Terms summed one by one; wider sums are integrated over ``NODES`` intervals.
+MOST_TERMS, NODES = 4000, 1024
+#: -log10 of what stands for a probability of zero.
+NO_CHANCE = -math.log10(2.2250738585072014e-308)
 
-def _chain(first: Column, terms: Column, ratio, direction: int) -> Column:
-    """p1 + p1 p2 + ... of ``terms`` terms, with p = ratio(j) for j from ``first`` in steps of ``direction``."""
-    step = lambda acc, j: F.struct((acc["p"] * ratio(j)).alias("p"), (acc["s"] + acc["p"] * ratio(j)).alias("s"))
-    start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("s"))
-    steps = F.sequence(first, first + direction * (terms - 1), F.lit(direction).cast("long"))
-    return F.when(terms > 0, F.aggregate(steps, start, step, lambda acc: acc["s"])).otherwise(F.lit(0.0))
 
+def _log_gamma(x):
+    """ln Gamma of an array of x >= 1, by the series of ``lgamma``."""
+    import numpy as np
 
-#: Terms summed one by one; wider sums are integrated over ``NODES`` intervals.
-MOST_TERMS, NODES = 4000, 1024
+    z, product = x + 7.0, x
+    for i in range(1, 7):
+        product = product * (x + i)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(product)
 
 
-def neg_log10_hypergeom_tail(k: Column, total: Column, marked: Column, drawn: Column) -> Column:
+def hypergeom_tail(k: int, total: int, marked: int, drawn: int) -> float:
     """-log10 P[X >= k] for ``drawn`` of ``total`` with ``marked`` marked; never negative.
 
     The largest term comes from log-gammas; the others follow from it by ratios
@@ -45,30 +45,48 @@ def neg_log10_hypergeom_tail(k: Column, total: Column, marked: Column, drawn: Co
     bins - are Simpson integrals over that range with Euler-Maclaurin ends, so a
     test costs a bounded number of operations, whatever the counts.
     """
-    n, big, hit = (c.cast("double") for c in (drawn, total, marked))
-    least = F.greatest(k, drawn + marked - total, F.lit(0).cast("long"))
-    most = F.least(drawn, marked)
-    mode = F.least(most, F.greatest(least, F.floor((n + 1) * (hit + 1) / (big + 2)).cast("long")))
-    rise = lambda j: (hit - j) * (n - j) / ((j + 1.0) * (big - hit - n + j + 1.0))
-    fall = lambda j: j * (big - hit - n + j) / ((hit - j + 1.0) * (n - j + 1.0))
-    spread = F.sqrt(n * (hit / big) * (1 - hit / big) * (big - n) / F.greatest(big - 1, F.lit(1.0)))
-    rate = -F.log(F.greatest(F.least(rise(mode.cast("double")), F.lit(1.0)), F.lit(1e-300)))
-    wide = F.least(12 * spread, F.when(rate > 0, 40 / rate).otherwise(12 * spread)) + 60
-    up, down = F.least(most - mode, wide.cast("long")), F.least(mode - least, (12 * spread + 60).cast("long"))
-    log_term = lambda j: log_choose(marked, j) + log_choose(total - marked, drawn - j) - log_choose(total, drawn)
-    peak = log_term(mode)
-    exact = 1.0 + _chain(mode, up, rise, 1) + _chain(mode, down, fall, -1)
-    first, last = (mode - down).cast("double"), (mode + up).cast("double")
-    step = (last - first) / NODES
-    term = lambda x: F.exp(log_term(x) - peak)
-    weight = lambda i: F.when((i == 0) | (i == NODES), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-    integral = F.aggregate(F.sequence(F.lit(0), F.lit(NODES)), F.lit(0.0), lambda acc, i: acc + weight(i) * term(first + i * step)) * step / 3
-    slope = lambda x: (term(x + 1) - term(x - 1)) / 2
-    inner = lambda x: (x > F.greatest(drawn + marked - total, F.lit(0)).cast("double") + 1) & (x < most.cast("double") - 1)
-    ends = (term(first) + term(last)) / 2 + F.when(inner(first) & inner(last), (slope(last) - slope(first)) / 12).otherwise(0.0)
-    summed = F.when(up + down <= MOST_TERMS, exact).otherwise(integral + ends)
-    tail = peak + F.log(summed)
-    return F.when(least > most, F.lit(-math.log10(2.2250738585072014e-308))).otherwise(F.greatest(-tail / math.log(10), F.lit(0.0)))
+    import numpy as np
+
+    lowest, most = max(drawn + marked - total, 0), min(marked, drawn)
+    least = max(k, lowest)
+    if least > most:
+        return NO_CHANCE
+    mode = min(most, max(least, (drawn + 1) * (marked + 1) // (total + 2)))
+    rise = lambda j: (marked - j) * (drawn - j) / ((j + 1.0) * (total - marked - drawn + j + 1.0))
+    fall = lambda j: j * (total - marked - drawn + j) / ((marked - j + 1.0) * (drawn - j + 1.0))
+    share = marked / max(total, 1)
+    spread = math.sqrt(drawn * share * (1 - share) * (total - drawn) / max(total - 1, 1))
+    ratio = rise(float(mode))
+    wide = min(12 * spread, 40 / -math.log(ratio)) if 0 < ratio < 1 else 12 * spread
+    up, down = min(most - mode, int(wide) + 60), min(mode - least, int(12 * spread) + 60)
+
+    def logs(x):
+        parts = [(marked, x), (total - marked, drawn - x)]
+        return sum(_log_gamma(n + 1.0) - _log_gamma(j + 1.0) - _log_gamma(n - j + 1.0) for n, j in parts)
+
+    peak = float(logs(np.array([mode], dtype=float))[0])
+    if up + down <= MOST_TERMS:
+        above = np.cumprod(rise(np.arange(mode, mode + up, dtype=float))).sum()
+        summed = 1.0 + above + np.cumprod(fall(np.arange(mode, mode - down, -1, dtype=float))).sum()
+    else:
+        first, last = float(mode - down), float(mode + up)
+        x = np.linspace(first, last, NODES + 1)
+        f = np.exp(logs(x) - peak)
+        summed = (f[0] + f[-1] + 4 * f[1::2].sum() + 2 * f[2:-1:2].sum()) * (last - first) / NODES / 3 + (f[0] + f[-1]) / 2
+        if first > lowest and last < most:  # slopes at the ends
+            before, after = np.exp(logs(np.array([first - 1, last - 1])) - peak), np.exp(logs(np.array([first + 1, last + 1])) - peak)
+            summed += ((after - before)[1] - (after - before)[0]) / 24
+    whole = float(_log_gamma(np.array([total + 1.0]))[0] - _log_gamma(np.array([drawn + 1.0]))[0] - _log_gamma(np.array([total - drawn + 1.0]))[0])
+    return max(0.0, -(peak - whole + math.log(summed)) / math.log(10))
+
+
+def neg_log10_hypergeom_tail(k: Column, total: Column, marked: Column, drawn: Column) -> Column:
+    """``hypergeom_tail`` of each row (in Arrow batches; the number of operations a row is bounded)."""
+    @F.pandas_udf("double")
+    def tails(k: pd.Series, total: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
+        return pd.Series([hypergeom_tail(*map(int, row)) for row in zip(k, total, marked, drawn)], dtype=float)
+
+    return tails(k.cast("long"), total.cast("long"), marked.cast("long"), drawn.cast("long"))
 
 
 def log_no_reference(total: Column, reference: Column, size: Column) -> Column:

@@ -183,6 +183,26 @@ def fuzzy_graph(neighbours: DataFrame, k: int, id: str = "id") -> DataFrame:
     return sums.select("a", "b", F.when(F.col("n") > 1, F.col("s") - F.col("product")).otherwise(F.col("s")).alias("weight"))
 
 
+def spectral_start(n: int, a, b, w, dimensions: int, random, rounds: int = 200):
+    """Positions within 10 of the origin: the leading eigenvectors of the normalised graph after the constant one,
+    by orthogonal iteration over its edges, with a little noise."""
+    degree = np.bincount(a, w, n) + np.bincount(b, w, n)
+    root = np.sqrt(np.maximum(degree, 1e-12))
+    scaled = w / root[a] / root[b]
+
+    def spread(v):
+        return v + np.stack([np.bincount(a, scaled * v[b, c], n) + np.bincount(b, scaled * v[a, c], n) for c in range(v.shape[1])], axis=1)
+
+    v = np.column_stack([root, random.normal(size=(n, min(dimensions + 2, n - 1)))])
+    for _ in range(rounds):
+        v = np.linalg.qr(spread(v))[0]
+    values, vectors = np.linalg.eigh(v.T @ spread(v))
+    found = (v @ vectors[:, ::-1])[:, 1 : dimensions + 1]
+    if found.shape[1] < dimensions:
+        found = np.column_stack([found, np.zeros((n, dimensions - found.shape[1]))])
+    return 10 * found / np.maximum(np.abs(found).max(axis=0), 1e-12) + random.normal(scale=1e-4, size=(n, dimensions))
+
+
 def layout(vectors: DataFrame, k: int = 30, min_dist: float = 0.05, metric: str = "cosine", dimensions: int = 2, epochs: int = 200, seed: int = 7, id: str = "id", vector: str = "vector", max_fit_rows: int = 400_000) -> DataFrame:
     """id, position: attraction along the fuzzy graph, repulsion from random points, from a spread start.
 
@@ -205,7 +225,7 @@ def layout(vectors: DataFrame, k: int = 30, min_dist: float = 0.05, metric: str
     if n < 3:
         return spark.createDataFrame([(int(i), [float(np.cos(2 * np.pi * j / max(n, 1))), float(np.sin(2 * np.pi * j / max(n, 1)))]) for j, i in enumerate(ids)], f"{id} long, position array<double>")
     k = max(2, min(k, n - 1))
-    edges = fuzzy_graph(nearest_neighbours(vectors, k, metric, id, vector), k, id).toPandas()
+    edges = fuzzy_graph(nearest_neighbours(vectors, k, metric, id, vector), k, id).toPandas().sort_values(["a", "b"])  # the draws below follow this order
     place = {int(i): j for j, i in enumerate(ids)}
     a, b = edges["a"].map(place).to_numpy(), edges["b"].map(place).to_numpy()
     w = edges["weight"].to_numpy()
@@ -215,15 +235,7 @@ def layout(vectors: DataFrame, k: int = 30, min_dist: float = 0.05, metric: str
     candidates = [(float(((1 / (1 + x * grid ** (2 * y)) - want) ** 2).sum()), x, y) for x in np.linspace(0.5, 3, 26) for y in np.linspace(0.5, 1.5, 21)]
     _, alpha, beta = min(candidates)
     random = np.random.default_rng(seed)
-    p = random.normal(scale=1e-4, size=(n, dimensions))
-    degree = np.zeros((n, n)) if n <= 2000 else None
-    if degree is not None:  # spectral start
-        degree[a, b] = degree[b, a] = w
-        root = np.sqrt(np.maximum(degree.sum(axis=1), 1e-12))
-        vectors_ = np.linalg.eigh(np.eye(n) - degree / root[:, None] / root[None, :])[1][:, 1 : dimensions + 1]
-        p = 10 * vectors_ / np.abs(vectors_).max() + p
-    else:
-        p = random.uniform(-10, 10, (n, dimensions))
+    p = spectral_start(n, a, b, w, dimensions, random)
     for epoch in range(epochs):
         rate = 1 - epoch / epochs
         hit = random.random(len(w)) < w / w.max()

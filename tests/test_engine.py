@@ -229,3 +229,81 @@ def test_planted_satellites_share_a_cluster(spark, tmp_path):
     names = {r.cluster: r.name for r in run.read("cluster_names").collect()}
     assert names[top] == f"C{top} asat_hor_active"
     assert all(s["cached"] for s in run.run().values())
+
+
+def test_profile_takes_time_in_proportion(spark):
+    """Bases are cut from bytes: four times the contig takes about four times as long, not sixteen times."""
+    import time
+
+    unit = _sequence(5, 1 << 20)
+    seconds = []
+    for copies in (1, 8, 32):
+        one = spark.createDataFrame([("a", copies)], "assembly string, copies int").select("assembly", F.expr(f"repeat('{unit}', copies)").alias("seq"))
+        began = time.time()
+        found = sketch.bin_profile(one, 31, 10_000, ["assembly"]).agg(F.count(F.lit(1)), F.sum("n_acgt"), F.sum("n_kmers")).first()
+        seconds.append(time.time() - began)
+        total = copies << 20
+        assert list(found) == [-(-total // 10_000), total, total - 30]
+    assert seconds[2] < 8 * max(seconds[1], 1.0), seconds
+
+
+def test_hypergeometric_tails_of_small_and_huge_counts(spark):
+    import math
+    from fractions import Fraction
+
+    def exact(k, total, marked, drawn):
+        tail = sum(math.comb(marked, j) * math.comb(total - marked, drawn - j) for j in range(max(k, drawn + marked - total, 0), min(marked, drawn) + 1))
+        p = Fraction(tail, math.comb(total, drawn))
+        return max(0.0, -(math.log10(p.numerator) - math.log10(p.denominator))) if p else 307.6526555685887
+
+    small = [(3, 50, 10, 12), (0, 20, 5, 5), (5, 20, 5, 5), (6, 20, 5, 5), (40, 5000, 300, 200), (12, 5000, 300, 200), (9, 10, 9, 10), (700, 9000, 3000, 2000)]
+    # wide distributions, against sums of all terms by their logs
+    huge = [(250_000, 10**6, 500_000, 500_000), (252_000, 10**6, 500_000, 500_000), (248_500, 10**6, 500_000, 500_000), (400_000, 10**6, 500_000, 500_000), (26_000, 10**6, 50_000, 500_000)]
+
+    def by_logs(k, total, marked, drawn):
+        x = np.arange(max(k, drawn + marked - total, 0), min(marked, drawn) + 1, dtype=float)
+        lg = np.vectorize(math.lgamma)
+        terms = lg(marked + 1.0) - lg(x + 1) - lg(marked - x + 1) + lg(total - marked + 1.0) - lg(drawn - x + 1) - lg(total - marked - drawn + x + 1) - (lg(total + 1.0) - lg(drawn + 1.0) - lg(total - drawn + 1.0))
+        return max(0.0, -(terms.max() + math.log(np.exp(terms - terms.max()).sum())) / math.log(10))
+
+    rows = [(*c, exact(*c)) for c in small] + [(*c, float(by_logs(*c))) for c in huge] + [(5 * 10**8 + 10**6, 2 * 10**9, 10**9, 10**9, None)]
+    df = spark.createDataFrame(rows, "k long, total long, marked long, drawn long, want double")
+    for r in df.withColumn("got", stats.neg_log10_hypergeom_tail(*(F.col(c) for c in ("k", "total", "marked", "drawn")))).collect():
+        assert r.got > 0 if r.want is None else r.got == pytest.approx(r.want, rel=1e-6, abs=1e-6), r
+
+
+def test_merging_over_tiles(spark):
+    rnd = random.Random(3)
+    rows = [("c", rnd.choice("xy"), s, s + rnd.choice([0, 1, 5, 40, 700])) for s in (rnd.randint(-5, 3000) for _ in range(150))]
+    track = spark.createDataFrame(rows, "contig string, feature string, start long, end long")
+    want = {f: set() for f in "xy"}
+    for _, f, s, e in rows:
+        want[f] |= set(range(max(s, 0), max(e, 0)))
+    for tile in (7, 100, 1 << 20):
+        found = [(r.feature, r.start, r.end) for r in intervals.merge_intervals(track, ["contig", "feature"], tile).collect()]
+        assert sum(e - s for _, s, e in found) == sum(map(len, want.values()))
+        assert all({b for g, s, e in found if g == f for b in range(s, e)} == want[f] for f in "xy")
+        points = track.select("contig", "feature", F.col("start").alias("at")).distinct()
+        for r in intervals.prefix_coverage(points, track, ["contig", "feature"], tile=tile).collect():
+            assert r.below == sum(b < r.at for b in want[r.feature])
+
+
+def test_ranks_over_ranges(spark):
+    from strandlake.operators import population, ranking
+
+    rnd = random.Random(9)
+    keys = [rnd.getrandbits(64) - (1 << 63) for _ in range(500)] + [0, -1, (1 << 63) - 1, -(1 << 63)]
+    df = spark.createDataFrame([(k,) for k in keys], "hash long")
+    for unsigned in (True, False):
+        order = sorted(keys, key=lambda k: k % (1 << 64) if unsigned else k)
+        got = {r.hash: r.i for r in ranking.dense_index(df, "hash", "i", unsigned, rows=37).collect()}
+        assert got == {k: i for i, k in enumerate(order)}
+    assert [r.col_idx for r in select.feature_index(spark.createDataFrame([(-3,), (5,), (7,)], "hash long")).orderBy(F.col("hash") < 0, "hash").collect()] == [0, 1, 2]
+    p = [rnd.choice([0.001, 0.2, 0.2, 0.04, rnd.random()]) for _ in range(200)]
+    tests = spark.createDataFrame(list(enumerate(p)), "t int, p double")
+    got = {r.t: r.q for r in population.benjamini_hochberg(tests, "t").collect()}
+    falling = sorted(range(200), key=lambda i: -p[i])
+    least = 1.0
+    for place, i in enumerate(falling):
+        least = min(least, p[i] * 200 / sum(x <= p[i] for x in p))
+        assert got[i] == pytest.approx(least)
