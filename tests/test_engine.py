@@ -307,3 +307,62 @@ def test_ranks_over_ranges(spark):
     for place, i in enumerate(falling):
         least = min(least, p[i] * 200 / sum(x <= p[i] for x in p))
         assert got[i] == pytest.approx(least)
+
+
+def test_principal_coordinates_keep_distances(spark):
+    from strandlake.operators import grouptests
+
+    x = np.random.default_rng(4).normal(size=(9, 3)) * [3, 2, 1]
+    pairs = spark.createDataFrame([(f"u{i}", f"u{j}", float(np.linalg.norm(x[i] - x[j]))) for i in range(9) for j in range(i + 1, 9)], "a string, b string, distance double")
+    rows, explained = grouptests.pcoa(pairs, 3)
+    c = {r.unit: np.array(r.coordinates) for r in rows.collect()}
+    assert all(np.linalg.norm(c[r.a] - c[r.b]) == pytest.approx(r.distance) for r in pairs.collect())
+    variance = np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2
+    assert explained == pytest.approx((variance / variance.sum()).tolist())
+    with pytest.raises(ValueError, match="more than 4 units"):
+        grouptests.pcoa(pairs, 3, most_units=4)
+
+
+def test_size_matched_draws(spark):
+    from strandlake.operators import grouptests
+
+    rnd = random.Random(2)
+    rows = [(i, rnd.randint(1, 500), i % 5 == 0) for i in range(60)]
+    sizes = spark.createDataFrame(rows, "cluster long, size long, is_target boolean")
+    size = {c: s for c, s, _ in rows}
+    draws = {}
+    for r in grouptests.size_matched(sizes, 4, 3).collect():
+        draws.setdefault(r.draw, {})[r.target] = r.cluster
+    assert set(draws) == {1, 2, 3, 4}
+    for number, chosen in draws.items():
+        assert set(chosen) == {c for c, _, t in rows if t} and len(set(chosen.values())) == len(chosen) and not any(c % 5 == 0 for c in chosen.values())
+        free = sorted((c for c, _, t in rows if not t), key=lambda c: (size[c], c))
+        targets = sorted(chosen)
+        for t in np.random.default_rng((3, number)).permutation(len(targets)):
+            best = min(free, key=lambda c: abs(np.log1p(size[c]) - np.log1p(size[targets[t]])))
+            assert chosen[targets[t]] == best
+            free.remove(best)
+    few = spark.createDataFrame([(0, 5, True), (1, 5, True), (2, 7, False)], "cluster long, size long, is_target boolean")
+    assert grouptests.size_matched(few, 1).count() == 1
+
+
+def test_planted_groups_are_significant(spark):
+    from strandlake.operators import grouptests
+
+    rng = np.random.default_rng(5)
+    units = [(f"u{i:02d}", f"d{i // 2:02d}", "ab"[i // 2 % 2]) for i in range(24)]
+    values = [(u, c, float(rng.normal() + (3 if g == "a" and c < 3 else 0))) for u, _, g in units for c in range(8)]
+    groups = spark.createDataFrame(units, "unit string, block string, grp string")
+    table = spark.createDataFrame(values, "unit string, cluster long, value double")
+    pairs = grouptests.euclidean(table)
+    labels = grouptests.permuted_labels(groups, 30, 1)
+    by = {}
+    for r in labels.collect():
+        by.setdefault(r.perm, {})[r.unit] = r.grp
+    blocks = {u: b for u, b, _ in units}
+    assert len(by) == 31 and all(sorted(x.values()) == sorted(g for _, _, g in units) for x in by.values())
+    assert all(len({(blocks[u], g) for u, g in x.items()}) == 12 for x in by.values()) and len({tuple(sorted(x.items())) for x in by.values()}) > 25
+    found = grouptests.permanova(pairs, groups, 99, 1).first()
+    assert found.p <= 0.02 and found.r2_excess > 0.1 and (found.n_units, found.n_groups) == (24, 2)
+    tested = {r.cluster: r for r in grouptests.column_tests(table, groups, 99, 1).collect()}
+    assert all((tested[c].p_fwer <= 0.05) == (c < 3) for c in range(8)) and all(r.p_fwer >= r.p_perm for r in tested.values())
