@@ -133,6 +133,17 @@ def t_tail(t: float, d: float) -> float:
     return incomplete_beta(d / 2, 0.5, d / (d + t * t))
 
 
+def t_quantile(q: float, d: float) -> float:
+    """The value that Student's t exceeds with probability 1 - q (q of 0.5 or more), by bisection."""
+    low, high = 0.0, 1.0
+    while t_tail(high, d) / 2 > 1 - q:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if t_tail(middle, d) / 2 > 1 - q else (low, middle)
+    return (low + high) / 2
+
+
 def chi2_tail(x: float, d: float) -> float:
     """Upper incomplete gamma ratio, by series or continued fraction."""
     a, x = d / 2, x / 2

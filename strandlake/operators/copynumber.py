@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import mix64, unsigned_key, wrapping
+from ..tables import materialised
 from .ranking import running_sum
 
 MEGABASE = 1_000_000.0
@@ -80,3 +82,122 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     n = F.col("n")
     raw = 12.0 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
     return total.join(F.broadcast(ties)).select((raw / (1 - F.col("ties") / (n * n * n - n))).alias("h"), "groups", n.cast("long").alias("n"))
+
+
+def label_source(bins: DataFrame, annotated: str = "annotated", feature: str = "feature", inferred: str = "inferred_feature") -> DataFrame:
+    """source, column, cohort, labelled, reference: labels of the assemblies' bins come from annotations if any of them has
+    one there, else from what was inferred."""
+    other = ~F.col("is_ref")
+    named = F.col(annotated) & ~F.coalesce(F.col(feature), F.lit("")).isin("", "unannotated")
+    guessed = F.coalesce(F.col(inferred), F.lit("")) != ""
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    seen = bins.agg(count(other).alias("cohort"), count(named & other).alias("own"), count(guessed & other).alias("guessed"), count(F.col("is_ref")).alias("reference"))
+    own = F.col("own") > 0
+    return seen.select(F.when(own, "annotations").otherwise("inferred").alias("source"), F.when(own, feature).otherwise(inferred).alias("column"), "cohort", F.when(own, F.col("own")).otherwise(F.col("guessed")).alias("labelled"), "reference")
+
+
+def phasing(haplotype):
+    """How an assembly's haplotypes were told apart, by their names."""
+    return F.when(haplotype.isin("mat", "pat"), "mat/pat").otherwise("hap1/hap2")
+
+
+def concordance(values: DataFrame, units: DataFrame, permutations: int = 199, seed: int = 7) -> DataFrame:
+    """feature, n_pairs, concordance, p_similar, p_different: do the two units of a donor agree?
+
+    ``values``: unit, feature, value (absent: 0); ``units``: unit, block (donor), stratum.  The statistic
+    enters each pair in both orders.  The null pairs units anew within strata, an odd one out;
+    its order is a mixed hash of (seed, permutation, unit's place).
+    """
+    features = values.select("feature").distinct()
+    grid = units.select("unit").join(F.broadcast(features)).join(values, ["unit", "feature"], "left").select("unit", "feature", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("x"))
+    scale = grid.groupBy("feature").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"), F.var_pop("x").alias("v")).where("sd > 0")
+    centred = materialised(grid.join(scale, "feature").select("unit", "feature", ((F.col("x") - F.col("m")) / F.sqrt("v")).alias("z")))
+    two = units.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("unit").alias("a"), F.max("unit").alias("b")).where("n = 2")
+    coded = units.withColumn("code", F.row_number().over(Window.orderBy("unit")).cast("long") - 1)  # a row a unit
+    with wrapping(values.sparkSession):
+        spread = coded.withColumn("perm", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(permutations).cast("long"))))
+        order = unsigned_key(mix64(F.lit(seed).cast("long").bitwiseXOR(F.col("perm") * 1_000_003 + F.col("code"))))
+        placed = spread.withColumn("place", F.row_number().over(Window.partitionBy("perm", "stratum").orderBy(order, "code")) - 1)
+    drawn = placed.groupBy("perm", "stratum", F.floor(F.col("place") / 2).alias("pair")).agg(F.count(F.lit(1)).alias("n"), F.min("unit").alias("a"), F.max("unit").alias("b")).where("n = 2")
+    pairs = drawn.select("perm", "a", "b").unionByName(two.select(F.lit(0).cast("long").alias("perm"), "a", "b"))
+    left, right = centred.toDF("a", "feature", "x"), centred.toDF("b", "feature", "y")
+    means = materialised(pairs.join(left, "a").join(right, ["b", "feature"]).groupBy("perm", "feature").agg(F.avg(F.col("x") * F.col("y")).alias("r"), F.count(F.lit(1)).alias("n_pairs")))
+    seen = means.where("perm = 0").select("feature", F.col("r").alias("concordance"), "n_pairs")
+    null = means.where("perm > 0").select("feature", "r").join(seen, "feature")
+    share = lambda c: F.avg(c.cast("int"))
+    return null.groupBy("feature", "n_pairs", "concordance").agg(share(F.col("r") >= F.col("concordance") - 1e-9).alias("p_similar"), share(F.col("r") <= F.col("concordance") + 1e-9).alias("p_different"))
+
+
+def donor_means(values: DataFrame, units: DataFrame) -> DataFrame:
+    """block, grp, stratum, feature, value: the mean over a donor's units, absent values as 0."""
+    grid = units.join(F.broadcast(values.select("feature").distinct())).join(values, ["unit", "feature"], "left")
+    return grid.groupBy("block", "grp", "stratum", "feature").agg(F.avg(F.coalesce(F.col("value").cast("double"), F.lit(0.0))).alias("value"))
+
+
+def group_effects(rows: list[tuple[float, str, str]]) -> tuple[list[tuple], dict[str, float]]:
+    """Least squares of y on a group and a covariate (rows: y, group, covariate), levels as deviations from the grand mean.
+
+    Terms (name, effect, se, low, high, t, p), a covariate's name in brackets, for every level that
+    the rows have; and f, p and dof of the groups after the covariate.
+    """
+    import numpy as np
+
+    from ..functions.stats import f_tail, t_quantile, t_tail
+
+    y = np.array([r[0] for r in rows], dtype=float)
+
+    def coded(at):
+        levels = sorted({r[at] for r in rows})
+        which = np.array([levels.index(r[at]) for r in rows])
+        return levels, np.vstack([np.eye(len(levels) - 1), -np.ones(len(levels) - 1)])[which]
+
+    (groups, g), (covariates, c) = coded(1), coded(2)
+    design = np.column_stack([np.ones(len(y)), g, c])
+    inverse = np.linalg.pinv(design.T @ design)
+    beta = inverse @ design.T @ y
+    left = y - design @ beta
+    dof = len(y) - int(np.linalg.matrix_rank(design))
+    variance = float(left @ left) / max(dof, 1)
+    critical = t_quantile(0.975, dof)
+    terms = []
+    one = np.zeros(len(beta))
+    one[0] = 1
+    wanted = [("(mean)", one)]
+    for levels, first, shown in ((groups, 1, "{}"), (covariates, len(groups), "[{}]")):
+        for i, level in enumerate(levels):
+            vector = np.zeros(len(beta))
+            vector[first : first + len(levels) - 1] = -1.0 if i == len(levels) - 1 else 0.0
+            if i < len(levels) - 1:
+                vector[first + i] = 1.0
+            wanted.append((shown.format(level), vector))
+    for name, vector in wanted:
+        effect, se = float(vector @ beta), float(np.sqrt(max(0.0, vector @ inverse @ vector * variance)))
+        t = effect / se if se > 0 else float("inf")
+        terms.append((name, effect, se, effect - critical * se, effect + critical * se, t, t_tail(t, dof) if se > 0 else 0.0))
+    reduced = np.column_stack([np.ones(len(y)), c])
+    rest = y - reduced @ np.linalg.lstsq(reduced, y, rcond=None)[0]
+    f = ((float(rest @ rest) - float(left @ left)) / max(len(groups) - 1, 1)) / max(variance, 1e-300)
+    return terms, {"f": f, "p": f_tail(f, len(groups) - 1, dof), "dof": dof}
+
+
+def adjusted_effects(means: DataFrame) -> DataFrame:
+    """feature, grand_mean, f, p, p_bonferroni, dof: groups after the stratum, for each feature of ``donor_means`` that varies.
+
+    A feature's donors are one group of rows (a cohort).
+    """
+    def fit(pdf):
+        import pandas as pd
+
+        if pdf["value"].nunique() < 2 or pdf["grp"].nunique() < 2:
+            return pd.DataFrame({"feature": [], "grand_mean": [], "f": [], "p": [], "dof": []})
+        _, found = group_effects(list(zip(pdf["value"], pdf["grp"], pdf["stratum"])))
+        return pd.DataFrame([(pdf["feature"].iloc[0], float(pdf["value"].mean()), found["f"], found["p"], found["dof"])], columns=["feature", "grand_mean", "f", "p", "dof"])
+
+    fitted = materialised(means.groupBy("feature").applyInPandas(fit, "feature string, grand_mean double, f double, p double, dof long"))
+    tested = fitted.agg(F.count(F.lit(1)).alias("tests"))
+    return fitted.join(F.broadcast(tested)).select("feature", "grand_mean", "f", "p", F.least(F.lit(1.0), F.col("p") * F.col("tests")).alias("p_bonferroni"), "dof")
+
+
+def crossing(units: DataFrame) -> DataFrame:
+    """stratum, grp, donors: how groups and strata cross."""
+    return units.select("block", "grp", "stratum").distinct().groupBy("stratum", "grp").agg(F.count(F.lit(1)).alias("donors"))

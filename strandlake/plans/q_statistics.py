@@ -105,10 +105,171 @@ def place_pairs(spark, sf_dir):
     return nv.place_pairs(clustered(spark, sf_dir))
 
 
-@query()
+def _shuffle_sql(source: str, block: str, seed: int, permutations: int, name: str) -> str:
+    """CTE ``name``: perm and the bins of ``source`` with chrom dealt anew within ``block``."""
+    key = mix_sql(f"xor({seed}::UHUGEINT, (perm * 1000000007 + start)::UHUGEINT)")
+    return f"""{name}_m AS (SELECT {block}, perm, chrom, row_number() OVER (PARTITION BY {block}, perm ORDER BY key, bin_uid) AS i FROM (SELECT *, {key} AS key FROM {source}, range(1, {permutations + 1}) r(perm))),
+{name}_p AS (SELECT bin_uid, cluster, assembly, row_number() OVER (PARTITION BY {block} ORDER BY start, bin_uid) AS i FROM {source}), {name} AS (SELECT perm, p.cluster, p.assembly, chrom FROM {name}_m m JOIN (SELECT i, bin_uid, cluster, assembly, {block} AS blk FROM {name}_p) p ON p.i = m.i AND p.blk = m.{block})"""
+
+
+_TOTALS = "SELECT {k}cluster, count(*) AS pairs, sum(k) AS total, sum((k >= 2)::INT) AS multi FROM (SELECT {k}cluster, assembly, count(DISTINCT chrom) AS k FROM {t} GROUP BY ALL) GROUP BY ALL"
+_REAL = "real_ AS (SELECT * FROM clustered WHERE cluster >= 0)"
+
+
+@query(f"""{_C}, {_REAL}, {_shuffle_sql('real_', 'assembly', 11, 4, 'fr')}, {_shuffle_sql('real_', 'cluster', 12, 4, 'fx')}, seen AS ({_TOTALS.format(k='', t='real_')}), ft AS ({_TOTALS.format(k='perm, ', t='fr')}), xt AS ({_TOTALS.format(k='perm, ', t='fx')}),
+fs AS (SELECT cluster, avg(f.total) AS m, stddev_pop(f.total) AS sd, sum((f.total >= s.total)::INT) AS r, avg(f.multi) AS mu FROM ft f JOIN seen s USING (cluster) GROUP BY cluster), xs AS (SELECT cluster, avg(total) AS m, stddev_pop(total) AS sd FROM xt GROUP BY cluster)
+SELECT cluster, pairs AS n_pairs, round(total / pairs, 6) AS chrom_per_asm, round(multi / pairs, 6) AS frac_asm_multi, round(fs.m / pairs, 6) AS free_mean, round(CASE WHEN fs.sd > 1e-9 THEN (total - fs.m) / fs.sd END, 6) AS free_z, round((1 + r) / 5.0::DOUBLE, 6) AS free_p, round(mu / pairs, 6) AS free_multi, round(xs.m / pairs, 6) AS fixed_mean, round(CASE WHEN xs.sd > 1e-9 THEN (total - xs.m) / xs.sd END, 6) AS fixed_z FROM seen JOIN fs USING (cluster) JOIN xs USING (cluster)""")
 def sharing_null(spark, sf_dir):
-    """Shuffles within assemblies have no SQL twin here; the tests hold them against their definition."""
-    return rounded(nv.sharing_null(clustered(spark, sf_dir), permutations=5))
+    return rounded(nv.sharing_null(clustered(spark, sf_dir), permutations=4))
+
+
+_EXPECTED = f"{_C}, sizes AS (SELECT cluster, count(*) AS size, count(*) FILTER (is_ref) AS n_ref FROM clustered WHERE cluster >= 0 GROUP BY cluster), t AS (SELECT sum(size) AS n, sum(n_ref) AS r FROM sizes), ex AS (SELECT cluster, size, n_ref, CASE WHEN size > n - r THEN 0 ELSE exp(lgamma(n - r + 1) - lgamma(n - r - size + 1) + lgamma(n - size + 1) - lgamma(n + 1)) END AS p FROM sizes, t)"
+
+
+@query(f"{_EXPECTED} SELECT CASE WHEN size >= 1000 THEN 1000 WHEN size >= 400 THEN 400 WHEN size >= 200 THEN 200 WHEN size >= 120 THEN 120 WHEN size >= 80 THEN 80 WHEN size >= 60 THEN 60 WHEN size >= 50 THEN 50 ELSE 0 END::BIGINT AS size_from, count(*) AS clusters, count(*) FILTER (n_ref = 0) AS observed, round(sum(p), 6) AS expected, round(count(*) FILTER (n_ref = 0) - sum(p), 6) AS excess FROM ex GROUP BY 1")
+def novelty_by_size(spark, sf_dir):
+    return rounded(nv.novelty_by_size(nv.expected_absence(clustered(spark, sf_dir))))
+
+
+@query(f"{_C}, {_REAL.replace('SELECT *', 'SELECT bin_uid, start, is_ref, cluster * 1000 + CAST(floor(amount) AS BIGINT) % 97 AS cluster')}, w AS (SELECT count(*) FILTER (is_ref) AS wanted, count(DISTINCT cluster) AS clusters FROM real_), sp AS (SELECT perm, cluster, row_number() OVER (PARTITION BY perm ORDER BY {mix_sql('xor(7::UHUGEINT, (perm * 1000000007 + start)::UHUGEINT)')}, bin_uid) AS r FROM real_, range(1, 5) q(perm)) SELECT perm, clusters - count(DISTINCT cluster) AS novel FROM (SELECT perm, cluster FROM sp, w WHERE r <= wanted UNION ALL SELECT 0, cluster FROM real_ WHERE is_ref), w GROUP BY perm, clusters")
+def label_null(spark, sf_dir):
+    """Novel clusters when the reference's labels are dealt anew; clusters are split further, so that some are small."""
+    bins = clustered(spark, sf_dir).where("cluster >= 0").withColumn("cluster", F.col("cluster") * 1000 + F.floor("amount") % 97)
+    return nv.label_null(bins, 4, 7)
+
+
+_HELD = "WITH held AS (SELECT DISTINCT o_custkey % 40 AS assembly, l_partkey AS cluster FROM lineitem JOIN orders ON l_orderkey = o_orderkey), per AS (SELECT cluster, count(*) AS k FROM held GROUP BY cluster), us AS (SELECT DISTINCT assembly FROM held)"
+
+
+def _held(spark, sf_dir):
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") % 40).alias("assembly"), F.col("l_partkey").alias("cluster"))
+
+
+@query(f"{_HELD}, fl AS (SELECT DISTINCT ceil(s * ((SELECT count(*) FROM us) - 1))::BIGINT AS floor FROM (VALUES (0.25::DOUBLE), (0.5), (0.75), (0.95)) v(s)), l AS (SELECT floor, u.assembly, (SELECT count(*) FROM per WHERE k >= floor) - (SELECT count(*) FROM held h JOIN per USING (cluster) WHERE h.assembly = u.assembly AND k >= floor) AS lacks FROM fl CROSS JOIN us u), r AS (SELECT floor, lacks AS reference FROM l WHERE assembly = 1) SELECT floor, reference, round(median(lacks) FILTER (assembly <> 1), 6) AS others_median, max(lacks) FILTER (assembly <> 1) AS others_max, count(*) FILTER (lacks <= reference) AS rank FROM l JOIN r USING (floor) GROUP BY floor, reference")
+def recurrence_floors(spark, sf_dir):
+    return rounded(nv.recurrence_floors(_held(spark, sf_dir), 1))
+
+
+_FLAGS = f"{_C}, flags AS (SELECT DISTINCT cluster, cluster % 3 = 0 AS novel FROM clustered WHERE cluster >= 0)"
+
+
+def _flags(bins):
+    """Clusters taken for novel ones, as the driver's tables hold no cluster without a reference bin."""
+    return bins.where("cluster >= 0").select("cluster").distinct().withColumn("novel", F.col("cluster") % 3 == 0)
+
+
+@query(f"{_C} SELECT cluster, NOT bool_or(is_ref) AS novel FROM clustered WHERE cluster >= 0 GROUP BY cluster")
+def novel_flags(spark, sf_dir):
+    return nv.novel_flags(clustered(spark, sf_dir))
+
+
+@query(f"{_FLAGS} SELECT novel, count(*) AS n_bins, round(median(amount), 4) AS median_amount, round(avg(annotated::INT), 6) AS share_annotated FROM clustered JOIN flags USING (cluster) WHERE NOT is_ref GROUP BY novel")
+def describe_novel(spark, sf_dir):
+    bins = clustered(spark, sf_dir)
+    return rounded(rounded(nv.describe_novel(bins, _flags(bins), ["amount"], ["annotated"]), 4, ["median_amount"]))
+
+
+@query(f"{_FLAGS}, c AS (SELECT chrom, count(*) FILTER (novel) AS novel, count(*) FILTER (NOT novel) AS supported FROM clustered JOIN flags USING (cluster) WHERE NOT is_ref GROUP BY chrom) SELECT chrom, novel, supported, round(100.0::DOUBLE * novel / sum(novel) OVER (), 6) AS novel_pct, round(100.0::DOUBLE * supported / sum(supported) OVER (), 6) AS supported_pct FROM c")
+def novel_places(spark, sf_dir):
+    bins = clustered(spark, sf_dir)
+    return rounded(nv.novel_places(bins, _flags(bins)))
+
+
+@query("WITH bins AS (SELECT o_custkey % 40 AS assembly, l_partkey AS cluster, lower(split_part(p_type, ' ', 1)) AS feature FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey), top AS (SELECT DISTINCT cluster, feature FROM bins), sz AS (SELECT feature, count(*) AS clusters FROM top GROUP BY feature HAVING count(*) >= 5), h AS (SELECT feature, assembly, count(DISTINCT cluster) AS own FROM bins GROUP BY ALL), g AS (SELECT feature, clusters, u.assembly, 1 - coalesce(own, 0)::DOUBLE / clusters AS rate FROM sz CROSS JOIN (SELECT DISTINCT assembly FROM bins) u LEFT JOIN h USING (feature, assembly)), r AS (SELECT feature, rate AS reference FROM g WHERE assembly = 1) SELECT feature, clusters, round(reference, 6) AS reference, round(median(rate) FILTER (assembly <> 1), 6) AS others_median, round(max(rate) FILTER (assembly <> 1), 6) AS others_max, count(*) FILTER (rate <= reference) AS rank FROM g JOIN r USING (feature) GROUP BY feature, clusters, reference")
+def feature_dropout(spark, sf_dir):
+    """Parts as clusters, so that many of a type's clusters are missing from a customer group."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cluster"), F.lower(F.substring_index("p_type", " ", 1)).alias("feature"))
+    return rounded(nv.feature_dropout(_held(spark, sf_dir).join(parts, "cluster"), 1))
+
+
+@query(f"{_C} SELECT cluster, count(*) AS n, round(median(amount), 4) AS median FROM clustered GROUP BY cluster")
+def group_medians(spark, sf_dir):
+    return rounded(nv.group_medians(clustered(spark, sf_dir), "cluster", "amount"), 4)
+
+
+@query(f"""{_C}, e AS (SELECT chrom, max("end") AS edge FROM clustered WHERE is_ref AND feature LIKE 'small%' AND amount < 3000 GROUP BY chrom) SELECT cluster, count(*) AS n_ref, round(avg((start < coalesce(edge, 0))::INT), 6) AS proximal FROM clustered LEFT JOIN e USING (chrom) WHERE is_ref AND cluster >= 0 GROUP BY cluster""")
+def proximal_fraction(spark, sf_dir):
+    cheap = F.when((F.col("feature") == "small") & (F.col("amount") < 3000), "small").when(F.col("feature").startswith("small"), "other").otherwise(F.col("feature"))
+    return rounded(nv.proximal_fraction(clustered(spark, sf_dir).withColumn("feature", cheap), "small"))
+
+
+_SOME = f"{_C}, real_ AS (SELECT * FROM clustered WHERE cluster BETWEEN 0 AND 4), {_shuffle_sql('real_', 'assembly', 29, 4, 'fr')}, seen AS (SELECT DISTINCT cluster, assembly, chrom FROM real_), dr AS (SELECT DISTINCT perm, cluster, assembly, chrom FROM fr), singles AS (SELECT chrom, observed, expected, observed / expected AS ratio FROM (SELECT chrom, count(*) AS observed FROM seen GROUP BY chrom) LEFT JOIN (SELECT chrom, count(*) / 4.0::DOUBLE AS expected FROM dr GROUP BY chrom) USING (chrom))"
+
+
+@query(f"{_SOME}, ob AS (SELECT x.chrom AS a, y.chrom AS b, (SELECT count(*) FROM seen p JOIN seen q USING (cluster, assembly) WHERE p.chrom = x.chrom AND q.chrom = y.chrom) AS observed, x.ratio AS ra, y.ratio AS rb FROM singles x JOIN singles y ON x.chrom < y.chrom), nl AS (SELECT perm, p.chrom AS a, q.chrom AS b, count(*) AS n FROM dr p JOIN dr q USING (perm, cluster, assembly) WHERE p.chrom < q.chrom GROUP BY ALL), ex AS (SELECT a, b, sum(n) / 4.0::DOUBLE AS expected, sum((n >= observed)::INT) AS reached FROM nl JOIN ob USING (a, b) GROUP BY a, b) SELECT a, b, observed, round(coalesce(expected, 0), 6) AS expected, round(observed / expected, 6) AS ratio, round((1 + CASE WHEN observed = 0 THEN 4 ELSE coalesce(reached, 0) END) / 5.0::DOUBLE, 6) AS p_enriched, round(observed / expected / (ra * rb), 6) AS pair_only, round(observed::DOUBLE / greatest(sum(observed) OVER (), 1), 6) AS share FROM ob LEFT JOIN ex USING (a, b)")
+def place_pair_table(spark, sf_dir):
+    return rounded(nv.place_pair_table(clustered(spark, sf_dir).where("cluster BETWEEN 0 AND 4"), 4)[0])
+
+
+@query(f"{_SOME} SELECT chrom, observed, round(expected, 6) AS expected, round(ratio, 6) AS ratio FROM singles")
+def place_marginals(spark, sf_dir):
+    return rounded(nv.place_pair_table(clustered(spark, sf_dir).where("cluster BETWEEN 0 AND 4"), 4)[1])
+
+
+@query(f"{_FLAGS}, p AS (SELECT cluster, count(*) AS size, sum(\"end\" - start)::BIGINT AS bp, count(DISTINCT assembly) AS n_assemblies FROM clustered JOIN flags USING (cluster) WHERE novel GROUP BY cluster), u AS (SELECT count(DISTINCT assembly) AS u FROM clustered WHERE cluster >= 0), fl AS (SELECT DISTINCT unnest([1, 2, 3, greatest(1, u // 4), greatest(1, 2 * u // 4), greatest(1, 3 * u // 4), u - 1]) AS floor FROM u) SELECT floor, count(cluster) AS clusters, coalesce(sum(size), 0)::BIGINT AS bins, coalesce(sum(bp), 0)::BIGINT AS bp FROM fl LEFT JOIN p ON n_assemblies >= floor GROUP BY floor")
+def recurrence(spark, sf_dir):
+    bins = clustered(spark, sf_dir)
+    return nv.recurrence(bins, _flags(bins))
+
+
+@query(f"{_FLAGS}, p AS (SELECT cluster, count(*) AS size, sum(\"end\" - start)::BIGINT AS bp, count(DISTINCT assembly) AS n_assemblies, count(DISTINCT sample) AS n_samples FROM clustered JOIN flags USING (cluster) WHERE novel GROUP BY cluster), r AS (SELECT 'sequence' AS ranking, row_number() OVER (ORDER BY bp DESC, cluster) AS place, * FROM p UNION ALL SELECT 'recurrence', row_number() OVER (ORDER BY n_samples DESC, n_assemblies DESC, bp DESC, cluster), * FROM p) SELECT * FROM r WHERE place <= 3")
+def novel_rankings(spark, sf_dir):
+    bins = clustered(spark, sf_dir)
+    return nv.novel_rankings(bins, _flags(bins), 3)
+
+
+_DONORS = "SELECT n_name AS assembly, concat('D', CAST(floor(n_nationkey / 2.0) AS INT)) AS block FROM nation"
+
+
+@query(f"{_MASK.replace(' AND amount < 30000', '')}, s AS (SELECT cluster, assembly, block, mask FROM sets JOIN ({_DONORS}) USING (assembly)), pr AS (SELECT x.block = y.block AS same, bit_count(x.mask & y.mask)::DOUBLE / greatest(bit_count(x.mask | y.mask), 1) AS j FROM s x JOIN s y ON x.cluster = y.cluster AND x.assembly < y.assembly) SELECT count(*) FILTER (same) AS same_n, round(avg(j) FILTER (same), 6) AS same_mean, count(*) FILTER (NOT same) AS other_n, round(avg(j) FILTER (NOT same), 6) AS other_mean FROM pr")
+def donor_agreement(spark, sf_dir):
+    sets = nv.chromosome_sets(clustered(spark, sf_dir), _PLACES).select("assembly", "cluster", "mask")
+    donors = table(spark, sf_dir, "nation").selectExpr("n_name AS assembly", "concat('D', CAST(floor(n_nationkey / 2.0) AS INT)) AS block")
+    return rounded(nv.donor_agreement(sets, donors))
+
+
+@query(f"{_C}, c AS (SELECT count(*) FILTER (NOT is_ref) AS cohort, count(*) FILTER (annotated AND feature <> '' AND NOT is_ref) AS own, count(*) FILTER (is_ref) AS reference FROM clustered) SELECT CASE WHEN own > 0 THEN 'annotations' ELSE 'inferred' END AS source, CASE WHEN own > 0 THEN 'feature' ELSE 'inferred_feature' END AS \"column\", cohort, own AS labelled, reference FROM c")
+def label_source(spark, sf_dir):
+    return cn.label_source(clustered(spark, sf_dir).withColumn("inferred_feature", F.lit("")))
+
+
+_UNITS = "u AS (SELECT n_name AS unit, concat('D', CAST(floor(n_nationkey / 2.0) AS INT)) AS block, concat('G', CAST(floor(n_nationkey / 2.0) AS INT) % 3) AS grp, CASE WHEN CAST(floor(n_nationkey / 2.0) AS INT) % 2 = 0 THEN 'mat/pat' ELSE 'hap1/hap2' END AS stratum FROM nation)"
+
+
+def _units(spark, sf_dir):
+    haplotype = F.expr("CASE WHEN CAST(floor(n_nationkey / 2.0) AS INT) % 2 = 0 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'mat' ELSE 'pat' END ELSE 'hap1' END")
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("unit"), F.expr("concat('D', CAST(floor(n_nationkey / 2.0) AS INT))").alias("block"), F.expr("concat('G', CAST(floor(n_nationkey / 2.0) AS INT) % 3)").alias("grp"), cn.phasing(haplotype).alias("stratum"))
+
+
+_VALUES = f"{_C}, {_UNITS}, fe AS (SELECT DISTINCT feature FROM clustered), xs AS (SELECT unit, block, grp, stratum, feature, (SELECT count(*) FROM clustered c WHERE c.assembly = u.unit AND c.feature = fe.feature)::DOUBLE AS x FROM u CROSS JOIN fe)"
+
+
+def _values(spark, sf_dir):
+    return clustered(spark, sf_dir).groupBy(F.col("assembly").alias("unit"), "feature").agg(F.count(F.lit(1)).alias("value"))
+
+
+@query(f"""{_VALUES}, z AS (SELECT unit, feature, (x - avg(x) OVER (PARTITION BY feature)) / stddev_pop(x) OVER (PARTITION BY feature) AS z FROM xs), cd AS (SELECT *, row_number() OVER (ORDER BY unit) - 1 AS code FROM u), pl AS (SELECT perm, stratum, unit, row_number() OVER (PARTITION BY perm, stratum ORDER BY {mix_sql('xor(7::UHUGEINT, (perm * 1000003 + code)::UHUGEINT)')}, code) - 1 AS place FROM cd, range(1, 50) r(perm)),
+pr AS (SELECT perm, min(unit) AS a, max(unit) AS b FROM pl GROUP BY perm, stratum, place // 2 HAVING count(*) = 2 UNION ALL SELECT 0, min(unit), max(unit) FROM u GROUP BY block HAVING count(*) = 2), ms AS (SELECT perm, x.feature, avg(x.z * y.z) AS r, count(*) AS n FROM pr JOIN z x ON x.unit = a JOIN z y ON y.unit = b AND y.feature = x.feature GROUP BY ALL)
+SELECT o.feature, o.n AS n_pairs, round(o.r, 6) AS concordance, round(avg((q.r >= o.r - 1e-9::DOUBLE)::INT), 6) AS p_similar, round(avg((q.r <= o.r + 1e-9::DOUBLE)::INT), 6) AS p_different FROM ms q JOIN ms o ON o.perm = 0 AND o.feature = q.feature WHERE q.perm > 0 GROUP BY o.feature, o.n, o.r""")
+def concordance(spark, sf_dir):
+    return rounded(cn.concordance(_values(spark, sf_dir), _units(spark, sf_dir), 49, 7))
+
+
+@query(f"{_VALUES} SELECT block, grp, stratum, feature, round(avg(x), 6) AS value FROM xs GROUP BY ALL")
+def donor_means(spark, sf_dir):
+    return rounded(cn.donor_means(_values(spark, sf_dir), _units(spark, sf_dir)))
+
+
+@query()
+def adjusted_effects(spark, sf_dir):
+    """Least squares of two factors; the tests hold it against plain sums of squares."""
+    return rounded(cn.adjusted_effects(cn.donor_means(_values(spark, sf_dir), _units(spark, sf_dir))))
+
+
+@query(f"WITH {_UNITS} SELECT stratum, grp, count(DISTINCT block) AS donors FROM u GROUP BY ALL")
+def crossing(spark, sf_dir):
+    return cn.crossing(_units(spark, sf_dir))
 
 
 _CLR = f"{_C}, n AS (SELECT assembly, cluster, count(*) AS n FROM clustered WHERE cluster >= 0 GROUP BY ALL), grid AS (SELECT a.assembly, c.cluster, ln(coalesce(n, 0) + 0.5::DOUBLE) AS l FROM (SELECT DISTINCT assembly FROM n) a CROSS JOIN (SELECT cluster FROM n GROUP BY cluster HAVING count(*) >= 0.25 * (SELECT count(DISTINCT assembly) FROM n)) c LEFT JOIN n USING (assembly, cluster)), clr AS (SELECT assembly, cluster, l - avg(l) OVER (PARTITION BY assembly) AS value FROM grid)"
