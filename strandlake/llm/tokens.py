@@ -44,6 +44,8 @@ class ChunkTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        #: What all special tokens begin with, in any case; a text without it holds none.
+        self.opening = os.path.commonprefix(self.special)[:2] if self.special else "\0"
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -119,8 +121,9 @@ class ChunkTokenizer:
             return []
         raw = pa.array([t or "" for t in texts], pa.string())
         lower = pc.ascii_lower(raw)
-        for token in self.special:
-            lower = pc.if_else(pc.match_substring(lower, token.lower()), raw, lower)
+        if any(self.opening in t for t in texts if t):
+            for token in self.special:
+                lower = pc.if_else(pc.match_substring(lower, token.lower()), raw, lower)
         lists = pc.ascii_split_whitespace(lower)
         numbered = lists.values.dictionary_encode()
         chunks = numbered.dictionary.cast(pa.binary()).to_pylist()
