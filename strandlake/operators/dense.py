@@ -184,23 +184,28 @@ def fuzzy_graph(neighbours: DataFrame, k: int, id: str = "id") -> DataFrame:
 
 
 def spectral_start(n: int, a, b, w, dimensions: int, random, rounds: int = 200):
-    """Positions within 10 of the origin: the leading eigenvectors of the normalised graph after the constant one,
-    by orthogonal iteration over its edges, with a little noise."""
+    """Positions within 10 of the origin: the leading eigenvectors of the normalised graph besides the constant one,
+    by orthogonal iteration over its edges, with a little noise.
+
+    The constant one is known and projected out: in a graph of several parts its eigenvalue is not simple.
+    """
     degree = np.bincount(a, w, n) + np.bincount(b, w, n)
     root = np.sqrt(np.maximum(degree, 1e-12))
     scaled = w / root[a] / root[b]
+    constant = root[:, None] / np.linalg.norm(root)
 
     def spread(v):
-        return v + np.stack([np.bincount(a, scaled * v[b, c], n) + np.bincount(b, scaled * v[a, c], n) for c in range(v.shape[1])], axis=1)
+        moved = v + np.stack([np.bincount(a, scaled * v[b, c], n) + np.bincount(b, scaled * v[a, c], n) for c in range(v.shape[1])], axis=1)
+        return moved - constant * (constant.T @ moved)
 
-    v = np.column_stack([root, random.normal(size=(n, min(dimensions + 2, n - 1)))])
+    v = random.normal(size=(n, min(dimensions + 2, n - 1)))
     for _ in range(rounds):
         v = np.linalg.qr(spread(v))[0]
-    values, vectors = np.linalg.eigh(v.T @ spread(v))
-    found = (v @ vectors[:, ::-1])[:, 1 : dimensions + 1]
+    _, vectors = np.linalg.eigh(v.T @ spread(v))
+    found = (v @ vectors[:, ::-1])[:, :dimensions]
     if found.shape[1] < dimensions:
         found = np.column_stack([found, np.zeros((n, dimensions - found.shape[1]))])
-    return 10 * found / np.maximum(np.abs(found).max(axis=0), 1e-12) + random.normal(scale=1e-4, size=(n, dimensions))
+    return 10 * found / np.maximum(np.abs(found).max(), 1e-12) + random.normal(scale=1e-4, size=(n, dimensions))
 
 
 def layout(vectors: DataFrame, k: int = 30, min_dist: float = 0.05, metric: str = "cosine", dimensions: int = 2, epochs: int = 200, seed: int = 7, id: str = "id", vector: str = "vector", max_fit_rows: int = 400_000) -> DataFrame:
@@ -238,20 +243,23 @@ def layout(vectors: DataFrame, k: int = 30, min_dist: float = 0.05, metric: str
     p = spectral_start(n, a, b, w, dimensions, random)
     for epoch in range(epochs):
         rate = 1 - epoch / epochs
-        hit = random.random(len(w)) < w / w.max()
-        i, j = a[hit], b[hit]
-        delta = p[i] - p[j]
-        d2 = np.maximum((delta**2).sum(axis=1), 1e-12)
-        pull = np.clip((-2 * alpha * beta * d2 ** (beta - 1) / (1 + alpha * d2**beta))[:, None] * delta, -4, 4)
-        step = np.zeros_like(p)
-        np.add.at(step, i, pull)
-        np.add.at(step, j, -pull)
-        for _ in range(5):
-            other = random.integers(0, n, len(i))
-            away = p[i] - p[other]
-            e2 = (away**2).sum(axis=1)
-            push = np.clip((2 * beta / ((0.001 + e2) * (1 + alpha * np.maximum(e2, 1e-12) ** beta)))[:, None] * away, -4, 4)
-            push[other == i] = 0
-            np.add.at(step, i, push)
-        p += rate * np.clip(step, -4, 4)
+        hit = random.permutation(np.flatnonzero(random.random(len(w)) < w / w.max()))
+        # few edges a point at once: a step that sums many overshoots
+        for some in np.array_split(hit, max(1, -(-2 * len(hit) // n))):
+            i, j = a[some], b[some]
+            delta = p[i] - p[j]
+            d2 = np.maximum((delta**2).sum(axis=1), 1e-12)
+            pull = np.clip((-2 * alpha * beta * d2 ** (beta - 1) / (1 + alpha * d2**beta))[:, None] * delta, -4, 4)
+            step = np.zeros_like(p)
+            np.add.at(step, i, pull)
+            np.add.at(step, j, -pull)
+            ends = np.concatenate([i, j])  # both ends of an edge are pushed, whatever the order of their ids
+            for _ in range(5):
+                other = random.integers(0, n, len(ends))
+                away = p[ends] - p[other]
+                e2 = (away**2).sum(axis=1)
+                push = np.clip((2 * beta / ((0.001 + e2) * (1 + alpha * np.maximum(e2, 1e-12) ** beta)))[:, None] * away, -4, 4)
+                push[other == ends] = 0
+                np.add.at(step, ends, push)
+            p += rate * np.clip(step, -4, 4)
     return spark.createDataFrame([(int(i), x) for i, x in zip(ids, p.tolist())], f"{id} long, position array<double>")
