@@ -241,6 +241,8 @@ def layout(vectors: DataFrame, k: int = 30, min_dist: float = 0.05, metric: str
     _, alpha, beta = min(candidates)
     random = np.random.default_rng(seed)
     p = spectral_start(n, a, b, w, dimensions, random)
+    # an edge is drawn in each direction by itself: its ends attract each other, its first is pushed
+    a, b, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
     for epoch in range(epochs):
         rate = 1 - epoch / epochs
         hit = random.permutation(np.flatnonzero(random.random(len(w)) < w / w.max()))
@@ -253,13 +255,12 @@ def layout(vectors: DataFrame, k: int = 30, min_dist: float = 0.05, metric: str
             step = np.zeros_like(p)
             np.add.at(step, i, pull)
             np.add.at(step, j, -pull)
-            ends = np.concatenate([i, j])  # both ends of an edge are pushed, whatever the order of their ids
             for _ in range(5):
-                other = random.integers(0, n, len(ends))
-                away = p[ends] - p[other]
+                other = random.integers(0, n, len(i))
+                away = p[i] - p[other]
                 e2 = (away**2).sum(axis=1)
                 push = np.clip((2 * beta / ((0.001 + e2) * (1 + alpha * np.maximum(e2, 1e-12) ** beta)))[:, None] * away, -4, 4)
-                push[other == ends] = 0
-                np.add.at(step, ends, push)
+                push[other == i] = 0
+                np.add.at(step, i, push)
             p += rate * np.clip(step, -4, 4)
     return spark.createDataFrame([(int(i), x) for i, x in zip(ids, p.tolist())], f"{id} long, position array<double>")
