@@ -121,6 +121,62 @@ def _profile(k: int, bin_size: int, size: int, keys: list[str]):
     return run
 
 
+def bin_rows(block: bytes, size: int, k: int, bin_size: int, ceiling: int):
+    """start, span, n_acgt, n_gc, n_kmers and sorted distinct hashes of each bin that the first ``size`` bases hold."""
+    import numpy as np
+
+    raw = np.frombuffer(block, dtype=np.uint8)
+    own = raw[:size]
+    if not len(own):
+        return []
+    known, gc = np.isin(raw, np.frombuffer(b"ACGTUacgtu", np.uint8)), np.isin(own, np.frombuffer(b"GCgc", np.uint8))
+    begin = np.arange(0, len(own), bin_size)
+    at, hashes = canonical_hashes(block, k)
+    at, hashes = at[at < size], hashes[at < size]
+    kmers = np.bincount(at // bin_size, minlength=len(begin))
+    kept = hashes <= np.uint64(ceiling)
+    where, found = at[kept] // bin_size, hashes[kept]
+    order = np.lexsort((found, where))
+    where, found = where[order], found[order]
+    new = np.ones(len(found), dtype=bool)
+    new[1:] = (where[1:] != where[:-1]) | (found[1:] != found[:-1])
+    where, found = where[new], found[new].view(np.int64)
+    cuts = np.searchsorted(where, np.arange(len(begin) + 1))
+    acgt, strong = np.add.reduceat(known[: len(own)].astype(np.int64), begin), np.add.reduceat(gc.astype(np.int64), begin)
+    spans = np.minimum(begin + bin_size, len(own)) - begin
+    return [(int(b), int(s), int(a), int(g), int(n), found[cuts[i] : cuts[i + 1]]) for i, (b, s, a, g, n) in enumerate(zip(begin, spans, acgt, strong, kmers))]
+
+
+def bin_sketch(bases: DataFrame, k: int, bin_size: int, scaled: int, size: int, keys: list[str]) -> DataFrame:
+    """keys, start, span, n_acgt, n_gc, n_kmers, hashes: one row a bin, in one pass and without a shuffle.
+
+    ``bases`` has keys, pos0 and block: ``size`` bases that the row owns, a multiple of
+    ``bin_size`` (so no bin lies in two rows), and the k - 1 that follow.  Hashes are a
+    bin's set, sorted.  Rows without a block are left out.
+    """
+    if size % bin_size:
+        raise ValueError("the bases of a row must be whole bins")
+    ceiling = hash_ceiling(scaled)
+    fields = "start bigint, span bigint, n_acgt bigint, n_gc bigint, n_kmers bigint, hashes array<bigint>"
+    kept = bases.where("block IS NOT NULL").select(*keys, "pos0", "block")
+    schema = ", ".join([*(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keys), fields])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, (pos0, block) in enumerate(zip(batch.column("pos0").to_pylist(), batch.column("block").to_pylist())):
+                made = bin_rows(block, size, k, bin_size, ceiling)
+                columns = [pa.array([r[j] for r in made], pa.int64()) for j in range(1, 5)]
+                flat = np.concatenate([r[5] for r in made]) if made else np.zeros(0, dtype=np.int64)
+                ends = np.concatenate([[0], np.cumsum([len(r[5]) for r in made])]).astype(np.int32)
+                which = pa.array(np.full(len(made), i))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(which) for c in keys), pa.array([pos0 + r[0] for r in made], pa.int64()), *columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*keys, "start", "span", "n_acgt", "n_gc", "n_kmers", "hashes"])
+
+    return kept.mapInArrow(run, schema)
+
+
 PROFILE = ("total", "start", "end", "n_acgt", "n_gc", "n_kmers")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import MANIFEST, conform
 from ..functions.names import text_or_empty
+from ..tables import qualified
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -59,21 +60,26 @@ def read_gff_genes(spark: SparkSession, path: str) -> DataFrame:
     return genes.where("start IS NOT NULL AND end IS NOT NULL")
 
 
-def read_chrom_alias(spark: SparkSession, path: str) -> DataFrame:
-    """alias, ucsc: every name of a row for its UCSC name; the first row wins, rows without one are left out.
+def read_chrom_aliases(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, alias, ucsc: every name of a row for its UCSC name, by file (as given in ``paths``); the first row wins, rows
+    without one are left out.
 
     A header ('#' first) may say which column is the UCSC one.
     """
-    from .ordered import numbered_lines
-
-    lines = numbered_lines(spark, path)
-    header = lines.where(F.col("value").startswith("#")).orderBy("line").take(1)
-    names = header[0]["value"].lstrip("# ").split("\t") if header else []
-    at = names.index("ucsc") if "ucsc" in names else 1
-    parts = lines.where(~F.col("value").startswith("#")).select("line", F.split("value", "\t").alias("p"))
-    rows = parts.select("line", F.trim(F.get("p", F.lit(at))).alias("ucsc"), F.posexplode("p").alias("column", "alias"))
+    named = spark.createDataFrame([(qualified(spark, p), p) for p in paths], "uri string, file string")
+    lines = spark.read.text(paths).select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("uri"), F.monotonically_increasing_id().alias("line"), "value")
+    lines = lines.join(named, "uri").select("file", "line", "value")
+    names = F.split(F.regexp_replace("value", "^[# ]+", ""), "\t")
+    header = lines.where(F.col("value").startswith("#")).groupBy("file").agg(F.min_by(F.array_position(names, "ucsc"), "line").alias("column"))
+    parts = lines.where(~F.col("value").startswith("#")).join(header, "file", "left").select("file", "line", F.split("value", "\t").alias("p"), F.coalesce(F.nullif("column", F.lit(0)) - 1, F.lit(1)).cast("int").alias("at"))
+    rows = parts.select("file", "line", F.trim(F.get("p", F.col("at"))).alias("ucsc"), F.posexplode("p").alias("column", "alias"))
     kept = rows.where((F.coalesce("ucsc", F.lit("")) != "") & (F.trim("alias") != ""))
-    return kept.groupBy(F.trim("alias").alias("alias")).agg(F.min_by("ucsc", F.struct("line", "column")).alias("ucsc"))
+    return kept.groupBy("file", F.trim("alias").alias("alias")).agg(F.min_by("ucsc", F.struct("line", "column")).alias("ucsc"))
+
+
+def read_chrom_alias(spark: SparkSession, path: str) -> DataFrame:
+    """alias, ucsc of one file."""
+    return read_chrom_aliases(spark, [path]).select("alias", "ucsc")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -27,6 +28,31 @@ def drop(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def _located(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, found = _located(spark, path)
+    return system.exists(found)
+
+
+def status_of(spark: SparkSession, path: str) -> list:
+    """[size, time of change] of a file, or [] if it is not there."""
+    system, found = _located(spark, path)
+    if not system.exists(found):
+        return []
+    status = system.getFileStatus(found)
+    return [status.getLen(), status.getModificationTime()]
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark's readers name it in ``_metadata.file_path``, but for slashes after ``file:``."""
+    system, found = _located(spark, path)
+    return re.sub("^file:/+", "/", spark._jvm.org.apache.spark.paths.SparkPath.fromPath(system.makeQualified(found)).urlEncoded())
+
+
 def _drop_quietly(spark: SparkSession, path: str) -> None:
     try:
         drop(spark, path)
