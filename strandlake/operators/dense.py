@@ -6,6 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import materialised
+
+#: The largest basis (columns x components, in doubles) that is sent to every task.
+BASIS_BYTES = 128 << 20
+
 
 def gathered_rows(coo: DataFrame, row: str = "row") -> DataFrame:
     """row, cols, vals: one sparse row each (a bin's features, bounded by its width)."""
@@ -46,10 +51,10 @@ def _product(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
 def truncated_svd(coo: DataFrame, n_columns: int, n_rows: int, components: int = 64, oversamples: int = 20, rounds: int = 7, drop_first: int = 0, seed: int = 7, row: str = "row") -> tuple[DataFrame, dict]:
     """row, pcs (array: U times the singular values); and {"singular_values", "energy_ratio", "components"}.
 
-    Uncentred, by subspace iteration on AᵀA: each round is one pass over the rows
-    and one orthonormalisation of a columns x k table on the driver (bounded by the
-    number of selected features).  Signs: the largest entry of each component is
-    positive.  A decomposition of nothing is empty.
+    Uncentred, by subspace iteration on AᵀA.  While the columns x k basis is of at most
+    ``BASIS_BYTES`` it is broadcast, and made orthonormal on the driver; beyond that it
+    is a table (see ``blocksvd``), and "components" is one, too (col, v).  Signs: the
+    largest entry of each component is positive.  A decomposition of nothing is empty.
     """
     k = min(components, min(n_rows, n_columns) - 1)
     if k < 1:
@@ -57,23 +62,33 @@ def truncated_svd(coo: DataFrame, n_columns: int, n_rows: int, components: int =
     energy = coo.agg(F.sum(F.col("value") * F.col("value"))).first()[0]
     if energy is None or not np.isfinite(energy):
         raise ValueError("the matrix has entries that are not finite")
-    rows = gathered_rows(coo, row).persist()
-    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_columns, min(k + oversamples, n_columns))))[0]
+    width, drop = min(k + oversamples, n_columns), min(drop_first, k - 1)
+    if n_columns * width * 8 > BASIS_BYTES:
+        from .blocksvd import block_svd
+
+        pcs, parts, sigma, tables = block_svd(gathered_rows(coo, row), coo.count(), n_columns, k, width, rounds, drop, seed, row)
+        pcs, parts = materialised(pcs), materialised(parts)
+        tables.close()
+        return pcs, {"singular_values": sigma.tolist(), "energy_ratio": (sigma**2 / energy).tolist(), "components": parts}
+    rows = materialised(gathered_rows(coo, row))
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_columns, width)))[0]
     for _ in range(rounds):
         basis = np.linalg.qr(_product(rows, basis))[0]
     values, vectors = np.linalg.eigh(basis.T @ _product(rows, basis))
     order = np.argsort(-values)[:k]
     sigma, parts = np.sqrt(np.maximum(values[order], 0)), basis @ vectors[:, order]
     parts *= np.sign(parts[np.abs(parts).argmax(axis=0), np.arange(k)])
-    drop = min(drop_first, k - 1)
     known = rows.sparkSession.sparkContext.broadcast(parts[:, drop:])
 
     def project(batches):
         import pyarrow as pa
 
         for batch in batches:
-            made = [(known.value[np.array(c)] * np.array(v)[:, None]).sum(axis=0).tolist() for c, v in zip(batch.column("cols").to_pylist(), batch.column("vals").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(row), pa.array(made, pa.list_(pa.float64()))], names=[row, "pcs"])
+            sizes = batch.column("cols").value_lengths().to_numpy()
+            terms = known.value[batch.column("cols").flatten().to_numpy()] * batch.column("vals").flatten().to_numpy()[:, None]
+            made = np.add.reduceat(terms, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) if len(terms) else terms
+            ends = pa.array(np.arange(len(made) + 1, dtype=np.int32) * terms.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(row), pa.ListArray.from_arrays(ends, pa.array(made.ravel()))], names=[row, "pcs"])
 
     kind = dict(coo.dtypes)[row]
     return rows.mapInArrow(project, f"{row} {kind}, pcs array<double>"), {"singular_values": sigma[drop:].tolist(), "energy_ratio": (sigma[drop:] ** 2 / energy).tolist(), "components": parts.T}

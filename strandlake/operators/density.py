@@ -61,81 +61,139 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 10, dimension
 # --- hierarchical ------------------------------------------------------------
 
 def _spanning_tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Prim's minimum spanning tree of mutual reachability: rows (a, b, distance), by distance."""
+    """Prim's minimum spanning tree of mutual reachability: rows (a, b, distance), by distance, then by the smaller and
+    the larger end.  That order is total, so the tree is the one that any other way finds."""
     n = len(x)
-    best, link, left = np.full(n, np.inf), np.zeros(n, dtype=int), np.ones(n, dtype=bool)
-    edges, at = [], 0
+    best, low, high, left = np.full(n, np.inf), np.zeros(n, dtype=int), np.zeros(n, dtype=int), np.ones(n, dtype=bool)
+    edges, at, places = [], 0, np.arange(n)
     left[0] = False
     for _ in range(n - 1):
-        reach = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(axis=1)), core), core[at])
-        closer = left & (reach < best)
-        best[closer], link[closer] = reach[closer], at
-        at = int(np.where(left, best, np.inf).argmin())
+        reach = np.maximum(np.maximum(np.sqrt(sum((x[:, c] - x[at, c]) ** 2 for c in range(x.shape[1]))), core), core[at])
+        a, b = np.minimum(places, at), np.maximum(places, at)
+        closer = left & ((reach < best) | ((reach == best) & ((a < low) | ((a == low) & (b < high)))))
+        best[closer], low[closer], high[closer] = reach[closer], a[closer], b[closer]
+        tied = np.flatnonzero(left & (best == best[left].min()))
+        at = int(tied[np.lexsort((high[tied], low[tied]))[0]])
         left[at] = False
-        edges.append((link[at], at, best[at]))
+        edges.append((low[at], high[at], best[at]))
     return np.array(sorted(edges, key=lambda e: (e[2], e[0], e[1]))) if edges else np.zeros((0, 3))
 
 
-#: Points from which the distances are taken in tasks, and the rows and columns of one tile of distances.
-SPREAD_FROM, TILE = 4096, (256, 8192)
+#: Points from which the tree is made in tasks, points of a leaf of the kd-tree, and leaves met between two looks at the bound.
+SPREAD_FROM, LEAF, MEET = 4096, 64, (8, 64)
 
 
-def _tiles(x: np.ndarray, rows: np.ndarray):
-    """(rows, first column, their distances) of tiles over all columns."""
-    for i in range(0, len(rows), TILE[0]):
-        own = rows[i : i + TILE[0]]
-        for j in range(0, len(x), TILE[1]):
-            yield own, j, np.sqrt(sum((x[own, c][:, None] - x[None, j : j + TILE[1], c]) ** 2 for c in range(x.shape[1])))
+class Leaves:
+    """Points dealt into the leaves of a kd-tree: ``order`` has the points leaf by leaf, ``starts`` where each leaf begins."""
+
+    def __init__(self, x: np.ndarray, size: int = LEAF):
+        self.order, cuts, todo = np.arange(len(x)), [], [(0, len(x))]
+        while todo:
+            a, b = todo.pop()
+            if b - a <= size:
+                cuts.append(a)
+                continue
+            own = self.order[a:b]
+            at = int(np.argmax(x[own].max(axis=0) - x[own].min(axis=0)))
+            self.order[a:b] = own[np.argpartition(x[own, at], (b - a) // 2)]
+            todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
+        cuts.sort()
+        self.starts = np.array([*cuts, len(x)])
+        self.x = x[self.order]
+        self.low, self.high = np.minimum.reduceat(self.x, cuts, axis=0), np.maximum.reduceat(self.x, cuts, axis=0)
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def gaps(self, leaf: int) -> np.ndarray:
+        """Distances from the box of a leaf to all boxes: no two points of them are closer, to the last bit."""
+        total = np.zeros(len(self))
+        for c in range(self.x.shape[1]):
+            total = total + np.maximum(np.maximum(self.low[:, c] - self.high[leaf, c], self.low[leaf, c] - self.high[:, c]), 0.0) ** 2
+        return np.sqrt(total)
+
+    def members(self, leaves: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(self.starts[i], self.starts[i + 1]) for i in leaves])
+
+    def distances(self, leaf: int, at: np.ndarray) -> np.ndarray:
+        own = self.x[self.starts[leaf] : self.starts[leaf + 1]]
+        return np.sqrt(sum((own[:, c][:, None] - self.x[at, c][None]) ** 2 for c in range(self.x.shape[1])))
+
+    def cores(self, leaf: int, k: int) -> np.ndarray:
+        """Distance of each point of the leaf to its k-th nearest, itself included."""
+        gaps = self.gaps(leaf)
+        near = np.argsort(gaps, kind="stable")
+        sizes = np.cumsum(np.diff(self.starts)[near])
+        done, upto, held = 0, int(np.searchsorted(sizes, k)) + 1, np.zeros((self.starts[leaf + 1] - self.starts[leaf], 0))
+        while upto > done:
+            d = np.concatenate([held, self.distances(leaf, self.members(near[done:upto]))], axis=1)
+            held = np.partition(d, k - 1, axis=1)[:, :k]
+            done, upto = upto, int(np.searchsorted(gaps[near], held.max()))
+        return held.max(axis=1)
+
+    def least_edges(self, leaf: int, core: np.ndarray, component: np.ndarray, least_core: np.ndarray, single: np.ndarray, best: dict) -> None:
+        """Bring ``best`` (component -> (distance, smaller end, larger end)) up to date with the edges that leave the
+        leaf's points; leaves farther than the worst best of the leaf's components are not met."""
+        a, b = self.starts[leaf], self.starts[leaf + 1]
+        own, own_core = component[a:b], core[a:b]
+        gaps = np.maximum(np.maximum(self.gaps(leaf), least_core), least_core[leaf])
+        if single[leaf] >= 0:
+            gaps[single == single[leaf]] = np.inf
+        near = np.argsort(gaps, kind="stable")
+        gaps = gaps[near]
+        there, names, done, step = int(np.searchsorted(gaps, np.inf)), np.unique(own).tolist(), 0, MEET[0]
+        while True:
+            bound = max(best[c][0] if c in best else np.inf for c in names)
+            stop = min(there, int(np.searchsorted(gaps, bound, side="right")), done + step)
+            if stop <= done:
+                return
+            at = self.members(near[done:stop])
+            d = np.maximum(np.maximum(self.distances(leaf, at), own_core[:, None]), core[at][None])
+            d[own[:, None] == component[at][None]] = np.inf
+            low = d.min(axis=1)
+            known = np.array([best[c][0] if c in best else np.inf for c in own.tolist()])
+            for r in np.flatnonzero((low <= known) & np.isfinite(low)).tolist():
+                c, end, others = int(own[r]), int(self.order[a + r]), self.order[at[d[r] == low[r]]]
+                first, second = np.minimum(others, end), np.maximum(others, end)
+                smallest = first.min()
+                edge = (float(low[r]), int(smallest), int(second[first == smallest].min()))
+                best[c] = min(best.get(c, edge), edge)
+            done, step = stop, MEET[1]
 
 
 def spread_spanning_tree(spark, x: np.ndarray, k: int) -> np.ndarray:
-    """Boruvka's minimum spanning tree of mutual reachability over all points, exact; every distance is taken in tasks.
+    """Boruvka's minimum spanning tree of mutual reachability over all points, exact, over a kd-tree searched in tasks.
 
     The driver holds what is linear in the points: coordinates, core distances and
-    edges.  In each round every task returns the least edge that leaves each component.
-    Equal distances go by the smaller, then the larger end, so no round closes a circle.
+    edges.  In each round every task returns the least edge that leaves each component,
+    meeting only leaves that can hold one.  Equal distances go by the smaller, then the
+    larger end, so no round closes a circle.
     """
     n, context = len(x), spark.sparkContext
-    parts = min(n, max(context.defaultParallelism * 4, n // 16_384))
-    blocks = context.parallelize(range(parts), parts)
-    points = context.broadcast(x)
-
-    def cores(b):
-        held: dict[int, np.ndarray] = {}
-        for own, _, d in _tiles(points.value, np.arange(b, n, parts)):
-            d = np.concatenate([held[own[0]], d], axis=1) if own[0] in held else d
-            held[own[0]] = np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d
-        return b, np.concatenate([h.max(axis=1) for h in held.values()])
-
-    core = np.zeros(n)
-    for b, found in blocks.map(cores).toLocalIterator():
-        core[b::parts] = found
-    component, edges = np.arange(n), []
-    while len(np.unique(component)) > 1:
-        state = context.broadcast((core, component))
-
-        def least(b, state=state):
-            core, component = state.value
+    leaves = Leaves(x)
+    parts = min(len(leaves), context.defaultParallelism * 4)
+    blocks = context.parallelize([range(i * len(leaves) // parts, (i + 1) * len(leaves) // parts) for i in range(parts)], parts)
+    tree = context.broadcast(leaves)
+    core = np.concatenate([c for c in blocks.map(lambda b: np.concatenate([tree.value.cores(i, k) for i in b])).toLocalIterator()])
+    least_core = np.minimum.reduceat(core, leaves.starts[:-1])
+    component, edges, left = np.arange(n), [], n  # by place in the order of leaves
+    while left > 1:
+        low, high = np.minimum.reduceat(component, leaves.starts[:-1]), np.maximum.reduceat(component, leaves.starts[:-1])
+        state = context.broadcast((core, component, least_core, np.where(low == high, low, -1)))
+
+        def least(block, state=state):
             best: dict[int, tuple] = {}
-            for own, j, d in _tiles(points.value, np.arange(b, n, parts)):
-                d = np.maximum(np.maximum(d, core[own][:, None]), core[None, j : j + d.shape[1]])
-                d[component[own][:, None] == component[None, j : j + d.shape[1]]] = np.inf
-                low = d.min(axis=1)
-                for r in np.flatnonzero(np.isfinite(low)).tolist():
-                    c, a = int(component[own[r]]), int(own[r])
-                    if c in best and best[c][0] < low[r]:
-                        continue
-                    for other in (np.flatnonzero(d[r] == low[r]) + j).tolist():
-                        edge = (float(low[r]), min(a, other), max(a, other))
-                        best[c] = min(best.get(c, edge), edge)
+            for i in block:
+                tree.value.least_edges(i, *state.value, best)
             return list(best.items())
 
-        chosen: dict[int, tuple] = {}
-        for c, edge in blocks.flatMap(least).reduceByKey(min).toLocalIterator():
-            chosen[c] = edge
+        chosen = dict(blocks.flatMap(least).reduceByKey(min).toLocalIterator())
         new = set(chosen.values())
         edges += new
-        up = {int(c): int(c) for c in np.unique(component)}
+        place = np.empty(n, dtype=int)
+        place[leaves.order] = np.arange(n)
+        names, inverse = np.unique(component, return_inverse=True)
+        up = {int(c): int(c) for c in names}
 
         def root(c):
             while up[c] != c:
@@ -143,11 +201,12 @@ def spread_spanning_tree(spark, x: np.ndarray, k: int) -> np.ndarray:
             return c
 
         for _, a, b in new:
-            p, q = root(int(component[a])), root(int(component[b]))
+            p, q = root(int(component[place[a]])), root(int(component[place[b]]))
             up[max(p, q)] = min(p, q)
-        component = np.array([root(int(c)) for c in component])
+        roots = np.array([root(int(c)) for c in names])
+        component, left = roots[inverse], len(np.unique(roots))
         state.unpersist()
-    points.unpersist()
+    tree.unpersist()
     return np.array([(a, b, d) for d, a, b in sorted(edges)]) if edges else np.zeros((0, 3))
 
 
@@ -164,7 +223,7 @@ def hdbscan_fit(x: np.ndarray, min_cluster_size: int = 50, min_samples: int = 10
     if spark is not None and n >= SPREAD_FROM:
         tree = spread_spanning_tree(spark, x, k)
     else:
-        core = np.concatenate([np.sort(np.sqrt(((x[i : i + 256, None] - x[None]) ** 2).sum(axis=2)), axis=1)[:, min(k, n) - 1] for i in range(0, n, 256)])
+        core = np.concatenate([np.sort(np.sqrt(sum((x[i : i + 256, c][:, None] - x[None, :, c]) ** 2 for c in range(x.shape[1]))), axis=1)[:, min(k, n) - 1] for i in range(0, n, 256)])
         tree = _spanning_tree(x, core)
     # merges: node n + i joins two nodes at a distance
     up = list(range(2 * n - 1))
