@@ -193,12 +193,13 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Trees:
     shared = Shared(docs.sparkSession, "language")
     usable = docs.where((crc_bucket("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     usable = usable.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    draw = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("least")).collect()
     if not sizes:
         return Trees([])
-    draw = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, rows_per_language / n))) for k, n in sizes.items()])
-    counted = usable.where(draw < share).select("text", "lang").mapInArrow(_count, "lang string, gram long, n long")
+    # rows of one id and text are drawn together; the least draw is always in, so every language is learned
+    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(max(min(1.0, rows_per_language / r["n"]), r["least"]))) for r in sizes])
+    counted = usable.where(draw <= share).select("text", "lang").mapInArrow(_count, "lang string, gram long, n long")
     rows = shared.write(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams").toArrow()
     return Trees.build(rows["lang"].to_pylist(), rows["gram"].to_numpy(), rows["n"].to_numpy())
 

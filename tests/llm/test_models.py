@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlake.llm import op1_toxicity as toxicity
 from strandlake.llm import op5_maxent as maxent
 from strandlake.llm import op9_language as language
-from strandlake.llm.common import Shared, words_of
+from strandlake.llm.common import Shared, crc_of_text, words_of
 
 from .conftest import TEXTS
 
@@ -333,3 +333,13 @@ def test_features_stay_within_texts():
     kinds = np.array([1, 2, 3, 1, 2, 3])
     for rows in maxent.features(identity, np.array([True, False, False, True, False, False]), kinds, 1024):
         assert (rows[:, :3] == rows[:, 3:]).all() and rows.max() < 1024 and rows[1:].min() > maxent.CLASSES
+
+
+@pytest.mark.parametrize("ident", [12, 13, 14, None])
+def test_each_language_with_a_usable_row_is_learned(spark, ident):
+    rows = [(ident, f"le chat numero {i} dort sur la chaise", "fr") for i in range(1000)] + [(100_000 + i, f"the cat number {i} sleeps on a chair", "en") for i in range(1000)]
+    rows += [(ident, "una sola fila repetida", "es")] * 900
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language.train(docs, 40).languages
+    want = {"en"} | ({"fr", "es"} if crc_of_text(ident, 4) != 2 else set())
+    assert set(learned) == want
