@@ -108,6 +108,20 @@ def spark_schema(fields: str) -> str:
     return ", ".join(f"`{n}` {kinds.get(k, k)}" for n, k in (f.split() for f in fields.split(",")))
 
 
+def all_of(df: DataFrame, *, but: str | None = None) -> list[Column]:
+    """The columns of ``df``, whatever they are called, without one of the name ``but`` (in any case)."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if but is None or c.lower() != but.lower()]
+
+
+def mapped(df: DataFrame, change, *added: tuple[str, str]) -> DataFrame:
+    """``df.mapInArrow`` over whole rows, whatever the columns are called: ``change`` meets them as c0, c1, ... in order,
+    and may append columns (name, type), which it names as it likes."""
+    names = [*df.columns, *(name for name, _ in added)]
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    schema = ", ".join(f"c{i} {kind}" for i, kind in enumerate([*(f.dataType.simpleString() for f in df.schema), *(kind for _, kind in added)]))
+    return plain.mapInArrow(change, schema).toDF(*names)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or with underscores appended until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -38,7 +38,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, crc_bucket, free_name, read, words_of
+from .common import Shared, all_of, crc_bucket, free_name, mapped, read, words_of
 
 ROWS_PER_CLASS = 6000
 WINDOW = 16
@@ -248,25 +248,24 @@ def train(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PE
 
 def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``docs`` and a column of scores, in place of any that has its name."""
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != column.lower()])
+    docs = docs.select(*all_of(docs, but=column))
+    at = docs.columns.index("text")
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            scores = [broadcast.value.score(tokens_of(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, column])
+            scores = [broadcast.value.score(tokens_of(t)) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[f"c{i}" for i in range(batch.num_columns + 1)])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    return mapped(docs, run, (column, "double"))
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows scored ``threshold`` or higher."""
     column = free_name(docs, "toxicity")
-    return with_score(docs, model, column).where(F.col(column) < threshold).select(*docs.columns)
+    return with_score(docs, model, column).where(F.col(column) < threshold).select(*all_of(docs))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Shared, free_name, read, words_of
+from .common import Shared, all_of, free_name, read, words_of
 from .components import UnionFind, connected_components
 from .fingerprints import fingerprint
 
@@ -176,9 +176,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     chosen = shared.write(chosen.select(F.col("first.h1").alias(f"{h1}_"), F.col("first.h2").alias(f"{h2}_")), "chosen")
     found = keyed.join(chosen, (F.col(h1) == F.col(f"{h1}_")) & (F.col(h2) == F.col(f"{h2}_")), "left_semi")
     # maps have no hash; a row's other columns order rows that are equal in id and text
-    columns = [c.name for c in docs.schema if "map<" not in c.dataType.simpleString()]
+    columns = [c for c, f in zip(all_of(docs), docs.schema) if "map<" not in f.dataType.simpleString()]
     found = found.withColumn(order, F.row_number().over(Window.partitionBy(h1, h2).orderBy(F.xxhash64(*columns))))
-    return found.where(F.col(order) == 1).select(*docs.columns)
+    return found.where(F.col(order) == 1).select(*all_of(docs))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

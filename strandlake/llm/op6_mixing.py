@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, Shared, free_name, read
+from .common import WORD_PATTERN, Shared, all_of, free_name, read
 
 #: Fixed: weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     rates = mixing_rates(docs, weights, cap).select("source", "whole", "bar", "seed").toDF(of, whole, bar, seed)
     joined = docs.join(rates, F.col("source").eqNullSafe(F.col(of)))
     copies = _copies(F.col("doc_id"), F.col(whole), F.col(bar), F.col(seed))
-    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*all_of(docs))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

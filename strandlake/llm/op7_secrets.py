@@ -10,8 +10,9 @@ and plain numbers, and by the same measure identifiers: words joined by case,
 ``_``, ``-``, ``/`` or short numbers, if the words alone compress to
 ``WORD_RATIO`` letters a token.  A run need hold no digit.
 
-Defined cases: null and empty texts have no span; repeated rows are scanned
-alike; a null doc_id stays null; an empty table gives no rows; ``redact`` keeps
+Defined cases: null and empty texts have no span; very long texts are scanned whole,
+in time that grows with their length; of spans of different kinds that start together
+each stays, in the order of the kinds; repeated rows are scanned alike; a null doc_id stays null; an empty table gives no rows; ``redact`` keeps
 every column of its input, whatever its name.
 """
 
@@ -24,7 +25,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, read, spark_schema
+from .common import arrow_schema, mapped, read, spark_schema
 
 #: The base kinds, in their order, and their patterns and least lengths.
 KINDS = ("assign", "access", "hex", "token")
@@ -88,17 +89,28 @@ def characters_per_token(run: str, path: str | None = None) -> float:
     return len(run) / len(_encoder(path or vocabulary_path()).encode_ordinary(run))
 
 
-def _pieces(a: int, b: int, spans: list[tuple[int, int, int]]):
-    """The parts of a..b that no span covers; ``spans`` by start."""
+def _pieces(runs: list[tuple[int, int]], spans: list[tuple[int, int, int]]):
+    """The parts of the runs that no span covers; both by start, and each is passed once."""
+    joined: list[list[int]] = []
     for x, y, _ in spans:
-        if x >= b:
-            break
-        if y > a:
+        if joined and x <= joined[-1][1]:
+            joined[-1][1] = max(y, joined[-1][1])
+        else:
+            joined.append([x, y])
+    at = 0
+    for a, b in runs:
+        while at < len(joined) and joined[at][1] <= a:
+            at += 1
+        while at < len(joined) and joined[at][0] < b:
+            x, y = joined[at]
             if x > a:
                 yield a, x
             a = y
-    if a < b:
-        yield a, b
+            if y >= b:  # it may cover the next run, too
+                break
+            at += 1
+        if a < b:
+            yield a, b
 
 
 def find_spans(text: str | None, path: str | None = None, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
@@ -114,15 +126,13 @@ def find_spans(text: str | None, path: str | None = None, max_ratio: float = MAX
     runs = [m for m in RUN.finditer(text)]
     if runs:
         found += [(*m.span(), 2) for m in HEX.finditer(text)]
-        base = sorted(found)
-        for m in runs:
-            for a, b in _pieces(*m.span(), base):
-                run = text[a:b].strip("=-_/+")
-                # a key may begin or end with a sign or two
-                if b - a < MIN_RUN or len(run) < MIN_RUN - 2 or is_known_form(run):
-                    continue
-                if characters_per_token(run, path) < max_ratio and not is_identifier(run, path):
-                    found.append((a, b, 3))
+        for a, b in _pieces([m.span() for m in runs], sorted(found)):
+            run = text[a:b].strip("=-_/+")
+            # a key may begin or end with a sign or two
+            if b - a < MIN_RUN or len(run) < MIN_RUN - 2 or is_known_form(run):
+                continue
+            if characters_per_token(run, path) < max_ratio and not is_identifier(run, path):
+                found.append((a, b, 3))
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
@@ -161,17 +171,16 @@ def scan(docs: DataFrame, vocabulary: str | None = None, max_ratio: float = MAX_
 
 def redact(docs: DataFrame, vocabulary: str | None = None, max_ratio: float = MAX_RATIO) -> DataFrame:
     """``docs`` with the secrets of ``text`` replaced; every row and column stays (n_chars, if any, is counted anew)."""
-    path = vocabulary or vocabulary_path()
+    path, at = vocabulary or vocabulary_path(), docs.columns.index("text")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             texts = [redacted(t, find_spans(t, path, max_ratio)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.types[at]) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    clean = docs.mapInArrow(run, docs.schema)
+    clean = mapped(docs, run)
     if "n_chars" not in docs.columns:
         return clean
     return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text"), F.lit(0))).cast(docs.schema["n_chars"].dataType))

@@ -163,3 +163,41 @@ def test_media_of_odd_rows(odd_docs, no_docs):
         assert (r.payload_bytes, r.payload_sha256) == (len(padded), hashlib.sha256(padded).hexdigest())
     assert mkv.media_features(mkv.store(no_docs)).count() == 0
     assert mkv.packet_table(mkv.store(odd_docs)).groupBy("doc_id").agg(F.sum("size")).count() == len({d for d, *_ in TEXTS})
+
+
+def test_spans_take_time_that_grows_with_the_text():
+    import random
+    import time
+
+    rng = random.Random(3)
+    key = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789", k=24))
+    part = " ".join(f'password = "{key()}" {key()}' for _ in range(200))
+    took = []
+    for times in (1, 40):
+        began = time.perf_counter()
+        found = secrets.find_spans(" ".join([part] * times))
+        took.append(time.perf_counter() - began)
+        assert len(found) >= 400 * times
+    assert took[1] < 60 * max(took[0], 0.01)
+
+
+def test_pieces_against_a_map_of_characters():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        cuts = sorted(rng.sample(range(60), 8))
+        runs = list(zip(cuts[::2], cuts[1::2]))
+        spans = sorted((a, a + rng.randint(1, 20), 0) for a in rng.sample(range(60), rng.randint(0, 6)))
+        free = [any(a <= i < b for a, b in runs) and not any(x <= i < y for x, y, _ in spans) for i in range(90)]
+        want = []
+        for a, b in runs:
+            i = a
+            while i < b:
+                j = i
+                while j < b and free[j]:
+                    j += 1
+                if j > i:
+                    want.append((i, j))
+                i = max(j, i + 1)
+        assert list(secrets._pieces(runs, spans)) == want
