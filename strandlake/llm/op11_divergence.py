@@ -36,7 +36,7 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 _BETWEEN = re.compile(rb"[^a-z\x80-\xff]")
 PIECE = 1 << 20
 #: Distinct (lang, source, term) that a task holds before it hands them on.
-HELD = 200_000
+HELD = 400_000
 
 
 def terms_of(text: bytes):
@@ -68,12 +68,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                found: Counter = Counter()
-                for part in terms_of(text):
-                    found.update(part)
                 n, d = held.setdefault((lang, source), (Counter(), Counter()))
-                n.update(found)
-                d.update(found.keys())
+                seen: set = set()
+                for part in terms_of(text):
+                    n.update(part)
+                    seen.update(part)
+                d.update(seen)
             if sum(len(n) for n, _ in held.values()) > HELD:
                 yield table()
         yield table()
@@ -85,8 +85,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def _share(count: str, total: str, terms: str) -> str:
-    """SQL of 1 + floor(SCALE * (count + 2) / (total + 2 * terms)), exactly."""
-    return f"(1 + (CAST({SCALE} AS DECIMAL(10,0)) * CAST({count} + 2 AS DECIMAL(20,0))) div CAST({total} + 2 * {terms} AS DECIMAL(20,0)))"
+    """SQL of 1 + floor(SCALE * (count + 2) / (total + 2 * terms)), exactly: in longs while the product fits, else in decimals."""
+    wide = f"(CAST({SCALE} AS DECIMAL(10,0)) * CAST({count} + 2 AS DECIMAL(20,0))) div CAST({total} + 2 * {terms} AS DECIMAL(20,0))"
+    return f"(1 + CASE WHEN {count} < {(1 << 62) // SCALE} THEN ({SCALE}L * ({count} + 2L)) div ({total} + 2L * {terms}) ELSE {wide} END)"
 
 
 def _distance(p: str, q: str) -> str:
@@ -109,11 +110,12 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS)
     layout = totals.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("sources"))
     sizes = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("lang_n"))
     layout = layout.join(sizes, "lang", "left").select("lang", F.col("sources.source").alias("sources"), F.col("sources.n").alias("totals"), F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("lang_n", F.lit(0)).alias("lang_n"))
-    absent = F.expr(f"CASE WHEN terms > 0 THEN transform(totals, n -> {_share('0', 'n', 'terms')}) END")
+    absent = F.expr(f"CASE WHEN terms > 0 THEN transform(totals, n -> {_share('0L', 'n', 'terms')}) END")
     layout = shared.write(layout.withColumn("absent", absent), "layout")
 
     wide = terms.join(layout, "lang").withColumn("vector", F.expr("transform(sources, s -> coalesce(try_element_at(by_source, s), 0))"))
-    wide = wide.select("lang", "term", "sources", "absent", "vector", F.expr(f"zip_with(vector, totals, (c, n) -> {_share('c', 'n', 'terms')})").alias("shares"), F.expr(_share("total", "lang_n", "terms")).alias("lang_share"))
+    shares = F.expr(f"transform(vector, (c, i) -> CASE WHEN c = 0 THEN absent[i] ELSE {_share('c', 'totals[i]', 'terms')} END)")
+    wide = wide.select("lang", "term", "sources", "absent", "vector", shares.alias("shares"), F.expr(_share("total", "lang_n", "terms")).alias("lang_share"))
     here = "filter(sequence(0, size(vector) - 1), i -> vector[i] > 0)"
     others = "filter(sequence(0, size(vector) - 1), j -> j != i AND (vector[j] = 0 OR j > i))"
     change = f"{_distance('shares[i]', 'shares[j]')} - {_distance('absent[i]', 'absent[j]')}"
