@@ -24,7 +24,7 @@ from ..functions.names import normalize_chrom, ucsc_chrom, ucsc_placed
 from ..sources import fasta
 from ..sources.files import read_chrom_aliases
 from ..tables import exists, materialised, status_of
-from .sketch import bin_sketch, contig_filter
+from .sketch import bin_sketch, contig_filter, kept_bins
 
 MARK = "assembly string, params string, status string, error string, n_bins long, n_hashes long, n_contigs long, seconds double"
 
@@ -131,12 +131,8 @@ def _sketch(spark: SparkSession, rows: list, params: dict, folder: str, settings
     broken = {r[0]: r[1] for r in binned.where("error IS NOT NULL").groupBy("assembly").agg(F.min("error")).collect()}
     whole = binned.where("error IS NULL").where(~F.col("assembly").isin(*broken)) if broken else binned
     placed = placement(whole, aliases).where(keep)  # streamed contigs are placed only now
-    full = F.col("span") == bin_size if settings["drop_partial"] else F.lit(True)
-    placed = placed.where(full & (F.col("n_acgt") >= settings["min_acgt"] * F.col("span")) & (F.size("hashes") >= settings["min_sketch"]))
-    order = Window.partitionBy("assembly").orderBy("ordinal", "contig", "start")  # an assembly has as many bins as its bases allow
-    bins = placed.join(files.select("assembly", "sample", "haplotype", "source", "params"), "assembly").withColumn("bin_idx", F.row_number().over(order) - 1)
-    end = F.col("start") + F.col("span")
-    bins = bins.select("assembly", "bin_idx", F.concat_ws("|", "assembly", "contig", "start").alias("bin_uid"), "sample", "haplotype", "source", "contig", "chrom", "placed", "start", end.alias("end"), "n_acgt", "n_kmers", F.size("hashes").alias("n_sketch"), F.when(F.col("n_acgt") > 0, F.col("n_gc") / F.col("n_acgt")).cast("float").alias("gc"), (1 - F.col("n_acgt") / F.col("span")).cast("float").alias("nfrac"), "params", "hashes")
+    kept = kept_bins(placed, bin_size, settings["min_acgt"], settings["min_sketch"], settings["drop_partial"])
+    bins = bin_columns(kept.join(files.select("assembly", "sample", "haplotype", "source", "params"), "assembly"), "ordinal", "params")
     bins.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("assembly").parquet(f"{folder}/bins")
     written = spark.read.schema(BINS).parquet(f"{folder}/bins").where(F.col("assembly").isin(*[r["assembly"] for r in rows]))
     fresh = written.join(files.select("assembly", "params"), ["assembly", "params"], "left_semi")
@@ -144,6 +140,13 @@ def _sketch(spark: SparkSession, rows: list, params: dict, folder: str, settings
     return {r[0]: (r[1], r[2], r[3]) for r in counts}, broken
 
 
+def bin_columns(binned: DataFrame, ordinal: str = "contig", *more: str) -> DataFrame:
+    """Kept rows of ``bin_sketch`` as the table of bins: bin_idx is dense within an assembly, by contig (``ordinal``) and start."""
+    order = Window.partitionBy("assembly").orderBy(ordinal, "contig", "start")  # an assembly has as many bins as its bases allow
+    end, indexed = F.col("start") + F.col("span"), binned.withColumn("bin_idx", F.row_number().over(order) - 1)
+    return indexed.select("assembly", "bin_idx", F.concat_ws("|", "assembly", "contig", "start").alias("bin_uid"), "sample", "haplotype", "source", "contig", "chrom", "placed", "start", end.alias("end"), "n_acgt", "n_kmers", F.size("hashes").alias("n_sketch"), F.when(F.col("n_acgt") > 0, F.col("n_gc") / F.col("n_acgt")).cast("float").alias("gc"), (1 - F.col("n_acgt") / F.col("span")).cast("float").alias("nfrac"), *more, "hashes")
+
+
 def marks(spark: SparkSession, folder: str) -> DataFrame:
     if not exists(spark, f"{folder}/marks"):
         return spark.createDataFrame([], MARK)

@@ -1,11 +1,64 @@
-"""Choice of assemblies: filters, balanced order, caps."""
+"""Choice of assemblies: where they come from, filters, balanced order, caps."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..contracts import MANIFEST, conform
 from ..functions.names import superpopulation
+from ..sources.files import read_catalog, read_manifest
+
+#: Suffixes of sequence files and names of haplotypes in them.
+FASTA_SUFFIXES = (".fa.gz", ".fasta.gz", ".fa", ".fasta")
+HAPLOTYPES = ("pat", "mat", "hap1", "hap2")
+
+
+def from_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a FASTA file of a folder: its stem is the assembly, a last ``_pat``, ``_mat``, ``_hap1`` or ``_hap2`` in it
+    the haplotype (hap1 if there is none), what precedes that the sample; indexes beside a file are named."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(target) or not system.getFileStatus(target).isDirectory():
+        raise NotADirectoryError(folder)
+    names = {s.getPath().getName() for s in system.listStatus(target) if s.isFile()}
+    base = folder.rstrip("/")
+    beside = lambda n, end: f"{base}/{n}{end}" if n + end in names else ""
+    found = [(n, f"{base}/{n}", beside(n, ".fai"), beside(n, ".gzi")) for n in sorted(names) if n.endswith(FASTA_SUFFIXES)]
+    rows = spark.createDataFrame(found, "name string, fasta string, fai string, gzi string")
+    stem = F.regexp_replace("name", "[.](fa|fasta)([.]gz)?$", "")
+    pattern = "(?i)^(.+)_(" + "|".join(HAPLOTYPES) + ")(_.*)?$"
+    rows = rows.withColumn("assembly", stem).withColumns({"sample": F.regexp_extract("assembly", pattern, 1), "haplotype": F.lower(F.regexp_extract("assembly", pattern, 2))})
+    named = rows.select("assembly", F.when(F.col("sample") == "", F.col("assembly")).otherwise(F.col("sample")).alias("sample"), F.when(F.col("haplotype") == "", "hap1").otherwise(F.col("haplotype")).alias("haplotype"), F.lit("local").alias("source"), "fasta", "fai", "gzi")
+    return conform(named.select("*", *[F.lit("").alias(c) for c in MANIFEST.names if c not in named.columns]), MANIFEST)
+
+
+def from_release(spark: SparkSession, index: str, annotations: dict[str, str], metadata: str) -> DataFrame:
+    """The manifest of a release: its index, one table (assembly, url) for each annotation column, and samples' metadata."""
+    joined = with_metadata(read_catalog(spark, index), {c: read_catalog(spark, p) for c, p in annotations.items()}, read_catalog(spark, metadata))
+    return conform(joined.select("*", *[F.lit("").alias(c) for c in MANIFEST.names if c not in joined.columns]), MANIFEST)
+
+
+def build_manifest(spark: SparkSession, config, reference: DataFrame | None = None, complete: DataFrame | None = None) -> DataFrame:
+    """The manifest that a configuration's section asks for, with ``ordinal``: source, filters, caps, reference first.
+
+    ``complete``: the release's chromosome table (assembly, chrom, level, num_gaps), for ``require_complete``.
+    """
+    if config.source == "file":
+        rows = read_manifest(spark, config.path)
+    elif config.source == "folder":
+        rows = from_folder(spark, config.path)
+    elif config.source == "release":
+        rows = from_release(spark, f"{config.path}/index.csv", {c: f"{config.path}/{c}.csv" for c in config.annotation_tables}, f"{config.path}/samples.csv")
+    else:
+        raise ValueError(f"unknown source of the manifest: {config.source}")
+    rows = filtered(rows, list(config.samples), list(config.exclude_samples), list(config.populations), list(config.require_annotations))
+    if config.require_complete and complete is not None:
+        rows = complete_only(rows, complete, list(config.chroms))
+    return finalized(capped(rows, config.max_samples, config.max_assemblies, config.seed), reference)
 
 
 def with_metadata(index: DataFrame, annotations: dict[str, DataFrame], metadata: DataFrame) -> DataFrame:
@@ -45,13 +98,27 @@ def deduplicated(rows: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def sample_key(seed: int):
+    """The first 8 bytes of BLAKE2b of ``seed:sample``: bytes order as the unsigned number does."""
+
+    @F.pandas_udf("binary")
+    def key(samples: pd.Series) -> pd.Series:
+        return samples.map(lambda s: hashlib.blake2b(f"{seed}:{s}".encode(), digest_size=8).digest())
+
+    return key(F.col("sample"))
+
+
 def sample_order(rows: DataFrame, seed: int = 7) -> DataFrame:
-    """sample, place: round-robin over superpopulations, within one complete samples first, then by a seeded
-    digest; samples without a superpopulation last."""
-    samples = rows.groupBy("sample").agg(F.max("superpopulation").alias("superpopulation"), F.count(F.lit(1)).alias("haplotypes"))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "sample"))
-    turn = F.row_number().over(Window.partitionBy("superpopulation").orderBy(F.desc(F.col("haplotypes") >= 2), key, "sample"))
-    dealt = samples.withColumn("turn", turn)
+    """sample, place: round-robin over superpopulations in order of name, within one samples with two or more
+    haplotypes first, then by the seeded digest; samples without a superpopulation last.
+
+    A sample's superpopulation is that of its first row (by ``ordinal`` if there is one, else by assembly).
+    """
+    first = "ordinal" if "ordinal" in rows.columns else "assembly"
+    samples = rows.groupBy("sample").agg(F.coalesce(F.min_by("superpopulation", first), F.lit("")).alias("superpopulation"), F.countDistinct("haplotype").alias("haplotypes"))
+    keyed = samples.withColumn("key", sample_key(seed))
+    turn = F.row_number().over(Window.partitionBy("superpopulation").orderBy(F.desc(F.col("haplotypes") >= 2), "key", "sample"))
+    dealt = keyed.withColumn("turn", turn)
     order = Window.orderBy(F.col("superpopulation") == "", "turn", "superpopulation")
     return dealt.select("sample", (F.row_number().over(order) - 1).alias("place"))
 

@@ -14,6 +14,14 @@ def entries(sketch: DataFrame, features: DataFrame, row: str = "bin", hash: str
     return sketch.select(row, hash).join(features.select(hash, "col_idx"), hash).select(row, "col_idx").distinct()
 
 
+def checked_features(features: DataFrame) -> DataFrame:
+    """``features``, if no col_idx is negative or given twice; ValueError else.  Gaps stand for columns without entries."""
+    least, n, distinct = features.agg(F.min("col_idx"), F.count(F.lit(1)), F.countDistinct("col_idx")).first()
+    if n and (least < 0 or n != distinct):
+        raise ValueError("col_idx must not be negative, nor given twice")
+    return features
+
+
 def row_table(bins: DataFrame, coo: DataFrame, position: str, order: list, row: str = "bin") -> DataFrame:
     """The bins that have entries, with row_idx by (position, order)."""
     kept = bins.join(coo.select(row).distinct(), row, "left_semi")

@@ -177,6 +177,12 @@ def bin_sketch(bases: DataFrame, k: int, bin_size: int, scaled: int, size: int,
     return kept.mapInArrow(run, schema)
 
 
+def kept_bins(binned: DataFrame, bin_size: int, min_acgt: float = 0.5, min_sketch: int = 5, drop_partial: bool = True) -> DataFrame:
+    """The rows of ``bin_sketch`` that hold enough bases and hashes, and (if so asked) are whole."""
+    full = F.col("span") == bin_size if drop_partial else F.lit(True)
+    return binned.where(full & (F.col("n_acgt") >= min_acgt * F.col("span")) & (F.size("hashes") >= min_sketch))
+
+
 PROFILE = ("total", "start", "end", "n_acgt", "n_gc", "n_kmers")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import dominant
 from .ranking import modal
 
 #: Fixed: the golden ratio's fraction, which spreads hues.
@@ -51,6 +52,14 @@ def comparable(reference_tracks: list[str], assembly_tracks: list[str], tracks:
     return [f for f in vocabulary if f in both]
 
 
+def restricted(bins: DataFrame, coverage: DataFrame, features: list[str], vocabulary: tuple[str, ...], min_frac: float = 0.25) -> DataFrame:
+    """``bins`` with ``feature`` chosen anew among ``features`` alone; unchanged if they are the whole vocabulary, or none."""
+    if not features or len(features) == len(vocabulary):
+        return bins
+    top = dominant(coverage, bins, features, min_frac).select("bin_uid", F.col("dominant_feature").alias("feature"))
+    return bins.drop("feature").join(top, "bin_uid")
+
+
 def transfer_report(bins: DataFrame, unlabelled: str = "unannotated") -> DataFrame:
     """cluster, n_ref_bins, n_asm_bins, ref_top_feature, asm_top_feature, asm_agreement (null if untestable), asm_annotated_frac."""
     real = bins.where("cluster >= 0")

@@ -29,10 +29,29 @@ class Manifest:
     chroms: tuple[str, ...] = ("chr21",)
     max_samples: int = 0
     max_assemblies: int = 0
-    require_annotations: tuple[str, ...] = ("censat",)
+    require_annotations: tuple[str, ...] = ("censat_bed",)
     populations: tuple[str, ...] = ()
     samples: tuple[str, ...] = ()
     exclude_samples: tuple[str, ...] = ()
+    annotation_tables: tuple[str, ...] = ("censat_bed", "repeatmasker_bed", "segdup_bed", "chrom_alias")
+    require_complete: bool = False
+    seed: int = UNSET_SEED
+
+
+@dataclass(frozen=True)
+class Annotate:
+    reference_tracks: tuple[str, ...] = ("censat", "repeatmasker", "segdup", "telomere", "gene")
+    assembly_tracks: tuple[str, ...] = ("censat", "repeatmasker", "segdup")
+    catalog: tuple[str, ...] = ()
+    min_frac_for_dominant: float = 0.25
+    annotate_assemblies: bool = False
+
+
+@dataclass(frozen=True)
+class Report:
+    max_points: int = 1_000_000
+    title: str = ""
+    findings: str = ""
     seed: int = UNSET_SEED
 
 
@@ -102,7 +121,9 @@ class Config:
     decompose: Decompose = field(default_factory=Decompose)
     embed: Embed = field(default_factory=Embed)
     cluster: Cluster = field(default_factory=Cluster)
+    annotate: Annotate = field(default_factory=Annotate)
     enrich: Enrich = field(default_factory=Enrich)
+    report: Report = field(default_factory=Report)
 
 
 def from_dict(data: dict[str, Any]) -> Config:
@@ -150,6 +171,10 @@ def validate(c: Config) -> list[str]:
         (c.cluster.space in ("embedding", "pcs"), "cluster.space must be embedding or pcs"),
         (c.cluster.cluster_selection_method in ("eom", "leaf"), "cluster.cluster_selection_method must be eom or leaf"),
         (c.enrich.top_features >= 1, "enrich.top_features must be 1 or more"),
+        (c.manifest.source in ("file", "folder", "release"), "manifest.source must be file, folder or release"),
+        (0 <= c.annotate.min_frac_for_dominant <= 1, "annotate.min_frac_for_dominant must be from 0 to 1"),
+        (all("=" in x for x in c.annotate.catalog), "annotate.catalog holds kind=path"),
+        (c.report.max_points >= 0, "report.max_points must not be negative"),
     ]
     return [text for ok, text in rules if not ok]
 

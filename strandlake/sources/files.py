@@ -1,4 +1,4 @@
-"""Readers of sequence, track, alias and manifest files, and writers of browser tracks and tables.
+"""Readers of track, alias and manifest files, and a writer of tables (sequences: ``fasta``, browser tracks: ``browser``).
 
 All read through Spark's file sources, so any file system that Spark knows will
 do; gzip is read by suffix.  Remote ranges and downloads are left to those file
@@ -15,48 +15,41 @@ from ..functions.names import text_or_empty
 from ..tables import qualified
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """file, contig, seq: one row per record, case kept, line breaks removed.
-
-    Records are split at '>' at the start of a line; the name ends at white space.
-    """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    body = F.regexp_replace("value", "^>", "")
-    name = F.regexp_extract(body, r"^([^\s]+)", 1)
-    seq = F.regexp_replace(F.regexp_replace(body, r"^[^\n]*\n?", ""), r"\s", "")
-    return raw.select("file", name.alias("contig"), seq.alias("seq")).where(F.col("contig") != "")
-
-
-def contig_lengths(fasta: DataFrame) -> DataFrame:
-    return fasta.groupBy("contig").agg(F.sum(F.length("seq")).alias("length"))
+def lines_of(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file (as given in ``paths``), line (rises in file order, with gaps), value of text files, gzip by suffix."""
+    named = spark.createDataFrame([(qualified(spark, p), p) for p in paths], "uri string, file string")
+    lines = spark.read.text(paths).select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("uri"), F.monotonically_increasing_id().alias("line"), "value")
+    return lines.join(named, "uri").select("file", "line", "value")
 
 
-def fetch(fasta: DataFrame, contig: str, start: int, end: int) -> str:
-    """A stretch of one contig, its end clipped, its case kept; KeyError if there is no such contig."""
-    found = fasta.where(F.col("contig") == contig).select(F.substring(F.col("seq"), F.lit(start + 1), F.lit(max(0, end - start))).alias("part")).take(1)
-    if not found:
-        raise KeyError(contig)
-    return found[0]["part"]
+def read_bed(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, start, end, name, score, strand, extra of one file."""
+    return read_beds(spark, [path]).drop("file")
 
 
-def read_bed(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, start, end, name, score, strand, extra (array): ragged rows of 3 or more columns.
+def read_beds(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, chrom, start, end, name, score, strand, extra (array): ragged rows of 3 or more columns.
 
     Rows whose start or end is no number (headers, track lines) are left out; '#' is
     no comment, as names of contigs hold it.
     """
-    parts = spark.read.text(path).select(F.split("value", "\t").alias("p"))
+    parts = lines_of(spark, paths).select("file", F.split("value", "\t").alias("p"))
     field = lambda i: F.get("p", F.lit(i))
-    rows = parts.select(field(0).alias("chrom"), field(1).try_cast("long").alias("start"), field(2).try_cast("long").alias("end"), F.coalesce(field(3), F.lit("")).alias("name"), F.coalesce(field(4).try_cast("double"), F.lit(0.0)).alias("score"), F.when(field(5).isin("+", "-", "."), field(5)).otherwise(".").alias("strand"), F.when(F.size("p") > 6, F.slice("p", 7, F.greatest(F.size("p") - 6, F.lit(1)))).otherwise(F.array().cast("array<string>")).alias("extra"))
+    rows = parts.select("file", field(0).alias("chrom"), field(1).try_cast("long").alias("start"), field(2).try_cast("long").alias("end"), F.coalesce(field(3), F.lit("")).alias("name"), F.coalesce(field(4).try_cast("double"), F.lit(0.0)).alias("score"), F.when(field(5).isin("+", "-", "."), field(5)).otherwise(".").alias("strand"), F.when(F.size("p") > 6, F.slice("p", 7, F.greatest(F.size("p") - 6, F.lit(1)))).otherwise(F.array().cast("array<string>")).alias("extra"))
     return rows.where("start IS NOT NULL AND end IS NOT NULL")
 
 
 def read_gff_genes(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, start (0-based), end, name, strand of the gene rows of GFF3."""
-    parts = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("p"))
+    """chrom, start, end, name, strand of one file."""
+    return read_gffs(spark, [path]).drop("file")
+
+
+def read_gffs(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, chrom, start (0-based), end, name, strand of the gene rows of GFF3."""
+    parts = lines_of(spark, paths).where(~F.col("value").startswith("#")).select("file", F.split("value", "\t").alias("p"))
     field = lambda i: F.get("p", F.lit(i))
     tag = lambda k: F.nullif(F.regexp_extract(field(8), f"(?:^|;){k}=([^;]*)", 1), F.lit(""))
-    genes = parts.where(field(2) == "gene").select(field(0).alias("chrom"), F.greatest(field(3).try_cast("long") - 1, F.lit(0)).alias("start"), field(4).try_cast("long").alias("end"), F.coalesce(tag("gene_name"), tag("Name"), tag("gene_id"), tag("ID"), F.lit("")).alias("name"), F.when(field(6).isin("+", "-"), field(6)).otherwise(".").alias("strand"))
+    genes = parts.where(field(2) == "gene").select("file", field(0).alias("chrom"), F.greatest(field(3).try_cast("long") - 1, F.lit(0)).alias("start"), field(4).try_cast("long").alias("end"), F.coalesce(tag("gene_name"), tag("Name"), tag("gene_id"), tag("ID"), F.lit("")).alias("name"), F.when(field(6).isin("+", "-"), field(6)).otherwise(".").alias("strand"))
     return genes.where("start IS NOT NULL AND end IS NOT NULL")
 
 
@@ -66,9 +59,7 @@ def read_chrom_aliases(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     A header ('#' first) may say which column is the UCSC one.
     """
-    named = spark.createDataFrame([(qualified(spark, p), p) for p in paths], "uri string, file string")
-    lines = spark.read.text(paths).select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("uri"), F.monotonically_increasing_id().alias("line"), "value")
-    lines = lines.join(named, "uri").select("file", "line", "value")
+    lines = lines_of(spark, paths)
     names = F.split(F.regexp_replace("value", "^[# ]+", ""), "\t")
     header = lines.where(F.col("value").startswith("#")).groupBy("file").agg(F.min_by(F.array_position(names, "ucsc"), "line").alias("column"))
     parts = lines.where(~F.col("value").startswith("#")).join(header, "file", "left").select("file", "line", F.split("value", "\t").alias("p"), F.coalesce(F.nullif("column", F.lit(0)) - 1, F.lit(1)).cast("int").alias("at"))
@@ -98,18 +89,6 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[text_or_empty(F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Parquet; Spark's commit protocol publishes all files or none."""
-    df.write.mode("overwrite").parquet(path)
-
-
 def write_tsv(df: DataFrame, path: str) -> None:
     """Tab-separated text with 'NA' for missing values."""
     df.write.mode("overwrite").option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path)
-
-
-def write_beds(rows: DataFrame, path: str, compression: str = "none") -> None:
-    """BED9 lines, one folder for each assembly, in order of contig and start."""
-    line = F.concat_ws("\t", "contig", F.col("start").cast("string"), F.col("end").cast("string"), "name", F.col("score").cast("string"), "strand", F.col("thick_start").cast("string"), F.col("thick_end").cast("string"), "rgb")
-    ordered = rows.repartition("assembly").sortWithinPartitions("assembly", "contig", "start", "name")
-    ordered.select("assembly", line.alias("value")).write.mode("overwrite").option("compression", compression).partitionBy("assembly").text(path)

@@ -140,7 +140,7 @@ def test_hdbscan_fits_every_row(spark, monkeypatch):
     small = [label[i] for i in range(288, 300)]
     assert len(label) == 300 and small.count(max(set(small), key=small.count)) >= 10 and max(small) >= 0
     core = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)[:, 4]
-    monkeypatch.setattr(density, "TILE", (16, 64))
+    monkeypatch.setattr(density, "LEAF", 16)
     tree = density.spread_spanning_tree(spark, x, 5)
     assert len(tree) == 299 and np.allclose(tree[:, 2], density._spanning_tree(x, core)[:, 2])
     monkeypatch.setattr(density, "SPREAD_FROM", 2)
@@ -148,12 +148,6 @@ def test_hdbscan_fits_every_row(spark, monkeypatch):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "a.fa").write_text(">c1 extra words\nACGT\nacgt\n>c2\nNNNN\n>empty\n")
-    fasta = files.read_fasta(spark, str(tmp_path / "a.fa"))
-    assert {r.contig: r.seq for r in fasta.collect()} == {"c1": "ACGTacgt", "c2": "NNNN", "empty": ""}
-    assert files.fetch(fasta, "c1", 2, 99) == "GTacgt"
-    with pytest.raises(KeyError):
-        files.fetch(fasta, "none", 0, 1)
     with gzip.open(tmp_path / "t.bed.gz", "wt") as f:
         f.write("track name=x\nc#1\t5\t9\nc#1\t1\t4\thor\t7\t?\t1\t4\t0,0,0\n")
     bed = sorted(files.read_bed(spark, str(tmp_path / "t.bed.gz")).collect(), key=lambda r: r.start)
