@@ -55,7 +55,8 @@ _SKETCH = f"SELECT DISTINCT assembly, chrom, pos // {BIN} * {BIN} AS start, hash
 
 @query(_sql("true", f"SELECT assembly, chrom, start, hash::BIGINT AS hash FROM ({_SKETCH})"))
 def frac_sketch(spark, sf_dir):
-    return sketch.sketch(_few(spark, sf_dir), K, BIN, SCALED, KEYS, block_size=997)
+    made = sketch.bin_sketch(sketch.blocks(_few(spark, sf_dir), K, 20 * BIN, KEYS), K, BIN, SCALED, 20 * BIN, KEYS)
+    return made.select(*KEYS, "start", F.explode("hashes").alias("hash"))
 
 
 _STATS = f"""stats AS (SELECT assembly, chrom, length(seq) AS total, b.i AS start, least(b.i + {BIN}, length(seq)) AS "end", substr(seq, (b.i + 1)::BIGINT, {BIN}) AS piece FROM sequences, range(0, length(seq), {BIN}) b(i))"""

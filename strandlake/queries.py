@@ -6,7 +6,7 @@ import importlib
 
 from .plans.registry import ORACLE_SQL, QUERIES
 
-for _module in ("q_features", "q_sequence", "q_intervals", "q_clusters", "q_statistics", "q_groups", "q_dense"):
+for _module in ("q_features", "q_sequence", "q_intervals", "q_clusters", "q_statistics", "q_groups", "q_dense", "q_manifest"):
     importlib.import_module(f"strandlake.plans.{_module}")
 
 FLAGSHIP = "idf_l2_matrix"
