@@ -174,7 +174,7 @@ def spread_spanning_tree(spark, x: np.ndarray, k: int) -> np.ndarray:
     parts = min(len(leaves), context.defaultParallelism * 4)
     blocks = context.parallelize([range(i * len(leaves) // parts, (i + 1) * len(leaves) // parts) for i in range(parts)], parts)
     tree = context.broadcast(leaves)
-    core = np.concatenate([c for c in blocks.map(lambda b: np.concatenate([tree.value.cores(i, k) for i in b])).toLocalIterator()])
+    core = np.concatenate(blocks.map(lambda b: np.concatenate([tree.value.cores(i, k) for i in b])).collect())
     least_core = np.minimum.reduceat(core, leaves.starts[:-1])
     component, edges, left = np.arange(n), [], n  # by place in the order of leaves
     while left > 1:
@@ -187,7 +187,7 @@ def spread_spanning_tree(spark, x: np.ndarray, k: int) -> np.ndarray:
                 tree.value.least_edges(i, *state.value, best)
             return list(best.items())
 
-        chosen = dict(blocks.flatMap(least).reduceByKey(min).toLocalIterator())
+        chosen = dict(blocks.flatMap(least).reduceByKey(min).collect())
         new = set(chosen.values())
         edges += new
         place = np.empty(n, dtype=int)
