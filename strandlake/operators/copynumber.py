@@ -180,6 +180,37 @@ def group_effects(rows: list[tuple[float, str, str]]) -> tuple[list[tuple], dict
     return terms, {"f": f, "p": f_tail(f, len(groups) - 1, dof), "dof": dof}
 
 
+def _varied(means: DataFrame) -> DataFrame:
+    """The features with more than one value and group: the others have nothing to fit."""
+    ends = means.groupBy("feature").agg((F.min("value") < F.max("value")).alias("moves"), (F.min("grp") < F.max("grp")).alias("groups"))
+    return means.join(ends.where("moves AND groups"), "feature", "left_semi")
+
+
+def effect_terms(means: DataFrame) -> DataFrame:
+    """feature, term, effect, se, ci_lo, ci_hi, t, p: the terms of ``group_effects`` for each feature of ``donor_means`` that varies."""
+    columns = ["feature", "term", "effect", "se", "ci_lo", "ci_hi", "t", "p"]
+
+    def fit(pdf):
+        import pandas as pd
+
+        terms, _ = group_effects(list(zip(pdf["value"], pdf["grp"], pdf["stratum"])))
+        return pd.DataFrame([(pdf["feature"].iloc[0], *t) for t in terms], columns=columns)
+
+    return _varied(means).groupBy("feature").applyInPandas(fit, "feature string, term string, effect double, se double, ci_lo double, ci_hi double, t double, p double")
+
+
+def agreement(left: DataFrame, right: DataFrame) -> DataFrame:
+    """feature, n, pearson, spearman of two measures (assembly, feature, n_bins) over the assemblies that have either
+    (absent: 0): how far labels of the reference alone give the counts that the assemblies' own annotations give."""
+    named = lambda df, c: df.select("assembly", "feature", F.col("n_bins").cast("double").alias(c))
+    assemblies = left.select("assembly").union(right.select("assembly")).distinct()
+    grid = assemblies.join(F.broadcast(left.select("feature").distinct()))  # one row a feature of a vocabulary
+    both = grid.join(named(left, "x"), ["assembly", "feature"], "left").join(named(right, "y"), ["assembly", "feature"], "left").fillna({"x": 0.0, "y": 0.0})
+    ranked = average_ranks(average_ranks(both, "x", "rx", ["feature"]), "y", "ry", ["feature"])
+    varied = (F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0)
+    return ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.when(varied, F.corr("x", "y")).alias("pearson"), F.when(varied, F.corr("rx", "ry")).alias("spearman"))
+
+
 def adjusted_effects(means: DataFrame) -> DataFrame:
     """feature, grand_mean, f, p, p_bonferroni, dof: groups after the stratum, for each feature of ``donor_means`` that varies.
 
@@ -188,12 +219,10 @@ def adjusted_effects(means: DataFrame) -> DataFrame:
     def fit(pdf):
         import pandas as pd
 
-        if pdf["value"].nunique() < 2 or pdf["grp"].nunique() < 2:
-            return pd.DataFrame({"feature": [], "grand_mean": [], "f": [], "p": [], "dof": []})
         _, found = group_effects(list(zip(pdf["value"], pdf["grp"], pdf["stratum"])))
         return pd.DataFrame([(pdf["feature"].iloc[0], float(pdf["value"].mean()), found["f"], found["p"], found["dof"])], columns=["feature", "grand_mean", "f", "p", "dof"])
 
-    fitted = materialised(means.groupBy("feature").applyInPandas(fit, "feature string, grand_mean double, f double, p double, dof long"))
+    fitted = materialised(_varied(means).groupBy("feature").applyInPandas(fit, "feature string, grand_mean double, f double, p double, dof long"))
     tested = fitted.agg(F.count(F.lit(1)).alias("tests"))
     return fitted.join(F.broadcast(tested)).select("feature", "grand_mean", "f", "p", F.least(F.lit(1.0), F.col("p") * F.col("tests")).alias("p_bonferroni"), "dof")
 

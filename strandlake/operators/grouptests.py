@@ -63,9 +63,59 @@ def _matching(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys) if keys else left.join(F.broadcast(right))
 
 
+#: Pairs of the largest cohort whose distance matrix is sent to every task (32 MB), and permutations that a task takes at once.
+SHARED_PAIRS, CHUNK = 4_000_000, 64
+
+
+def _pseudo_f_shared(pairs: DataFrame, labels: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``pseudo_f_by`` over one distance matrix, which every task has: a labelling is a few products of it."""
+    import numpy as np
+
+    table = pairs.select("a", "b", (F.col("distance") ** 2).alias("sq")).toPandas()
+    units = sorted({*table["a"], *table["b"]})
+    place = {u: i for i, u in enumerate(units)}
+    matrix = np.zeros((len(units) + 1, len(units) + 1))  # the last one: a unit without distances
+    a, b = table["a"].map(place).to_numpy(dtype=int), table["b"].map(place).to_numpy(dtype=int)
+    matrix[a, b] = matrix[b, a] = table["sq"].to_numpy(dtype=float)
+    shared = pairs.sparkSession.sparkContext.broadcast((place, matrix))
+    columns = [*keys, "perm", "f", "r2", "n", "k"]
+
+    def fit(pdf):
+        import pandas as pd
+
+        place, matrix = shared.value
+        made = []
+        for perm, own in pdf.groupby("perm", sort=False):
+            at = own["unit"].map(lambda u: place.get(u, len(place))).to_numpy()
+            grp, names = pd.factorize(own["grp"])
+            n, k = len(own), len(names)
+            d = matrix[np.ix_(at, at)]
+            held = np.zeros((n, k))
+            held[np.arange(n), grp] = 1
+            within = float((((d @ held) * held).sum(axis=0) / 2 / held.sum(axis=0)).sum())
+            total = float(d.sum()) / 2 / n
+            usable = within > 0 and n > k > 1
+            made.append((*own[list(keys)].iloc[0], perm, ((total - within) / (k - 1)) / (within / (n - k)) if usable else None, (total - within) / total if usable else None, n, k))
+        return pd.DataFrame(made, columns=columns)
+
+    kinds = ", ".join(f"`{c}` {labels.schema[c].dataType.simpleString()}" for c in (*keys, "perm"))
+    chunked = labels.withColumn("__chunk", F.floor(F.col("perm") / CHUNK))
+    return chunked.groupBy(*keys, "__chunk").applyInPandas(lambda pdf: fit(pdf), f"{kinds}, f double, r2 double, n long, k long")
+
+
 def pseudo_f_by(pairs: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, perm, f, r2, n, k: PERMANOVA's statistic of each labelling of the pair distances (keys, a, b, distance)."""
+    """keys, perm, f, r2, n, k: PERMANOVA's statistic of each labelling of the pair distances (keys, a, b, distance).
+
+    ``pairs`` without the keys are distances that all keys share, each of its own units.
+    While they are at most ``SHARED_PAIRS``, tasks take them from one matrix; else they are joined.
+    """
     k = list(keys)
+    if not set(keys) & set(pairs.columns):
+        if pairs.count() <= SHARED_PAIRS:
+            return _pseudo_f_shared(pairs, labels, keys)
+        if keys:
+            own = labels.where("perm = 0")
+            pairs = pairs.join(own.select(*k, F.col("unit").alias("a")), "a").join(own.select(*k, F.col("unit").alias("b")), [*k, "b"])
     sizes = labels.groupBy(*k, "perm", "grp").agg(F.count(F.lit(1)).alias("m"))
     shape = sizes.groupBy(*k, "perm").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"))
     squared = pairs.select(*k, "a", "b", (F.col("distance") ** 2).alias("sq"))
@@ -193,23 +243,18 @@ def partner_ranks(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def without_each(pairs: DataFrame, groups: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Pairs and groups for a jackknife, keyed by ``dropped``; drops that leave a group under ``least`` are not made."""
+    """The pairs, and groups for a jackknife keyed by ``dropped``; drops that leave a group under ``least`` are not made."""
     dropped = groups.select(F.col("unit").alias("dropped"), F.col("grp").alias("lost")).join(F.broadcast(groups.groupBy(F.col("grp").alias("lost")).agg(F.count(F.lit(1)).alias("m"))), "lost").where(F.col("m") > least).select("dropped")
     kept = groups.join(dropped, F.col("unit") != F.col("dropped")).select("dropped", "unit", "block", "grp")
-    left = pairs.join(dropped, (F.col("a") != F.col("dropped")) & (F.col("b") != F.col("dropped"))).select("dropped", "a", "b", "distance")
-    return left, kept
+    return pairs, kept
 
 
 def each_two_groups(pairs: DataFrame, groups: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Pairs and groups for contrasts of two groups, keyed by ``one`` < ``two``; small groups are left out."""
+    """The pairs, and groups for contrasts of two groups keyed by ``one`` < ``two``; small groups are left out."""
     names = drop_small_groups(groups, least).select("grp").distinct()
     both = names.toDF("one").join(names.toDF("two"), F.col("one") < F.col("two"))
     kept = groups.join(both, (F.col("grp") == F.col("one")) | (F.col("grp") == F.col("two"))).select("one", "two", "unit", "block", "grp")
-    sides = groups.select("unit", "grp")
-    lo, hi = F.least("ga", "gb"), F.greatest("ga", "gb")
-    labelled = pairs.join(sides.toDF("a", "ga"), "a").join(sides.toDF("b", "gb"), "b")
-    met = labelled.join(both, ((lo == F.col("one")) & (hi == F.col("two"))) | ((lo == hi) & ((lo == F.col("one")) | (lo == F.col("two")))))
-    return met.select("one", "two", "a", "b", "distance"), kept
+    return pairs, kept
 
 
 def residuals(values: DataFrame, covariate: DataFrame, column: str = "cluster") -> DataFrame:
@@ -236,7 +281,8 @@ def group_folds(profile: DataFrame, counts: DataFrame) -> DataFrame:
 
 def size_matched(sizes: DataFrame, draws: int, seed: int = 7) -> DataFrame:
     """draw, target, cluster: for each target of ``sizes`` (cluster, size, is_target) one other cluster of the nearest
-    log size, none twice; targets choose in a shuffled order.  Targets that find the pool empty are left out.
+    log size, none twice; targets choose in a shuffled order.  Targets that find the pool empty draw from all of it,
+    with replacement; without a pool there is nothing to draw.
 
     Each draw is a task of its own over the cluster table (one row a cluster).
     """
@@ -250,10 +296,14 @@ def size_matched(sizes: DataFrame, draws: int, seed: int = 7) -> DataFrame:
         logs = np.log1p(pool["size"].to_numpy(dtype=float))
         free = np.ones(len(pool), dtype=bool)
         rows = []
-        for t in np.random.default_rng((seed, number)).permutation(len(targets)):
+        rng = np.random.default_rng((seed, number))
+        for t in rng.permutation(len(targets)):
             left = np.flatnonzero(free)
-            if not len(left):
+            if not len(pool):
                 break
+            if not len(left):
+                rows.append((number, int(targets["cluster"].iloc[t]), int(pool["cluster"].iloc[int(rng.integers(len(pool)))])))
+                continue
             gap = np.abs(logs[left] - np.log1p(float(targets["size"].iloc[t])))
             chosen = left[int(gap.argmin())]
             free[chosen] = False

@@ -261,6 +261,26 @@ def donor_means(spark, sf_dir):
     return rounded(cn.donor_means(_values(spark, sf_dir), _units(spark, sf_dir)))
 
 
+@query()
+def effect_terms(spark, sf_dir):
+    """Every term of the two-factor fits with its interval; held against a plain fit in the tests."""
+    return rounded(cn.effect_terms(cn.donor_means(_values(spark, sf_dir), _units(spark, sf_dir))))
+
+
+_COUNTS = "SELECT concat('C', o_custkey % 40) AS assembly, l_returnflag AS feature, count(*) FILTER (l_linestatus = 'F' OR l_linenumber < 3) AS x, count(*) FILTER (l_discount > 0.03) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"
+
+
+@query(f"""WITH c AS ({_COUNTS}), g AS (SELECT assembly, feature, coalesce(x, 0)::DOUBLE AS x, coalesce(y, 0)::DOUBLE AS y FROM (SELECT DISTINCT assembly FROM c) a CROSS JOIN (SELECT DISTINCT feature FROM c) f LEFT JOIN c USING (assembly, feature)),
+r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry FROM g)
+SELECT feature, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY feature""")
+def copy_agreement(spark, sf_dir):
+    """Two counts of the same families by assembly: their linear and rank correlation."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    named = lines.select(F.concat(F.lit("C"), F.col("o_custkey") % 40).alias("assembly"), F.col("l_returnflag").alias("feature"), "l_linestatus", "l_linenumber", "l_discount")
+    count = lambda rows: rows.groupBy("assembly", "feature").agg(F.count(F.lit(1)).alias("n_bins"))
+    return rounded(cn.agreement(count(named.where("l_linestatus = 'F' OR l_linenumber < 3")), count(named.where("l_discount > 0.03"))))
+
+
 @query()
 def adjusted_effects(spark, sf_dir):
     """Least squares of two factors; the tests hold it against plain sums of squares."""

@@ -337,10 +337,12 @@ def test_size_matched_draws(spark):
             assert chosen[targets[t]] == best
             free.remove(best)
     few = spark.createDataFrame([(0, 5, True), (1, 5, True), (2, 7, False)], "cluster long, size long, is_target boolean")
-    assert grouptests.size_matched(few, 1).count() == 1
+    drawn = grouptests.size_matched(few, 1).collect()  # one of the pool for the first target, and for the second once more
+    assert sorted(r.target for r in drawn) == [0, 1] and {r.cluster for r in drawn} == {2}
+    assert grouptests.size_matched(few.where("is_target"), 1).count() == 0
 
 
-def test_planted_groups_are_significant(spark):
+def test_planted_groups_are_significant(spark, monkeypatch):
     from strandlake.operators import grouptests
 
     rng = np.random.default_rng(5)
@@ -356,7 +358,38 @@ def test_planted_groups_are_significant(spark):
     blocks = {u: b for u, b, _ in units}
     assert len(by) == 31 and all(sorted(x.values()) == sorted(g for _, _, g in units) for x in by.values())
     assert all(len({(blocks[u], g) for u, g in x.items()}) == 12 for x in by.values()) and len({tuple(sorted(x.items())) for x in by.values()}) > 25
+    shared, joined = grouptests.pseudo_f_by(pairs, labels).orderBy("perm").collect(), None
+    monkeypatch.setattr(grouptests, "SHARED_PAIRS", 0)
+    joined = grouptests.pseudo_f_by(pairs, labels).orderBy("perm").collect()
+    drops = grouptests.without_each(pairs, groups)[1].where("dropped IN ('u00', 'u07')")
+    dropped = [grouptests.pseudo_f_by(pairs, grouptests.permuted_labels(drops, 5, 1, ("dropped",)), ("dropped",)).orderBy("dropped", "perm").collect()]
+    monkeypatch.undo()
+    dropped.append(grouptests.pseudo_f_by(pairs, grouptests.permuted_labels(drops, 5, 1, ("dropped",)), ("dropped",)).orderBy("dropped", "perm").collect())
+    for one, two in ((shared, joined), dropped):
+        assert len(one) == len(two) and all((x.perm, x.n, x.k) == (y.perm, y.n, y.k) and x.f == pytest.approx(y.f) and x.r2 == pytest.approx(y.r2) for x, y in zip(one, two))
     found = grouptests.permanova(pairs, groups, 99, 1).first()
     assert found.p <= 0.02 and found.r2_excess > 0.1 and (found.n_units, found.n_groups) == (24, 2)
     tested = {r.cluster: r for r in grouptests.column_tests(table, groups, 99, 1).collect()}
     assert all((tested[c].p_fwer <= 0.05) == (c < 3) for c in range(8)) and all(r.p_fwer >= r.p_perm for r in tested.values())
+
+
+def test_group_effects_against_plain_sums_of_squares(spark):
+    from strandlake.operators import copynumber
+
+    rng = np.random.default_rng(6)
+    rows = [("f", f"d{i}", "xyz"[i % 3], "pq"[i // 3 % 2], float(rng.normal() + (i % 3) + 0.5 * (i // 3 % 2))) for i in range(40)] + [("flat", f"d{i}", "xyz"[i % 3], "p", 1.0) for i in range(9)]
+    means = spark.createDataFrame(rows, "feature string, block string, grp string, stratum string, value double")
+    own = [r for r in rows if r[0] == "f"]
+    y, g, c = (np.array([r[i] for r in own]) for i in (4, 2, 3))
+    dummy = lambda v: np.stack([(v == x).astype(float) for x in sorted(set(v))], axis=1)
+    full, small = np.hstack([dummy(g), dummy(c)[:, 1:]]), np.hstack([np.ones((40, 1)), dummy(c)[:, 1:]])
+    rss = lambda m: float(((y - m @ np.linalg.lstsq(m, y, rcond=None)[0]) ** 2).sum())
+    f = ((rss(small) - rss(full)) / 2) / (rss(full) / 36)
+    found = {r.feature: r for r in copynumber.adjusted_effects(means).collect()}
+    assert set(found) == {"f"} and found["f"].f == pytest.approx(f) and found["f"].dof == 36 and found["f"].p == found["f"].p_bonferroni
+    terms = {r.term: r for r in copynumber.effect_terms(means).collect()}
+    assert set(terms) == {"(mean)", "x", "y", "z", "[p]", "[q]"}
+    beta = np.linalg.lstsq(full, y, rcond=None)[0]
+    assert [terms[t].effect for t in "xyz"] == pytest.approx((beta[:3] - beta[:3].mean()).tolist())
+    assert sum(terms[t].effect for t in "xyz") == pytest.approx(0) and terms["[q]"].effect == pytest.approx(beta[3] / 2)
+    assert all(r.ci_lo < r.effect < r.ci_hi and 0 <= r.p <= 1 for r in terms.values())
