@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..contracts import MANIFEST, conform
 from ..functions.names import superpopulation
+from ..sources.catalog import HAPLOTYPES, annotation_index, release_index
 from ..sources.files import read_catalog, read_manifest
 
-#: Suffixes of sequence files and names of haplotypes in them.
+#: Suffixes of sequence files.
 FASTA_SUFFIXES = (".fa.gz", ".fasta.gz", ".fa", ".fasta")
-HAPLOTYPES = ("pat", "mat", "hap1", "hap2")
 
 
 def from_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,8 +37,12 @@ def from_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def from_release(spark: SparkSession, index: str, annotations: dict[str, str], metadata: str) -> DataFrame:
-    """The manifest of a release: its index, one table (assembly, url) for each annotation column, and samples' metadata."""
-    joined = with_metadata(read_catalog(spark, index), {c: read_catalog(spark, p) for c, p in annotations.items()}, read_catalog(spark, metadata))
+    """The manifest of a release: its index, one table for each annotation column, and samples' metadata; the index and
+    the tables as the release publishes them (``catalog.release_index``), or with the manifest's own names."""
+    rows, tables = read_catalog(spark, index), {c: read_catalog(spark, p) for c, p in annotations.items()}
+    if "assembly_name" in rows.columns:
+        rows = release_index(rows).withColumn("source", F.lit("hprc"))
+    joined = with_metadata(rows, {c: annotation_index(t) if "location" in t.columns else t for c, t in tables.items()}, read_catalog(spark, metadata))
     return conform(joined.select("*", *[F.lit("").alias(c) for c in MANIFEST.names if c not in joined.columns]), MANIFEST)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import SUPERPOPULATIONS
 from ..operators import assemblies, manifest, matrix, report, sketch, tracks, transfer
+from ..sources import catalog
 from .mappings import incidence, table
 from .q_intervals import _COVER, _cover
 from .q_sequence import _STATS, BIN, K, KEYS, SCALED, _few, _SKETCH, _sql
@@ -183,3 +184,25 @@ def forest_neighbours(spark, sf_dir):
     found, recall = neighbours.forest_neighbours(vectors, 5, leaf=128, least_recall=0.95)
     sizes = found.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     return sizes.agg(F.count(F.lit(1)).alias("vectors"), F.min("n").alias("least"), F.max("n").alias("most")).withColumn("reached", F.lit(recall >= 0.95))
+
+
+_RAW = """c_custkey, concat('S', CAST(floor(c_custkey / 3) AS INT)) AS sample_id, CASE WHEN c_custkey % 7 = 0 THEN '0' ELSE CAST(c_custkey % 2 + 1 AS STRING) END AS haplotype,
+CASE c_custkey % 4 WHEN 0 THEN concat('N', CAST(floor(c_custkey / 3) AS INT), '_PAT_v1') WHEN 1 THEN concat('n', CAST(floor(c_custkey / 3) AS INT), '.mat_MT') WHEN 2 THEN concat('plain', c_custkey) ELSE concat('N', CAST(floor(c_custkey / 3) AS INT), '_hap2_r2') END AS assembly_name,
+CASE WHEN c_custkey % 11 = 0 THEN 'NA' WHEN c_custkey % 5 = 0 THEN concat('https://x/', c_custkey) ELSE concat('s3://b/', c_custkey, '.fa.gz') END AS assembly, concat('s3://b/', c_custkey, '.fai') AS assembly_fai"""
+
+
+@query(f"""WITH raw AS (SELECT {_RAW} FROM customer), named AS (SELECT c_custkey, sample_id AS sample, assembly_name AS assembly,
+CASE c_custkey % 4 WHEN 0 THEN 'pat' WHEN 1 THEN 'mat' WHEN 2 THEN 'hap' || haplotype ELSE 'hap2' END AS haplotype,
+CASE WHEN assembly = 'NA' THEN '' WHEN assembly LIKE 's3%' THEN 'https://b.s3.amazonaws.com/' || substr(assembly, 8) ELSE assembly END AS fasta, 'https://b.s3.amazonaws.com/' || substr(assembly_fai, 8) AS fai FROM raw WHERE haplotype <> '0')
+SELECT sample, haplotype, assembly, fasta, fai, '' AS gzi FROM (SELECT *, row_number() OVER (PARTITION BY assembly ORDER BY c_custkey) AS n FROM named WHERE fasta <> '') WHERE n = 1""")
+def release_index(spark, sf_dir):
+    """A release's index: haplotypes by name or number, https paths, the first row of an assembly."""
+    raw = table(spark, sf_dir, "customer").selectExpr(*_split(_RAW))
+    return catalog.release_index(raw, "c_custkey")
+
+
+@query("""SELECT sample, assembly, url FROM (SELECT '' AS sample, concat('A', o_custkey) AS assembly, 'https://t.s3.amazonaws.com/' || o_orderkey || '.bed' AS url, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 4 <> 0) WHERE n = 1""")
+def annotation_index(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    raw = orders.select("o_orderkey", F.concat(F.lit("A"), "o_custkey").alias("assembly_name"), F.when(F.col("o_orderkey") % 4 == 0, "n/a").otherwise(F.concat(F.lit("s3://t/"), "o_orderkey", F.lit(".bed"))).alias("location"))
+    return catalog.annotation_index(raw, "o_orderkey")

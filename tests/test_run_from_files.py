@@ -176,6 +176,24 @@ def test_sources_of_manifests(spark, folder, tmp_path):
     assert manifest.deduplicated(twice).agg(F.max("ordinal")).first()[0] < 100
 
 
+def test_catalogs_of_a_release(spark, tmp_path):
+    from strandlake.sources import catalog
+
+    (tmp_path / "index.csv").write_text("sample_id,haplotype,assembly_name,assembly,assembly_fai\nA,1,A_pat_r2,s3://b/a.fa,s3://b/a.fai\nA,2,A.x.mat,s3://b/m.fa,\nR,0,GRCh38,s3://b/r.fa,\nB,1,B_v1,n/a,\nC,2,C_v1,https://c/c.fa,\n")
+    (tmp_path / "censat_bed.csv").write_text("assembly_name,location\nA_pat_r2,s3://t/a.bed\n")
+    (tmp_path / "samples.csv").write_text("sample,population,sex\nA,ACB,male\n")
+    m = config.from_dict({"manifest": {"source": "release", "path": str(tmp_path), "annotation_tables": ["censat_bed"], "require_annotations": []}}).manifest
+    reference = catalog.reference_row(spark, "REF", "R", "r.fa", tracks={"censat_bed": "r.bed"})
+    rows = manifest.build_manifest(spark, m, reference).orderBy("ordinal").collect()
+    assert [(r["assembly"], r["haplotype"], r["source"], r["censat_bed"]) for r in rows] == [("REF", "ref", "t2t", "r.bed"), ("A.x.mat", "mat", "hprc", ""), ("A_pat_r2", "pat", "hprc", "https://t.s3.amazonaws.com/a.bed"), ("C_v1", "hap2", "hprc", "")]
+    with pytest.raises(ValueError):
+        catalog.release_index(spark.createDataFrame([("x",)], "assembly string"))
+    (tmp_path / "a.tsv").write_text("# assembly\tucsc\nc1\tchr1\nc1\tchr2\nc2\t\nc3\n")
+    assert [tuple(r) for r in catalog.read_contig_names(spark, str(tmp_path / "a.tsv")).collect()] == [("c1", "chr1")]
+    assert catalog.read_contig_names(spark, str(tmp_path / "none")).count() == 0
+    assert catalog.reachable(spark, [str(tmp_path / "a.tsv"), str(tmp_path / "none")]) == {str(tmp_path / "a.tsv"): True, str(tmp_path / "none"): False}
+
+
 def test_commands(spark, done, folder, capsys, tmp_path):
     run, _ = done
     (tmp_path / "c.json").write_text(json.dumps({**SETTINGS, "outdir": run.config.outdir, "manifest": {"path": str(folder / "manifest.tsv"), "require_annotations": []}}))
