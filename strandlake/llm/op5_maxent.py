@@ -15,8 +15,8 @@ slot holds one unknown word, so the probabilities of all known and unknown words
    the texts; each task takes gradient steps (with per-row step sizes) on every
    position and returns the change of each feature's weights; the
    changes are averaged by a grouped sum over features, never in one place.
-   The table of weights has at least as many rows as there are training words for each
-   sixteen, as a power of two from ``LEAST_FEATURES`` to ``MOST_FEATURES`` (a bound on
+   The table of weights has at least a row for every fourth distinct training word,
+   as a power of two from ``LEAST_FEATURES`` to ``MOST_FEATURES`` (a bound on
    workers' memory: beyond it features share rows).
 3. Scoring, in sparse numpy batches.  The ``HEAD`` most frequent words come from a
    broadcast table of that bound; counts of all other tokens come by a join of
@@ -46,8 +46,10 @@ CLASSES = SLOTS = 16
 #: Slots of a class that hold many words, by ending; the others hold one word each.
 SHARED_SLOTS = 4
 ENDINGS, NEIGHBOURS = 4096, 64
-LEAST_FEATURES, MOST_FEATURES = 1 << 14, 1 << 16
+LEAST_FEATURES, MOST_FEATURES = 1 << 14, 1 << 18
 ROUNDS, BATCH = 2, 8192
+#: Splits of the input that one fitting task takes.
+SPLITS = 4
 #: Step size, and what keeps the steps of features that were seen a few times small.
 RATE, DAMPING = 0.35, 1e-2
 SEED = 42
@@ -394,7 +396,7 @@ def train(docs: DataFrame, shared: Shared) -> Fitted:
     masses = np.zeros(ENDINGS)
     masses[by_ending["ending"].to_numpy(dtype=np.int64)] = by_ending["mass"].to_numpy(dtype=float)
     vocabulary = Vocabulary([bytes(w) for w in head["word"]], head["n"].to_numpy(dtype=np.int64), cluster_endings(beside), int(total), int(distinct), masses)
-    rows = min(MOST_FEATURES, max(LEAST_FEATURES, 1 << (int(distinct) // 16).bit_length()))
+    rows = min(MOST_FEATURES, max(LEAST_FEATURES, 1 << (int(distinct) // 4).bit_length()))
     weights = np.zeros((rows, CLASSES), dtype=np.float32)
     slots = vocabulary.log_masses().reshape(CLASSES, SLOTS)
     kinds = np.log(np.exp(slots).sum(axis=1))
@@ -402,6 +404,8 @@ def train(docs: DataFrame, shared: Shared) -> Fitted:
     known = spark.sparkContext.broadcast(vocabulary)
     for k in range(ROUNDS):
         part = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k).select("text")
+        # a task returns as many rows as the table has: fewer, longer tasks return less
+        part = part.coalesce(max(spark.sparkContext.defaultParallelism, part.rdd.getNumPartitions() // SPLITS))
         start = spark.sparkContext.broadcast(weights)
         fields = ", ".join(["row int", f"v{CLASSES} float", *(f"v{c} float" for c in range(CLASSES))])
         changes = _summed(part.mapInArrow(_fit(known, start), fields), CLASSES + 1).toPandas()
