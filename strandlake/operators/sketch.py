@@ -208,7 +208,8 @@ def kmer_counts(sequences: DataFrame, k: int, bin_size: int, keys: list[str], bl
 
 
 def keep_bins(stats: DataFrame, sketched: DataFrame, bin_size: int, keys: list[str], min_acgt: float = 0.5, min_sketch: int = 5, drop_partial: bool = True, k: int | None = None) -> DataFrame:
-    """The bins that hold enough bases and hashes, with n_sketch and a dense bin_idx in contig order."""
+    """The bins that hold enough bases and hashes, with n_sketch and row_idx: their rank over all groups (``assemblies.bin_columns`` has a
+    bin_idx within each assembly)."""
     sizes = sketched.groupBy(*keys, "start").agg(F.count(F.lit(1)).alias("n_sketch"))
     joined = stats.join(sizes, [*keys, "start"], "left").withColumn("n_sketch", F.coalesce("n_sketch", F.lit(0)))
     whole = (F.col("start") + bin_size <= F.col("total")) if drop_partial else F.lit(True)
