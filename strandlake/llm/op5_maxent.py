@@ -46,7 +46,7 @@ CLASSES = SLOTS = 16
 #: Slots of a class that hold many words, by ending; the others hold one word each.
 SHARED_SLOTS = 4
 ENDINGS, NEIGHBOURS = 4096, 64
-LEAST_FEATURES, MOST_FEATURES = 1 << 14, 1 << 18
+LEAST_FEATURES, MOST_FEATURES = 1 << 14, 1 << 17
 ROUNDS, BATCH = 2, 8192
 #: Splits of the input that one fitting task takes.
 SPLITS = 4
@@ -408,10 +408,12 @@ def train(docs: DataFrame, shared: Shared) -> Fitted:
         part = part.coalesce(max(spark.sparkContext.defaultParallelism, part.rdd.getNumPartitions() // SPLITS))
         start = spark.sparkContext.broadcast(weights)
         fields = ", ".join(["row int", f"v{CLASSES} float", *(f"v{c} float" for c in range(CLASSES))])
-        changes = _summed(part.mapInArrow(_fit(known, start), fields), CLASSES + 1).toPandas()
-        if len(changes):
-            rows = changes["row"].to_numpy(dtype=np.int64)
-            weights[rows] += (changes[[f"v{c}" for c in range(CLASSES)]].to_numpy() / np.maximum(changes[f"v{CLASSES}"].to_numpy(), 1)[:, None]).astype(np.float32)
+        changes = _summed(part.mapInArrow(_fit(known, start), fields), CLASSES + 1)
+        changes = changes.select("row", *[F.col(c).cast("float").alias(c) for c in changes.columns if c != "row"]).toArrow()
+        if len(changes):  # a column at a time: the driver holds one copy of them
+            rows, seen = changes["row"].to_numpy(), np.maximum(changes[f"v{CLASSES}"].to_numpy(), 1)
+            for c in range(CLASSES):
+                weights[rows, c] += changes[f"v{c}"].to_numpy() / seen
         start.unpersist()
     return Fitted(vocabulary, weights, counts)
 
