@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.names import SUPERPOPULATIONS
-from ..operators import assemblies, manifest, matrix, report, sketch, tracks, transfer
+from ..operators import assemblies, copynumber, manifest, matrix, novelty, report, sketch, tracks, transfer
 from ..sources import catalog
 from .mappings import incidence, table
+from .q_clusters import _VOTES, CLUSTERED_SQL, clustered
 from .q_intervals import _COVER, _cover
 from .q_sequence import _STATS, BIN, K, KEYS, SCALED, _few, _SKETCH, _sql
 from .registry import query, rounded
@@ -206,3 +207,18 @@ def annotation_index(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     raw = orders.select("o_orderkey", F.concat(F.lit("A"), "o_custkey").alias("assembly_name"), F.when(F.col("o_orderkey") % 4 == 0, "n/a").otherwise(F.concat(F.lit("s3://t/"), "o_orderkey", F.lit(".bed"))).alias("location"))
     return catalog.annotation_index(raw, "o_orderkey")
+
+
+@query(f"""WITH {_VOTES}, refs AS (SELECT cluster, sum(n) AS voters FROM votes WHERE is_ref GROUP BY cluster), named AS (SELECT cluster, feature FROM best JOIN refs USING (cluster) WHERE is_ref AND r = 1 AND n >= 5 AND n >= 0.15 * voters)
+SELECT assembly, n.feature, count(*) AS n_bins FROM clustered c JOIN named n USING (cluster) WHERE NOT is_ref GROUP BY assembly, n.feature""")
+def reference_free_copies(spark, sf_dir):
+    """Bins of each assembly under the names that the reference alone gives their clusters."""
+    return copynumber.reference_free(clustered(spark, sf_dir), 5, 0.15)
+
+
+@query(f"""WITH {CLUSTERED_SQL}, per AS (SELECT cluster, assembly, count(DISTINCT chrom) AS k FROM clustered WHERE cluster >= 0 GROUP BY ALL), mean AS (SELECT cluster, avg(k) AS m FROM per GROUP BY cluster)
+SELECT cluster, round(m, 6) AS chrom_per_asm, CASE WHEN m < 1.25 THEN 'chromosome-specific' WHEN m >= 1.5 AND cluster - 8 < -3 THEN 'cohort-shared, haplotype-pure' WHEN m >= 1.5 THEN 'within-haplotype shared' ELSE 'mixed' END AS sharing FROM mean""")
+def cluster_sharing(spark, sf_dir):
+    """The mean number of places of a cluster in the assemblies that have it, and the class that it and a z-score (here the cluster less 8) make."""
+    per = novelty.places_per_unit(clustered(spark, sf_dir))
+    return rounded(per.withColumn("sharing", novelty.sharing_class(F.col("chrom_per_asm"), F.col("cluster") - 8)))

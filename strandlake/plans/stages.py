@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from ..functions.names import FEATURES, TRACK_FEATURES
 from ..operators import assemblies, dense, density, enrich, intervals, matrix, report, select, sketch, tracks, transfer
 from ..operators.manifest import build_manifest, summary
+from ..operators.ranking import merge_left
 from ..sources import browser
+from ..sources.files import write_tsv
 from ..tables import drop, exists, status_of
 from .config import Config
 
@@ -206,7 +208,8 @@ class Run:
     def _bins(self) -> DataFrame:
         """One row a bin of the matrix with its cluster and annotation; what a bin lacks is neutral (-1, 0, 'unannotated', false)."""
         notes = self.read("annotations").withColumnRenamed("dominant_feature", "feature")
-        joined = self.read("rows").join(self.read("clusters").select("bin_uid", "cluster", "probability"), "bin_uid", "left").join(notes, "bin_uid", "left")
+        placed = merge_left(self.read("rows"), self.read("clusters").select("bin_uid", "cluster", "probability"), ["bin_uid"])
+        joined = merge_left(placed, notes, ["bin_uid"])
         return joined.fillna({"cluster": -1, "probability": 0.0, "feature": "unannotated", "annotated": False, "dominant_frac": 0.0})
 
     def enrich(self) -> dict:
@@ -221,6 +224,7 @@ class Run:
         both = transfer.comparable(list(c.reference_tracks), list(c.assembly_tracks), TRACK_FEATURES, FEATURES)
         again = transfer.restricted(bins, self.read("coverage"), both, FEATURES, c.min_frac_for_dominant)
         found = self.write(transfer.transfer_report(again), "transfer")
+        write_tsv(found.orderBy("cluster"), self.path("transfer.tsv"))
         self.write_text(json.dumps({"reference_tracks": c.reference_tracks, "assembly_tracks": c.assembly_tracks, "comparable_features": both, "excluded_features": [f for f in FEATURES if f not in both]}), "transfer_features.json")
         names = self.read("cluster_names")
         rows = transfer.bed_rows(bins, names, transfer.colors(names.select("cluster")))
