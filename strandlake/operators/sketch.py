@@ -14,8 +14,8 @@ from ..functions.hashing import GAMMA, MIX_1, MIX_2, hash_ceiling
 from .ranking import grouped_index
 
 
-#: First bases of a block.
-BLOCK = 1 << 20
+#: First bases of a block, and bins that a task hands on at once.
+BLOCK, OUT = 1 << 20, 4096
 
 
 def blocks(sequences: DataFrame, k: int, size: int, keys: list[str], *more: str) -> DataFrame:
@@ -165,14 +165,24 @@ def bin_sketch(bases: DataFrame, k: int, bin_size: int, scaled: int, size: int,
         import numpy as np
         import pyarrow as pa
 
+        def table(batch, which, starts, made):
+            columns = [pa.array([r[j] for r in made], pa.int64()) for j in range(1, 5)]
+            flat = np.concatenate([r[5] for r in made]) if made else np.zeros(0, dtype=np.int64)
+            ends = np.concatenate([[0], np.cumsum([len(r[5]) for r in made])]).astype(np.int32)
+            own = [batch.column(c).take(pa.array(which, pa.int64())) for c in keys]
+            return pa.RecordBatch.from_arrays([*own, pa.array(starts, pa.int64()), *columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*keys, "start", "span", "n_acgt", "n_gc", "n_kmers", "hashes"])
+
         for batch in batches:
-            for i, (pos0, block) in enumerate(zip(batch.column("pos0").to_pylist(), batch.column("block").to_pylist())):
-                made = bin_rows(block, size, k, bin_size, ceiling)
-                columns = [pa.array([r[j] for r in made], pa.int64()) for j in range(1, 5)]
-                flat = np.concatenate([r[5] for r in made]) if made else np.zeros(0, dtype=np.int64)
-                ends = np.concatenate([[0], np.cumsum([len(r[5]) for r in made])]).astype(np.int32)
-                which = pa.array(np.full(len(made), i))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(which) for c in keys), pa.array([pos0 + r[0] for r in made], pa.int64()), *columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*keys, "start", "span", "n_acgt", "n_gc", "n_kmers", "hashes"])
+            which, starts, made = [], [], []
+            for i, pos0 in enumerate(batch.column("pos0").to_pylist()):
+                rows = bin_rows(batch.column("block")[i].as_py(), size, k, bin_size, ceiling)
+                which += [i] * len(rows)
+                starts += [pos0 + r[0] for r in rows]
+                made += rows
+                if len(made) >= OUT:
+                    yield table(batch, which, starts, made)
+                    which, starts, made = [], [], []
+            yield table(batch, which, starts, made)
 
     return kept.mapInArrow(run, schema)
 
