@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import materialised
+
 NOISE = -1
 
 
@@ -40,22 +42,94 @@ def smallest_reachable(edges: DataFrame, nodes: DataFrame, rounds: int = 60) ->
     raise RuntimeError("components did not settle")
 
 
+#: Core points of a cell that meet those of another at once.
+PART = 1 << 16
+
+
+def _meet(a: np.ndarray, b: np.ndarray, square: float) -> bool:
+    """Whether a point of ``a`` lies at most sqrt(``square``) from one of ``b``: halves by halves, those whose boxes are farther apart aside."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        gap = np.maximum(np.maximum(a.min(axis=0) - b.max(axis=0), b.min(axis=0) - a.max(axis=0)), 0.0)
+        if (gap**2).sum() > square * (1 + 1e-9):
+            continue
+        if len(a) * len(b) <= PART:
+            if (sum((a[:, c][:, None] - b[:, c][None]) ** 2 for c in range(a.shape[1])) <= square).any():
+                return True
+            continue
+        a, b = (a, b) if len(a) >= len(b) else (b, a)
+        order = np.argpartition(a[:, int(np.argmax(np.ptp(a, axis=0)))], len(a) // 2)
+        todo += [(a[order[: len(a) // 2]], b), (a[order[len(a) // 2 :]], b)]
+    return False
+
+
+def _cell_links(cores: DataFrame, forward: list, eps: float, dimensions: int) -> DataFrame:
+    """a, b: nodes of the cells of which two core points are at most ``eps`` apart; ``cores``: node, cell, p."""
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("cell")) / PART)
+    rows = cores.groupBy("node", "cell", "p").agg(F.lit(1)).select("node", "cell", "p").withColumn("part", F.pmod(F.xxhash64("p"), parts))
+    held = materialised(rows.groupBy("node", "cell", "part").agg(F.flatten(F.collect_list("p")).alias("x")))
+    moved = held.select(F.col("node").alias("b"), F.col("x").alias("y"), F.explode(_offsets(forward)).alias("o"), "cell").select("b", "y", _shifted("o").alias("cell"))
+    pairs = held.select(F.col("node").alias("a"), "x", "cell").join(moved, "cell").select("a", "b", "x", "y")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            met = [_meet(x[i].values.to_numpy().reshape(-1, dimensions), y[i].values.to_numpy().reshape(-1, dimensions), eps * eps) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(met, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long").distinct()
+
+
+def _offsets(offsets: list):
+    return F.array(*[F.array(*[F.lit(x).cast("long") for x in o]) for o in offsets])
+
+
+def _shifted(o: str):
+    return F.zip_with("cell", o, lambda c, x: c + x)
+
+
 def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 10, dimensions: int = 2) -> DataFrame:
     """id, cluster, probability (1 core, 0.5 border, 0 noise), outlier_score: points (id, p: array<double>).
 
     A point counts itself; a border point joins its core neighbour with the lowest
     cluster; clusters are numbered by their smallest id.
+
+    Points fall into cells whose diagonal is ``eps``: those of a cell are neighbours of each other, so
+    all points of a cell of ``min_samples`` are core.  Only the fewer points of other cells are counted
+    one by one, and clusters are components of cells: pairs of points are never listed.
     """
-    near = epsilon_neighbours(points, eps, dimensions).persist()
-    core = points.select("id").join(near.groupBy("a").agg(F.count(F.lit(1)).alias("n")), F.col("id") == F.col("a"), "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id").persist()
-    inner = near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b")
-    parts = smallest_reachable(inner, core)
+    width, reach = eps / np.sqrt(dimensions) * (1 - 1e-9), int(np.ceil(np.sqrt(dimensions)))
+    # cells that may hold neighbours: boxes at most eps apart
+    around = [o for o in itertools.product(range(-reach, reach + 1), repeat=dimensions) if sum(max(abs(x) - 1, 0) ** 2 for x in o) <= dimensions]
+    forward = [o for o in around if o > (0,) * dimensions]
+    placed = points.where(F.size(F.filter("p", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))) == dimensions)
+    cut = placed.select("id", "p", F.array(*[F.floor(F.col("p")[i] / width).cast("long") for i in range(dimensions)]).alias("cell"))
+    sizes = cut.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+    cut = materialised(cut.join(sizes, "cell"))
+    full = F.col("size") >= min_samples
+    square = sum((F.col("p")[i] - F.col("q")[i]) * (F.col("p")[i] - F.col("q")[i]) for i in range(dimensions))
+
+    def near(some: DataFrame, others: DataFrame) -> DataFrame:
+        asked = some.select("id", "p", F.explode(_offsets(around)).alias("o"), "cell").select("id", "p", _shifted("o").alias("cell"))
+        return asked.join(others, "cell").where(square <= eps * eps)
+
+    counted = near(cut.where(~full), cut.select("cell", F.col("p").alias("q"))).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples)
+    core = cut.where(full).select("id", "p", "cell").unionByName(cut.where(~full).join(counted.select("id"), "id", "left_semi").select("id", "p", "cell"))
+    nodes = core.groupBy("cell").agg(F.min("id").cast("long").alias("node"))
+    core = materialised(core.join(nodes, "cell"))
+    links = _cell_links(core, forward, eps, dimensions)
+    links = materialised(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    parts = materialised(smallest_reachable(links, core.select(F.col("node").alias("id")).distinct()))
     numbers = parts.select("component").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("component")) - 1)
-    cores = parts.join(numbers, "component").select(F.col("node").alias("id"), "cluster")
-    border = near.join(cores.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("touch"))
-    full = points.select("id").join(cores, "id", "left").join(border, "id", "left")
+    cores = core.join(parts.join(numbers, "component").select("node", "cluster"), "node")
+    outer = cut.where(~full).join(core.select("id"), "id", "left_anti")
+    border = near(outer, cores.select("cell", F.col("p").alias("q"), "cluster")).groupBy("id").agg(F.min("cluster").alias("touch"))
+    whole = points.select("id").join(cores.select("id", "cluster"), "id", "left").join(border, "id", "left")
     probability = F.when(F.col("cluster").isNotNull(), 1.0).when(F.col("touch").isNotNull(), 0.5).otherwise(0.0)
-    return full.select("id", F.coalesce("cluster", "touch", F.lit(NOISE)).alias("cluster"), probability.alias("probability"), F.lit(0.0).alias("outlier_score"))
+    return whole.select("id", F.coalesce("cluster", "touch", F.lit(NOISE)).alias("cluster"), probability.alias("probability"), F.lit(0.0).alias("outlier_score"))
 
 
 # --- hierarchical ------------------------------------------------------------
