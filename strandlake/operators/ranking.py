@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unsigned_key
-from ..tables import materialised
+from ..tables import materialised, parts_of
 
 
 #: Rows of a range that one task sorts.
@@ -61,9 +61,17 @@ def tiled_index(df: DataFrame, keys: list[str], position: str, order: list[str],
 
 
 def grouped_index(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
-    """``name`` = the 0-based rank by (group, order): ranked within each group, then moved by the groups before."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select(F.col(group).alias("__g"), (F.sum("__n").over(Window.orderBy(group)) - F.col("__n")).alias("__base"))
+    """``name`` = the 0-based rank by (group, order): ranked within each group, then moved by the groups before,
+    which are summed within ranges of groups and moved by the ranges before."""
+    df = materialised(df)
+    parts = parts_of(df.count())
+    df = df.repartition(parts, group)
+    sizes = materialised(df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n")))
+    cut = materialised(sizes.repartitionByRange(parts_of(sizes.count()), "__g").withColumn("__range", F.spark_partition_id()))
+    ranges = cut.groupBy("__range").agg(F.sum("__n").alias("__s"))
+    ranges = ranges.select("__range", (F.sum("__s").over(Window.orderBy("__range")) - F.col("__s")).alias("__low"))
+    within = F.sum("__n").over(Window.partitionBy("__range").orderBy("__g")) - F.col("__n")
+    before = cut.withColumn("__within", within).join(F.broadcast(ranges), "__range").select("__g", (F.col("__low") + F.col("__within")).alias("__base"))
     own = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
     return df.join(before, F.col(group) == F.col("__g")).withColumn(name, F.col("__base") + own).drop("__g", "__base")
 

@@ -18,13 +18,13 @@ def radix_bucket(hash_column, buckets: int):
     return F.lit(0).cast("long") if buckets == 1 else F.shiftrightunsigned(hash_column, 64 - (buckets.bit_length() - 1))
 
 
-def prevalence_counts(sketch: DataFrame, hash: str = "hash", sample: str = "sample", assembly: str = "assembly", bin: str = "bin") -> DataFrame:
+def prevalence_counts(sketch: DataFrame, hash: str = "hash", sample: str = "sample", assembly: str = "assembly", bin: str = "bin", partitions: int | None = None) -> DataFrame:
     """hash, n_samples, n_assemblies, n_bins; a bin holds a hash once.
 
     An assembly has one sample, so three nested partial sums replace two distinct
-    counts (which would double every row).  One shuffle by hash serves them all.
+    counts (which would double every row).  One shuffle by hash, into ``partitions`` if given, serves them all.
     """
-    bins = sketch.select(hash, sample, assembly, bin).repartition(hash).distinct()
+    bins = sketch.select(hash, sample, assembly, bin).repartition(*([partitions] if partitions else []), hash).distinct()
     by_assembly = bins.groupBy(hash, sample, assembly).agg(F.count(F.lit(1)).alias("n"))
     by_sample = by_assembly.groupBy(hash, sample).agg(F.count(F.lit(1)).alias("a"), F.sum("n").alias("n"))
     return by_sample.groupBy(hash).agg(F.count(F.lit(1)).alias("n_samples"), F.sum("a").alias("n_assemblies"), F.sum("n").alias("n_bins"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import parts_of
+
 ASCII = "".join(map(chr, range(1, 128)))
 BASES = "".join("ACGT"[ord(c) % 4] for c in ASCII)
 
@@ -13,12 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def incidence_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for tables of a row a line item (counted from the footers)."""
+    return parts_of(table(spark, sf_dir, "lineitem").count())
+
+
 def incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bin (order), hash (part), assembly (customer), sample (nation), from lineitem, orders and customer."""
+    """bin (order), hash (part), assembly (customer), sample (nation), from lineitem, orders and customer.
+
+    Both sides of the join by order are made distinct in its partitions, so what it makes is, too.
+    """
+    parts = incidence_parts(spark, sf_dir)
     lines, orders, customers = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     ordered = orders.select(F.col("o_orderkey").alias("bin"), F.col("o_custkey").alias("assembly"))
     owned = customers.select(F.col("c_custkey").alias("assembly"), F.col("c_nationkey").alias("sample"))
-    return lines.select(F.col("l_orderkey").alias("bin"), F.col("l_partkey").alias("hash")).join(ordered, "bin").join(owned, "assembly").select("bin", "hash", "assembly", "sample").distinct()
+    placed = ordered.join(owned, "assembly").select("bin", "assembly", "sample").repartition(parts, "bin").distinct()
+    held = lines.select(F.col("l_orderkey").alias("bin"), F.col("l_partkey").alias("hash")).repartition(parts, "bin").distinct()
+    return held.join(placed, "bin").select("bin", "hash", "assembly", "sample")
 
 
 INCIDENCE_SQL = "incidence AS (SELECT DISTINCT l_orderkey AS bin, l_partkey AS hash, o_custkey AS assembly, c_nationkey AS sample FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matrix, select
-from .mappings import INCIDENCE_SQL, incidence
+from .mappings import INCIDENCE_SQL, incidence, incidence_parts
 from .registry import query, rounded
 
 LOW, HIGH, SAMPLES, MIN_BINS, WANTED, SEED = 0.12, 0.9, 25, 2, 300, 7
@@ -28,7 +28,7 @@ def mix_sql(x: str) -> str:
 
 
 def _counts(spark, sf_dir):
-    return select.prevalence_counts(incidence(spark, sf_dir))
+    return select.prevalence_counts(incidence(spark, sf_dir), partitions=incidence_parts(spark, sf_dir))
 
 
 def _features(spark, sf_dir):
@@ -36,7 +36,7 @@ def _features(spark, sf_dir):
 
 
 def _coo(spark, sf_dir):
-    return matrix.entries(incidence(spark, sf_dir), _features(spark, sf_dir))
+    return matrix.entries(incidence(spark, sf_dir), _features(spark, sf_dir), partitions=incidence_parts(spark, sf_dir))
 
 
 @query(f"WITH {COUNTS_SQL} SELECT * FROM counts")
@@ -85,12 +85,12 @@ def _norm_sql(norm: str) -> str:
 
 @query(_norm_sql("sqrt(sum(value * value))"))
 def idf_l2_matrix(spark, sf_dir):
-    return rounded(matrix.normalize(matrix.weigh(_coo(spark, sf_dir), "idf"), "l2"))
+    return rounded(matrix.normalize(matrix.weigh(_coo(spark, sf_dir), "idf"), "l2", partitions=incidence_parts(spark, sf_dir)))
 
 
 @query(_norm_sql("sum(abs(value))"))
 def idf_l1_matrix(spark, sf_dir):
-    return rounded(matrix.normalize(matrix.weigh(_coo(spark, sf_dir), "idf"), "l1"))
+    return rounded(matrix.normalize(matrix.weigh(_coo(spark, sf_dir), "idf"), "l1", partitions=incidence_parts(spark, sf_dir)))
 
 
 @query(f"WITH {COO_SQL}, pos AS (SELECT DISTINCT bin, assembly FROM incidence) SELECT bin, assembly, row_number() OVER (ORDER BY assembly, bin) - 1 AS row_idx FROM pos WHERE bin IN (SELECT bin FROM coo)")

@@ -60,6 +60,15 @@ def _drop_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows that a task holds at once where it groups, sorts or joins a large table.
+TASK_ROWS = 200_000
+
+
+def parts_of(rows: int) -> int:
+    """Partitions of a table of so many rows: a fixed number would make tasks that grow with the table."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` written once and read back; for what a plan uses several times.  The table goes with the process."""
     spark = df.sparkSession

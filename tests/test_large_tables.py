@@ -3,8 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandlake.operators import density, neighbours
-from strandlake.plans import q_manifest
+from strandlake import tables
+from strandlake.operators import density, neighbours, ranking
+from strandlake.plans import mappings, q_manifest
 
 
 def _dbscan(x, eps, least):
@@ -48,3 +49,17 @@ def test_forest_that_falls_short_is_made_up_for(spark):
 def test_counts_are_of_all_bins(spark, tmp_path):
     spark.range(0, 100_000, 1, 2).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
     assert tuple(q_manifest.thinned_points(spark, str(tmp_path)).first()) == (1200, 2000)
+
+
+def test_partitions_follow_the_rows(spark, data_dir, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    rows = spark.read.parquet(f"{data_dir}/lineitem.parquet").count()
+    made = mappings.incidence(spark, data_dir)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert made.rdd.getNumPartitions() == -(-rows // 500) > 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    group = F.concat(F.lit("g"), (F.col("id") * 7919 % 1300).cast("string"))
+    ranked = ranking.grouped_index(spark.range(4000).withColumn("g", group), "g", [F.desc("id")], "i").collect()
+    assert [r.i for r in sorted(ranked, key=lambda r: (r.g, -r.id))] == list(range(4000))
