@@ -16,6 +16,8 @@ from .ranking import grouped_index
 
 #: First bases of a block, and bins that a task hands on at once.
 BLOCK, OUT = 1 << 20, 4096
+#: k-mers that a task hands on at once.
+HANDED = 1 << 17
 
 
 def blocks(sequences: DataFrame, k: int, size: int, keys: list[str], *more: str) -> DataFrame:
@@ -64,19 +66,26 @@ def positioned_sketch(cut: DataFrame, k: int, scaled: int, keys: list[str]) -> D
         import numpy as np
         import pyarrow as pa
 
+        def made(batch, row, position, value):
+            which = pa.array(np.concatenate(row).astype(np.int64))
+            columns = [batch.column(c).take(which) for c in keys]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(position).astype(np.int64)), pa.array(np.concatenate(value).view(np.int64))], names=[*keys, "pos", "hash"])
+
         for batch in batches:
-            row, position, value = [], [], []
-            begins = batch.column("pos0").to_pylist()
-            for i, block in enumerate(batch.column("block").to_pylist()):
-                at, hashes = canonical_hashes(block or b"", k)
+            row, position, value, held = [], [], [], 0
+            for i in range(batch.num_rows):
+                at, hashes = canonical_hashes(batch.column("block")[i].as_py() or b"", k)
                 kept = hashes <= np.uint64(ceiling)
-                row.append(np.full(int(kept.sum()), i))
-                position.append(at[kept] + begins[i])
+                n = int(kept.sum())
+                if row and held + n > HANDED:
+                    yield made(batch, row, position, value)
+                    row, position, value, held = [], [], [], 0
+                row.append(np.full(n, i))
+                position.append(at[kept] + batch.column("pos0")[i].as_py())
                 value.append(hashes[kept])
-            which = pa.array(np.concatenate(row).astype(np.int64)) if row else pa.array([], pa.int64())
-            columns = [batch.column(c).take(which) for c in keys]
-            join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, dtype=t)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(join(position, np.int64).astype(np.int64)), pa.array(join(value, np.uint64).view(np.int64))], names=[*keys, "pos", "hash"])
+                held += n
+            if row:
+                yield made(batch, row, position, value)
 
     from pyspark.sql.types import LongType, StructField, StructType
 

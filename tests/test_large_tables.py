@@ -2,9 +2,10 @@
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField
 
 from strandlake import tables
-from strandlake.operators import density, neighbours, ranking
+from strandlake.operators import density, neighbours, ranking, sketch
 from strandlake.plans import mappings, q_manifest
 
 
@@ -63,3 +64,26 @@ def test_partitions_follow_the_rows(spark, data_dir, monkeypatch):
     group = F.concat(F.lit("g"), (F.col("id") * 7919 % 1300).cast("string"))
     ranked = ranking.grouped_index(spark.range(4000).withColumn("g", group), "g", [F.desc("id")], "i").collect()
     assert [r.i for r in sorted(ranked, key=lambda r: (r.g, -r.id))] == list(range(4000))
+
+
+def test_kmers_are_handed_on_in_pieces(monkeypatch):
+    """A task never holds the k-mers of a whole batch of blocks."""
+    import pyarrow as pa
+
+    class Cut:
+        schema = {"assembly": StructField("assembly", StringType())}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = np.random.default_rng(2)
+    blocks = ["".join(rng.choice(list("ACGTN"), 400, p=[0.24, 0.24, 0.24, 0.24, 0.04])).encode() for _ in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"s{i}" for i in range(50)]), pa.array(range(0, 50 * 390, 390)), pa.array(blocks)], names=["assembly", "pos0", "block"])
+    whole = pa.Table.from_batches(sketch.positioned_sketch(Cut(), 11, 1, ["assembly"])([batch]))
+    monkeypatch.setattr(sketch, "HANDED", 1000)
+    parts = list(sketch.positioned_sketch(Cut(), 11, 1, ["assembly"])([batch]))
+    assert max(p.num_rows for p in parts) <= 1000 and pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
+    assert whole.num_rows == sum(len(sketch.canonical_hashes(b, 11)[0]) for b in blocks)
