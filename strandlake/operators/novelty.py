@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import mix64, unsigned_key, wrapping
 from ..functions.stats import log_no_reference
 from ..tables import materialised
-from .ranking import modal
+from .ranking import modal, tiled_index
 
 
 def presence(bins: DataFrame, unit: str = "assembly") -> DataFrame:
@@ -97,13 +97,19 @@ def draw_order(permutations: int, seed: int, number: str = "start"):
 
 
 def shuffled_within(bins: DataFrame, block: str, value: str, permutations: int, seed: int, number: str = "start") -> DataFrame:
-    """perm, bin_uid, ``value``: dealt anew among the bins of each block, perm 1 up; bins are ordered by (number, bin_uid)."""
+    """perm, the bins' other columns and ``value``: dealt anew among the bins of each block, perm 1 up; bins are ordered by
+    (number, bin_uid).
+
+    Keys of equal numbers are equal and of others are not, so the order of the names decides alike in each
+    permutation: names are ordered once, and a permutation moves numbers only.
+    """
+    others = [c for c in bins.columns if c not in (block, value)]
+    plain = materialised(tiled_index(bins, [block], number, ["bin_uid"], "i"))
     perm, key = draw_order(permutations, seed, number)
     with wrapping(bins.sparkSession):
-        spread = bins.select("bin_uid", block, value, number).withColumn("perm", perm).withColumn("key", key)
-    mixed = spread.withColumn("i", F.row_number().over(Window.partitionBy(block, "perm").orderBy("key", "bin_uid"))).select(block, "perm", "i", value)
-    plain = bins.withColumn("i", F.row_number().over(Window.partitionBy(block).orderBy(number, "bin_uid"))).select("bin_uid", block, "i")
-    return mixed.join(plain, [block, "i"]).select("perm", "bin_uid", value)
+        spread = plain.select(block, value, number, "i").withColumn("perm", perm).withColumn("key", key).drop(number)
+    mixed = tiled_index(spread, [block, "perm"], "key", ["i"], "to", tile=1 << 57).select(block, "perm", F.col("to").alias("i"), value)
+    return mixed.join(plain.select(block, "i", *others), [block, "i"]).select("perm", block, *others, value)
 
 
 def _spread_of(bins: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,7 +125,7 @@ def sharing_null(bins: DataFrame, permutations: int = 20, seed: int = 11) -> Dat
     seen = _spread_of(real, [])
     out = seen
     for name, block, own in (("free", "assembly", seed), ("fixed", "cluster", seed + 1)):
-        moved = real.drop("chrom").join(shuffled_within(real, block, "chrom", permutations, own), "bin_uid")
+        moved = shuffled_within(real, block, "chrom", permutations, own).select("perm", "cluster", "assembly", "chrom")
         null = _spread_of(moved, ["perm"]).join(seen.select("cluster", F.col("total").alias("seen")), "cluster")
         sums = null.groupBy("cluster").agg(F.avg("total").alias(f"{name}_total"), F.stddev_pop("total").alias(f"{name}_sd"), F.sum((F.col("total") >= F.col("seen")).cast("int")).alias(f"{name}_reached"), F.avg("multi").alias(f"{name}_multi"))
         out = out.join(sums, "cluster")
@@ -247,7 +253,7 @@ def place_pair_table(bins: DataFrame, permutations: int = 20, seed: int = 29) ->
     ratio without what the two places have by themselves.
     """
     real = materialised(bins.where("cluster >= 0").select("bin_uid", "cluster", "assembly", "chrom", "start"))
-    moved = real.drop("chrom").join(shuffled_within(real, "assembly", "chrom", permutations, seed), "bin_uid")
+    moved = shuffled_within(real, "assembly", "chrom", permutations, seed)
     seen, drawn = real.select("cluster", "assembly", "chrom").distinct(), materialised(moved.select("perm", "cluster", "assembly", "chrom").distinct())
     singles = seen.groupBy("chrom").agg(F.count(F.lit(1)).alias("observed")).join(drawn.groupBy("chrom").agg((F.count(F.lit(1)) / permutations).alias("expected")), "chrom", "left")
     singles = materialised(singles.withColumn("ratio", F.col("observed") / F.col("expected")))

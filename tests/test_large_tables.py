@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField
 
 from strandlake import tables
-from strandlake.operators import density, neighbours, ranking, sketch
+from strandlake.operators import density, neighbours, novelty, ranking, report, sketch
 from strandlake.plans import mappings, q_manifest
 
 
@@ -87,3 +87,16 @@ def test_kmers_are_handed_on_in_pieces(monkeypatch):
     parts = list(sketch.positioned_sketch(Cut(), 11, 1, ["assembly"])([batch]))
     assert max(p.num_rows for p in parts) <= 1000 and pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
     assert whole.num_rows == sum(len(sketch.canonical_hashes(b, 11)[0]) for b in blocks)
+
+
+def test_headline_of_missing_and_repeated_values(spark):
+    rows = [("a", "s", 1, True, 2.0), ("a", "s", 1, None, 2.0), ("b", "t", -1, False, None), ("b", "t", 2, True, 9.0), ("b", "t", 2, True, 5.0)]
+    got = report.headline(spark.createDataFrame(rows, "assembly string, sample string, cluster int, annotated boolean, amount double"), "amount").first()
+    assert tuple(got) == (5, 2, 2, 2, 0.2, 0.75, 3.5)
+
+
+def test_shuffle_keeps_repeated_names(spark):
+    """Bins of one name are dealt a value each, not the product."""
+    bins = spark.range(60).select(F.lit("x").alias("bin_uid"), (F.col("id") % 3).cast("int").alias("cluster"), (F.col("id") % 2).cast("string").alias("assembly"), F.col("id").cast("string").alias("chrom"), (F.col("id") * 10).alias("start"))
+    got = novelty.shuffled_within(bins, "assembly", "chrom", 3, 5)
+    assert got.count() == 180 and got.groupBy("perm").agg(F.countDistinct("chrom").alias("n")).where("n = 60").count() == 3
