@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import enrich as en
+from ..operators import report
 from ..operators import transfer as tr
 from ..operators.ranking import tiled_index
 from ..tables import materialised
@@ -20,7 +21,9 @@ CLUSTERED_SQL = """clustered AS (SELECT l_orderkey || '|' || l_linenumber || '|'
 def clustered(spark, sf_dir):
     """One bin for each line item: cluster by part size (-1 is noise), assembly by nation, reference by region."""
     lines, orders, customers, nations, regions, parts = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "region", "part"))
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(regions, F.col("n_regionkey") == F.col("r_regionkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    # orders meet customers before line items: these are shuffled by order and by part alone
+    placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     start = F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10
     return joined.select(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_timestamp(F.col("l_shipdate").cast("timestamp")), F.col("l_quantity").cast("long")).alias("bin_uid"), (F.col("p_size") % 12 - 1).cast("int").alias("cluster"), F.col("n_name").alias("assembly"), F.col("r_name").alias("sample"), F.col("c_custkey").alias("contig"), F.concat("l_returnflag", "l_linestatus").alias("chrom"), F.lower(F.substring_index("p_type", " ", 1)).alias("feature"), (F.col("l_quantity") / 50).cast("float").alias("frac"), ((F.col("r_regionkey") == 3) & (F.col("p_size") != 7)).alias("is_ref"), (F.col("l_discount") >= 0.02).alias("annotated"), start.alias("start"), (start + 10).alias("end"), (F.col("l_tax") * 10).alias("probability"), F.col("l_extendedprice").alias("amount"))
 
@@ -36,7 +39,7 @@ tests AS (SELECT grid.*, n_bins_cluster::DOUBLE / cluster_size AS frac_cluster,
 
 
 def _tests(spark, sf_dir):
-    bins = materialised(clustered(spark, sf_dir))
+    bins = materialised(clustered(spark, sf_dir).select("bin_uid", "cluster", "assembly", "chrom", "feature", "frac", "annotated"))
     carries = en.carried(bins.select("bin_uid", "feature", "frac"), bins)
     return bins, carries, en.enrichment(bins, carries)
 
@@ -100,7 +103,7 @@ def quantised_amounts(spark, sf_dir):
 
 @query(f"""WITH {CLUSTERED_SQL} SELECT count(*) AS n_bins, count(DISTINCT assembly) AS n_assemblies, count(DISTINCT sample) AS n_samples, count(DISTINCT cluster) FILTER (cluster >= 0) AS n_clusters, round(avg((cluster < 0)::INTEGER), 6) AS noise_frac, round(avg(annotated::INTEGER), 6) AS annotated_frac, round(median(amount), 4) AS median_amount FROM clustered""")
 def headline_stats(spark, sf_dir):
-    return rounded(clustered(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_bins"), F.countDistinct("assembly").alias("n_assemblies"), F.countDistinct("sample").alias("n_samples"), F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n_clusters"), F.avg((F.col("cluster") < 0).cast("int")).alias("noise_frac"), F.avg(F.col("annotated").cast("int")).alias("annotated_frac"), F.round(F.median("amount"), 4).alias("median_amount")))
+    return rounded(report.headline(clustered(spark, sf_dir), "amount"))
 
 
 @query(f"""WITH {_TESTS}, big AS (SELECT cluster FROM sizes WHERE cluster >= 0 ORDER BY cluster_size DESC, cluster LIMIT 6), cells AS (SELECT cluster, feature, log2_enrichment AS z FROM tests WHERE cluster IN (SELECT cluster FROM big))
