@@ -17,6 +17,16 @@ def gathered_rows(coo: DataFrame, row: str = "row") -> DataFrame:
     return coo.groupBy(row).agg(F.collect_list(F.struct("col_idx", "value")).alias("e")).select(row, F.col("e.col_idx").cast("array<int>").alias("cols"), F.col("e.value").cast("array<double>").alias("vals"))
 
 
+#: Rows of a batch that are multiplied at once: each entry makes a row of the basis.
+ROWS_AT_ONCE = 256
+
+
+def _slices(batches):
+    for whole in batches:
+        for first in range(0, whole.num_rows, ROWS_AT_ONCE):
+            yield whole.slice(first, ROWS_AT_ONCE)
+
+
 def _product(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
     """Aᵀ(A basis): tasks sum their rows' part by column, columns are summed in a shuffle; columns x basis returns."""
     shape, shared = basis.shape, rows.sparkSession.sparkContext.broadcast(basis)
@@ -26,7 +36,7 @@ def _product(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
         import pyarrow as pa
 
         part = np.zeros(shape)
-        for batch in batches:
+        for batch in _slices(batches):
             cols, vals = batch.column("cols"), batch.column("vals")
             at = cols.values.to_numpy()[cols.offsets[0].as_py() : cols.offsets[-1].as_py()]
             x = vals.values.to_numpy()[vals.offsets[0].as_py() : vals.offsets[-1].as_py()]
@@ -83,7 +93,7 @@ def truncated_svd(coo: DataFrame, n_columns: int, n_rows: int, components: int =
     def project(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _slices(batches):
             sizes = batch.column("cols").value_lengths().to_numpy()
             terms = known.value[batch.column("cols").flatten().to_numpy()] * batch.column("vals").flatten().to_numpy()[:, None]
             made = np.add.reduceat(terms, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) if len(terms) else terms

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField
 
 from strandlake import tables
-from strandlake.operators import density, neighbours, novelty, ranking, report, sketch
+from strandlake.operators import dense, density, neighbours, novelty, ranking, report, sketch
 from strandlake.plans import mappings, q_manifest
 
 
@@ -100,3 +100,10 @@ def test_shuffle_keeps_repeated_names(spark):
     bins = spark.range(60).select(F.lit("x").alias("bin_uid"), (F.col("id") % 3).cast("int").alias("cluster"), (F.col("id") % 2).cast("string").alias("assembly"), F.col("id").cast("string").alias("chrom"), (F.col("id") * 10).alias("start"))
     got = novelty.shuffled_within(bins, "assembly", "chrom", 3, 5)
     assert got.count() == 180 and got.groupBy("perm").agg(F.countDistinct("chrom").alias("n")).where("n = 60").count() == 3
+
+
+def test_rows_are_multiplied_by_slices():
+    import pyarrow as pa
+
+    made = list(dense._slices([pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["row"])]))
+    assert max(b.num_rows for b in made) <= dense.ROWS_AT_ONCE and [x for b in made for x in b.column(0).to_pylist()] == list(range(1000))
