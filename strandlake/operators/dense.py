@@ -104,15 +104,15 @@ def truncated_svd(coo: DataFrame, n_columns: int, n_rows: int, components: int =
     return rows.mapInArrow(project, f"{row} {kind}, pcs array<double>"), {"singular_values": sigma[drop:].tolist(), "energy_ratio": (sigma[drop:] ** 2 / energy).tolist(), "components": parts.T}
 
 
-#: Vectors of a block on average; pairs of blocks are compared so many rows at a time.
-BLOCK, STRIP = 2048, 128
+#: Vectors of a block on average; pairs of blocks are compared so many rows at a time, and a task has one block and so many others.
+BLOCK, STRIP, OTHERS = 2048, 128, 64
 
 
 def _blocks(vectors: DataFrame, id: str, vector: str) -> DataFrame:
     """block, ids, data (all its vectors, one after another), in the shared folder."""
     n = max(1, -(-vectors.count() // BLOCK))
     rows = vectors.select(F.col(id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("x")).withColumn("block", F.pmod(F.xxhash64("i"), F.lit(n)))
-    grouped = rows.groupBy("block").agg(F.collect_list(F.struct("i", "x")).alias("e"))
+    grouped = rows.repartitionByRange(n, "block").groupBy("block").agg(F.collect_list(F.struct("i", "x")).alias("e"))
     return grouped.select("block", F.col("e.i").alias("ids"), F.flatten("e.x").alias("data")).checkpoint()
 
 
@@ -120,24 +120,43 @@ def nearest_neighbours(vectors: DataFrame, k: int, metric: str = "cosine", id: s
     """id, neighbour, distance, rank (0-based; ties by id): the ``k`` nearest of ``among`` (``vectors`` itself by default), exact.
 
     Blocks of the one table meet blocks of the other, read from the checkpoint in the shared folder; a
-    task holds two blocks and the best so far of one, and the best of each run of block
-    pairs are merged by id.  Nothing is gathered in one place.
+    task holds two blocks and the best so far of one, and the best of each run of ``OTHERS`` blocks
+    are merged by id.  Nothing is gathered in one place.  Products (of cosines in single precision)
+    only choose, with their error allowed for, what is then compared exactly with a vector's worst so far.
     """
     left = _blocks(vectors, id, vector)
     right = left if among is None else _blocks(among, id, vector)
+    blocks = max(1, right.rdd.getNumPartitions())
+    spread = -(-vectors.sparkSession.sparkContext.defaultParallelism // max(1, left.rdd.getNumPartitions()))
+    right = right.coalesce(max(-(-blocks // OTHERS), min(blocks, spread)))
     pairs = left.crossJoin(right.select(*[F.col(c).alias(f"other_{c}") for c in right.columns]))
 
     def unit(x):
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
 
-    def near(ids, x, other_ids, y):
-        """Row of x, id of y and distance of the k nearest and all that may tie with them."""
+    def length(x):
+        found = np.linalg.norm(x, axis=1)
+        return np.where(np.isfinite(found), found, 0)
+
+    kind = np.float32 if metric == "cosine" else np.float64
+
+    def near(ids, x, other_ids, y, limit):
+        """Row of x, id of y and distance of all that may be among the k nearest, where ``limit`` is the k-th distance so far."""
+        short, turned, sizes, furthest = x.astype(kind), y.astype(kind).T, length(x), length(y).max(initial=0)
+        slack = (x.shape[1] + 8) * np.finfo(kind).eps * (1 if metric == "cosine" else (sizes + furthest) ** 2) + 1e-12
+        bound = (limit if metric == "cosine" else limit**2) + slack
         for s in range(0, len(x), STRIP):
-            own = x[s : s + STRIP]
-            d = 1 - own @ y.T if metric == "cosine" else np.maximum((own**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * own @ y.T, 0)
-            d[ids[s : s + STRIP, None] == other_ids[None]] = np.inf
-            limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(d), 1), np.finfo(float).max)
-            r, c = np.nonzero((d <= limit + 1e-9 * np.maximum(1, np.abs(limit))) & np.isfinite(d))
+            at = slice(s, s + STRIP)
+            own, most = x[at], bound[at, None].astype(kind)
+            d = 1 - short[at] @ turned if metric == "cosine" else np.maximum((own**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * own @ y.T, 0)
+            if not np.isfinite(most).all():
+                d[ids[at, None] == other_ids[None]] = np.inf
+                if d.shape[1] > k:
+                    here = np.partition(d, k - 1, axis=1)[:, k - 1 : k] + 2 * np.broadcast_to(slack, len(x))[at, None]
+                    most = np.fmin(most, here).astype(kind)
+            r, c = np.divmod(np.flatnonzero(d <= most), d.shape[1])  # faster than nonzero of a table
+            met = (ids[r + s] != other_ids[c]) & np.isfinite(d[r, c])
+            r, c = r[met], c[met]
             # again one by one: the product's last bits depend on a vector's place in its block
             exact = 1 - np.einsum("ij,ij->i", own[r], y[c]) if metric == "cosine" else np.sqrt(((own[r] - y[c]) ** 2).sum(axis=1))
             yield r + s, other_ids[c], np.maximum(exact, 0)
@@ -156,24 +175,33 @@ def nearest_neighbours(vectors: DataFrame, k: int, metric: str = "cosine", id: s
             r, c, d = held
             return pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(c), pa.array(d)], names=["own", "neighbour", "distance"])
 
+        def merged(held, found):
+            held = best(*(np.concatenate(z) for z in zip(held, *found)))
+            full = np.bincount(held[0], minlength=len(ids)) == k
+            limit = np.where(full, -np.inf, np.inf)
+            np.maximum.at(limit, held[0], held[2])
+            return held, limit
+
         block, ids, x, held = None, None, None, None
         for batch in batches:
             column = {c: batch.column(c) for c in batch.schema.names}
             for i in range(batch.num_rows):
                 if column["block"][i].as_py() != block:
                     if block is not None:
-                        yield table(ids, held)
+                        yield table(ids, merged(held, waiting)[0])
                     block = column["block"][i].as_py()
                     ids = column["ids"][i].values.to_numpy()
                     x = unit(column["data"][i].values.to_numpy().reshape(len(ids), -1))
-                    held = (np.zeros(0, dtype=int), np.zeros(0, dtype=np.int64), np.zeros(0))
+                    held, limit, waiting, n = (np.zeros(0, dtype=int), np.zeros(0, dtype=np.int64), np.zeros(0)), np.full(len(ids), np.inf), [], 0
                 others = column["other_ids"][i].values.to_numpy()
                 y = unit(column["other_data"][i].values.to_numpy().reshape(len(others), -1))
-                for found in near(ids, x, others, y):
-                    held = tuple(np.concatenate(z) for z in zip(held, best(*found)))
-                held = best(*held)
+                for found in near(ids, x, others, y, limit):
+                    waiting.append(found if len(found[0]) <= 2 * k * STRIP else best(*found))
+                    n += len(waiting[-1][0])
+                if n > len(held[0]) // 2:  # a limit that lags is no smaller, so nothing is lost
+                    (held, limit), waiting, n = merged(held, waiting), [], 0
         if block is not None:
-            yield table(ids, held)
+            yield table(ids, merged(held, waiting)[0])
 
     found = pairs.mapInArrow(run, "own long, neighbour long, distance double")
     rank = F.row_number().over(Window.partitionBy("own").orderBy("distance", "neighbour")) - 1
@@ -187,22 +215,36 @@ def fuzzy_graph(neighbours: DataFrame, k: int, id: str = "id") -> DataFrame:
     k distances.
     """
 
-    def weigh(pdf):
-        pdf = pdf.sort_values("rank")
-        d = pdf["distance"].to_numpy()
-        rho = d[d > 0].min() if (d > 0).any() else 0.0
-        low, high = 0.0, np.inf
-        scale = 1.0
-        for _ in range(64):
-            total = np.exp(-np.maximum(d - rho, 0) / scale).sum()
-            if abs(total - np.log2(max(k, 2))) < 1e-6:
-                break
-            low, high = (low, scale) if total > np.log2(max(k, 2)) else (scale, high)
-            scale = (low + high) / 2 if np.isfinite(high) else scale * 2
-        pdf["weight"] = np.exp(-np.maximum(d - rho, 0) / max(scale, 1e-3 * max(d.mean(), 1e-12)))
-        return pdf[[id, "neighbour", "weight"]]
-
-    directed = neighbours.groupBy(id).applyInPandas(weigh, f"{id} long, neighbour long, weight double")
+    target = np.log2(max(k, 2))
+
+    def weigh(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            near, far = batch.column("near"), batch.column("far")
+            sizes = near.value_lengths().to_numpy()
+            held = np.arange(sizes.max(initial=0))[None] < sizes[:, None]
+            d = np.full(held.shape, np.inf)
+            d[held] = far.flatten().to_numpy()
+            rho = np.where(d > 0, d, np.inf).min(axis=1, initial=np.inf)
+            rho[~np.isfinite(rho)] = 0
+            over = np.maximum(d - rho[:, None], 0)
+            low, high, scale, on = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d)), np.arange(len(d))
+            for _ in range(64):
+                total = np.exp(-over[on] / scale[on, None]).sum(axis=1)
+                some = np.abs(total - target) >= 1e-6
+                on, total = on[some], total[some]
+                if not len(on):
+                    break
+                much = total > target
+                high[on[much]], low[on[~much]] = scale[on[much]], scale[on[~much]]
+                scale[on] = np.where(np.isfinite(high[on]), (low[on] + high[on]) / 2, scale[on] * 2)
+            mean = np.where(held, d, 0).sum(axis=1) / sizes
+            weight = np.exp(-over / np.maximum(scale, 1e-3 * np.maximum(mean, 1e-12))[:, None])[held]
+            yield pa.RecordBatch.from_arrays([batch.column(id).take(pa.array(np.repeat(np.arange(len(d)), sizes))), near.flatten(), pa.array(weight)], names=[id, "neighbour", "weight"])
+
+    listed = neighbours.groupBy(F.col(id).cast("long").alias(id)).agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "distance"))).alias("e"))
+    directed = listed.select(id, F.col("e.neighbour").cast("array<long>").alias("near"), F.col("e.distance").cast("array<double>").alias("far")).mapInArrow(weigh, f"{id} long, neighbour long, weight double")
     both = directed.select(F.least(id, "neighbour").alias("a"), F.greatest(id, "neighbour").alias("b"), "weight")
     sums = both.groupBy("a", "b").agg(F.sum("weight").alias("s"), (F.max("weight") * F.min("weight")).alias("product"), F.count(F.lit(1)).alias("n"))
     return sums.select("a", "b", F.when(F.col("n") > 1, F.col("s") - F.col("product")).otherwise(F.col("s")).alias("weight"))
@@ -277,15 +319,16 @@ def layout(vectors: DataFrame, k: int = 30, min_dist: float = 0.05, metric: str
             delta = p[i] - p[j]
             d2 = np.maximum((delta**2).sum(axis=1), 1e-12)
             pull = np.clip((-2 * alpha * beta * d2 ** (beta - 1) / (1 + alpha * d2**beta))[:, None] * delta, -4, 4)
-            step = np.zeros_like(p)
-            np.add.at(step, i, pull)
-            np.add.at(step, j, -pull)
+            ends, moves = [i, j], [pull, -pull]
             for _ in range(5):
                 other = random.integers(0, n, len(i))
                 away = p[i] - p[other]
                 e2 = (away**2).sum(axis=1)
                 push = np.clip((2 * beta / ((0.001 + e2) * (1 + alpha * np.maximum(e2, 1e-12) ** beta)))[:, None] * away, -4, 4)
                 push[other == i] = 0
-                np.add.at(step, i, push)
+                ends.append(i)
+                moves.append(push)
+            ends, moves = np.concatenate(ends), np.concatenate(moves)
+            step = np.stack([np.bincount(ends, moves[:, c], n) for c in range(dimensions)], axis=1)
             p += rate * np.clip(step, -4, 4)
     return spark.createDataFrame([(int(i), x) for i, x in zip(ids, p.tolist())], f"{id} long, position array<double>")

@@ -107,3 +107,39 @@ def test_rows_are_multiplied_by_slices():
 
     made = list(dense._slices([pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["row"])]))
     assert max(b.num_rows for b in made) <= dense.ROWS_AT_ONCE and [x for b in made for x in b.column(0).to_pylist()] == list(range(1000))
+
+
+def test_neighbours_hand_on_k_rows_a_vector(spark, monkeypatch):
+    """However many partitions there are: each vector's best of a run of blocks, not of each partition."""
+    x = np.random.default_rng(5).normal(size=(90, 6))
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "id long, vector array<double>")
+    made, run = [], type(table).mapInArrow
+    monkeypatch.setattr(dense, "BLOCK", 12)
+    monkeypatch.setattr(type(table), "mapInArrow", lambda self, *a: made.append(run(self, *a)) or made[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert dense.nearest_neighbours(table, 4).count() == 360
+        assert made[-1].count() <= 2 * 360
+        assert dense.nearest_neighbours(table.where("id < 0"), 4).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_graph_of_points_with_fewer_neighbours(spark):
+    """Memberships of whole batches are those of each point by itself."""
+    rng = np.random.default_rng(7)
+    near = {i: np.sort(np.round(rng.random(n), 3)) for i, n in enumerate((5, 5, 3, 1, 5))}
+    near[4][:2] = 0
+    rows = [(i, 100 + 10 * i + r, float(v), r) for i, d in near.items() for r, v in enumerate(d)]
+    got = {(r.a, r.b): r.weight for r in dense.fuzzy_graph(spark.createDataFrame(rows, "id long, neighbour long, distance double, rank int"), 5).collect()}
+    assert len(got) == len(rows)
+    for i, d in near.items():
+        rho, low, high, scale = d[d > 0].min(), 0.0, np.inf, 1.0
+        for _ in range(64):
+            total = np.exp(-np.maximum(d - rho, 0) / scale).sum()
+            if abs(total - np.log2(5)) < 1e-6:
+                break
+            low, high = (low, scale) if total > np.log2(5) else (scale, high)
+            scale = (low + high) / 2 if np.isfinite(high) else scale * 2
+        want = np.exp(-np.maximum(d - rho, 0) / max(scale, 1e-3 * d.mean()))
+        assert np.allclose([got[i, 100 + 10 * i + r] for r in range(len(d))], want)
