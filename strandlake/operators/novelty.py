@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import mix64, unsigned_key, wrapping
 from ..functions.stats import log_no_reference
 from ..tables import materialised
+from .dealt import occurring, sorted_runs, spread_of_deals
 from .ranking import modal, tiled_index
 
 
@@ -112,21 +113,18 @@ def shuffled_within(bins: DataFrame, block: str, value: str, permutations: int,
     return mixed.join(plain.select(block, "i", *others), [block, "i"]).select("perm", block, *others, value)
 
 
-def _spread_of(bins: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, cluster, pairs, total, multi: over a cluster's assemblies, the sum of their places and how many have several."""
-    per = bins.groupBy(*keys, "cluster", "assembly").agg(F.countDistinct("chrom").alias("k"))
-    return per.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("pairs"), F.sum("k").alias("total"), F.sum((F.col("k") >= 2).cast("long")).alias("multi"))
-
-
-def sharing_null(bins: DataFrame, permutations: int = 20, seed: int = 11) -> DataFrame:
+def sharing_null(bins: DataFrame, permutations: int = 100, seed: int = 11, parts: int | None = None) -> DataFrame:
     """cluster, n_pairs, chrom_per_asm, frac_asm_multi, and for the free null (places shuffled within assemblies) its mean,
-    z, p and multi share, for the fixed null (within clusters) its mean and z."""
-    real = materialised(bins.where("cluster >= 0").select("bin_uid", "cluster", "assembly", "chrom", "start"))
-    seen = _spread_of(real, [])
+    z, p and multi share, for the fixed null (within clusters) its mean and z.
+
+    ``parts``: partitions in which bins are sorted; by default they are written and counted first.
+    """
+    runs = sorted_runs(bins.where("cluster >= 0").select("bin_uid", "cluster", "assembly", "chrom", "start"), ["cluster", "assembly", "chrom"], parts=parts)
+    per = occurring(runs, ["cluster", "assembly", "chrom"]).groupBy("cluster", "assembly").agg(F.countDistinct("chrom").alias("k"))
+    seen = materialised(per.groupBy("cluster").agg(F.count(F.lit(1)).alias("pairs"), F.sum("k").alias("total"), F.sum((F.col("k") >= 2).cast("long")).alias("multi")))
     out = seen
-    for name, block, own in (("free", "assembly", seed), ("fixed", "cluster", seed + 1)):
-        moved = shuffled_within(real, block, "chrom", permutations, own).select("perm", "cluster", "assembly", "chrom")
-        null = _spread_of(moved, ["perm"]).join(seen.select("cluster", F.col("total").alias("seen")), "cluster")
+    for name, block, other, own in (("free", "assembly", "cluster", seed), ("fixed", "cluster", "assembly", seed + 1)):
+        null = spread_of_deals(runs, block, other, "chrom", "cluster", permutations, own).join(seen.select("cluster", F.col("total").alias("seen")), "cluster")
         sums = null.groupBy("cluster").agg(F.avg("total").alias(f"{name}_total"), F.stddev_pop("total").alias(f"{name}_sd"), F.sum((F.col("total") >= F.col("seen")).cast("int")).alias(f"{name}_reached"), F.avg("multi").alias(f"{name}_multi"))
         out = out.join(sums, "cluster")
     z = lambda name: F.when(F.col(f"{name}_sd") > 1e-9, (F.col("total") - F.col(f"{name}_total")) / F.col(f"{name}_sd"))

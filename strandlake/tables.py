@@ -69,10 +69,10 @@ def parts_of(rows: int) -> int:
     return max(1, -(-rows // TASK_ROWS))
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` written once and read back; for what a plan uses several times.  The table goes with the process."""
+def materialised(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written once (a folder a value of ``by``) and read back; for what a plan uses several times.  The table goes with the process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandlake-table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     atexit.register(_drop_quietly, spark, path)
     return spark.read.schema(df.schema).parquet(path)
