@@ -178,31 +178,50 @@ def _coded(values: list, known: dict) -> np.ndarray:
     return np.array([known.setdefault(v, len(known)) for v in values], dtype=np.uint32)
 
 
-def _by_key(parts, n: int, blocks: int, values: int) -> np.ndarray:
-    """The values' codes by (block, key), where ``parts()`` gives (keys, blocks' codes or None, values' codes), equal keys in order.
-
-    Keys are sorted with the block's code before and the value's in place of their last bits; where
-    these bits decide between two values, the rows are sorted again by whole keys.
+def _ties(far: np.ndarray, blk: np.ndarray | None) -> np.ndarray | None:
+    """The place of each bin among those of its number and block before it in a run, where numbers are repeated."""
+    same = far[1:] == far[:-1]
+    if not same.any():
+        return None
+    at = np.flatnonzero(np.append(False, same) | np.append(same, False))
+    of = np.cumsum(np.append(True, far[at][1:] != far[at][:-1]))
+    if blk is not None:
+        of = of * (int(blk.max()) + 1) + blk[at]
+    order = np.argsort(of, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
+    place = np.zeros(len(far), dtype=np.uint32)
+    place[at[order]] = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    return place.astype(_kind(int(place.max()) + 1))
+
+
+def _by_key(parts, n: int, blocks: int, values: int, deepest: int) -> np.ndarray:
+    """The values' codes by (block, key, place), where ``parts()`` gives keys, blocks' codes or None, values' codes, and
+    places among equal numbers (up to ``deepest``) or None.
+
+    Keys are sorted with the block's code before, and place and value instead of their last bits.  Equal numbers then
+    follow by place; rows that follow otherwise after equal bits may be of two numbers, and all are sorted by whole keys.
     """
     b, v = (blocks - 1).bit_length(), max(1, (values - 1).bit_length())
-    low = np.uint64((1 << v) - 1)
+    low = np.uint64((1 << v + deepest.bit_length()) - 1)
     packed, at = np.empty(n, dtype=np.uint64), 0
-    for keys, blk, val in parts():
+    for keys, blk, val, place in parts():
         z = keys >> np.uint64(b) if b else keys
         z = (z & ~low) | val.astype(np.uint64)
         if b:
             z |= blk.astype(np.uint64) << np.uint64(64 - b)
+        if place is not None:
+            z |= place.astype(np.uint64) << np.uint64(v)
         packed[at : at + len(z)] = z
         at += len(z)
     packed.sort()
     for s in range(0, n - 1, STEP):
         some = packed[s : s + STEP + 1]
-        differ = some[1:] ^ some[:-1]
-        if ((differ <= low) & (differ > 0)).any():
+        met = np.flatnonzero((some[1:] ^ some[:-1]) <= low)
+        if ((some[met + 1] & low) >> np.uint64(v) != ((some[met] & low) >> np.uint64(v)) + np.uint64(1)).any():
             break
     else:
-        return (packed & low).astype(_kind(values))
-    del packed, some, differ
+        return (packed & np.uint64((1 << v) - 1)).astype(_kind(values))
+    del packed, some
     held = list(parts())
     keys = np.concatenate([h[0] for h in held])
     order = np.argsort(keys, kind="stable")
@@ -237,13 +256,15 @@ def _whole(rows, perms: list[int], seed: int, block: str, other: str, value: str
 
     blk, val = column(block) if n_blocks > 1 else [None] * len(rows), column(value)
     far = [(r["first"], _read(r["offsets"], r["n"])) for r in rows]
+    places = [_ties(x, b) for (_, x), b in zip(far, blk)]
+    deepest = max((int(x.max()) for x in places if x is not None), default=0)
     cell = np.concatenate(column(other))
     if n_blocks > 1:
         whole = np.concatenate(blk)
         cell = whole.astype(np.uint32 if n_blocks * n_others < 1 << 32 else np.uint64) * n_others + cell
         cell = cell[np.argsort(whole, kind="stable")]
     for perm in perms:
-        values = _by_key(lambda: ((mixed(first, x, seed, perm), b, v) for (first, x), b, v in zip(far, blk, val)), n, n_blocks, n_values)  # noqa: B023
+        values = _by_key(lambda: ((mixed(first, x, seed, perm), b, v, p) for (first, x), b, v, p in zip(far, blk, val, places)), n, n_blocks, n_values, deepest)  # noqa: B023
         cells, codes = _met(cell, n_blocks * n_others, values, n_values)
         cells, k = np.unique(cells[codes != known[value].get(None, -1)], return_counts=True)
         owner = cells // n_others if by == block else cells % n_others
@@ -258,14 +279,16 @@ def _range(rows, perm: int, seed: int, block: str, other: str, value: str, by: s
     cell = np.empty(n, dtype=np.uint32)
     for r in rows:
         name = r[f"{block}_values"][0]
-        keys = mixed(r["first"], _read(r["offsets"], r["n"]), seed, perm)
+        far = _read(r["offsets"], r["n"])
+        keys, place = mixed(r["first"], far, seed, perm), _ties(far, None)
         at = np.flatnonzero(keys >> np.uint64(shift) == nth)
-        held.append((keys[at], None, _coded(r[f"{value}_values"], known[value])[_read(r[f"{value}_codes"], r["n"])[at]]))
+        held.append((keys[at], None, _coded(r[f"{value}_values"], known[value])[_read(r[f"{value}_codes"], r["n"])[at]], None if place is None else place[at]))
         first, last = max(before[r["part"]], low), min(before[r["part"]] + r["n"], low + n)
         if first < last:
             own = _read(r[f"{other}_codes"], r["n"])[first - before[r["part"]] : last - before[r["part"]]]
             cell[first - low : last - low] = _coded(r[f"{other}_values"], known[other])[own]
-    values = _by_key(lambda: iter(held), n, 1, len(known[value]))
+    deepest = max((int(h[3].max(initial=0)) for h in held if h[3] is not None), default=0)
+    values = _by_key(lambda: iter(held), n, 1, len(known[value]), deepest)
     others, names = list(known[other]), list(known[value])
     for c, v in zip(*(x.tolist() for x in _met(cell, len(others), values, len(names)))):
         yield (perm, name, None, None, others[c], names[v]) if by == block else (perm, others[c], None, None, name, names[v])

@@ -114,13 +114,14 @@ def _shuffle_sql(source: str, block: str, seed: int, permutations: int, name: st
 
 _TOTALS = "SELECT {k}cluster, count(*) AS pairs, sum(k) AS total, sum((k >= 2)::INT) AS multi FROM (SELECT {k}cluster, assembly, count(DISTINCT chrom) AS k FROM {t} GROUP BY ALL) GROUP BY ALL"
 _REAL = "real_ AS (SELECT * FROM clustered WHERE cluster >= 0)"
+_DEALS = 100
 
 
-@query(f"""{_C}, {_REAL}, {_shuffle_sql('real_', 'assembly', 11, 4, 'fr')}, {_shuffle_sql('real_', 'cluster', 12, 4, 'fx')}, seen AS ({_TOTALS.format(k='', t='real_')}), ft AS ({_TOTALS.format(k='perm, ', t='fr')}), xt AS ({_TOTALS.format(k='perm, ', t='fx')}),
+@query(f"""{_C}, {_REAL}, {_shuffle_sql('real_', 'assembly', 11, _DEALS, 'fr')}, {_shuffle_sql('real_', 'cluster', 12, _DEALS, 'fx')}, seen AS ({_TOTALS.format(k='', t='real_')}), ft AS ({_TOTALS.format(k='perm, ', t='fr')}), xt AS ({_TOTALS.format(k='perm, ', t='fx')}),
 fs AS (SELECT cluster, avg(f.total) AS m, stddev_pop(f.total) AS sd, sum((f.total >= s.total)::INT) AS r, avg(f.multi) AS mu FROM ft f JOIN seen s USING (cluster) GROUP BY cluster), xs AS (SELECT cluster, avg(total) AS m, stddev_pop(total) AS sd FROM xt GROUP BY cluster)
-SELECT cluster, pairs AS n_pairs, round(total / pairs, 6) AS chrom_per_asm, round(multi / pairs, 6) AS frac_asm_multi, round(fs.m / pairs, 6) AS free_mean, round(CASE WHEN fs.sd > 1e-9 THEN (total - fs.m) / fs.sd END, 6) AS free_z, round((1 + r) / 5.0::DOUBLE, 6) AS free_p, round(mu / pairs, 6) AS free_multi, round(xs.m / pairs, 6) AS fixed_mean, round(CASE WHEN xs.sd > 1e-9 THEN (total - xs.m) / xs.sd END, 6) AS fixed_z FROM seen JOIN fs USING (cluster) JOIN xs USING (cluster)""")
+SELECT cluster, pairs AS n_pairs, round(total / pairs, 6) AS chrom_per_asm, round(multi / pairs, 6) AS frac_asm_multi, round(fs.m / pairs, 6) AS free_mean, round(CASE WHEN fs.sd > 1e-9 THEN (total - fs.m) / fs.sd END, 6) AS free_z, round((1 + r) / {_DEALS + 1}.0::DOUBLE, 6) AS free_p, round(mu / pairs, 6) AS free_multi, round(xs.m / pairs, 6) AS fixed_mean, round(CASE WHEN xs.sd > 1e-9 THEN (total - xs.m) / xs.sd END, 6) AS fixed_z FROM seen JOIN fs USING (cluster) JOIN xs USING (cluster)""")
 def sharing_null(spark, sf_dir):
-    return rounded(nv.sharing_null(clustered(spark, sf_dir), permutations=4, parts=incidence_parts(spark, sf_dir)))
+    return rounded(nv.sharing_null(clustered(spark, sf_dir), permutations=_DEALS, parts=incidence_parts(spark, sf_dir)))
 
 
 _EXPECTED = f"{_C}, sizes AS (SELECT cluster, count(*) AS size, count(*) FILTER (is_ref) AS n_ref FROM clustered WHERE cluster >= 0 GROUP BY cluster), t AS (SELECT sum(size) AS n, sum(n_ref) AS r FROM sizes), ex AS (SELECT cluster, size, n_ref, CASE WHEN size > n - r THEN 0 ELSE exp(lgamma(n - r + 1) - lgamma(n - r - size + 1) + lgamma(n - size + 1) - lgamma(n + 1)) END AS p FROM sizes, t)"

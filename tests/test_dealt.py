@@ -42,6 +42,22 @@ def test_pairs_by_table_and_by_sorting(monkeypatch):
     assert all((a == b).all() for a, b in zip(table, dealt._met(cell, 30, values, 9)))
 
 
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_equal_numbers_and_equal_bits(blocks):
+    """Equal numbers follow by place, equal bits of two keys by whole keys."""
+    keys = np.array([9, 9, 9, 5, 5, 2, 8, 9, 4, 1 << 63], dtype=np.uint64)
+    blk, val = np.arange(10) % blocks if blocks > 1 else None, np.array([3, 0, 2, 1, 0, 3, 1, 2, 0, 1], dtype=np.uint8)
+    for spread in (1, 1 << 50):
+        z = keys * np.uint64(spread)
+        places = dealt._ties(np.sort(z), blk)
+        own = [(k, b, v) for k, b, v in zip(z.tolist(), blk.tolist() if blk is not None else [0] * 10, val.tolist())]
+        order = sorted(range(10), key=lambda i: (own[i][1], own[i][0], i))
+        seen = {}
+        place = np.array([seen.setdefault(o[:2], []).append(0) or len(seen[o[:2]]) - 1 for o in own])
+        got = dealt._by_key(lambda: [(z, blk, val, place)], 10, blocks, 4, int(place.max()))  # noqa: B023
+        assert got.tolist() == [own[i][2] for i in order] and places is not None
+
+
 def test_shuffles_do_not_grow_with_the_permutations(spark):
     bins = _bins(spark, 20_000).cache()
     written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
@@ -53,3 +69,11 @@ def test_shuffles_do_not_grow_with_the_permutations(spark):
 
     few, many = of(2), of(20)
     assert few > 0 and many < 1.5 * few
+
+
+def test_sharing_is_held_against_a_hundred_deals(spark, data_dir):
+    """The share of deals that reach what is seen goes in steps of 1 / 101."""
+    import __spark_entry__ as entry
+
+    p = [r.free_p for r in entry.queries()["sharing_null"](spark, data_dir).collect()]
+    assert min(p) < 1 and all(abs(x * 101 - round(x * 101)) < 1e-3 for x in p)
