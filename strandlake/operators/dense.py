@@ -275,13 +275,13 @@ def spectral_start(n: int, a, b, w, dimensions: int, random, rounds: int = 200):
     return 10 * found / np.maximum(np.abs(found).max(), 1e-12) + random.normal(scale=1e-4, size=(n, dimensions))
 
 
-def layout(vectors: DataFrame, k: int = 30, min_dist: float = 0.05, metric: str = "cosine", dimensions: int = 2, epochs: int = 200, seed: int = 7, id: str = "id", vector: str = "vector", max_fit_rows: int = 400_000) -> DataFrame:
+def layout(vectors: DataFrame, k: int = 30, min_dist: float = 0.05, metric: str = "cosine", dimensions: int = 2, epochs: int = 200, seed: int = 7, id: str = "id", vector: str = "vector", max_fit_rows: int = 0) -> DataFrame:
     """id, position: attraction along the fuzzy graph, repulsion from random points, from a spread start.
 
-    Neighbours and the graph are made in Spark; the positions of a bounded fit are
-    moved on the driver.  Fewer than three points lie on a unit circle.  Above
-    ``max_fit_rows`` (0: no bound) those with the smallest hash are fitted; each other
-    row lies at the mean of its ``k`` nearest fitted rows, weighted by closeness.
+    Neighbours and the graph are made in Spark; positions are moved on the driver, which
+    holds the graph's edges.  Fewer than three points lie on a unit circle.  Every row is fitted,
+    unless ``max_fit_rows`` is set: above it those with the smallest hash are fitted, and each
+    other row lies at the mean of its ``k`` nearest fitted rows, weighted by closeness.
     """
     spark = vectors.sparkSession
     if max_fit_rows and vectors.count() > max_fit_rows:
@@ -292,15 +292,16 @@ def layout(vectors: DataFrame, k: int = 30, min_dist: float = 0.05, metric: str
         met = near.join(placed.select(F.col(id).alias("neighbour"), "position"), "neighbour")
         mean = F.array(*[F.sum(F.col("w") * F.col("position")[i]) / F.sum("w") for i in range(dimensions)])
         return placed.unionByName(met.groupBy(id).agg(mean.alias("position")))
-    ids = np.array([r[0] for r in vectors.select(id).orderBy(id).collect()])
+    ids = vectors.select(id).orderBy(id).toPandas()[id].to_numpy()
     n = len(ids)
     if n < 3:
         return spark.createDataFrame([(int(i), [float(np.cos(2 * np.pi * j / max(n, 1))), float(np.sin(2 * np.pi * j / max(n, 1)))]) for j, i in enumerate(ids)], f"{id} long, position array<double>")
     k = max(2, min(k, n - 1))
-    edges = fuzzy_graph(nearest_neighbours(vectors, k, metric, id, vector), k, id).toPandas().sort_values(["a", "b"])  # the draws below follow this order
-    place = {int(i): j for j, i in enumerate(ids)}
-    a, b = edges["a"].map(place).to_numpy(), edges["b"].map(place).to_numpy()
-    w = edges["weight"].to_numpy()
+    edges = fuzzy_graph(nearest_neighbours(vectors, k, metric, id, vector), k, id).toPandas()
+    a, b = (np.searchsorted(ids, edges[c].to_numpy()).astype(np.int32) for c in ("a", "b"))
+    order = np.lexsort((b, a))  # the draws below follow this order
+    a, b, w = a[order], b[order], edges["weight"].to_numpy()[order]
+    del edges, order
     # the curve 1 / (1 + alpha d**(2 beta)) that is flat up to min_dist
     grid = np.linspace(1e-3, 3, 300)
     want = np.where(grid <= min_dist, 1.0, np.exp(-(grid - min_dist)))
@@ -331,4 +332,7 @@ def layout(vectors: DataFrame, k: int = 30, min_dist: float = 0.05, metric: str
             ends, moves = np.concatenate(ends), np.concatenate(moves)
             step = np.stack([np.bincount(ends, moves[:, c], n) for c in range(dimensions)], axis=1)
             p += rate * np.clip(step, -4, 4)
-    return spark.createDataFrame([(int(i), x) for i, x in zip(ids, p.tolist())], f"{id} long, position array<double>")
+    import pyarrow as pa
+
+    ends = pa.array(np.arange(n + 1, dtype=np.int32) * dimensions)
+    return spark.createDataFrame(pa.table({id: pa.array(ids, pa.int64()), "position": pa.ListArray.from_arrays(ends, pa.array(p.ravel()))}), f"{id} long, position array<double>")

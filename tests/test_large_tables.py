@@ -143,3 +143,17 @@ def test_graph_of_points_with_fewer_neighbours(spark):
             scale = (low + high) / 2 if np.isfinite(high) else scale * 2
         want = np.exp(-np.maximum(d - rho, 0) / max(scale, 1e-3 * d.mean()))
         assert np.allclose([got[i, 100 + 10 * i + r] for r in range(len(d))], want)
+
+
+def test_layout_fits_every_row(spark, monkeypatch):
+    """No number of rows turns the fit into one on a part of them, unless it is asked for; ids need not be dense."""
+    import inspect
+
+    assert inspect.signature(dense.layout).parameters["max_fit_rows"].default == 0
+    x = np.random.default_rng(9).normal(size=(40, 5))
+    table = spark.createDataFrame([(7 * i - 50, v) for i, v in enumerate(x.tolist())], "id long, vector array<double>")
+    fitted, start = [], dense.spectral_start
+    monkeypatch.setattr(dense, "spectral_start", lambda n, *a: fitted.append(n) or start(n, *a))
+    placed = dense.layout(table, 5, epochs=3)
+    assert fitted == [40] and sorted(r.id for r in placed.collect()) == [7 * i - 50 for i in range(40)]
+    assert placed.dtypes == [("id", "bigint"), ("position", "array<double>")] and np.isfinite([r.position for r in placed.collect()]).all()
